@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quaymark.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -17,7 +20,13 @@ class Registry:
     def add(self, name: str, query: Query, sql: str | None = None) -> None:
         if name in self.queries:
             raise ValueError(f"query {name} is registered twice")
-        self.queries[name] = query
+
+        @wraps(query)
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return query(spark, sf_dir)
+
+        self.queries[name] = shipped
         if sql is not None:
             self.oracles[name] = sql
 
