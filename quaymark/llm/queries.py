@@ -5,12 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm import packing, quantiles, spans, tokens
+from quaymark.llm import packing, pii, quantiles, spans, tokens
 from quaymark.plans.registry import Registry
 from quaymark.sources.tables import load
 
 R = Registry()
 
+# -- problem 3 --------------------------------------------------------------
+
+SURROGATE_KEY = b"a key of the deployment; never kept with the data"
+
+
+def free_texts(spark: SparkSession, sf: str) -> DataFrame:
+    tel = load(spark, sf, "request_telemetry", "row_id", "embed_input").select(F.lit("request_telemetry").alias("src_table"), F.col("row_id").alias("src_id"), F.col("embed_input").alias("text"))
+    fb = load(spark, sf, "request_feedback", "feedback_id", "comment_text").select(F.lit("request_feedback").alias("src_table"), F.col("feedback_id").alias("src_id"), F.col("comment_text").alias("text"))
+    return tel.unionAll(fb)
+
+
+def person_names(spark: SparkSession, sf: str) -> pii.Names:
+    listed = [(r["name_token"], r["name_kind"]) for r in load(spark, sf, "name_list", "name_token", "name_kind").limit(pii.MAX_NAMES).collect()]
+    return pii.learn_names(free_texts(spark, sf), listed)
+
+
+@R.query("p3_found")
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.detect(free_texts(spark, sf), person_names(spark, sf)).drop("end_pos")
+
+
+@R.query("p3_replaced")
+def p3_replaced(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.replace(free_texts(spark, sf), person_names(spark, sf), SURROGATE_KEY)
+
+
 # -- problem 5 --------------------------------------------------------------
 
 LATENCIES = ("total_latency_ms", "upstream_latency_ms", "route_latency_ms")
