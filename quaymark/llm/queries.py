@@ -5,12 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm import packing, pii, quantiles, spans, tokens
+from quaymark.llm import clusters, packing, pii, quantiles, spans, tokens
 from quaymark.plans.registry import Registry
-from quaymark.sources.tables import load
+from quaymark.sources.tables import canonical_id, load
 
 R = Registry()
 
+# -- problem 1 --------------------------------------------------------------
+
+
+def request_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """key, text of each request: spans and repeated deliveries are one; of several texts the first delivered counts."""
+    rows = load(spark, sf, "request_telemetry", "row_id", "request_id", "embed_input")
+    key = F.coalesce(canonical_id("request_id"), F.concat(F.lit("row:"), F.col("row_id").cast("string")))
+    # texts first, then nulls and blanks
+    return rows.groupBy(key.alias("key")).agg(F.min(F.struct(F.coalesce(F.trim("embed_input") == "", F.lit(True)).alias("empty"), "row_id", F.col("embed_input").alias("text"))).alias("m")).select("key", "m.text")
+
+
+@R.query("p1_found")
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = clusters.cluster_records(request_texts(spark, sf)).where("n_chars >= 40 and key not like 'row:%'").select("cluster_id", "key")
+    a, b = found.select("cluster_id", F.col("key").alias("request_id_a")), found.select("cluster_id", F.col("key").alias("request_id_b"))
+    return a.join(b, "cluster_id").where("request_id_a < request_id_b").drop("cluster_id")
+
+
+@R.query("p1_members")
+def p1_members(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.cluster_records(request_texts(spark, sf)).select("key", "cluster_id", "density")
+
+
+@R.query("p1_clusters")
+def p1_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.describe_clusters(clusters.cluster_records(request_texts(spark, sf)))
+
+
 # -- problem 3 --------------------------------------------------------------
 
 SURROGATE_KEY = b"a key of the deployment; never kept with the data"
@@ -59,6 +87,11 @@ b as (select *, cast(case when value < 0 then null when abs(value) <= 1e-9 then
 """
 
 
+@R.query("p5_sketch", _P5 + "select decision_model, day_utc, metric, sign, key, count(*) as n from b group by all")
+def p5_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    return quantiles.sketch(latencies(spark, sf), ["decision_model", "day_utc"], LATENCIES, ALPHA, VALID_LATENCY)
+
+
 @R.query("p5_percentiles", _P5 + ", s as (select decision_model, metric, sign, key, count(*) as n from b group by all), c as (select *, sum(case when key is not null then n else 0 end) over (partition by decision_model, metric) as total, sum(case when key is not null then n else 0 end) over (partition by decision_model, metric order by sign * (key + 1000000) nulls first rows unbounded preceding) as upto from s) select decision_model, metric, cast(max(total) as bigint) as n, cast(sum(case when key is null then n else 0 end) as bigint) as n_invalid, " + ", ".join(f"round(max(case when upto > floor({p} * (total - 1)) and upto - n <= floor({p} * (total - 1)) and key is not null then sign * pow(1.01e0 / 0.99e0, key) * 2 / (1.01e0 / 0.99e0 + 1) end), 6) as p{p * 100:g}".replace("p99.9", "p99_9") for p in PROBS) + " from c group by 1, 2")
 def p5_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     daily = quantiles.sketch(latencies(spark, sf), ["decision_model", "day_utc"], LATENCIES, ALPHA, VALID_LATENCY)
@@ -67,11 +100,6 @@ def p5_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("decision_model", "metric", "n", "n_invalid", *[F.round(c, 6).alias(c) for c in out.columns if c.startswith("p")])
 
 
-@R.query("p5_sketch", _P5 + "select decision_model, day_utc, metric, sign, key, count(*) as n from b group by all")
-def p5_sketch(spark: SparkSession, sf: str) -> DataFrame:
-    return quantiles.sketch(latencies(spark, sf), ["decision_model", "day_utc"], LATENCIES, ALPHA, VALID_LATENCY)
-
-
 # -- problem 7 --------------------------------------------------------------
 
 
