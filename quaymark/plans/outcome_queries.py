@@ -16,7 +16,7 @@ _STATS = "round(avg(score), 6) as avg_score, count(*) as n_records, cast(count(*
 def rounded(df, *names, digits=6):
     """Doubles rounded at the very end, where values of two engines are compared."""
     todo = names or [c for c, t in df.dtypes if t == "double"]
-    return df.select(*[F.round(c, digits).alias(c) if c in todo else F.col(c) for c in df.columns])
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if c in todo else F.col(c) for c in df.columns])
 
 
 for _name, _by in (("agg_group_stats", ["dataset_id", "split", "model_name"]), ("agg_by_model", ["model_name"]), ("agg_by_dataset", ["dataset_id"])):
