@@ -11,7 +11,7 @@ TABLES = (
 )
 
 
-def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+def load(spark: SparkSession, sf_dir: str, table: str, *columns: str | Column) -> DataFrame:
     """One table; naming columns keeps the scan's ReadSchema narrow."""
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df
