@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quaymark.session import cut_table
+
 TYPES = ("boolean", "number", "string", "array")
 CHUNK = 1024  # files of a line that one window partition holds at most
 FIELD = "struct<path:string,type:string,value:string>"
@@ -102,7 +104,7 @@ def schema_changes(read: DataFrame) -> DataFrame:
     the path appeared.  The first readable file of a line has no changes.
     Where several gone paths fit a rename, the smallest is given as old_path.
     """
-    files = with_ordinals(read)
+    files = cut_table(with_ordinals(read))  # read by every branch below; a file is parsed once
     spine = files.select("line", "ord", "file_id", "seq")
     fields = files.select("line", "ord", F.explode("fields").alias("f")).select("line", "ord", "f.path", "f.type", "f.value")
     key = ["line", "ord", "path"]
