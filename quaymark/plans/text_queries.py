@@ -14,7 +14,6 @@ from quaymark.plans.registry import Registry
 from quaymark.sources.tables import load
 
 R = Registry()
-T = F.col("text")
 
 
 def docs(s: SparkSession, d: str) -> DataFrame:
@@ -24,9 +23,9 @@ def docs(s: SparkSession, d: str) -> DataFrame:
 _DOCS = "select doc_id, {} from documents where text is not null"
 _N = r"regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 # white space as one engine and the other see it: ASCII only
-R.add("norm_prompt", lambda s, d: docs(s, d).select("doc_id", F.sha2(X.normal_prompt(T), 256).alias("k")), _DOCS.format(f"sha256({_N}) as k"))
-R.add("prompt_key", lambda s, d: docs(s, d).groupBy(X.prompt_key(T).alias("prompt_key")).count().withColumnRenamed("count", "n"), f"select sha256({_N}) as prompt_key, count(*) as n from documents where text is not null group by 1")
-R.add("tail_truncate", lambda s, d: docs(s, d).select("doc_id", F.sha2(X.tail(T), 256).alias("k"), F.length(X.tail(T)).cast("long").alias("n")), _DOCS.format("sha256(case when length(text) > 1024 then substr(text, length(text) - 1023) else text end) as k, least(length(text), 1024) as n"))
+R.add("norm_prompt", lambda s, d: docs(s, d).select("doc_id", F.sha2(X.normal_prompt(F.col("text")), 256).alias("k")), _DOCS.format(f"sha256({_N}) as k"))
+R.add("prompt_key", lambda s, d: docs(s, d).groupBy(X.prompt_key(F.col("text")).alias("prompt_key")).count().withColumnRenamed("count", "n"), f"select sha256({_N}) as prompt_key, count(*) as n from documents where text is not null group by 1")
+R.add("tail_truncate", lambda s, d: docs(s, d).select("doc_id", F.sha2(X.tail(F.col("text")), 256).alias("k"), F.length(X.tail(F.col("text"))).cast("long").alias("n")), _DOCS.format("sha256(case when length(text) > 1024 then substr(text, length(text) - 1023) else text end) as k, least(length(text), 1024) as n"))
 R.add("norm_model_name", lambda s, d: load(s, d, "request_telemetry", "decision_model").distinct().select("decision_model", X.model_name(F.col("decision_model")).alias("name")), "select distinct decision_model, regexp_replace(lower(trim(decision_model, ' ')), '[ _]+', '-', 'g') as name from request_telemetry")
 R.add("strip_date_suffix", lambda s, d: load(s, d, "model_axes", "model").select("model", X.without_date(F.concat("model", F.lit("-20250131"))).alias("bare")), "select model, regexp_replace(model || '-20250131', '[-@](20\\d{6}|20\\d\\d-\\d\\d-\\d\\d)$', '') as bare from model_axes")
 R.add("family_version", lambda s, d: load(s, d, "model_axes", "model").select("model", X.family(F.col("model")).alias("family"), X.version(F.col("model")).alias("version")), "select model, regexp_extract(model, '^([a-z]+(?:-[a-z]+)*)', 1) as family, regexp_extract(model, '([0-9]+(?:\\.[0-9]+)?)', 1) as version from model_axes")
@@ -36,21 +35,21 @@ _cnt = lambda p: f"len(regexp_extract_all(text, '{p}'))"
 _shr = lambda p: f"round(coalesce({_cnt(p)} / nullif(length(text), 0), 0), 6)"
 R.add(
     "text_features",
-    lambda s, d: rounded(docs(s, d).select("doc_id", *[c.alias(n) for n, c in X.features(T).items()])),
+    lambda s, d: rounded(docs(s, d).select("doc_id", *[c.alias(n) for n, c in X.features(F.col("text")).items()])),
     _DOCS.format(
         f"round(length(text) / 1000, 6) as len_k, round(ln(1 + length(text)), 6) as log_len, {_cnt(chr(10))} + 1 as n_lines, len({_W}) as n_words, round(coalesce(length(regexp_replace(text, '\\s+', '', 'g')) / nullif(len({_W}), 0), 0), 6) as avg_word_len, {_shr(chr(92) + 'p{Nd}')} as frac_digits, {_shr('[^' + chr(92) + 'x00-' + chr(92) + 'x7F]')} as frac_nonascii, {_shr('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}' + chr(92) + 's]')} as frac_punct, {_shr(chr(92) + 'p{Lu}')} as frac_upper, {_cnt(_CODE)} as code_hits, {_cnt(_MATH)} as math_hits, rtrim(text, ' ') like '%?' as is_question"
     ),
 )
 KEYS = ["token", "router", "cost", "judge", "memory"]
-R.add("kw_features", lambda s, d: docs(s, d).select("doc_id", X.keyword_hits(T, KEYS).alias("hits")), _DOCS.format(" + ".join(f"cast(contains(lower(text), '{k}') as bigint)" for k in KEYS) + " as hits"))
+R.add("kw_features", lambda s, d: docs(s, d).select("doc_id", X.keyword_hits(F.col("text"), KEYS).alias("hits")), _DOCS.format(" + ".join(f"cast(contains(lower(text), '{k}') as bigint)" for k in KEYS) + " as hits"))
 _ANS = r"replace(upper(list_extract(regexp_extract_all(text, '(?i)answer:?\s*\(?([A-Za-z]\b|-?[0-9][0-9,.]*)', 1), -1)), ',', '')"
-R.add("extract_answer", lambda s, d: view(s, d, "answers").select("doc_id", X.answer(T).alias("answer")), oracle(f"select doc_id, {_ANS} as answer from answers", "answers"))
-R.add("grade_mcq", lambda s, d: view(s, d, "answers").select("doc_id", X.grade_choice(X.answer(T), F.col("gold")).alias("score")), oracle(f"select doc_id, coalesce(cast(upper({_ANS}) = upper(gold) as double), 0) as score from answers", "answers"))
-R.add("grade_number", lambda s, d: view(s, d, "answers").select("doc_id", X.grade_number(X.answer(T), F.col("gold")).alias("score")), oracle(f"select doc_id, coalesce(cast(abs(try_cast({_ANS} as double) - try_cast(gold as double)) < 1e-6 as double), 0) as score from answers", "answers"))
-R.add("extract_code", lambda s, d: docs(s, d).select("doc_id", F.sha2(X.code_block(T), 256).alias("k")), _DOCS.format(r"sha256(coalesce(list_extract(regexp_extract_all(text, '(?s)```[a-zA-Z0-9_+-]*\n(.*?)```', 1), -1), text)) as k"))
-R.add("normal_answer", lambda s, d: view(s, d, "answers").select("doc_id", X.short_or_match(T, r"\b([A-D])\b").alias("a")), oracle(r"select doc_id, case when length(trim(text)) <= 10 then trim(text) else coalesce(list_extract(regexp_extract_all(text, '\b([A-D])\b', 1), -1), nullif(trim(regexp_extract(text, '(?i)final answer:?\s*([^\n]+)', 1)), '')) end as a from answers", "answers"))
+R.add("extract_answer", lambda s, d: view(s, d, "answers").select("doc_id", X.answer(F.col("text")).alias("answer")), oracle(f"select doc_id, {_ANS} as answer from answers", "answers"))
+R.add("grade_mcq", lambda s, d: view(s, d, "answers").select("doc_id", X.grade_choice(X.answer(F.col("text")), F.col("gold")).alias("score")), oracle(f"select doc_id, coalesce(cast(upper({_ANS}) = upper(gold) as double), 0) as score from answers", "answers"))
+R.add("grade_number", lambda s, d: view(s, d, "answers").select("doc_id", X.grade_number(X.answer(F.col("text")), F.col("gold")).alias("score")), oracle(f"select doc_id, coalesce(cast(abs(try_cast({_ANS} as double) - try_cast(gold as double)) < 1e-6 as double), 0) as score from answers", "answers"))
+R.add("extract_code", lambda s, d: docs(s, d).select("doc_id", F.sha2(X.code_block(F.col("text")), 256).alias("k")), _DOCS.format(r"sha256(coalesce(list_extract(regexp_extract_all(text, '(?s)```[a-zA-Z0-9_+-]*\n(.*?)```', 1), -1), text)) as k"))
+R.add("normal_answer", lambda s, d: view(s, d, "answers").select("doc_id", X.short_or_match(F.col("text"), r"\b([A-D])\b").alias("a")), oracle(r"select doc_id, case when length(trim(text)) <= 10 then trim(text) else coalesce(list_extract(regexp_extract_all(text, '\b([A-D])\b', 1), -1), nullif(trim(regexp_extract(text, '(?i)final answer:?\s*([^\n]+)', 1)), '')) end as a from answers", "answers"))
 R.add("em_normalised", lambda s, d: view(s, d, "answers").select("doc_id", (X.normal_answer(F.concat(F.lit("The  "), "gold")) == X.normal_answer(F.col("gold"))).alias("em")), oracle("select doc_id, true as em from answers", "answers"))
-R.add("token_f1", lambda s, d: rounded(view(s, d, "answers").select("doc_id", X.token_f1(F.lit("reasoning answer A b"), T).alias("f1"))), oracle(r"""select doc_id, round(2.0 * list_sum(list_transform(list_distinct(x), lambda w: least(len(list_filter(x, lambda v: v = w)), len(list_filter(y, lambda v: v = w))))) / (len(x) + len(y)), 6) as f1
+R.add("token_f1", lambda s, d: rounded(view(s, d, "answers").select("doc_id", X.token_f1(F.lit("reasoning answer A b"), F.col("text")).alias("f1"))), oracle(r"""select doc_id, round(2.0 * list_sum(list_transform(list_distinct(x), lambda w: least(len(list_filter(x, lambda v: v = w)), len(list_filter(y, lambda v: v = w))))) / (len(x) + len(y)), 6) as f1
 from (select doc_id, ['reasoning', 'answer', 'b'] as x, list_filter(string_split_regex(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', ' ', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')), '\s+'), lambda w: w <> '') as y from answers)""", "answers"))
 R.add("json_path", lambda s, d: load(s, d, "events", "event_id", "props").select("event_id", X.json_path(F.col("props"), "k").alias("k"), X.json_path(F.col("props"), "a.b[0].c").alias("none")), "select event_id, json_extract_string(props, '$.k') as k, json_extract_string(props, '$.a.b[0].c') as none from events")
 R.add("parse_score_json", lambda s, d: load(s, d, "events", "event_id", "props").select("event_id", X.score_json(F.concat(F.lit("Sure: "), "props"), "k").alias("score")), "select event_id, greatest(0, least(10, coalesce(try_cast(json_extract_string(props, '$.k') as double), 0))) as score from events")
@@ -67,9 +66,9 @@ R.add("edge_jaccard", lambda s, d: rounded(load(s, d, "request_telemetry", "row_
 
 # splits
 _B = "('0x' || substr(sha256({}), 1, 8))::bigint"
-R.add("split_hash", lambda s, d: docs(s, d).select("doc_id", S.hash_split(X.prompt_key(T)).alias("part")), f"with k as (select doc_id, {_B.format(chr(39) + 'split' + chr(39) + f' || sha256({_N})')} % 10000 as b from documents where text is not null) select doc_id, case when b < 7000 then 'train' when b < 8500 then 'validation' else 'test' end as part from k")
+R.add("split_hash", lambda s, d: docs(s, d).select("doc_id", S.hash_split(X.prompt_key(F.col("text"))).alias("part")), f"with k as (select doc_id, {_B.format(chr(39) + 'split' + chr(39) + f' || sha256({_N})')} % 10000 as b from documents where text is not null) select doc_id, case when b < 7000 then 'train' when b < 8500 then 'validation' else 'test' end as part from k")
 R.add("split_group_ratio", lambda s, d: S.ratio_split(view(s, d, "outcomes"), "dataset_id", "prompt_key", 0.7, ["ds9"]), oracle(f", p as (select distinct dataset_id, prompt_key from outcomes), r as (select *, row_number() over (partition by dataset_id order by {_B.format('prompt_key')} % 64, sha256(prompt_key)) as rn, count(*) over (partition by dataset_id) as n from p) select dataset_id, prompt_key, case when rn <= floor(n * 0.7e0) and dataset_id <> 'ds9' then 'train' else 'test' end as part from r", "outcomes"))
-R.add("split_no_leak", lambda s, d: S.leaks(docs(s, d).select("text", S.hash_split(X.prompt_key(T)).alias("part")), "text", "part").agg(F.count("*").alias("leaks")), "select cast(0 as bigint) as leaks")
+R.add("split_no_leak", lambda s, d: S.leaks(docs(s, d).select("text", S.hash_split(X.prompt_key(F.col("text"))).alias("part")), "text", "part").agg(F.count("*").alias("leaks")), "select cast(0 as bigint) as leaks")
 R.add("sample_hash_topn", lambda s, d: S.first_by_hash(docs(s, d).select(F.col("doc_id").cast("string").alias("k")), "k", 50), "select cast(doc_id as varchar) as k from documents where text is not null order by sha256(cast(doc_id as varchar)) limit 50")
 R.add("sample_per_category", lambda s, d: S.per_group(load(s, d, "documents", "doc_id", "source").where("source is not null").withColumn("k", F.col("doc_id").cast("string")), "source", "k", 3).select("source", "k"), "select source, k from (select source, cast(doc_id as varchar) as k, row_number() over (partition by source order by sha256(cast(doc_id as varchar))) as rn from documents where source is not null) where rn <= 3")
 R.add("cap_per_dataset", lambda s, d: S.cap_per_group(view(s, d, "outcomes"), "dataset_id", "prompt_key", "record_index", 5), oracle(", f as (select dataset_id, prompt_key, min(record_index) as o from outcomes group by 1, 2) select dataset_id, prompt_key from (select *, row_number() over (partition by dataset_id order by o) as rn from f) where rn <= 5", "outcomes"))
