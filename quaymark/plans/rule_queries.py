@@ -87,8 +87,8 @@ R.add("rank_score", lambda s, d: rounded(M.rank_score(near(s, d), M.cluster_rank
 R.add("score_blend", lambda s, d: rounded(estimates(s, d), digits=5), oracle(EST + " select prompt_key, model_name, round(value, 5) as value from est", *V))
 R.add(
     "blend_alpha",
-    lambda s, d: rounded(M.blend_alpha(near(s, d), means(s, d).withColumn("q_norm", M.minmax("mean", ["cluster_id"])), cost_norm(s, d), "vec_id", 0.6), digits=5),
-    oracle(EST + ", q as (select *, coalesce((mean - min(mean) over w) / nullif(max(mean) over w - min(mean) over w, 0), 0) as q_norm from means window w as (partition by cluster_id)) select vec_id, model_name, round(sum(0.6e0 * q_norm + 0.4e0 * (1 - c_norm)), 5) as value from near join q using (cluster_id) join cn using (model_name) group by all", *V),
+    lambda s, d: rounded(M.blend_alpha(near(s, d), means(s, d).withColumn("mean", F.round("mean", 9)).withColumn("q_norm", M.minmax("mean", ["cluster_id"])), cost_norm(s, d), "vec_id", 0.6), digits=5),
+    oracle(EST + ", rm as (select cluster_id, model_name, round(mean, 9) as mean from means), q as (select *, coalesce((mean - min(mean) over w) / nullif(max(mean) over w - min(mean) over w, 0), 0) as q_norm from rm window w as (partition by cluster_id)) select vec_id, model_name, round(sum(0.6e0 * q_norm + 0.4e0 * (1 - c_norm)), 5) + 0 as value from near join q using (cluster_id) join cn using (model_name) group by all", *V),
 )
 R.add("argmax_first", lambda s, d: M.argmax_first(estimates(s, d), ["prompt_key"], digits=6).select("prompt_key", "model_name"), oracle(EST + " select prompt_key, model_name from (select *, row_number() over (partition by prompt_key order by round(value, 6) desc, model_name) as rn from est) where rn = 1", *V))
 R.add("runner_up", lambda s, d: M.runner_up(estimates(s, d), ["prompt_key"], digits=6).select("prompt_key", "model_name"), oracle(EST + " select prompt_key, model_name from (select *, row_number() over (partition by prompt_key order by round(value, 6) desc, model_name) as rn from est) where rn = 2", *V))

@@ -27,7 +27,7 @@ def plain(v):
         return [plain(x) for x in v]
     if v is None or v is pd.NaT or isinstance(v, float) and math.isnan(v) or v is pd.NA:
         return None
-    return f"{v:.9g}" if isinstance(v, (float, np.floating)) else str(v)
+    return f"{v + 0.0:.9g}" if isinstance(v, (float, np.floating)) else str(v)
 
 
 def rows(df):
