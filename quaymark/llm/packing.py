@@ -34,7 +34,7 @@ def combinations(units: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def solve_repeats(hist: np.ndarray, combos: np.ndarray, rounds: int = 400) -> np.ndarray:
+def solve_repeats(hist: np.ndarray, combos: np.ndarray, rounds: int = 60) -> np.ndarray:
     """Non-negative x with little weighted |A x - hist|^2, by an active set of columns.
 
     Too many of a length weigh more than too few: the rest is packed greedily,
@@ -56,16 +56,26 @@ def solve_repeats(hist: np.ndarray, combos: np.ndarray, rounds: int = 400) -> np
         gain = ((weight[combos] * residual[combos]) * (combos > 0)).sum(1) / norms
         gain[~usable] = -np.inf
         gain[active] = -np.inf
-        best = int(gain.argmax())
-        if gain[best] <= 1e-7:
+        # several of the best columns at once, as long as they share no length
+        taken: set[int] = set()
+        fresh: list[int] = []
+        for c in np.argsort(-gain, kind="stable")[:64]:
+            lengths = set(combos[c][combos[c] > 0].tolist())
+            if gain[c] <= 1e-7 or len(fresh) == 8:
+                break
+            if not lengths & taken:
+                taken |= lengths
+                fresh.append(int(c))
+        if not fresh:
             break
-        column = np.zeros(units + 1)
-        np.add.at(column, combos[best][combos[best] > 0], 1.0)
-        active.append(best)
-        dense = np.column_stack([dense, column * weight])
-        current = np.r_[x[active[:-1]], 0.0]
+        columns = np.zeros((units + 1, len(fresh)))
+        for k, c in enumerate(fresh):
+            np.add.at(columns[:, k], combos[c][combos[c] > 0], 1.0)
+        active += fresh
+        dense = np.column_stack([dense, columns * weight[:, None]])
+        current = np.r_[x[active[: -len(fresh)]], np.zeros(len(fresh))]
         while True:
-            z = np.linalg.lstsq(dense, target, rcond=None)[0]
+            z = np.linalg.solve(dense.T @ dense + 1e-9 * np.eye(dense.shape[1]), dense.T @ target)
             if (z > 0).all():
                 current = z
                 break
