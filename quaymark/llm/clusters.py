@@ -278,12 +278,15 @@ def features(place: list[str | None], code: list[str | None], words: np.ndarray,
 
 def _maximise(x: np.ndarray, m: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Means, regularised variances and shares of components from responsibilities r (B, n, K)."""
-    rm = np.einsum("bnk,bnd->bkd", r, m)
-    mean = np.einsum("bnk,bnd->bkd", r, m * x) / np.maximum(rm, 1e-6)
-    square = np.einsum("bnk,bnd->bkd", r, m * x * x)
+    return _from_sums(np.einsum("bnk,bnd->bkd", r, m), np.einsum("bnk,bnd->bkd", r, m * x), np.einsum("bnk,bnd->bkd", r, m * x * x), r.sum(1))
+
+
+def _from_sums(rm: np.ndarray, total: np.ndarray, square: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_maximise from its sufficient statistics: weights, sums and squares (B, K, d) and sizes (B, K)."""
+    mean = total / np.maximum(rm, 1e-6)
     spread = np.maximum(square - rm * mean * mean, 0)
     var = (spread + PRIOR_WEIGHT * PRIOR_VARIANCE) / (rm + PRIOR_WEIGHT)
-    share = r.sum(1) / np.maximum(r.sum((1, 2)), 1e-6)[:, None]
+    share = size / np.maximum(size.sum(1), 1e-6)[:, None]
     # a component without any observation of a field says nothing about it
     return np.where(rm > 1e-3, mean, np.nan), var, share
 
@@ -337,7 +340,7 @@ def _try_split(x: np.ndarray, m: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
 def fit_blocks(block: np.ndarray, x: np.ndarray, seen: np.ndarray, weight: np.ndarray, budget: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
     """(component, density) of each point, components numbered within all blocks; ``block``: integers, sorted."""
     m = seen.astype(np.float32)
-    w = (1 + np.log(np.maximum(weight, 1))).astype(np.float32)
+    w = _weights(weight)
     edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.array([], int)
     queue = [np.arange(a, b) for a, b in zip(edges, np.r_[edges[1:], len(block)])]
     done: list[np.ndarray] = []
@@ -383,6 +386,170 @@ def fit_blocks(block: np.ndarray, x: np.ndarray, seen: np.ndarray, weight: np.nd
     return label, density
 
 
+# -- the mixture of a block that no task can hold ----------------------------
+
+_POINTS = "point long, block string, id long, has_place boolean, has_code boolean, weight long, x binary"
+
+
+def _weights(weight: np.ndarray) -> np.ndarray:
+    return (1 + np.log(np.maximum(weight, 1))).astype(np.float32)
+
+
+def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, observed, weight) of points."""
+    x = np.frombuffer(b"".join(pdf["x"]), np.float32).reshape(-1, DIMS)
+    m = np.ones((len(pdf), DIMS), np.float32)
+    m[:, KEPT_DIMS : KEPT_DIMS + ANCHOR_DIMS] = pdf["has_place"].to_numpy(np.float32)[:, None]
+    m[:, KEPT_DIMS + ANCHOR_DIMS :] = pdf["has_code"].to_numpy(np.float32)[:, None]
+    return x, m, _weights(pdf["weight"].to_numpy())
+
+
+@dataclass
+class _Node:
+    """What is known of a node while its points are split in passes over the table; the arrays are as in _try_split."""
+
+    one: tuple[np.ndarray, ...] = ()  # mean, variance, share of one component
+    observed: int = 0  # columns with an observation
+    n: float = 0.0
+    l1: float = 0.0
+    far: tuple[tuple[int, np.ndarray, np.ndarray], ...] = ()  # id, values, observed of the two far points
+    two: tuple[np.ndarray, ...] = ()
+
+    def shares(self, ids: np.ndarray, x: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log density, responsibilities) under two components; by the distance to the far points before there are any."""
+        if not self.two:
+            (i, xi, mi), (j, xj, mj) = self.far
+            d, e = (((x - y) ** 2 * m * o / PRIOR_VARIANCE).sum(1) for y, o in ((xi, mi), (xj, mj)))
+            near = np.where(ids == i, 1, np.where(ids == j, 0, np.where(d == e, 0.5, d < e))).astype(np.float32)
+            return np.zeros(len(x)), np.stack([near, 1 - near], 1)
+        mean, var, share = self.two
+        mu1, var1, _ = self.one
+        ll = (_log_density(x[None], m[None], mean, var, np.nan_to_num(mu1), var1) + np.log(np.maximum(share, 1e-9))[:, None, :])[0]
+        top = ll.max(1)
+        p = np.exp(ll - top[:, None])
+        return top + np.log(p.sum(1)), p / p.sum(1, keepdims=True)
+
+
+def _sweep(points: DataFrame, nodes: dict[str, _Node], what: str) -> dict[str, tuple[np.ndarray, tuple[float, int, np.ndarray, np.ndarray] | None]]:
+    """Per node the sums over its points that a step needs, and its farthest point; the driver gets one row per task and node."""
+
+    def step(node: _Node, ids: np.ndarray, x: np.ndarray, m: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        if what == "one" or what == "two":
+            r = (w[:, None] if what == "one" else node.shares(ids, x, m)[1] * w[:, None]).astype(np.float64)
+            return np.concatenate([(r.T @ m).ravel(), (r.T @ (m * x)).ravel(), (r.T @ (m * x * x)).ravel(), r.sum(0)]), None
+        if what == "gain":
+            ll, r = node.shares(ids, x, m)
+            side = r[:, 1] > r[:, 0]
+            return np.array([(ll * w).sum(dtype=np.float64), side.sum(), (~side).sum()]), None
+        mu, var, _ = node.one
+        if what == "far":
+            flat = np.nan_to_num(mu)
+            ll = _log_density(x[None], m[None], mu, var, flat, var)[0, :, 0]
+            return np.array([(ll * w).sum(dtype=np.float64)]), ((x - flat[0]) ** 2 * m / PRIOR_VARIANCE).sum(1)
+        _, xi, mi = node.far[0]
+        return np.zeros(1), ((x - xi) ** 2 * m * mi / PRIOR_VARIANCE).sum(1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        best: dict[str, tuple] = {}
+        for pdf in batches:
+            for name, g in pdf.groupby("block"):
+                ids = g["id"].to_numpy()
+                x, m, w = _arrays(g)
+                total, distance = step(nodes[name], ids, x, m, w)
+                sums[name] = sums[name] + total if name in sums else total
+                if distance is not None:
+                    k = np.lexsort((ids, -distance))[0]
+                    found = (-float(distance[k]), int(ids[k]), x[k].tobytes(), m[k].tobytes())
+                    best[name] = min(best.get(name, found), found)
+        rows = [(n, v.astype(np.float64).tobytes(), *best.get(n, (0.0, 0, b"", b""))) for n, v in sums.items()]
+        yield pd.DataFrame(rows, columns=["block", "sums", "d", "id", "x", "m"])
+
+    out: dict = {}
+    for r in points.where(F.col("block").isin(list(nodes))).mapInPandas(run, "block string, sums binary, d double, id long, x binary, m binary").collect():
+        total, far = np.frombuffer(r["sums"]), (r["d"], r["id"], bytes(r["x"]), bytes(r["m"]))
+        out[r["block"]] = (out[r["block"]][0] + total, min(out[r["block"]][1], far)) if r["block"] in out else (total, far)
+    return out
+
+
+def _parameters(sums: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
+    rm, total, square = sums[:-parts].reshape(3, 1, parts, DIMS)
+    return tuple(a.astype(np.float32) for a in _from_sums(rm, total, square, sums[-parts:][None]))
+
+
+def split_nodes(points: DataFrame, largest: int) -> tuple[DataFrame, dict[str, _Node]]:
+    """points with the nodes of their mixture that hold at most ``largest`` of them as blocks, and the larger nodes that no split improves.
+
+    The same splits as in fit_blocks; the statistics are summed over tasks and
+    the points stay where they are.
+    """
+    whole: dict[str, _Node] = {}
+    while True:
+        big = [r["block"] for r in points.groupBy("block").count().where(F.col("count") > largest).collect() if r["block"] not in whole]  # one for each ``largest`` points
+        if not big:
+            return points, whole
+        nodes = {b: _Node() for b in big}
+        for b, (sums, _) in _sweep(points, nodes, "one").items():
+            nodes[b].one, nodes[b].observed, nodes[b].n = _parameters(sums, 1), int((sums[:DIMS] > 0).sum()), float(sums[-1])
+        for what in ("far", "other"):
+            for b, (sums, (_, i, x, m)) in _sweep(points, nodes, what).items():
+                nodes[b].l1 += float(sums[0])
+                nodes[b].far += ((i, np.frombuffer(x, np.float32), np.frombuffer(m, np.float32)),)
+        for _ in range(EM_ROUNDS):
+            for b, (sums, _) in _sweep(points, nodes, "two").items():
+                nodes[b].two = _parameters(sums, 2)
+        split = {}
+        for b, (sums, _) in _sweep(points, nodes, "gain").items():
+            if 2 * (sums[0] - nodes[b].l1) > (nodes[b].observed + 1) * np.log(max(nodes[b].n, 2)) and sums[1] and sums[2]:
+                split[b] = nodes[b]
+            else:
+                whole[b] = nodes[b]
+        if split:
+            points = _divide(points, split)
+
+
+def _divide(points: DataFrame, split: dict[str, _Node]) -> DataFrame:
+    def sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            block = pdf["block"].to_numpy(object).copy()
+            for name, at in pdf.groupby("block").indices.items():
+                if name in split:
+                    g = pdf.iloc[at]
+                    x, m, _ = _arrays(g)
+                    r = split[name].shares(g["id"].to_numpy(), x, m)[1]
+                    block[at] = [f"{name}/{int(s)}" for s in r[:, 1] > r[:, 0]]
+            yield pdf.assign(block=block)
+
+    return cut_table(points.mapInPandas(sides, _POINTS))
+
+
+def _fit_points(points: DataFrame, largest: int) -> DataFrame:
+    """point, cluster_id, density of the different points of hot blocks."""
+    schema = "point long, cluster_id long, density double"
+    points, whole = split_nodes(points, largest)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        x, m, _ = _arrays(pdf)
+        label, density = fit_blocks(np.zeros(len(pdf), int), x, m > 0, pdf["weight"].to_numpy())
+        return pd.DataFrame({"point": pdf["point"], "cluster_id": pdf["id"].groupby(label).transform("min"), "density": np.round(density, 6)})
+
+    if not whole:
+        return points.groupBy("block").applyInPandas(fit, schema)
+    first = {r["block"]: r["id"] for r in points.where(F.col("block").isin(list(whole))).groupBy("block").agg(F.min("id").alias("id")).collect()}
+
+    def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, g in pdf.groupby("block"):
+                x, m, _ = _arrays(g)
+                mu, v, _ = whole[name].one
+                d = (-0.5 * (((x - np.nan_to_num(mu[0])) ** 2 / v[0] + np.log(v[0]) + _LOG_2PI) * m).sum(1)) / np.maximum(m.sum(1), 1)
+                yield pd.DataFrame({"point": g["point"], "cluster_id": first[name], "density": np.round(d.astype(float), 6)})
+
+    rest = points.where(~F.col("block").isin(list(whole))).groupBy("block").applyInPandas(fit, schema)
+    return rest.unionByName(points.where(F.col("block").isin(list(whole))).mapInPandas(dense, schema))
+
+
 # -- operators --------------------------------------------------------------
 
 _PARSED = "key string, n_chars int, component string, place string, code string, text_hash long, words binary"
@@ -432,7 +599,7 @@ def learn_reduction(parsed: DataFrame, hot: list[str], least_freedom: int = 20)
     directions kept are those in which jobs differ.  With fewer than
     ``least_freedom`` degrees of freedom for that, the directions of most
     variance are taken.  Equal records of a component count once in the
-    covariance; the records of a ``hot`` component are taken in parts.
+    covariance; those of a ``hot`` component are summed over all tasks.
     """
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -475,12 +642,37 @@ def learn_reduction(parsed: DataFrame, hot: list[str], least_freedom: int = 20)
             add(rest)
         yield _piece(products, np.zeros(WORD_DIMS), freedom)
 
+    def hot_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        products, sums = np.zeros((WORD_DIMS, WORD_DIMS)), {}
+        for pdf in batches:
+            v = _vectors(pdf["words"])
+            products = products + v.T @ v
+            for block, at in pdf.groupby("block").indices.items():
+                n, total = sums.get(block, (0, 0))
+                sums[block] = n + len(at), total + v[at].sum(0)
+        yield _piece(products, np.zeros(WORD_DIMS), 0).assign(block="")
+        for block, (n, total) in sums.items():
+            yield pd.DataFrame({"i": np.int32(WORD_DIMS), "j": np.arange(WORD_DIMS + 1, dtype=np.int32), "s": np.r_[total, n], "block": block})
+
     kind = "i int, j int, s double"
     everything = _sums(parsed.select("words").mapInPandas(moments, kind))
     name = F.concat(F.lit("c:"), "component")
-    group = F.when(name.isin(hot), F.concat_ws("#", name, F.pmod(F.xxhash64("words"), F.lit(997)).cast("string"))).otherwise(name) if hot else name
-    named = parsed.where("component is not null").select(group.alias("block"), "code", "words")
-    inside = _sums(named.repartition("block").sortWithinPartitions("block").mapInPandas(scatter, kind))
+    named = parsed.where("component is not null").select(name.alias("block"), "code", "words")
+    usual = named.where(~F.col("block").isin(hot)) if hot else named
+    inside = _sums(usual.repartition("block").sortWithinPartitions("block").mapInPandas(scatter, kind))
+    if hot:
+        many = named.where(F.col("block").isin(hot)).distinct()
+        alike = [r["block"] for r in many.groupBy("block").agg(F.min("code").alias("a"), F.max("code").alias("b")).collect() if r["a"] == r["b"]]
+        products, blocks = np.zeros((WORD_DIMS, WORD_DIMS)), {b: np.zeros(WORD_DIMS + 1) for b in alike}
+        for r in many.where(F.col("block").isin(alike)).mapInPandas(hot_sums, f"{kind}, block string").groupBy("block", "i", "j").agg(F.sum("s").alias("s")).collect():
+            if r["block"]:
+                blocks[r["block"]][r["j"]] = r["s"]
+            elif r["i"] < WORD_DIMS:
+                products[r["i"], r["j"]] = r["s"]
+        for v in blocks.values():
+            products = products - np.outer(v[:-1], v[:-1]) / v[-1]
+            inside[-1] += v[-1] - 1
+        inside[:WORD_DIMS] += products
     freedom = inside[-1, 0]
     return Reduction.of(everything[-1, 0], everything[-2], everything[:-2], inside[:-2] / freedom if freedom >= least_freedom else None)
 
@@ -530,8 +722,9 @@ def cluster_records(records: DataFrame, rows_per_task: int = 40_000, lists: List
     records of their own, null keys are kept.  An empty table gives no rows.
 
     A task takes whole blocks.  A block of more than ``largest`` records comes
-    to it as its different records only, cut by code, place and text, which
-    different jobs do not share; its records look their component up.
+    to it as its different records only, and its records look their component
+    up; with more than ``largest`` different records it is split by passes over
+    all tasks until its parts are small enough.  The mixture is the same.
     """
     if lists is None:
         lists = Lists(*learn_lists(records))
@@ -542,6 +735,10 @@ def cluster_records(records: DataFrame, rows_per_task: int = 40_000, lists: List
     blocked = assign_blocks(parsed)
     schema = "key string, n_chars int, cluster_id long, density double"
 
+    def ids(pdf: pd.DataFrame) -> np.ndarray:
+        same = pdf[["block", "place", "code", "words"]].itertuples(index=False)
+        return np.array([xxhash.xxh3_64_intdigest(b"\0".join([b.encode(), (p or "").encode(), (c or "").encode(), w])) for b, p, c, w in same], np.uint64).view(np.int64)
+
     def identify(pdf: pd.DataFrame) -> pd.DataFrame:
         # the id of a component is the smallest hash of its different records: the same in any layout of the tasks
         pdf = pdf.sort_values(["block", "id"], ignore_index=True)
@@ -553,7 +750,7 @@ def cluster_records(records: DataFrame, rows_per_task: int = 40_000, lists: List
         group = pdf.groupby(same, dropna=False, sort=False).ngroup().to_numpy()
         first = pd.DataFrame({"g": group}).drop_duplicates().index
         one = pdf.iloc[first][same].assign(g=group[first], weight=np.bincount(group)[group[first]])
-        one["id"] = np.array([xxhash.xxh3_64_intdigest(b"\0".join([b.encode(), (p or "").encode(), (c or "").encode(), w])) for b, p, c, w in one[same].itertuples(index=False)], np.uint64).view(np.int64)
+        one["id"] = ids(one)
         done = identify(one).set_index("g").loc[group]
         return pd.DataFrame({"key": pdf["key"], "n_chars": pdf["n_chars"], "cluster_id": done["cluster_id"].to_numpy(), "density": done["density"].to_numpy()})
 
@@ -562,11 +759,16 @@ def cluster_records(records: DataFrame, rows_per_task: int = 40_000, lists: List
     out = usual.select("key", "n_chars", "block", "place", "code", "words", task.alias("task")).groupBy("task").applyInPandas(fit_rows, schema)
     if not hot:
         return out
-    cut_up = F.concat_ws("#", "block", F.coalesce("code", "place", F.concat(F.lit("t"), F.pmod("text_hash", F.lit(9973)).cast("string"))))
-    many = blocked.where(F.col("block").isin(hot)).withColumn("block", cut_up).withColumn("id", F.xxhash64("block", "place", "code", "words"))
-    points = many.groupBy("id").agg(F.first("block").alias("block"), F.first("place").alias("place"), F.first("code").alias("code"), F.first("words").alias("words"), F.count("*").alias("weight"))
-    fitted = points.withColumn("task", task).groupBy("task").applyInPandas(lambda pdf: identify(pdf)[["id", "cluster_id", "density"]], "id long, cluster_id long, density double")
-    return out.unionByName(many.select("key", "n_chars", "id").join(fitted, "id").drop("id"))
+
+    def place_points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x, _ = features(list(pdf["place"]), list(pdf["code"]), _vectors(pdf["words"]).astype(np.float32), reduction)
+            yield pdf[["point", "block", "weight"]].assign(id=ids(pdf), has_place=pdf["place"].notna(), has_code=pdf["code"].notna(), x=[r.tobytes() for r in x])[[c.split()[0] for c in _POINTS.split(", ")]]
+
+    many = blocked.where(F.col("block").isin(hot)).withColumn("point", F.xxhash64("block", F.coalesce("place", F.lit("")), F.coalesce("code", F.lit("")), "words"))
+    points = many.groupBy("point").agg(*[F.first(c).alias(c) for c in ("block", "place", "code", "words")], F.count("*").alias("weight"))
+    fitted = _fit_points(cut_table(points.mapInPandas(place_points, _POINTS)), largest)
+    return out.unionByName(many.select("key", "n_chars", "point").join(fitted, "point").drop("point"))
 
 
 def describe_clusters(members: DataFrame, typical: int = 3) -> DataFrame:

@@ -82,6 +82,20 @@ def test_hot_blocks_are_cut_without_loss(spark):
     assert all((got[a] == got[b]) == (truth[a] == truth[b]) for a in anchored for b in anchored)
 
 
+@pytest.mark.parametrize("largest", [12, 4])
+def test_the_size_of_a_block_does_not_change_its_clusters(spark, largest):
+    rows, truth = jobs()
+    rows = rows + [(f"x{i}", "fix it", 0) for i in range(50)]
+    df = spark.createDataFrame(rows, "key string, text string, n int")
+    want = {r["key"]: (r["cluster_id"], r["density"]) for r in C.cluster_records(df).collect()}
+    got = {r["key"]: (r["cluster_id"], r["density"]) for r in C.cluster_records(df, largest=largest).collect()}
+    assert {k: c for k, (c, _) in got.items()} == {k: c for k, (c, _) in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-3 for k in want)
+    # requests that name only their component are with others that name more
+    alone = [k for k in truth if int(k[1:]) % 4 == 2]
+    assert {got[k][0] for k in alone} <= {got[k][0] for k in set(truth) - set(alone)}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "key string, text string")
     assert C.cluster_records(df).collect() == [] and C.describe_clusters(C.cluster_records(df)).collect() == []
