@@ -9,9 +9,10 @@ names stand, next to a listed name or in a personal phrase, is a name too.
 Each entity is replaced by a typed placeholder, or by a surrogate: a keyed
 replacement of the same type, gender, letter case, script and format.  Equal
 entities get equal surrogates in every text (coreference).  Digits are mapped
-by a keyed permutation of the numbers of equal length and listed names by a
-keyed permutation of the list, so different entities stay different; coined
-names are checked against each other and against the list.
+by a keyed permutation of the numbers of equal length, listed names by a keyed
+permutation of the list and other words by a keyed permutation of the words of
+equal length and scripts, so different entities stay different; coined names
+are checked against each other and against the list.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Iterable, Iterator
+import unicodedata
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -359,6 +362,24 @@ def placeholders(text: str | None, entities: list[Entity]) -> str | None:
 _SYLLABLES = tuple(c + v for c in ("b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "v", "z", "br", "tr") for v in "aeiou")
 
 
+def _script(c: str) -> str:
+    return unicodedata.name(c, "").split(" ")[0]
+
+
+def _alike(c: str) -> tuple:
+    """What the replacement of a letter or digit keeps: script and, outside ASCII, its 256 code points and its pair of cases."""
+    return c.isascii(), ord(c) >> 8, _script(c), unicodedata.category(c), len(c.upper()) == 1 and c.upper().lower() == c
+
+
+@lru_cache(maxsize=10_000)
+def _alphabet(c: str) -> str:
+    """The small letters or digits that may stand for a character; only itself for any other."""
+    if not (c.isalpha() or c.isascii() and c.isdigit()):
+        return c
+    first = ord(c) & ~255
+    return "".join(x for x in map(chr, range(first, first + 256)) if x.lower() == x and _alike(x) == _alike(c)) or c
+
+
 class Surrogates:
     """Keyed replacements; one instance for a key and list of names gives the same ones everywhere."""
 
@@ -366,7 +387,8 @@ class Surrogates:
         self.key = key
         self.names = names
         self.map: dict[str, str] = {}
-        used: set[str] = set(names.kinds)
+        self._words = lru_cache(maxsize=100_000)(self._permuted)
+        used: set[str] = set(names.kinds) | PARTICLES
         groups: dict[tuple, list[str]] = {}
         for token in sorted(set(names.kinds) - names.learned):
             groups.setdefault(self._group(token), []).append(token)
@@ -378,12 +400,14 @@ class Surrogates:
                 continue
             # a cycle through the keyed order: a permutation without fixed points
             self.map |= dict(zip(order, order[1:] + order[:1]))
-        for token in rest:
-            self.map[token] = self._coin(token, used)
+        coined = {token: self._coin(token, used) for token in rest}
+        # a word that is a coined name by chance gets one of the names that no other word gets
+        self.map |= coined | dict(zip(coined.values(), [*rest[1:], *rest[:1]]))
+        self.taken = frozenset(self.map) | frozenset(self.map.values())
 
     def _group(self, token: str) -> tuple:
         kind = "given" if "given" in self.names.kinds.get(token, ()) else "family"
-        return kind, self.gender(token) if kind == "given" else "", token.isascii()
+        return kind, self.gender(token) if kind == "given" else "", token.isascii(), " ".join(sorted({_script(c) for c in token if c.isalpha()}))
 
     @staticmethod
     def gender(token: str) -> str:
@@ -393,17 +417,57 @@ class Surrogates:
     def _mac(self, what: str, value: str) -> bytes:
         return hmac.new(self.key, f"{what}\0{value}".encode(), hashlib.sha256).digest()
 
-    def _coin(self, token: str, used: set[str] | None = None) -> str:
+    def _coin(self, token: str, used: set[str]) -> str:
+        given = "given" in self.names.kinds.get(token, ())
         for round_ in range(1000):
-            h = self._mac(f"coin{round_}", token)
-            s = "".join(_SYLLABLES[b % len(_SYLLABLES)] for b in h[: max(2, min(8, (len(token) + 1) // 2))])
-            s = s + ("a" if "given" in self.names.kinds.get(token, ()) and self.gender(token) == "f" and not s.endswith("a") else "")
-            if used is None or s not in used:
-                if used is not None:
-                    used.add(s)
+            if token.isascii():
+                h = self._mac(f"coin{round_}", token)
+                s = "".join(_SYLLABLES[b % len(_SYLLABLES)] for b in h[: max(2, min(8, (len(token) + 1) // 2))])
+                s = s + ("a" if given and self.gender(token) == "f" and not s.endswith("a") else "")
+            else:
+                s = self._permuted(token, f"coin{round_}")
+                if given and round_ < 500 and self.gender(s) != self.gender(token):
+                    continue
+            if s not in used:
+                used.add(s)
                 return s
         raise ValueError("no free name")
 
+    def _permuted(self, word: str, what: str = "word") -> str:
+        """A keyed permutation of the words of small letters and digits with these alphabets (a network of eight rounds)."""
+        letters = [_alphabet(c) for c in word]
+        free = [i for i, x in enumerate(letters) if len(x) > 1]
+        if not free:
+            return word
+        out = list(word)
+        if len(free) == 1:
+            i = free[0]
+            # a cycle through the keyed order, as for names
+            order = sorted(letters[i], key=lambda c: self._mac(f"{what} letter", c))
+            out[i] = order[(order.index(word[i]) + 1) % len(order)] if word[i] in order else word[i]
+            return "".join(out)
+        halves = free[: len(free) // 2], free[len(free) // 2 :]
+        # one function for each sequence of alphabets and characters that stay
+        kind = "\0".join(x if len(x) == 1 else x[0] for x in letters)
+        for round_ in range(8):
+            moved, other = halves[round_ % 2], halves[1 - round_ % 2]
+            f = int.from_bytes(hashlib.shake_256(self._mac(f"{what}{round_}\0{kind}", "".join(out[i] for i in other))).digest(8 + len(moved) * 2), "big")
+            n = 0
+            for i in moved:
+                n = n * len(letters[i]) + letters[i].index(out[i])
+            n += f
+            for i in reversed(moved):
+                n, k = divmod(n, len(letters[i]))
+                out[i] = letters[i][k]
+        return "".join(out)
+
+    def _free_word(self, word: str, barred: Callable[[str], object]) -> str:
+        """The next word of the permutation's cycle that is not barred: a permutation of the words that are not."""
+        out = self._words(word)
+        while barred(out):
+            out = self._words(out)
+        return out
+
     @staticmethod
     def _case(like: str, word: str) -> str:
         if like.isupper() and len(like) > 1:
@@ -413,8 +477,8 @@ class Surrogates:
     def word(self, token: str) -> str:
         low = token.lower()
         if len(low) == 1:
-            return self._case(token, chr(97 + self._mac("letter", low)[0] % 26))
-        return self._case(token, self.map.get(low) or self._coin(low))
+            return self._case(token, self._words(low))
+        return self._case(token, self.map.get(low) or self._free_word(low, self.taken.__contains__))
 
     def digits(self, value: str) -> str:
         """A keyed permutation of the digit strings of this length (a balanced network of eight rounds)."""
@@ -451,19 +515,20 @@ class Surrogates:
                 return self._numbers(value, 0)
             host = re.split(r"(\W+(?:dot\W+)?)", m.group(3), flags=re.IGNORECASE)
             # the last label stays, so that a reserved or national domain remains one
-            new = [x if i % 2 or i == len(host) - 1 else self._case(x, self._coin(x.lower())) for i, x in enumerate(host)]
+            new = [x if i % 2 or i == len(host) - 1 else self._case(x, self._words(x.lower())) for i, x in enumerate(host)]
             local = self._numbers(WORD.sub(lambda w: self.word(w.group()), m.group(1)), 0)
             return local + m.group(2) + "".join(new)
         keep = re.compile(rf"(?i)^(?:{_EN}|{_FR.replace(chr(92) + '.', '')}|calle|c|avenida|avda|av|plaza|paseo|camino|ronda|am|an|im|in|zum|zur|auf|unter|bis|ter|n|no|º|de|del|la|las|los|des|du|der|den|dem|le|les|l|d)$")
 
+        end = re.compile(r"(?i)(?<=.)(?:straße|strasse|str|weg|gasse|allee|platz|ring|ufer|damm)$")
+
         def street(m: re.Match[str]) -> str:
             w = m.group()
             if keep.match(w):
                 return w
-            ending = re.search(r"(?i)(?:straße|strasse|str|weg|gasse|allee|platz|ring|ufer|damm)$", w)
-            if ending and ending.start():
-                return self._case(w, self._coin(w[: ending.start()].lower())) + ending.group()
-            return self._case(w, self._coin(w.lower()))
+            if ending := end.search(w):
+                return self._case(w, self._words(w[: ending.start()].lower())) + ending.group()
+            return self._case(w, self._free_word(w.lower(), lambda x: keep.match(x) or end.search(x)))
 
         return self._numbers(re.sub(r"[^\W\d_]+", street, value), 0)
 

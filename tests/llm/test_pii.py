@@ -64,6 +64,27 @@ def test_surrogates():
     assert pii.Surrogates(b"other", NAMES).digits("910033931") != s.digits("910033931")
 
 
+def test_different_words_stay_different():
+    names = pii.Names.of([*LISTED, ("Зоя", "given")])
+    names.add("crathmoor", "family")
+    s = pii.Surrogates(b"k", names)
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    assert len({s.replace("name", f"{c}. Tolvarin") for c in abc.upper()}) == 26
+    assert all(s.word(c) != c for c in abc)
+    short = [a + b + c for a in abc for b in abc for c in ("", *abc)]
+    assert len({s.replace("email", f"{w}@a.test") for w in short}) == len(short)
+    assert len({s.replace("email", f"me@{w}.test") for w in short}) == len(short)
+    streets = short + [w + e for w in short[:700] for e in ("weg", "str", "platz")]
+    assert len({s.replace("address", f"12 {w} Street") for w in streets}) == len(set(streets))
+    # listed, learned and coined names among other words
+    words = set(short) | set(names.kinds) | set(s.map.values())
+    assert len({s.word(w) for w in words}) == len(words)
+    # the script stays, and so does the form of a host
+    assert all("\u0400" <= c <= "\u04ff" for w in ("мир", "Зоя", "Я") for c in s.word(w))
+    assert "é" != s.word("É").lower() and not s.word("É").isascii()
+    assert re.fullmatch(r"\w+@[a-z]{4}\d-[a-z]{2}\.test", s.replace("email", "me@mail7-eu.test"))
+
+
 def test_names_are_completed_from_the_corpus(spark):
     texts = [f"Reported by Noemi Crathmoor about row {i}" for i in range(4)] + ["Please look. Please wait."] * 5 + [None, ""]
     df = spark.createDataFrame([("t", i, t, 1) for i, t in enumerate(texts)], "src_table string, src_id long, text string, pii_type int")
