@@ -28,4 +28,7 @@ R.add("stream_error_streak", lambda s, d: jobs.run_once(jobs.error_streaks(calls
 R.add("late_data", lambda s, d: jobs.run_once(jobs.drop_redelivered(events(s, d), ["event_id"])).select("event_id", "event_type"), "select distinct event_id, event_type from events")
 # a window comes out when the watermark has passed its end: the last ones of the data stay open
 R.add("stream_tumbling", lambda s, d: jobs.run_once(jobs.windowed(events(s, d), "user_id", "6 hours")).where("start < timestamp '2024-01-20'").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "total"), "select strftime(time_bucket(interval 6 hours, ts, timestamp '2000-01-01'), '%Y-%m-%d %H:%M:%S') as start, count(*) as n, cast(sum(user_id) as bigint) as total from events where time_bucket(interval 6 hours, ts, timestamp '2000-01-01') < timestamp '2024-01-20' group by 1")
+# all windows and sessions that the watermark has closed, whatever the dates of the data
+R.add("stream_tumbling_closed", lambda s, d: jobs.run_once(jobs.windowed(events(s, d), "user_id", "6 hours")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "total"), "select strftime(time_bucket(interval 6 hours, ts, timestamp '2000-01-01'), '%Y-%m-%d %H:%M:%S') as start, count(*) as n, cast(sum(user_id) as bigint) as total from events where time_bucket(interval 6 hours, ts, timestamp '2000-01-01') + interval 6 hours <= (select max(ts) from events) - interval 1 hour group by 1")
+R.add("stream_session_closed", lambda s, d: jobs.run_once(jobs.session_totals(events(s, d), "user_id", "12 hours")).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n"), "with l as (select user_id, ts, case when epoch_us(ts) - epoch_us(lag(ts) over w) < 43200000000 then 0 else 1 end as b from events window w as (partition by user_id order by ts)), g as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) as g from l), x as (select user_id, g, min(ts) as st, max(ts) as en, count(*) as n from g group by 1, 2) select user_id, strftime(st, '%Y-%m-%d %H:%M:%S') as start, n from x where en + interval 12 hours <= (select max(ts) from events) - interval 1 hour")
 R.add("stream_session", lambda s, d: jobs.run_once(jobs.session_totals(events(s, d), "user_id", "12 hours")).where("start < timestamp '2024-01-15' and end < timestamp '2024-01-20'").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n"), "with l as (select user_id, ts, case when epoch_us(ts) - epoch_us(lag(ts) over w) < 43200000000 then 0 else 1 end as b from events window w as (partition by user_id order by ts)), g as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) as g from l), x as (select user_id, g, min(ts) as st, max(ts) as en, count(*) as n from g group by 1, 2) select user_id, strftime(st, '%Y-%m-%d %H:%M:%S') as start, n from x where st < timestamp '2024-01-15' and en + interval 12 hours < timestamp '2024-01-20'")
