@@ -56,6 +56,8 @@ R.add("parse_score_json", lambda s, d: load(s, d, "events", "event_id", "props")
 R.add("usage_extract", lambda s, d: load(s, d, "events", "event_id", "props").select("event_id", F.coalesce(X.json_path(F.col("props"), "usage.input_tokens"), X.json_path(F.col("props"), "k")).try_cast("long").alias("tokens")), "select event_id, try_cast(coalesce(json_extract_string(props, '$.usage.input_tokens'), json_extract_string(props, '$.k')) as bigint) as tokens from events")
 R.add("table_to_text", lambda s, d: load(s, d, "nation").select("n_nationkey", X.table_text(F.array(F.array("n_name", F.col("n_regionkey").cast("string")), F.array(F.lit("x"), F.lit("y")))).alias("t")), "select n_nationkey, '| ' || n_name || ' | ' || n_regionkey || ' |' || chr(10) || '| x | y |' as t from nation")
 R.add("perturb", lambda s, d: docs(s, d).select("doc_id", F.posexplode(X.variants(F.substring("text", 1, 40).cast("string"))).alias("i", "t")).where("i in (0, 3, 4)").select("doc_id", F.col("i").cast("long").alias("i"), F.sha2("t", 256).alias("k")), _DOCS.format("unnest([0, 3, 4])::bigint as i, sha256(unnest(['  ' || substr(text, 1, 40) || chr(10), substr(text, 1, 40) || '?', 'Please: ' || substr(text, 1, 40)])) as k"))
+# all variants of the whole text; without an oracle, since engines differ in the case of some letters
+R.add("perturb_whole", lambda s, d: docs(s, d).select("doc_id", F.posexplode(X.variants(F.col("text"))).alias("i", "t")).select("doc_id", F.col("i").cast("long").alias("i"), F.sha2("t", 256).alias("k")))
 RULES = [("probe", "(?i)^(hi|ping|test)\\b"), ("title", "(?i)title"), ("compaction", "(?i)compact|summari"), ("tool", "(?i)traceback|tool result")]
 R.add("turn_type", lambda s, d: load(s, d, "request_telemetry", "row_id", "embed_input").where("embed_input is not null").select("row_id", X.turn_type(F.col("embed_input"), RULES).alias("kind")), "select row_id, case " + " ".join(f"when regexp_matches(embed_input, '{p}') then '{n}'" for n, p in RULES) + " else 'main_loop' end as kind from request_telemetry where embed_input is not null")
 R.add("session_key", lambda s, d: load(s, d, "request_telemetry", "row_id", "api_key_id", "session_id").where("api_key_id is not null and session_id is not null").select("row_id", X.session_key(F.col("api_key_id"), F.col("session_id")).alias("k")), "select row_id, substr(sha256(api_key_id || chr(0) || session_id), 1, 32) as k from request_telemetry where api_key_id is not null and session_id is not null")

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import json
 import random
 
@@ -7,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaymark.operators import orphans, rolling, schema_drift
-from quaymark.sources.tables import canonical_id
+from quaymark.plans import catalog
+from quaymark.sources.tables import canonical_id, load
 
 DAY = dt.date(2025, 1, 1)
 
@@ -123,6 +125,16 @@ def test_schema_changes(spark):
     assert table.count() == read.count() and "alpha" in table.columns
 
 
+def test_perturb_whole_keeps_all_variants_and_the_whole_text(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in load(spark, sf, "documents", "doc_id", "text").where("text is not null").collect()}
+    got = {}
+    for r in catalog.QUERIES["perturb_whole"](spark, sf).collect():
+        got.setdefault(r["doc_id"], {})[r["i"]] = r["k"]
+    assert got.keys() == texts.keys() and max(map(len, texts.values())) > 40
+    for k, t in texts.items():
+        assert got[k] == {i: hashlib.sha256(v.encode()).hexdigest() for i, v in enumerate([f"  {t}\n", t.lower(), t.upper(), f"{t}?", f"Please: {t}"])}
+
+
 def test_retyped_over_chunks(spark, monkeypatch):
     monkeypatch.setattr(schema_drift, "CHUNK", 4)
     rng = random.Random(5)
