@@ -179,13 +179,18 @@ def rename_map(changes: DataFrame, read: DataFrame, max_paths: int = 20_000) ->
     The canonical name is the folded path with the most files; its ties go to
     the smaller name.  Schemas are narrow next to their data: more than
     ``max_paths`` distinct paths stop with an error instead of filling the driver.
-    A rename counts only if at least two lines report it, so that two fields
-    which happen to hold equal values are not taken for one.
+    Every reported rename counts, but for ambiguous ones: those of a file in
+    which several new paths come from one, and those whose two fields hold
+    values in one and the same file.  They count if at least two lines report
+    them, so that two fields which happen to hold equal values are not taken
+    for one.
     """
     paths = read.select(F.explode("fields").alias("f")).groupBy(F.col("f.path").alias("path")).agg(F.count("*").alias("n")).withColumn("fold", fold_path("path")).limit(max_paths + 1).collect()
     if len(paths) > max_paths:
         raise ValueError(f"more than {max_paths} distinct paths under the root; raise max_paths if that is meant")
-    links = changes.where("change_kind = 'renamed'").groupBy("old_path", "field_path").agg(F.countDistinct("line").alias("lines")).where("lines >= 2").collect()  # at most max_paths**2, in practice a few
+    renamed = changes.where("change_kind = 'renamed'").withColumn("heirs", F.count("*").over(W.partitionBy("line", "seq", "file_id", "old_path")))
+    links = renamed.groupBy("old_path", "field_path").agg(F.countDistinct("line").alias("lines"), F.min("heirs").alias("heirs"), F.count("*").alias("reports")).where("lines >= 2 or heirs = 1").collect()  # at most max_paths**2, in practice a few
+    links = _clear_links(links, read, {r["path"]: r["fold"] for r in paths})
     parent = {r["fold"]: r["fold"] for r in paths}
     fold = {r["path"]: r["fold"] for r in paths}
     count: dict[str, int] = {}
@@ -212,6 +217,18 @@ def rename_map(changes: DataFrame, read: DataFrame, max_paths: int = 20_000) ->
     return {p: min(groups[find(f)], key=lambda x: (-plain[x], x)) for p, f in fold.items()}
 
 
+def _clear_links(links: list, read: DataFrame, fold: dict[str, str]) -> list:
+    """links without those of a single line whose two fields hold values in one file."""
+    doubtful = sorted({tuple(sorted((fold[r["old_path"]], fold[r["field_path"]]))) for r in links if r["lines"] < 2})
+    if not doubtful:
+        return links
+    pairs = read.sparkSession.createDataFrame(doubtful, "a string, b string")
+    held = read.select(F.transform(F.filter("fields", lambda f: f["type"].isNotNull()), lambda f: fold_path(f["path"])).alias("held"))
+    together = held.join(F.broadcast(pairs), F.expr("a <> b and array_contains(held, a) and array_contains(held, b)")).select("a", "b").distinct().collect()
+    clash = {(r["a"], r["b"]) for r in together}
+    return [r for r in links if r["lines"] >= 2 or tuple(sorted((fold[r["old_path"]], fold[r["field_path"]]))) not in clash]
+
+
 def unified_table(read: DataFrame, names: dict[str, str]) -> DataFrame:
     """line, seq, file_id and per field: its canonical value, and for a field of more than one type a branch per type.
 
