@@ -82,20 +82,18 @@ def find_orphans(references: list[Reference], rows_per_group: int = 100_000) ->
         if ref.empty:
             return pd.DataFrame({"code": np.array([], np.int32), "src_id": np.array([], np.int64), "kind": np.array([], np.int32), "at": pd.Series([], dtype="datetime64[us]")})
         par = par.sort_values(["h1", "h2"], ignore_index=True)
-        key = np.empty(len(par), [("h1", "i8"), ("h2", "i8")])
-        key["h1"], key["h2"] = par["h1"], par["h2"]
         h1, h2 = ref["h1"].to_numpy(), ref["h2"].to_numpy()
-        pos = np.searchsorted(key["h1"], h1)
-        hit = np.zeros(len(ref), bool)
-        for _ in range(4):  # equal first halves are next to each other; more than one is a rare accident
-            ok = pos < len(par)
-            at = np.where(ok, pos, 0)
-            same = ok & (key["h1"][at] == h1) if len(par) else np.zeros(len(ref), bool)
-            hit |= same & (key["h2"][at] == h2) if len(par) else False
-            step = same & ~hit
-            if not step.any():
-                break
-            pos = pos + step
+        p1, p2 = par["h1"].to_numpy(np.int64), par["h2"].to_numpy(np.int64)
+        # the run of parents with the reference's first half, then its second half within that run
+        lo, hi = np.searchsorted(p1, h1, "left"), np.searchsorted(p1, h1, "right")
+        pos, end = lo.copy(), hi
+        while (open_ := pos < end).any():
+            mid = (pos + end) // 2
+            less = open_ & (p2[np.minimum(mid, len(p2) - 1)] < h2)
+            pos, end = np.where(less, mid + 1, pos), np.where(open_ & ~less, mid, end)
+        hit = pos < hi
+        if len(par):
+            hit &= p2[np.minimum(pos, len(p2) - 1)] == h2
         when = ref["at"].to_numpy("datetime64[us]").astype("int64")
         none = np.iinfo(np.int64).min
         kind = np.full(len(ref), -1, np.int32)

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quaymark.session import cut_table
+
 BLOCK_ENTITIES = 512
 
 
@@ -64,8 +66,9 @@ def rolling_totals(
         F.col(entity).alias("__e"), num.alias("__d"), *[F.coalesce(F.col(m), F.lit(0)).cast("long").alias(f"__m{i}") for i, m in enumerate(measures)]
     )
     # first and last day per entity: one row per entity and day reaches this window, however hot the entity
-    spans = base.groupBy("__e").agg(F.min("__d").alias("__first"), F.max("__d").alias("__last"))
-    base = base.join(spans, base["__e"].eqNullSafe(spans["__e"])).drop(spans["__e"])
+    base = cut_table(base)  # days, not rows: read once for the spans and once for the blocks
+    spans = base.groupBy("__e").agg(F.min("__d").alias("__first"), F.max("__d").alias("__last")).withColumnRenamed("__e", "__s")
+    base = base.join(spans, F.col("__e").eqNullSafe(F.col("__s"))).drop("__s")
     tile = F.floor(F.col("__d") / tile_days)
     own = F.array(tile)
     halo_next = F.when((F.col("__d") >= (tile + 1) * tile_days - halo) & (F.col("__last") >= (tile + 1) * tile_days), F.array(tile + 1)).otherwise(F.array().cast("array<bigint>"))
@@ -90,7 +93,8 @@ def rolling_totals(
             if pdf.empty:
                 continue
             # sorted by tile and entity: all but the last group are complete
-            last = (pdf["__t"] == pdf["__t"].iloc[-1]) & (pdf["__e"].fillna("\0") == (pdf["__e"].iloc[-1] if pdf["__e"].iloc[-1] is not None else "\0"))
+            entity_no, tile_no = pd.factorize(pdf["__e"], use_na_sentinel=False)[0], pdf["__t"].to_numpy()
+            last = (tile_no == tile_no[-1]) & (entity_no == entity_no[-1])
             rest = pdf[last]
             done = pdf[~last]
             if len(done):

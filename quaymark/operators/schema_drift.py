@@ -1,16 +1,20 @@
 """Schemas that drift between files (problem 6).
 
-Each file is read into tagged fields (path, JSON type, value).  Fusing the
-fields of all files gives a union type per path; a path with conflicting types
-is split into one typed branch per type next to one canonical column.  Files
-of a line are compared with the readable one before, and every alternative
-that appears, goes, moves or changes type is reported.
+Each file is read once into tagged fields (path, JSON type, value).  The files
+of a line are fused, in order, into unions: a union knows the fields it begins
+and ends with, the alternatives that occur under each path and what a path's
+type was last.  Unions of neighbouring runs of files fuse to the union of both,
+and every alternative that appears, goes, moves or changes type between them is
+reported, so a line of any length is cut into runs that are folded in parallel
+and fused as a tree.  A path with conflicting types is split into one typed
+branch per type next to one canonical column.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,8 +24,11 @@ from pyspark.sql import functions as F
 from quaymark.session import cut_table
 
 TYPES = ("boolean", "number", "string", "array")
-CHUNK = 1024  # files of a line that one window partition holds at most
+CHUNK = 1024  # versions of a line, or unions of its runs, that one task fuses at most
 FIELD = "struct<path:string,type:string,value:string>"
+OPAQUE = ("meta.cost_per_1k_input_usd",)
+
+Tags = list[tuple[str, str | None, str | None]]
 
 
 def _number(v: float) -> str:
@@ -64,38 +71,148 @@ def tag_fields(text: str | None, root: str, opaque: Sequence[str]) -> list[tuple
     return sorted(dict((p, (p, t, x)) for p, t, x in out).values())
 
 
-def readable_files(files: DataFrame, line: str, seq: str, file_id: str, text: str, root: str = "meta", opaque: Sequence[str] = ("meta.cost_per_1k_input_usd",)) -> DataFrame:
-    """line, seq, file_id, fields of the readable delivery with the smallest id of each (line, seq).
+def tagged_files(files: DataFrame, line: str, seq: str, file_id: str, text: str, root: str = "meta", opaque: Sequence[str] = OPAQUE) -> DataFrame:
+    """line, seq, file_id, tags of readable deliveries: a JSON list of [path, type, value].
 
     Null, empty and cut-off texts are not readable.  Rows with a null line, seq
-    or id can't be placed in a sequence and are left out.
+    or id can't be placed in a sequence and are left out.  Of the deliveries of
+    one (line, seq) in a batch only the one with the smallest id goes on, so a
+    version that is delivered very often is thinned before it is shuffled.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            tagged = [tag_fields(t, root, opaque) for t in pdf.pop("text")]
-            keep = [x is not None for x in tagged]
-            out = pdf[keep].copy()
-            out["fields"] = [[{"path": p, "type": t, "value": v} for p, t, v in x] for x in tagged if x is not None]
-            yield out
+            pdf = pdf.sort_values("file_id", ignore_index=True)
+            tags: list[str | None] = []
+            done: set[tuple[str, int]] = set()
+            for ln, sq, t in zip(pdf["line"], pdf["seq"], pdf.pop("text")):
+                one = None if (ln, sq) in done else tag_fields(t, root, opaque)
+                tags.append(None if one is None else json.dumps(one, ensure_ascii=False))
+                if one is not None:
+                    done.add((ln, sq))
+            yield pdf.assign(tags=tags)[[t is not None for t in tags]]
 
     src = files.select(F.col(line).cast("string").alias("line"), F.col(seq).cast("long").alias("seq"), F.col(file_id).cast("long").alias("file_id"), F.col(text).alias("text"))
-    parsed = src.where(F.col("line").isNotNull() & F.col("seq").isNotNull() & F.col("file_id").isNotNull() & F.col("text").isNotNull()).mapInPandas(parse, f"line string, seq long, file_id long, fields array<{FIELD}>")
-    return parsed.groupBy("line", "seq").agg(F.min(F.struct("file_id", "fields")).alias("f")).select("line", "seq", "f.file_id", "f.fields")
+    return src.where(F.col("line").isNotNull() & F.col("seq").isNotNull() & F.col("file_id").isNotNull() & F.col("text").isNotNull()).mapInPandas(parse, "line string, seq long, file_id long, tags string")
+
+
+def readable_files(tagged: DataFrame) -> DataFrame:
+    """line, seq, file_id, fields of the readable delivery with the smallest id of each (line, seq)."""
+    one = tagged.groupBy("line", "seq").agg(F.min(F.struct("file_id", "tags")).alias("f"))
+    fields = F.transform(F.from_json("f.tags", "array<array<string>>"), lambda x: F.struct(x[0].alias("path"), x[1].alias("type"), x[2].alias("value")))
+    return one.select("line", "seq", "f.file_id", fields.alias("fields"))
+
+
+# -- unions of the files of a line --------------------------------------------
+
+INHERIT = "^"  # the type that a path had before the run: it holds only nulls in all of it
+
+_UNION = "line string, chunk long, is_change boolean, file_id long, seq long, field_path string, change_kind string, old_path string, old_type string, new_type string, body string"
+_CHANGE = ("file_id", "line", "seq", "field_path", "change_kind", "old_path", "old_type", "new_type")
+
+
+@dataclass
+class Union:
+    """What a run of a line's files holds, as far as its neighbours and the fused schema need it."""
+
+    first: tuple[int, int]  # file_id, seq
+    head: dict[str, tuple[str | None, str | None]]  # fields of the first file
+    tail: dict[str, tuple[str | None, str | None]]  # and of the last one
+    # path -> (type, file_id, seq) of the first value that is not null, of paths that are there since the first file; None while there is none
+    pending: dict[str, tuple[str, int, int] | None]
+    state: dict[str, str | None]  # path of the last file -> type of its last value since it appeared, None or INHERIT
+    kinds: dict[str, list] = field(default_factory=dict)  # path, a tab and its type -> [files, first seq, last seq]
+
+    @classmethod
+    def of(cls, file_id: int, seq: int, tags: Tags) -> Union:
+        fields = {p: (t, v) for p, t, v in tags}
+        return cls(
+            (file_id, seq), fields, fields, {p: (t, file_id, seq) if t else None for p, (t, _) in fields.items()},
+            {p: t or INHERIT for p, (t, _) in fields.items()}, {f"{p}\t{t or ''}": [1, seq, seq] for p, (t, _) in fields.items()},
+        )
+
+    def dump(self) -> str:
+        return json.dumps([self.first, self.head, self.tail, self.pending, self.state, self.kinds], ensure_ascii=False)
+
+    @classmethod
+    def load(cls, body: str) -> Union:
+        first, head, tail, pending, state, kinds = json.loads(body)
+        pair = lambda d: {p: (t, v) for p, (t, v) in d.items()}
+        return cls(tuple(first), pair(head), pair(tail), {p: tuple(x) if x else None for p, x in pending.items()}, state, kinds)
+
+    def fuse(self, right: Union, report: list[tuple]) -> None:
+        """Takes in the union of the files behind; reports what appears, goes, moves or changes type."""
+        at = right.first
+        if self.tail.keys() != right.head.keys():
+            new = [p for p in right.head if p not in self.tail]
+            gone: dict[tuple, list[str]] = {}
+            for p in self.tail:
+                if p not in right.head:
+                    gone.setdefault(self.tail[p], []).append(p)
+            used = set()
+            for p in new:
+                olds = gone.get(right.head[p], ()) if right.head[p][0] is not None else ()
+                used.update(olds)
+                report.append((*at, p, "renamed" if olds else "added", min(olds, default=None), None, right.head[p][0]))
+            report += [(*at, p, "removed", None, self.tail[p][0], None) for olds in gone.values() for p in olds if p not in used]
+        for p, found in right.pending.items():
+            old = self.state.get(p) if p in self.tail else None
+            if found and old and old != INHERIT and old != found[0]:
+                report.append((found[1], found[2], p, "retyped", None, old, found[0]))
+        for p, found in self.pending.items():
+            # still without a value, and there in all files up to here
+            if found is None and self.state.get(p) == INHERIT and p in right.head:
+                self.pending[p] = right.pending[p]
+        self.state = {p: (self.state[p] if p in self.tail else None) if t == INHERIT else t for p, t in right.state.items()}
+        self.tail = right.tail
+        for k, (n, lo, hi) in right.kinds.items():
+            one = self.kinds.setdefault(k, [0, lo, hi])
+            one[0], one[1], one[2] = one[0] + n, min(one[1], lo), max(one[2], hi)
+
+
+def _rows(line: str, chunk: int, union: Union, report: list[tuple]) -> pd.DataFrame:
+    out = [(line, chunk, True, *r, None) for r in report]
+    out.append((line, chunk, False, *[None] * 7, union.dump()))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in _UNION.split(", ")]).astype({"file_id": "Int64", "seq": "Int64"})
+
+
+def _fuse_all(parts: Iterable[Union]) -> tuple[Union, list[tuple]]:
+    report: list[tuple] = []
+    whole: Union | None = None
+    for u in parts:
+        if whole is None:
+            whole = u
+        else:
+            whole.fuse(u, report)
+    return whole, report
+
+
+def fused_unions(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(unions, changes): one fused union for each line, and all that was reported on the way.
+
+    Runs of CHUNK versions are folded first; a task then fuses CHUNK unions of
+    one line at a time, level by level, until each line has one.
+    """
+
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["seq", "file_id"]).drop_duplicates("seq")
+        return _rows(key[0], key[1], *_fuse_all(Union.of(int(i), int(s), json.loads(t)) for i, s, t in zip(pdf["file_id"], pdf["seq"], pdf["tags"])))
 
+    def fuse(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return _rows(key[0], key[1], *_fuse_all(Union.load(b) for b in pdf.sort_values("chunk")["body"]))
 
-def with_ordinals(read: DataFrame) -> DataFrame:
-    """Adds ord, the position of a file among the readable files of its line (from 0), without one task per line."""
-    chunk = F.floor(F.col("seq") / CHUNK)
-    light = read.select("line", "seq", chunk.alias("chunk"))
-    sizes = light.groupBy("line", "chunk").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("line").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("line", "chunk", before.alias("off"))
-    inner = F.row_number().over(W.partitionBy("line", "chunk").orderBy("seq")) - 1
-    return read.withColumn("chunk", chunk).withColumn("inner", inner).join(offsets, ["line", "chunk"]).withColumn("ord", F.col("off") + F.col("inner")).drop("chunk", "inner", "off")
+    level = cut_table(tagged.withColumn("chunk", F.floor(F.col("seq") / CHUNK)).groupBy("line", "chunk").applyInPandas(fold, _UNION))
+    changes = level.where("is_change").select(*_CHANGE)
+    while True:
+        unions = level.where("not is_change").select("line", "chunk", "body")
+        r = unions.groupBy("line").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()
+        if (r["n"] or 0) <= 1:
+            return unions.select("line", "body"), changes
+        level = cut_table(unions.groupBy("line", F.floor(F.col("chunk") / CHUNK).alias("up")).applyInPandas(fuse, _UNION))
+        changes = changes.unionByName(level.where("is_change").select(*_CHANGE))
 
 
-def schema_changes(read: DataFrame) -> DataFrame:
+def schema_changes(tagged: DataFrame) -> DataFrame:
     """file_id, line, seq, field_path, change_kind, old_path, old_type, new_type of every change of a file against the one before it.
 
     ``renamed``: a new path with the type and the not null value of a path
@@ -104,66 +221,15 @@ def schema_changes(read: DataFrame) -> DataFrame:
     the path appeared.  The first readable file of a line has no changes.
     Where several gone paths fit a rename, the smallest is given as old_path.
     """
-    files = cut_table(with_ordinals(read))  # read by every branch below; a file is parsed once
-    spine = files.select("line", "ord", "file_id", "seq")
-    fields = files.select("line", "ord", F.explode("fields").alias("f")).select("line", "ord", "f.path", "f.type", "f.value")
-    key = ["line", "ord", "path"]
-    now = fields.select(*key, F.col("type").alias("t1"), F.col("value").alias("v1"), F.lit(1).alias("in1"))
-    old = fields.select("line", (F.col("ord") + 1).alias("ord"), "path", F.col("type").alias("t0"), F.col("value").alias("v0"), F.lit(1).alias("in0"))
-    both = now.join(old, key, "full_outer")
-    # a path that only the last file has points behind it; the spine ends that
-    moved = both.where(F.col("in1").isNull() | F.col("in0").isNull()).join(spine.where("ord > 0"), ["line", "ord"])
-    new, gone = moved.where("in0 is null"), moved.where("in1 is null")
-    pairs = (
-        new.where("t1 is not null")
-        .select("line", "ord", F.col("path").alias("new_path"), F.col("t1").alias("t"), F.col("v1").alias("v"))
-        .join(gone.where("t0 is not null").select("line", "ord", F.col("path").alias("old_path"), F.col("t0").alias("t"), F.col("v0").alias("v")), ["line", "ord", "t", "v"])
-    )
-    names = pairs.groupBy("line", "ord", F.col("new_path").alias("path")).agg(F.min("old_path").alias("old_path"))
-    used = pairs.select("line", "ord", F.col("old_path").alias("path")).distinct()
-    out = ["file_id", "line", "seq", F.col("path").alias("field_path"), "change_kind", "old_path", "old_type", "new_type"]
-    nul = F.lit(None).cast("string")
-    came = new.join(names, ["line", "ord", "path"], "left").withColumn("change_kind", F.when(F.col("old_path").isNotNull(), "renamed").otherwise("added")).withColumn("old_type", nul).withColumn("new_type", F.col("t1"))
-    left = gone.join(used, ["line", "ord", "path"], "left_anti").withColumn("change_kind", F.lit("removed")).withColumn("old_path", nul).withColumn("old_type", F.col("t0")).withColumn("new_type", nul)
-    typed = _retyped(fields).join(spine, ["line", "ord"]).withColumn("change_kind", F.lit("retyped")).withColumn("old_path", nul)
-    return came.select(*out).unionByName(left.select(*out)).unionByName(typed.select(*out))
-
-
-def _retyped(fields: DataFrame) -> DataFrame:
-    """line, ord, path, old_type, new_type where the type differs from the last one since the path appeared.
-
-    Windows run within chunks of files; what a chunk hands to the next one is
-    found from one row per path and chunk, so a line of any length is spread.
-    """
-    f = fields.select("line", "path", "ord", "type", F.floor(F.col("ord") / CHUNK).alias("chunk"))
-    by = W.partitionBy("line", "path", "chunk").orderBy("ord")
-    f = f.withColumn("new_run", F.coalesce((F.col("ord") - F.lag("ord").over(by) > 1).cast("int"), F.lit(0)))
-    f = f.withColumn("run", F.sum("new_run").over(by))
-    in_run = W.partitionBy("line", "path", "chunk", "run").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    f = f.withColumn("before", F.last("type", ignorenulls=True).over(in_run))
-    # a chunk's state at its end: a type, nothing (''), or, for a run of nulls over all of it, what came in (null)
-    ends = f.groupBy("line", "path", "chunk").agg(
-        F.max("ord").alias("hi"), F.max("run").alias("runs"), F.count("*").alias("n"),
-        F.max_by(F.coalesce("type", "before"), "ord").alias("last_type"),
-    )
-    full = F.col("hi") == F.col("chunk") * CHUNK + CHUNK - 1
-    state = F.when(~full, F.lit("")).when(F.col("last_type").isNotNull(), F.col("last_type")).when(F.col("n") == CHUNK, F.lit(None).cast("string")).otherwise(F.lit(""))
-    line = W.partitionBy("line", "path").orderBy("chunk")
-    ends = ends.withColumn("state", state).withColumn("rn", F.row_number().over(line))
-    known = F.last(F.when(F.col("state").isNotNull(), F.struct("chunk", "rn", "state")), ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, -1))
-    ends = ends.withColumn("k", known)
-    carried = F.when((F.col("k.state") != "") & (F.col("chunk") - F.col("k.chunk") == F.col("rn") - F.col("k.rn")), F.col("k.state"))
-    carry = ends.select("line", "path", "chunk", carried.alias("carry")).where("carry is not null")
-    f = f.join(carry, ["line", "path", "chunk"], "left")
-    first_run = F.min("ord").over(W.partitionBy("line", "path", "chunk")) == F.col("chunk") * CHUNK
-    f = f.withColumn("old_type", F.coalesce("before", F.when((F.col("run") == 0) & first_run, F.col("carry"))))
-    return f.where("type is not null and old_type is not null and type <> old_type").select("line", "ord", "path", "old_type", F.col("type").alias("new_type"))
-
-
-def union_types(read: DataFrame) -> DataFrame:
-    """path, type, n_files, first_seq, last_seq: the alternatives that occur under each path, nulls as type null."""
-    f = read.select("seq", F.explode("fields").alias("f"))
-    return f.groupBy(F.col("f.path").alias("path"), F.col("f.type").alias("type")).agg(F.count("*").alias("n_files"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    return fused_unions(tagged)[1]
+
+
+def union_types(unions: DataFrame) -> DataFrame:
+    """path, type, n_files, first_seq, last_seq: the alternatives that occur under each path of the fused unions, nulls as type null."""
+    kinds = F.from_json(F.get_json_object("body", "$[5]"), "map<string,array<bigint>>")
+    f = unions.select(F.explode(kinds).alias("k", "x"))
+    kind = F.substring_index("k", "\t", -1)
+    return f.groupBy(F.left("k", F.length("k") - F.length(kind) - 1).alias("path"), F.nullif(kind, F.lit("")).alias("type")).agg(F.sum(F.col("x")[0]).alias("n_files"), F.min(F.col("x")[1]).alias("first_seq"), F.max(F.col("x")[2]).alias("last_seq"))
 
 
 def fold_path(col: Column | str) -> Column:

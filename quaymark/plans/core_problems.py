@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quaymark.operators import orphans, rolling, schema_drift
 from quaymark.plans.registry import Registry
+from quaymark.session import cut_table
 from quaymark.sources.tables import canonical_id, load
 
 R = Registry()
@@ -114,21 +115,22 @@ def p4_report(spark: SparkSession, sf: str) -> DataFrame:
 # -- problem 6 --------------------------------------------------------------
 
 
-def ranking_fields(spark: SparkSession, sf: str) -> DataFrame:
-    return schema_drift.readable_files(load(spark, sf, "ranking_files", "bundle_line", "file_seq", "file_id", "raw_json"), "bundle_line", "file_seq", "file_id", "raw_json")
+def ranking_tags(spark: SparkSession, sf: str) -> DataFrame:
+    return schema_drift.tagged_files(load(spark, sf, "ranking_files", "bundle_line", "file_seq", "file_id", "raw_json"), "bundle_line", "file_seq", "file_id", "raw_json")
 
 
 @R.query("p6_found")
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return schema_drift.schema_changes(ranking_fields(spark, sf)).select("file_id", "field_path", "change_kind")
+    return schema_drift.schema_changes(ranking_tags(spark, sf)).select("file_id", "field_path", "change_kind")
 
 
 @R.query("p6_types")
 def p6_types(spark: SparkSession, sf: str) -> DataFrame:
-    return schema_drift.union_types(ranking_fields(spark, sf))
+    return schema_drift.union_types(schema_drift.fused_unions(ranking_tags(spark, sf))[0])
 
 
 @R.query("p6_table")
 def p6_table(spark: SparkSession, sf: str) -> DataFrame:
-    read = ranking_fields(spark, sf)
-    return schema_drift.unified_table(read, schema_drift.rename_map(schema_drift.schema_changes(read), read))
+    tagged = cut_table(ranking_tags(spark, sf))
+    read = schema_drift.readable_files(tagged)
+    return schema_drift.unified_table(read, schema_drift.rename_map(schema_drift.schema_changes(tagged), read))

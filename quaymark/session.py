@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -28,10 +29,12 @@ def get_session(app: str = "quaymark", cores: str = "*", shuffle_partitions: int
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a local one, which only a local master can use."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not re.match(r"local(\[.*\])?$", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quaymark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

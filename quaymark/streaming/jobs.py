@@ -131,24 +131,54 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def latest_table(stream: DataFrame, keys: Sequence[str], order: Sequence[str], path: str, checkpoint: str) -> Callable[[], DataFrame]:
-    """Last write wins into versions of a parquet table, one per micro-batch; a batch that is run again writes the same version.
-
-    Starts the stream over what is there and waits; the result reads the newest version.
+def latest_table(stream: DataFrame, keys: Sequence[str], order: Sequence[str], path: str, checkpoint: str, slices: int = 64) -> Callable[[], DataFrame]:
+    """Last write wins into a parquet table that is cut by the hash of its keys.
+
+    A micro-batch rewrites only the slices it has keys of, as new versions of
+    them, and leaves each slice with its last two versions.  A batch that is
+    run again writes the same versions from the same ones before, so a restart
+    at any point gives the same table.  Starts the stream over what is there
+    and waits; the result reads the newest version of each slice, also where
+    nothing was new.
     """
     from quaymark.operators.telemetry import latest_by
 
     spark = stream.sparkSession
     cols = stream.columns
+    part = F.pmod(F.xxhash64(*keys), F.lit(slices)).cast("int")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions() -> dict[int, list[int]]:
+        """Finished versions of each slice; a folder without its mark was cut off."""
+        out: dict[int, list[int]] = {}
+        for s in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/s*/v*/_SUCCESS")) or []:
+            v = s.getPath().getParent()
+            out.setdefault(int(v.getParent().getName()[1:]), []).append(int(v.getName()[1:]))
+        return out
 
-    def version(n: int) -> str:
-        return f"{path}/v{n:012d}"
+    def folder(s: int, n: int) -> str:
+        return f"{path}/s{s}/v{n}"
 
     def merge(batch: DataFrame, n: int) -> None:
-        rows = batch if n == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(version(n - 1)))
-        latest_by(rows, keys, order, [c for c in cols if c not in keys]).select(*cols).write.mode("overwrite").parquet(version(n))
-        newest[0] = n
+        rows = batch.withColumn("__s", part).persist()
+        try:
+            touched = sorted(r["__s"] for r in rows.select("__s").distinct().collect())  # at most ``slices``
+            before = {s: [v for v in vs if v < n] for s, vs in versions().items()}
+            for s in touched:
+                mine = rows.where(F.col("__s") == s).drop("__s")
+                if before.get(s):
+                    mine = mine.unionByName(spark.read.schema(batch.schema).parquet(folder(s, max(before[s]))))
+                latest_by(mine, keys, order, [c for c in cols if c not in keys]).select(*cols).write.mode("overwrite").parquet(folder(s, n))
+                for v in sorted(before.get(s, ()))[:-1]:
+                    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder(s, v)), True)
+        finally:
+            rows.unpersist()
 
-    newest = [-1]
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return lambda: spark.read.schema(stream.schema).parquet(version(newest[0]))
+
+    def newest() -> DataFrame:
+        now = [folder(s, max(vs)) for s, vs in sorted(versions().items())]
+        return spark.read.schema(stream.schema).parquet(*now) if now else spark.createDataFrame([], stream.schema)
+
+    return newest

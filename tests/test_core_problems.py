@@ -37,6 +37,20 @@ def test_rolling_against_brute_force(spark, tile):
             assert r[f"a_sum_{w}d"] == want and r[f"a_avg_{w}d"] == pytest.approx(want / w)
 
 
+def test_rolling_with_a_null_among_numeric_entities_over_batches(spark):
+    rows = [(e, DAY + dt.timedelta(k), k, 1, "") for e in (1, 2, None) for k in range(0, 90, 2)]
+    df = spark.createDataFrame(rows, "e long, day date, a long, b int, a_sum_7d string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        got = rolling.rolling_totals(df, "e", "day", ["a"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 3 * 89 == len({(r["e"], r["day"]) for r in got})
+    for r in got:
+        k = (r["day"] - DAY).days
+        assert r["a_sum_7d"] == sum(i for i in range(max(0, k - 6), k + 1) if i % 2 == 0)
+
+
 def test_rolling_edges(spark):
     assert roll(spark, []) == []
     assert roll(spark, [("x", None, 1, 1, "")]) == []
@@ -77,9 +91,9 @@ def test_orphans_of_empty_tables(spark):
 
 def changes(spark, files):
     df = spark.createDataFrame([(i, line, seq, text, 0) for i, (line, seq, text) in enumerate(files)], "file_id long, line string, seq int, raw string, path int")
-    read = schema_drift.readable_files(df, "line", "seq", "file_id", "raw")
-    rows = schema_drift.schema_changes(read).collect()
-    return read, {(r["file_id"], r["field_path"], r["change_kind"]) for r in rows}
+    tagged = schema_drift.tagged_files(df, "line", "seq", "file_id", "raw")
+    rows = schema_drift.schema_changes(tagged).collect()
+    return tagged, {(r["file_id"], r["field_path"], r["change_kind"]) for r in rows}
 
 
 def brute(files):
@@ -118,9 +132,16 @@ def test_schema_changes(spark):
             files.append((line, seq, rng.choice([text, "﻿ " + text + "\n", text, text[:-9], None, ""])))
             if rng.random() < 0.2:
                 files.append((line, seq, text))
-    read, got = changes(spark, files)
+    tagged, got = changes(spark, files)
     assert got == brute(files)
-    names = schema_drift.rename_map(schema_drift.schema_changes(read), read)
+    read = schema_drift.readable_files(tagged)
+    names = schema_drift.rename_map(schema_drift.schema_changes(tagged), read)
+    want = {}
+    for r in read.collect():
+        for f in r["fields"]:
+            one = want.setdefault((f["path"], f["type"]), [0, r["seq"], r["seq"]])
+            want[(f["path"], f["type"])] = [one[0] + 1, min(one[1], r["seq"]), max(one[2], r["seq"])]
+    assert {(r["path"], r["type"]): [r["n_files"], r["first_seq"], r["last_seq"]] for r in schema_drift.union_types(schema_drift.fused_unions(tagged)[0]).collect()} == want
     table = schema_drift.unified_table(read, names)
     assert table.count() == read.count() and "alpha" in table.columns
 
@@ -130,8 +151,9 @@ def test_a_rename_of_one_line_joins_its_columns(spark):
     files = [("a", i, json.dumps({"meta": m})) for i, m in enumerate(meta)]
     # x and y hold values together: equal by chance; p and q both come from v: unclear
     files += [("b", 0, json.dumps({"meta": {"x": 4}})), ("b", 1, json.dumps({"meta": {"y": 4}}))]
-    read, _ = changes(spark, files)
-    names = schema_drift.rename_map(schema_drift.schema_changes(read), read)
+    tagged, _ = changes(spark, files)
+    read = schema_drift.readable_files(tagged)
+    names = schema_drift.rename_map(schema_drift.schema_changes(tagged), read)
     by = {p.rpartition(".")[2]: f for p, f in names.items()}
     assert by["alpha"] == by["beta"] and len({by[c] for c in "xyvpq"}) == 5
     rows = {(r["line"], r["seq"]): r for r in schema_drift.unified_table(read, names).collect()}
@@ -149,13 +171,14 @@ def test_perturb_whole_keeps_all_variants_and_the_whole_text(spark, sf):
 
 
 def test_retyped_over_chunks(spark, monkeypatch):
-    monkeypatch.setattr(schema_drift, "CHUNK", 4)
+    monkeypatch.setattr(schema_drift, "CHUNK", 3)  # several levels of unions
     rng = random.Random(5)
     files = [("a", s, json.dumps({"meta": {k: rng.choice([None, None, None, 1, "x"]) for k in ("p", "q", "r") if rng.random() < 0.9}})) for s in range(80)]
     assert changes(spark, files)[1] == brute(files)
 
 
 def test_schema_of_nothing(spark):
-    read, got = changes(spark, [("a", 1, None), ("a", 2, "[]"), (None, 3, "{}")])
+    tagged, got = changes(spark, [("a", 1, None), ("a", 2, "[]"), (None, 3, "{}")])
+    read = schema_drift.readable_files(tagged)
     assert got == set() and read.count() == 1
-    assert schema_drift.unified_table(read, schema_drift.rename_map(schema_drift.schema_changes(read), read)).count() == 1
+    assert schema_drift.unified_table(read, schema_drift.rename_map(schema_drift.schema_changes(tagged), read)).count() == 1
