@@ -13,7 +13,7 @@ branch per type next to one canonical column.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -116,6 +116,7 @@ class Union:
     """What a run of a line's files holds, as far as its neighbours and the fused schema need it."""
 
     first: tuple[int, int]  # file_id, seq
+    last: int  # seq of the last file
     head: dict[str, tuple[str | None, str | None]]  # fields of the first file
     tail: dict[str, tuple[str | None, str | None]]  # and of the last one
     # path -> (type, file_id, seq) of the first value that is not null, of paths that are there since the first file; None while there is none
@@ -127,18 +128,18 @@ class Union:
     def of(cls, file_id: int, seq: int, tags: Tags) -> Union:
         fields = {p: (t, v) for p, t, v in tags}
         return cls(
-            (file_id, seq), fields, fields, {p: (t, file_id, seq) if t else None for p, (t, _) in fields.items()},
+            (file_id, seq), seq, fields, fields, {p: (t, file_id, seq) if t else None for p, (t, _) in fields.items()},
             {p: t or INHERIT for p, (t, _) in fields.items()}, {f"{p}\t{t or ''}": [1, seq, seq] for p, (t, _) in fields.items()},
         )
 
     def dump(self) -> str:
-        return json.dumps([self.first, self.head, self.tail, self.pending, self.state, self.kinds], ensure_ascii=False)
+        return json.dumps([self.first, self.last, self.head, self.tail, self.pending, self.state, self.kinds], ensure_ascii=False)
 
     @classmethod
     def load(cls, body: str) -> Union:
-        first, head, tail, pending, state, kinds = json.loads(body)
+        first, last, head, tail, pending, state, kinds = json.loads(body)
         pair = lambda d: {p: (t, v) for p, (t, v) in d.items()}
-        return cls(tuple(first), pair(head), pair(tail), {p: tuple(x) if x else None for p, x in pending.items()}, state, kinds)
+        return cls(tuple(first), last, pair(head), pair(tail), {p: tuple(x) if x else None for p, x in pending.items()}, state, kinds)
 
     def fuse(self, right: Union, report: list[tuple]) -> None:
         """Takes in the union of the files behind; reports what appears, goes, moves or changes type."""
@@ -164,27 +165,40 @@ class Union:
             if found is None and self.state.get(p) == INHERIT and p in right.head:
                 self.pending[p] = right.pending[p]
         self.state = {p: (self.state[p] if p in self.tail else None) if t == INHERIT else t for p, t in right.state.items()}
-        self.tail = right.tail
+        self.tail, self.last = right.tail, right.last
         for k, (n, lo, hi) in right.kinds.items():
             one = self.kinds.setdefault(k, [0, lo, hi])
             one[0], one[1], one[2] = one[0] + n, min(one[1], lo), max(one[2], hi)
 
 
-def _rows(line: str, chunk: int, union: Union, report: list[tuple]) -> pd.DataFrame:
-    out = [(line, chunk, True, *r, None) for r in report]
-    out.append((line, chunk, False, *[None] * 7, union.dump()))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _UNION.split(", ")]).astype({"file_id": "Int64", "seq": "Int64"})
-
-
-def _fuse_all(parts: Iterable[Union]) -> tuple[Union, list[tuple]]:
-    report: list[tuple] = []
+def _fuse_sorted(batches: Iterator[pd.DataFrame], part: Callable[..., Union | None]) -> Iterator[pd.DataFrame]:
+    """Rows of _UNION from rows (line, chunk, ...) that come sorted: the changes of each (line, chunk) and then its union."""
+    columns = [c.split()[0] for c in _UNION.split(", ")]
+    key: tuple | None = None
     whole: Union | None = None
-    for u in parts:
-        if whole is None:
-            whole = u
-        else:
-            whole.fuse(u, report)
-    return whole, report
+    out: list[tuple] = []
+
+    def frame() -> pd.DataFrame:
+        return pd.DataFrame(out, columns=columns).astype({"file_id": "Int64", "seq": "Int64"})
+
+    for pdf in batches:
+        for line, chunk, *rest in pdf.itertuples(index=False, name=None):
+            if key != (line, chunk):
+                if whole is not None:
+                    out.append((*key, False, *[None] * 7, whole.dump()))
+                key, whole = (line, chunk), None
+            one = part(whole, *rest)
+            if whole is None:
+                whole = one
+            elif one is not None:
+                report: list[tuple] = []
+                whole.fuse(one, report)
+                out += [(line, chunk, True, *r, None) for r in report]
+        yield frame()
+        out = []
+    if whole is not None:
+        out.append((*key, False, *[None] * 7, whole.dump()))
+    yield frame()
 
 
 def fused_unions(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -194,21 +208,26 @@ def fused_unions(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     one line at a time, level by level, until each line has one.
     """
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seq", "file_id"]).drop_duplicates("seq")
-        return _rows(key[0], key[1], *_fuse_all(Union.of(int(i), int(s), json.loads(t)) for i, s, t in zip(pdf["file_id"], pdf["seq"], pdf["tags"])))
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def part(whole: Union | None, seq: int, file_id: int, tags: str) -> Union | None:
+            # the first of several deliveries of one version has the smallest id
+            return None if whole is not None and whole.last == seq else Union.of(int(file_id), int(seq), json.loads(tags))
+
+        return _fuse_sorted(batches, part)
 
-    def fuse(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _rows(key[0], key[1], *_fuse_all(Union.load(b) for b in pdf.sort_values("chunk")["body"]))
+    def fuse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _fuse_sorted(batches, lambda whole, body: Union.load(body))
 
-    level = cut_table(tagged.withColumn("chunk", F.floor(F.col("seq") / CHUNK)).groupBy("line", "chunk").applyInPandas(fold, _UNION))
+    runs = tagged.select("line", F.floor(F.col("seq") / CHUNK).alias("chunk"), "seq", "file_id", "tags")
+    level = cut_table(runs.repartition("line", "chunk").sortWithinPartitions("line", "chunk", "seq", "file_id").mapInPandas(fold, _UNION))
     changes = level.where("is_change").select(*_CHANGE)
     while True:
         unions = level.where("not is_change").select("line", "chunk", "body")
         r = unions.groupBy("line").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()
         if (r["n"] or 0) <= 1:
             return unions.select("line", "body"), changes
-        level = cut_table(unions.groupBy("line", F.floor(F.col("chunk") / CHUNK).alias("up")).applyInPandas(fuse, _UNION))
+        up = unions.withColumn("up", F.floor(F.col("chunk") / CHUNK)).repartition("line", "up").sortWithinPartitions("line", "up", "chunk")
+        level = cut_table(up.select("line", "up", "body").mapInPandas(fuse, _UNION))
         changes = changes.unionByName(level.where("is_change").select(*_CHANGE))
 
 
@@ -226,7 +245,7 @@ def schema_changes(tagged: DataFrame) -> DataFrame:
 
 def union_types(unions: DataFrame) -> DataFrame:
     """path, type, n_files, first_seq, last_seq: the alternatives that occur under each path of the fused unions, nulls as type null."""
-    kinds = F.from_json(F.get_json_object("body", "$[5]"), "map<string,array<bigint>>")
+    kinds = F.from_json(F.get_json_object("body", "$[6]"), "map<string,array<bigint>>")
     f = unions.select(F.explode(kinds).alias("k", "x"))
     kind = F.substring_index("k", "\t", -1)
     return f.groupBy(F.left("k", F.length("k") - F.length(kind) - 1).alias("path"), F.nullif(kind, F.lit("")).alias("type")).agg(F.sum(F.col("x")[0]).alias("n_files"), F.min(F.col("x")[1]).alias("first_seq"), F.max(F.col("x")[2]).alias("last_seq"))
