@@ -3,19 +3,23 @@
 Texts name what they are about by anchors - a component, a place in its code,
 an error code - and describe it in words.  Records are put into blocks by
 their component; a record without one follows the records of the same place
-and code.  Within a block a Gaussian mixture is fitted by expectation
+and code.  Records without any anchor are one block together, whatever their
+number.  Within a block a Gaussian mixture is fitted by expectation
 maximisation on standardised, reduced features, with a covariance that is
 pulled towards a prior, and fields that a text does not have are left out of
-its likelihood.  Components are split in two as long as the Bayesian
-information criterion says so; the members of the highest density represent a
-cluster.  All blocks of a task are fitted in one batch of array operations.
+its likelihood.  Words alone are thin evidence, so in the block without anchors
+the covariance is tied between all components: that of the wording inside known
+jobs, or what the directions that are not kept have.  Components are split in two as
+long as the Bayesian information criterion says so; the members of the highest
+density represent a cluster.  All blocks of a task are fitted in one batch of
+array operations; a block that no task can hold is split by passes over all.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -32,7 +36,7 @@ WORD_DIMS = 96  # hashed word features before the reduction
 SCALE = 16.0  # steps that a word feature is kept in
 KEPT_DIMS = 20  # after the reduction
 ANCHOR_DIMS = 12  # of the place and of the code
-MAX_PARTS = 4096  # bound of the learned word lists
+MAX_PARTS = 4096  # size of a learned word list: its most used words
 
 _BLOCK = re.compile(r"```.*?```", re.DOTALL)
 _ITEM = re.compile(r"[^\W_]+(?:[-_.+@][^\W_]+)*")
@@ -71,12 +75,17 @@ def split_anchors(text: str) -> list[tuple[str, tuple[str, ...]]]:
 _JOINED = re.compile(r"(?<![\w@/.-])[A-Za-z]{2,}(?:[-_.][A-Za-z]+)+(?![\w@-])")
 
 
+SHARES = {"kind": 0.1, "part": 0.01}  # of the most usual word of a list, for a word to be on it
+
+
 def learn_lists(texts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
     """(kinds, parts) of the corpus, from every text.
 
     A kind is the second half of compounds with many different first halves,
     at least a tenth as many as the most usual kind has.  A part is a word that
     places are made of, with at least a hundredth of the most usual part's uses.
+    The shares hold for a corpus of any size; a list has at most its MAX_PARTS
+    most used words.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,15 +106,11 @@ def learn_lists(texts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
     def frame(seen: dict[tuple[str, str, str], int]) -> pd.DataFrame:
         return pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["what", "word", "left", "n"])
 
-    found = texts.where("length(text) >= 20").select("text").mapInPandas(run, "what string, word string, left string, n long")
+    found = texts.where("text is not null").select("text").mapInPandas(run, "what string, word string, left string, n long")
     counts = found.groupBy("what", "word").agg(F.when(F.col("what") == "kind", F.approx_count_distinct("left")).otherwise(F.sum("n")).alias("n"))
-    first = W.partitionBy("what").orderBy(F.desc("n"), "word")
-    top = counts.where("n >= 3").withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= MAX_PARTS).collect()
-    lists = {}
-    for what, share in (("kind", 0.1), ("part", 0.01)):
-        rows = [r for r in top if r["what"] == what]
-        least = share * max((r["n"] for r in rows), default=0)
-        lists[what] = frozenset(r["word"] for r in rows if r["n"] >= least)
+    counts = cut_table(counts)  # one row for each word of an identifier
+    least = {r["what"]: r["n"] * SHARES[r["what"]] for r in counts.groupBy("what").agg(F.max("n").alias("n")).collect()}
+    lists = {what: frozenset(r["word"] for r in counts.where((F.col("what") == what) & (F.col("n") >= least.get(what, 0))).orderBy(F.desc("n"), "word").limit(MAX_PARTS).collect()) for what in SHARES}
     return lists["kind"], lists["part"]
 
 
@@ -236,16 +241,20 @@ class Reduction:
 
     mean: np.ndarray
     project: np.ndarray
+    noise: float = 1.0  # variance of the wording of one job in a direction
+    kept: int = KEPT_DIMS  # directions that count; the rest are not observed
 
     @classmethod
     def of(cls, n: float, total: np.ndarray, products: np.ndarray, within: np.ndarray | None = None) -> Reduction:
         """``within``: covariance inside groups known to be alike.  Features are scaled to it, and those
-        directions are kept that vary most between groups; without it the directions of most variance."""
+        directions are kept that vary most between groups.  Without it the directions of more than average
+        variance are kept, and what the others have is the noise, as in a probabilistic component analysis."""
         if n < 2:
             return cls(np.zeros(WORD_DIMS, np.float32), np.eye(WORD_DIMS, KEPT_DIMS, dtype=np.float32))
         mean = total / n
         cov = products / n - np.outer(mean, mean)
-        if within is None:
+        known = within is not None
+        if not known:
             within = np.diag(np.diag(cov))
         noise = within + np.eye(WORD_DIMS) * max(1e-6, 0.05 * np.trace(within) / WORD_DIMS)
         values, vectors = np.linalg.eigh(noise)
@@ -254,7 +263,13 @@ class Reduction:
         top = np.argsort(-values, kind="stable")[:KEPT_DIMS]
         project = whiten @ vectors[:, top]
         project = project * np.sign(project[np.abs(project).argmax(0), np.arange(len(top))])
-        return cls(mean.astype(np.float32), project.astype(np.float32))
+        return cls(mean.astype(np.float32), project.astype(np.float32), *((1.0, KEPT_DIMS) if known else cls._noise(values)))
+
+    @staticmethod
+    def _noise(values: np.ndarray) -> tuple[float, int]:
+        values = np.sort(values[values > 1e-6])[::-1]
+        kept = min(KEPT_DIMS, max(1, int((values > values.mean()).sum()))) if len(values) else KEPT_DIMS
+        return float(values[kept:].mean() if len(values) > kept else max(0.5 * values.mean(), 1e-3) if len(values) else 1.0), kept
 
 
 def features(place: list[str | None], code: list[str | None], words: np.ndarray, reduction: Reduction) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +278,7 @@ def features(place: list[str | None], code: list[str | None], words: np.ndarray,
     x = np.zeros((n, DIMS), np.float32)
     seen = np.zeros((n, DIMS), bool)
     x[:, :KEPT_DIMS] = (words - reduction.mean) @ reduction.project
-    seen[:, :KEPT_DIMS] = True
+    seen[:, : reduction.kept] = True
     a, b = KEPT_DIMS, KEPT_DIMS + ANCHOR_DIMS
     for i, (p, c) in enumerate(zip(place, code)):
         if p is not None:
@@ -276,21 +291,28 @@ def features(place: list[str | None], code: list[str | None], words: np.ndarray,
     return x, seen
 
 
-def _maximise(x: np.ndarray, m: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _maximise(x: np.ndarray, m: np.ndarray, r: np.ndarray, tied: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Means, regularised variances and shares of components from responsibilities r (B, n, K)."""
-    return _from_sums(np.einsum("bnk,bnd->bkd", r, m), np.einsum("bnk,bnd->bkd", r, m * x), np.einsum("bnk,bnd->bkd", r, m * x * x), r.sum(1))
+    return _from_sums(np.einsum("bnk,bnd->bkd", r, m), np.einsum("bnk,bnd->bkd", r, m * x), np.einsum("bnk,bnd->bkd", r, m * x * x), r.sum(1), tied, noise)
 
 
-def _from_sums(rm: np.ndarray, total: np.ndarray, square: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """_maximise from its sufficient statistics: weights, sums and squares (B, K, d) and sizes (B, K)."""
+def _from_sums(rm: np.ndarray, total: np.ndarray, square: np.ndarray, size: np.ndarray, tied: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_maximise from its sufficient statistics: weights, sums and squares (B, K, d) and sizes (B, K); ``tied``: (B,)."""
     mean = total / np.maximum(rm, 1e-6)
     spread = np.maximum(square - rm * mean * mean, 0)
     var = (spread + PRIOR_WEIGHT * PRIOR_VARIANCE) / (rm + PRIOR_WEIGHT)
+    if tied.any():
+        var = np.where(tied[:, None, None], max(noise, 1e-6), var).astype(var.dtype)
     share = size / np.maximum(size.sum(1), 1e-6)[:, None]
     # a component without any observation of a field says nothing about it
     return np.where(rm > 1e-3, mean, np.nan), var, share
 
 
+def _penalty(parameters: np.ndarray | int, n: np.ndarray | float, tied: np.ndarray | bool) -> np.ndarray:
+    """Of the information criterion; with a tied covariance, which is known in the smallest nodes too, n counts from 2 on."""
+    return parameters * np.log(np.maximum(n, 2) + 2.0 * tied)
+
+
 def _log_density(x: np.ndarray, m: np.ndarray, mean: np.ndarray, var: np.ndarray, fallback: np.ndarray, fallback_var: np.ndarray) -> np.ndarray:
     """(B, n, K) log density over the observed fields; a field that a component has never seen has the density of all."""
     unseen = np.isnan(mean)
@@ -302,10 +324,10 @@ def _log_density(x: np.ndarray, m: np.ndarray, mean: np.ndarray, var: np.ndarray
     return -0.5 * (quad + logs)
 
 
-def _try_split(x: np.ndarray, m: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _try_split(x: np.ndarray, m: np.ndarray, w: np.ndarray, tied: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray]:
     """For each node of the batch (B, n, ...): whether two components beat one, and the side of each point."""
     one = w[:, :, None]
-    mu, var, _ = _maximise(x, m, one)
+    mu, var, _ = _maximise(x, m, one, tied, noise)
     mu1, var1 = np.nan_to_num(mu), var
     l1 = (_log_density(x, m, mu, var, mu1, var1)[:, :, 0] * w).sum(1)
     live = w > 0
@@ -322,25 +344,25 @@ def _try_split(x: np.ndarray, m: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     near[b, i], near[b, j] = 1, 0
     r = np.stack([near, 1 - near], 2) * one
     for _ in range(EM_ROUNDS):
-        mu, var, share = _maximise(x, m, r)
+        mu, var, share = _maximise(x, m, r, tied, noise)
         ll = _log_density(x, m, mu, var, mu1, var1) + np.log(np.maximum(share, 1e-9))[:, None, :]
         top = ll.max(2)
         p = np.exp(ll - top[:, :, None])
         total = p.sum(2)
         r = p / total[:, :, None] * one
     l2 = ((top + np.log(total)) * w).sum(1)
-    n = np.maximum(w.sum(1), 2)
     # parameters of one more component: its means where something is observed, and its share
     extra = (np.einsum("bn,bnd->bd", w, m) > 0).sum(1) + 1
     side = r[:, :, 1] > r[:, :, 0]
     both = (side & live).any(1) & (~side & live).any(1)
-    return (2 * (l2 - l1) > extra * np.log(n)) & both, side
+    return (2 * (l2 - l1) > _penalty(extra, w.sum(1), tied)) & both, side
 
 
-def fit_blocks(block: np.ndarray, x: np.ndarray, seen: np.ndarray, weight: np.ndarray, budget: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """(component, density) of each point, components numbered within all blocks; ``block``: integers, sorted."""
+def fit_blocks(block: np.ndarray, x: np.ndarray, seen: np.ndarray, weight: np.ndarray, tied: np.ndarray | None = None, noise: float = 1.0, budget: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(component, density) of each point, components numbered within all blocks; ``block``: integers, sorted; ``tied``: of each point."""
     m = seen.astype(np.float32)
     w = _weights(weight)
+    tied = np.zeros(len(block), bool) if tied is None else tied
     edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.array([], int)
     queue = [np.arange(a, b) for a, b in zip(edges, np.r_[edges[1:], len(block)])]
     done: list[np.ndarray] = []
@@ -360,7 +382,7 @@ def fit_blocks(block: np.ndarray, x: np.ndarray, seen: np.ndarray, weight: np.nd
                 for k, q in enumerate(part):
                     idx[k, : len(q)], live[k, : len(q)] = q, 1
                 mm = m[idx] * live[:, :, None]
-                split, side = _try_split(x[idx], mm, w[idx] * live)
+                split, side = _try_split(x[idx], mm, w[idx] * live, tied[idx[:, 0]], noise)
                 for k, q in enumerate(part):
                     if split[k]:
                         right = side[k, : len(q)]
@@ -395,10 +417,11 @@ def _weights(weight: np.ndarray) -> np.ndarray:
     return (1 + np.log(np.maximum(weight, 1))).astype(np.float32)
 
 
-def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _arrays(pdf: pd.DataFrame, kept: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(values, observed, weight) of points."""
     x = np.frombuffer(b"".join(pdf["x"]), np.float32).reshape(-1, DIMS)
     m = np.ones((len(pdf), DIMS), np.float32)
+    m[:, kept:KEPT_DIMS] = 0
     m[:, KEPT_DIMS : KEPT_DIMS + ANCHOR_DIMS] = pdf["has_place"].to_numpy(np.float32)[:, None]
     m[:, KEPT_DIMS + ANCHOR_DIMS :] = pdf["has_code"].to_numpy(np.float32)[:, None]
     return x, m, _weights(pdf["weight"].to_numpy())
@@ -430,7 +453,17 @@ class _Node:
         return top + np.log(p.sum(1)), p / p.sum(1, keepdims=True)
 
 
-def _sweep(points: DataFrame, nodes: dict[str, _Node], what: str) -> dict[str, tuple[np.ndarray, tuple[float, int, np.ndarray, np.ndarray] | None]]:
+def _tied(block: str) -> bool:
+    """Whether a block, or a node that was split from it, is that of the records without anchors."""
+    return block.startswith(UNANCHORED)
+
+
+def _only(points: DataFrame, names: Collection[str]) -> DataFrame:
+    """Points of some blocks; with very many of them the tasks choose on their own, since a plan can't hold the list."""
+    return points.where(F.col("block").isin(list(names))) if len(names) <= 1000 else points
+
+
+def _sweep(points: DataFrame, nodes: dict[str, _Node], what: str, red: Reduction) -> dict[str, tuple[np.ndarray, tuple[float, int, np.ndarray, np.ndarray] | None]]:
     """Per node the sums over its points that a step needs, and its farthest point; the driver gets one row per task and node."""
 
     def step(node: _Node, ids: np.ndarray, x: np.ndarray, m: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
@@ -454,8 +487,10 @@ def _sweep(points: DataFrame, nodes: dict[str, _Node], what: str) -> dict[str, t
         best: dict[str, tuple] = {}
         for pdf in batches:
             for name, g in pdf.groupby("block"):
+                if name not in nodes:
+                    continue
                 ids = g["id"].to_numpy()
-                x, m, w = _arrays(g)
+                x, m, w = _arrays(g, red.kept)
                 total, distance = step(nodes[name], ids, x, m, w)
                 sums[name] = sums[name] + total if name in sums else total
                 if distance is not None:
@@ -466,18 +501,18 @@ def _sweep(points: DataFrame, nodes: dict[str, _Node], what: str) -> dict[str, t
         yield pd.DataFrame(rows, columns=["block", "sums", "d", "id", "x", "m"])
 
     out: dict = {}
-    for r in points.where(F.col("block").isin(list(nodes))).mapInPandas(run, "block string, sums binary, d double, id long, x binary, m binary").collect():
+    for r in _only(points, nodes).mapInPandas(run, "block string, sums binary, d double, id long, x binary, m binary").collect():
         total, far = np.frombuffer(r["sums"]), (r["d"], r["id"], bytes(r["x"]), bytes(r["m"]))
         out[r["block"]] = (out[r["block"]][0] + total, min(out[r["block"]][1], far)) if r["block"] in out else (total, far)
     return out
 
 
-def _parameters(sums: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
+def _parameters(sums: np.ndarray, parts: int, tied: bool, noise: float) -> tuple[np.ndarray, ...]:
     rm, total, square = sums[:-parts].reshape(3, 1, parts, DIMS)
-    return tuple(a.astype(np.float32) for a in _from_sums(rm, total, square, sums[-parts:][None]))
+    return tuple(a.astype(np.float32) for a in _from_sums(rm, total, square, sums[-parts:][None], np.array([tied]), noise))
 
 
-def split_nodes(points: DataFrame, largest: int) -> tuple[DataFrame, dict[str, _Node]]:
+def split_nodes(points: DataFrame, largest: int, red: Reduction) -> tuple[DataFrame, dict[str, _Node]]:
     """points with the nodes of their mixture that hold at most ``largest`` of them as blocks, and the larger nodes that no split improves.
 
     The same splits as in fit_blocks; the statistics are summed over tasks and
@@ -489,33 +524,33 @@ def split_nodes(points: DataFrame, largest: int) -> tuple[DataFrame, dict[str, _
         if not big:
             return points, whole
         nodes = {b: _Node() for b in big}
-        for b, (sums, _) in _sweep(points, nodes, "one").items():
-            nodes[b].one, nodes[b].observed, nodes[b].n = _parameters(sums, 1), int((sums[:DIMS] > 0).sum()), float(sums[-1])
+        for b, (sums, _) in _sweep(points, nodes, "one", red).items():
+            nodes[b].one, nodes[b].observed, nodes[b].n = _parameters(sums, 1, _tied(b), red.noise), int((sums[:DIMS] > 0).sum()), float(sums[-1])
         for what in ("far", "other"):
-            for b, (sums, (_, i, x, m)) in _sweep(points, nodes, what).items():
+            for b, (sums, (_, i, x, m)) in _sweep(points, nodes, what, red).items():
                 nodes[b].l1 += float(sums[0])
                 nodes[b].far += ((i, np.frombuffer(x, np.float32), np.frombuffer(m, np.float32)),)
         for _ in range(EM_ROUNDS):
-            for b, (sums, _) in _sweep(points, nodes, "two").items():
-                nodes[b].two = _parameters(sums, 2)
+            for b, (sums, _) in _sweep(points, nodes, "two", red).items():
+                nodes[b].two = _parameters(sums, 2, _tied(b), red.noise)
         split = {}
-        for b, (sums, _) in _sweep(points, nodes, "gain").items():
-            if 2 * (sums[0] - nodes[b].l1) > (nodes[b].observed + 1) * np.log(max(nodes[b].n, 2)) and sums[1] and sums[2]:
+        for b, (sums, _) in _sweep(points, nodes, "gain", red).items():
+            if 2 * (sums[0] - nodes[b].l1) > _penalty(nodes[b].observed + 1, nodes[b].n, _tied(b)) and sums[1] and sums[2]:
                 split[b] = nodes[b]
             else:
                 whole[b] = nodes[b]
         if split:
-            points = _divide(points, split)
+            points = _divide(points, split, red)
 
 
-def _divide(points: DataFrame, split: dict[str, _Node]) -> DataFrame:
+def _divide(points: DataFrame, split: dict[str, _Node], red: Reduction) -> DataFrame:
     def sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             block = pdf["block"].to_numpy(object).copy()
             for name, at in pdf.groupby("block").indices.items():
                 if name in split:
                     g = pdf.iloc[at]
-                    x, m, _ = _arrays(g)
+                    x, m, _ = _arrays(g, red.kept)
                     r = split[name].shares(g["id"].to_numpy(), x, m)[1]
                     block[at] = [f"{name}/{int(s)}" for s in r[:, 1] > r[:, 0]]
             yield pdf.assign(block=block)
@@ -523,36 +558,40 @@ def _divide(points: DataFrame, split: dict[str, _Node]) -> DataFrame:
     return cut_table(points.mapInPandas(sides, _POINTS))
 
 
-def _fit_points(points: DataFrame, largest: int) -> DataFrame:
+def _fit_points(points: DataFrame, largest: int, red: Reduction) -> DataFrame:
     """point, cluster_id, density of the different points of hot blocks."""
     schema = "point long, cluster_id long, density double"
-    points, whole = split_nodes(points, largest)
+    points, whole = split_nodes(points, largest, red)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
-        x, m, _ = _arrays(pdf)
-        label, density = fit_blocks(np.zeros(len(pdf), int), x, m > 0, pdf["weight"].to_numpy())
+        x, m, _ = _arrays(pdf, red.kept)
+        label, density = fit_blocks(np.zeros(len(pdf), int), x, m > 0, pdf["weight"].to_numpy(), np.full(len(pdf), _tied(pdf["block"].iloc[0])), red.noise)
         return pd.DataFrame({"point": pdf["point"], "cluster_id": pdf["id"].groupby(label).transform("min"), "density": np.round(density, 6)})
 
     if not whole:
         return points.groupBy("block").applyInPandas(fit, schema)
-    first = {r["block"]: r["id"] for r in points.where(F.col("block").isin(list(whole))).groupBy("block").agg(F.min("id").alias("id")).collect()}
+    first = {r["block"]: r["id"] for r in _only(points, whole).groupBy("block").agg(F.min("id").alias("id")).collect()}
 
     def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, g in pdf.groupby("block"):
-                x, m, _ = _arrays(g)
+                if name not in whole:
+                    continue
+                x, m, _ = _arrays(g, red.kept)
                 mu, v, _ = whole[name].one
                 d = (-0.5 * (((x - np.nan_to_num(mu[0])) ** 2 / v[0] + np.log(v[0]) + _LOG_2PI) * m).sum(1)) / np.maximum(m.sum(1), 1)
                 yield pd.DataFrame({"point": g["point"], "cluster_id": first[name], "density": np.round(d.astype(float), 6)})
 
-    rest = points.where(~F.col("block").isin(list(whole))).groupBy("block").applyInPandas(fit, schema)
-    return rest.unionByName(points.where(F.col("block").isin(list(whole))).mapInPandas(dense, schema))
+    named = points.sparkSession.createDataFrame([(b,) for b in sorted(whole)], "block string")  # one for each ``largest`` points
+    rest = points.join(named, "block", "left_anti").groupBy("block").applyInPandas(fit, schema)
+    return rest.unionByName(_only(points, whole).mapInPandas(dense, schema))
 
 
 # -- operators --------------------------------------------------------------
 
-_PARSED = "key string, n_chars int, component string, place string, code string, text_hash long, words binary"
+_PARSED = "key string, n_chars int, component string, place string, code string, text_hash long, wordless boolean, words binary"
+UNANCHORED = "t:"  # the block of records without a component, place or code
 
 
 def parse_records(records: DataFrame, lists: Lists) -> DataFrame:
@@ -567,7 +606,7 @@ def parse_records(records: DataFrame, lists: Lists) -> DataFrame:
             folded = [" ".join(p[3]) if not (p[0] or p[1] or p[2]) else "" for p in parsed]
             yield pd.DataFrame({
                 "key": pdf["key"], "n_chars": np.array([len(t) for t in texts], np.int32), "component": [p[0] for p in parsed], "place": [p[1] for p in parsed], "code": [p[2] for p in parsed],
-                "text_hash": np.array([xxhash.xxh3_64_intdigest(f or t.strip()) for f, t in zip(folded, texts)], np.uint64).view(np.int64), "words": [r.tobytes() for r in v],
+                "text_hash": np.array([xxhash.xxh3_64_intdigest(f or t.strip()) for f, t in zip(folded, texts)], np.uint64).view(np.int64), "wordless": [not p[3] for p in parsed], "words": [r.tobytes() for r in v],
             })
 
     return records.select("key", "text").mapInPandas(run, _PARSED)
@@ -679,7 +718,8 @@ def learn_reduction(parsed: DataFrame, hot: list[str], least_freedom: int = 20)
 
 def _own_block() -> Column:
     anchors = F.concat(F.lit("p:"), F.coalesce("place", F.lit("")), F.lit("|"), F.coalesce("code", F.lit("")))
-    return F.coalesce(F.concat(F.lit("c:"), "component"), F.when(F.col("place").isNotNull() | F.col("code").isNotNull(), anchors), F.concat(F.lit("t:"), F.col("text_hash").cast("string")))
+    bare = F.when(F.col("wordless"), F.concat(F.lit("x:"), F.col("text_hash").cast("string"))).otherwise(F.lit(UNANCHORED))
+    return F.coalesce(F.concat(F.lit("c:"), "component"), F.when(F.col("place").isNotNull() | F.col("code").isNotNull(), anchors), bare)
 
 
 def hot_blocks(parsed: DataFrame, largest: int) -> list[str]:
@@ -690,8 +730,8 @@ def hot_blocks(parsed: DataFrame, largest: int) -> list[str]:
 def assign_blocks(parsed: DataFrame) -> DataFrame:
     """parsed with ``block``: the component that most records of the same place and code name, else the record's own.
 
-    The smaller name wins a tie.  A record without any anchor is in the block
-    of its folded text.  Only records without a component, and those whose
+    The smaller name wins a tie.  Records without any anchor are in one block,
+    those without words in that of their text.  Only records without a component, and those whose
     component lost a vote, have to look one up.
     """
     votes = parsed.where("place is not null and code is not null and component is not null").groupBy("place", "code", "component").agg(F.count("*").alias("n"))
@@ -710,15 +750,15 @@ def _fit(pdf: pd.DataFrame, reduction: Reduction) -> tuple[np.ndarray, np.ndarra
     """(component, density) of records sorted by block; equal records are fitted once, with their number as weight."""
     words = _vectors(pdf["words"]).astype(np.float32)
     x, seen = features(list(pdf["place"]), list(pdf["code"]), words, reduction)
-    return fit_blocks(pd.factorize(pdf["block"])[0], x, seen, pdf["weight"].to_numpy())
+    return fit_blocks(pd.factorize(pdf["block"])[0], x, seen, pdf["weight"].to_numpy(), (pdf["block"].str.startswith(UNANCHORED)).to_numpy(bool), reduction.noise)
 
 
 def cluster_records(records: DataFrame, rows_per_task: int = 40_000, lists: Lists | None = None, largest: int = 200_000) -> DataFrame:
     """key, n_chars, cluster_id, density of every record of (key, text): the mixture component it belongs to.
 
     Records of equal features are fitted once, with their number as weight,
-    and get the same component.  Null and empty texts are one cluster, equal
-    texts without anchors too.  Keys are taken as they are: repeated keys are
+    and get the same component.  Null and empty texts are one cluster; texts
+    without any word (signs, emoji) are with their equals.  Keys are taken as they are: repeated keys are
     records of their own, null keys are kept.  An empty table gives no rows.
 
     A task takes whole blocks.  A block of more than ``largest`` records comes
@@ -726,6 +766,7 @@ def cluster_records(records: DataFrame, rows_per_task: int = 40_000, lists: List
     up; with more than ``largest`` different records it is split by passes over
     all tasks until its parts are small enough.  The mixture is the same.
     """
+    records = cut_table(records.select("key", "text"))  # read for the lists and for the features
     if lists is None:
         lists = Lists(*learn_lists(records))
     parsed = cut_table(parse_records(records, lists))
@@ -767,7 +808,7 @@ def cluster_records(records: DataFrame, rows_per_task: int = 40_000, lists: List
 
     many = blocked.where(F.col("block").isin(hot)).withColumn("point", F.xxhash64("block", F.coalesce("place", F.lit("")), F.coalesce("code", F.lit("")), "words"))
     points = many.groupBy("point").agg(*[F.first(c).alias(c) for c in ("block", "place", "code", "words")], F.count("*").alias("weight"))
-    fitted = _fit_points(cut_table(points.mapInPandas(place_points, _POINTS)), largest)
+    fitted = _fit_points(cut_table(points.mapInPandas(place_points, _POINTS)), largest, reduction)
     return out.unionByName(many.select("key", "n_chars", "point").join(fitted, "point").drop("point"))
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymark.llm import clusters, packing, pii, quantiles, spans, tokens
+from quaymark.operators.joins import pairs_within
 from quaymark.plans.registry import Registry
+from quaymark.session import cut_table
 from quaymark.sources.tables import canonical_id, load
 
 R = Registry()
@@ -24,9 +26,8 @@ def request_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query("p1_found")
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    found = clusters.cluster_records(request_texts(spark, sf)).where("n_chars >= 40 and key not like 'row:%'").select("cluster_id", "key")
-    a, b = found.select("cluster_id", F.col("key").alias("request_id_a")), found.select("cluster_id", F.col("key").alias("request_id_b"))
-    return a.join(b, "cluster_id").where("request_id_a < request_id_b").drop("cluster_id")
+    found = cut_table(clusters.cluster_records(request_texts(spark, sf)).where("n_chars >= 40 and key not like 'row:%'").select("cluster_id", "key"))
+    return pairs_within(found, "cluster_id", "key", "request_id_a", "request_id_b").drop("cluster_id")
 
 
 @R.query("p1_members")

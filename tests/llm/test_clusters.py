@@ -73,13 +73,32 @@ def test_jobs_are_found(spark):
     assert again == label
 
 
-def test_hot_blocks_are_cut_without_loss(spark):
+@pytest.mark.parametrize("largest", [12, 200_000])
+def test_few_components_and_hot_blocks_lose_nothing(spark, largest):
     rows, truth = jobs(4)
     rows = rows + [(f"x{i}", "fix it", 0) for i in range(50)]
-    got = {r["key"]: r["cluster_id"] for r in C.cluster_records(spark.createDataFrame(rows, "key string, text string, n int"), largest=12).collect()}
+    got = {r["key"]: r["cluster_id"] for r in C.cluster_records(spark.createDataFrame(rows, "key string, text string, n int"), largest=largest).collect()}
     assert len(got) == len(rows) and len({got[f"x{i}"] for i in range(50)}) == 1
-    anchored = [k for i, k in enumerate(sorted(truth, key=lambda k: int(k[1:]))) if i % 4 in (0, 1, 3)]
-    assert all((got[a] == got[b]) == (truth[a] == truth[b]) for a in anchored for b in anchored)
+    want = [(a, b) for a in truth for b in truth if a < b and truth[a] == truth[b]]
+    same = [(a, b) for a in truth for b in truth if a < b and got[a] == got[b]]
+    hit = len(set(want) & set(same))
+    assert hit >= 0.98 * len(want) and hit >= 0.95 * len(same)
+
+
+PARAPHRASES = [
+    ["please make the nightly billing export finish before six in the morning", "the nightly billing export must finish before six in the morning, please", "billing export at night should finish before six in the morning please"],
+    ["how do i change the avatar of my account in the mobile app", "changing the avatar of my account in the mobile app: how do i do it", "in the mobile app, how can i change my account avatar"],
+    ["write a short poem about rain in autumn for my sister", "for my sister write a short poem about autumn rain", "a short autumn rain poem for my sister, write it"],
+    ["the login page shows a blank screen on old phones after the update", "after the update old phones show a blank screen on the login page", "blank screen on the login page with old phones since the update"],
+]
+
+
+@pytest.mark.parametrize(("n", "largest"), [(2, 200_000), (4, 200_000), (4, 3)])
+def test_wording_without_identifiers_is_enough(spark, n, largest):
+    rows = [(f"{g}{i}", t) for g, texts in enumerate(PARAPHRASES[:n]) for i, t in enumerate(texts)]
+    got = {r["key"]: r["cluster_id"] for r in C.cluster_records(spark.createDataFrame(rows, "key string, text string"), largest=largest).collect()}
+    assert len(set(got.values())) == n
+    assert all((got[a] == got[b]) == (a[0] == b[0]) for a in got for b in got)
 
 
 @pytest.mark.parametrize("largest", [12, 4])
