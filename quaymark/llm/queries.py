@@ -133,6 +133,11 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return spans.SharedSpans(load(spark, sf, "documents", "doc_id", "text"), "doc_id", "text").document_pairs()
 
 
+@R.query("p9_classes")
+def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.SharedSpans(load(spark, sf, "documents", "doc_id", "text"), "doc_id", "text").passage_classes()
+
+
 @R.query("p9_passages")
 def p9_passages(spark: SparkSession, sf: str) -> DataFrame:
     return spans.SharedSpans(load(spark, sf, "documents", "doc_id", "text"), "doc_id", "text").passages()

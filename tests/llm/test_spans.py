@@ -88,12 +88,30 @@ def test_every_wide_window_has_its_minimum_as_a_centre():
     rng = np.random.default_rng(0)
     for n in (0, 5, 30, 80):
         h = rng.integers(0, 6, n).astype(np.uint64)
-        centres = set(compact_windows(h, 7).tolist())
+        centres = set(compact_windows(h, 7, 0)[0].tolist())
         for lo in range(n - 6):
             for hi in range(lo + 7, n + 1):
                 assert lo + int(h[lo:hi].argmin()) in centres
 
 
+def test_periodic_texts_cost_no_more_than_their_runs(spark):
+    rng = random.Random(8)
+    free = lambda n: "".join(rng.choice("klmnop") for _ in range(n))
+    docs = [(0, free(300) + "=" * 5000 + free(300)), (1, "=" * 2000), (2, free(250) + "=-" * 1000), (3, "=" * 199 + free(300)), (4, free(100) + "-=" * 150), (5, "xyz" * 400 + free(400)), (6, free(90) + "yzx" * 100)]
+    want, cover = brute(docs)
+    s, got = run(spark, docs)
+    assert got == want
+    assert {r["doc_id"]: r["shared_chars"] for r in s.coverage().collect()} == {i: cover.get(i, 0) for i, _ in docs}
+    by_id = dict(docs)
+    for r in s.passages().collect():
+        assert by_id[r["doc_id_a"]][r["start_a"] :][: r["n_chars"]] == by_id[r["doc_id_b"]][r["start_b"] :][: r["n_chars"]] and r["n_chars"] >= MIN
+    at, further = compact_windows(shingle_hashes(code_points("=" * 1_000_000), 100), 101, 100)
+    assert len(at) < 300 and further.max() > 900_000
+    assert s.members.count() < 3000
+    classes = s.passage_classes().collect()
+    assert classes and all(r["n_docs"] > 1 or r["n_links"] > 0 for r in classes)
+
+
 def test_shingle_hash_depends_on_the_characters_only():
     a, b = code_points("x" * 7 + "hello world" * 20), code_points("hello world" * 20)
     assert (shingle_hashes(a, 100)[7:] == shingle_hashes(b, 100)).all()
