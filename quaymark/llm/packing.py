@@ -1,11 +1,11 @@
 """Filling fixed-capacity containers with items (problem 8).
 
 Only the histogram of item lengths reaches the driver: at most ``UNITS``
-lengths.  Combinations of up to three lengths that fill a container are
-enumerated, their repeat counts solved by non-negative least squares against
-the histogram and rounded down; what is left is packed greedily, best fit in
-decreasing length.  The plan then places the items by their rank in their
-length, so no item moves to the driver.
+lengths.  Combinations of up to three lengths that fill a container, up to a
+small window of free space, are enumerated, their repeat counts solved by
+non-negative least squares against the histogram and rounded down; what is
+left is packed greedily, best fit in decreasing length.  The plan then places
+the items by their rank in their length, so no item moves to the driver.
 """
 
 from __future__ import annotations
@@ -18,29 +18,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaymark.session import cut
+from quaymark.session import cut_table
 
-UNITS = 512  # lengths a container is measured in; longer capacities round lengths up to capacity / UNITS
+UNITS = 8192  # lengths a container is measured in; longer capacities round lengths up to capacity / UNITS
+WINDOW = 4  # units of free space that a combination may leave
 
 
-def combinations(units: int) -> np.ndarray:
-    """Rows of up to three lengths (0 = none) that fill a container of ``units`` exactly, longest first."""
-    out = [(units, 0, 0)]
-    out += [(a, units - a, 0) for a in range((units + 1) // 2, units)]
-    for a in range(-(-units // 3), units - 1):
+def combinations(units: int, hist: np.ndarray | None = None, window: int = WINDOW) -> np.ndarray:
+    """Rows of up to three lengths (0 = none), longest first, that fill a container of ``units`` up to ``window`` units.
+
+    For two lengths the third is the longest that fits and, with ``hist``,
+    occurs; so a row is never another one with room for a longer third.
+    """
+    have = np.ones(units + 1, bool) if hist is None else hist > 0
+    have[0] = False
+    fits = np.maximum.accumulate(np.where(have, np.arange(units + 1), 0))  # the longest length of at most this
+    lengths = np.flatnonzero(have)
+    out = [np.array([[n, 0, 0] for n in lengths if n >= units - window], np.int32).reshape(-1, 3)]
+    for a in lengths[::-1]:
         rest = units - a
-        b = np.arange(-(-rest // 2), min(a, rest - 1) + 1)
-        out += [(a, int(x), int(rest - x)) for x in b]
-    return np.array(out, np.int64)
+        b = lengths[(lengths <= a) & (lengths <= rest)]
+        if not len(b):
+            continue
+        third = np.minimum(fits[rest - b], b)
+        # a third that is longer than the second is met with both in the other order, unless it does not occur
+        third = np.where(have[third] | (third == 0), third, fits[third])
+        ok = rest - b - third <= window
+        out.append(np.column_stack([np.full(ok.sum(), a, np.int32), b[ok].astype(np.int32), third[ok].astype(np.int32)]))
+    return np.concatenate(out)
 
 
-def solve_repeats(hist: np.ndarray, combos: np.ndarray, rounds: int = 60) -> np.ndarray:
+def solve_repeats(hist: np.ndarray, combos: np.ndarray, rounds: int = 30, columns: int = 64, close: float = 1e-3) -> np.ndarray:
     """Non-negative x with little weighted |A x - hist|^2, by an active set of columns.
 
     Too many of a length weigh more than too few: the rest is packed greedily,
-    and short lengths are the easiest to place later.
+    and short lengths are the easiest to place later.  It ends when no column
+    helps, or when what is left is below ``close`` of the whole and twenty
+    rounds have not made it a hundredth smaller.
     """
     units = len(hist) - 1
+    if not len(combos):
+        return np.zeros(0)
     weight = np.sqrt(np.arange(units + 1) / units)
     weight[0] = 0.0
     scale = max(1.0, hist.max())
@@ -48,31 +66,31 @@ def solve_repeats(hist: np.ndarray, combos: np.ndarray, rounds: int = 60) -> np.
     active: list[int] = []
     x = np.zeros(len(combos))
     dense = np.zeros((units + 1, 0))
-    present = (hist[combos] > 0) | (combos == 0)
-    usable = present.all(1)
     residual = target.copy()
-    norms = np.sqrt((np.where(combos > 0, weight[combos], 0) ** 2).sum(1)) + 1e-12
+    w3 = weight[combos]
+    norms = np.sqrt((w3**2).sum(1)) + 1e-12
+    whole, errors = float(target @ target), []
     for _ in range(rounds):
-        gain = ((weight[combos] * residual[combos]) * (combos > 0)).sum(1) / norms
-        gain[~usable] = -np.inf
+        gain = (w3 * residual[combos]).sum(1) / norms
         gain[active] = -np.inf
         # several of the best columns at once, as long as they share no length
         taken: set[int] = set()
         fresh: list[int] = []
-        for c in np.argsort(-gain, kind="stable")[:64]:
+        few = np.argpartition(-gain, min(len(gain) - 1, 256))[:257]
+        for c in few[np.argsort(-gain[few], kind="stable")]:
             lengths = set(combos[c][combos[c] > 0].tolist())
-            if gain[c] <= 1e-7 or len(fresh) == 8:
+            if gain[c] <= 1e-9 or len(fresh) == columns:
                 break
             if not lengths & taken:
                 taken |= lengths
                 fresh.append(int(c))
         if not fresh:
             break
-        columns = np.zeros((units + 1, len(fresh)))
+        added = np.zeros((units + 1, len(fresh)))
         for k, c in enumerate(fresh):
-            np.add.at(columns[:, k], combos[c][combos[c] > 0], 1.0)
+            np.add.at(added[:, k], combos[c][combos[c] > 0], 1.0)
         active += fresh
-        dense = np.column_stack([dense, columns * weight[:, None]])
+        dense = np.column_stack([dense, added * weight[:, None]])
         current = np.r_[x[active[: -len(fresh)]], np.zeros(len(fresh))]
         while True:
             z = np.linalg.solve(dense.T @ dense + 1e-9 * np.eye(dense.shape[1]), dense.T @ target)
@@ -93,6 +111,9 @@ def solve_repeats(hist: np.ndarray, combos: np.ndarray, rounds: int = 60) -> np.
         x[:] = 0
         x[active] = current
         residual = target - dense @ current
+        errors.append(float(residual @ residual))
+        if errors[-1] < close * whole and len(errors) > 20 and errors[-1] > 0.99 * errors[-21]:
+            break
     return np.maximum(x, 0) * scale
 
 
@@ -101,7 +122,7 @@ def plan_containers(hist: np.ndarray) -> list[tuple[int, dict[int, int]]]:
     units = len(hist) - 1
     left = hist.astype(np.int64).copy()
     groups: list[tuple[int, dict[int, int]]] = []
-    combos = combinations(units)
+    combos = combinations(units, hist)
     for row, n in zip(combos, np.floor(solve_repeats(hist, combos)).astype(np.int64)):
         if n <= 0:
             continue
@@ -163,19 +184,19 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, items_per_bucket:
     p = items.select(F.col(key).alias("k"), F.explode(pieces).alias("p")).select("k", "p.no", "p.start", "p.size")
     # a whole item between full and capacity fills a container as well
     length = F.least(F.ceil(F.col("size") / step), F.lit(units)).cast("int")
-    p = cut(p.withColumn("length", length))
-    total = p.count()
-    buckets = max(1, min(4096, -(-total // items_per_bucket)))
+    p = cut_table(p.withColumn("length", length))
+    hist = np.zeros(units + 1, np.int64)
+    for row in p.where("length > 0").groupBy("length").count().collect():  # at most UNITS rows
+        hist[row["length"]] = row["count"]
+    buckets = int(max(1, -(-hist.sum() // items_per_bucket)))
     p = p.withColumn("bucket", F.pmod(F.xxhash64("k", "no"), F.lit(buckets)).cast("int"))
-    counts = np.zeros((units + 1, buckets), np.int64)
-    for row in p.groupBy("length", "bucket").count().collect():  # at most (UNITS + 1) * buckets rows
-        counts[row["length"], row["bucket"]] = row["count"]
-    counts[0] = 0
-    offsets = counts.cumsum(1) - counts
+    # items of a length in the buckets before: one row for each length and bucket
+    before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = p.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", before.alias("before"))
     slots: dict[int, list[tuple[int, int, int]]] = {}
     used = np.zeros(units + 1, np.int64)
     first = 0
-    for many, content in plan_containers(counts.sum(1)):
+    for many, content in plan_containers(hist):
         for length_, times in content.items():
             slots.setdefault(length_, []).append((int(used[length_]), first, times))
             used[length_] += many * times
@@ -186,7 +207,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, items_per_bucket:
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ln, rank = pdf["length"].to_numpy(), pdf["rank"].to_numpy() - 1 + offsets[pdf["length"].to_numpy(), pdf["bucket"].to_numpy()]
+            ln, rank = pdf["length"].to_numpy(), pdf["rank"].to_numpy()
             where = np.full(len(pdf), -1, np.int64)
             for one in np.unique(ln[ln > 0]):
                 m = ln == one
@@ -198,8 +219,9 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, items_per_bucket:
             yield out
 
     ranked = p.withColumn("rank", F.row_number().over(W.partitionBy("length", "bucket").orderBy("k", "no", "start")))
+    ranked = ranked.join(offsets, ["length", "bucket"])
     kind = items.schema[key].dataType.simpleString()
-    placed = ranked.select("k", "no", "start", "size", "length", "bucket", F.col("rank").cast("long").alias("rank")).mapInPandas(place, f"k {kind}, no int, start long, size long, container_id long")
+    placed = ranked.select("k", "no", "start", "size", "length", (F.col("rank") - 1 + F.col("before")).cast("long").alias("rank")).mapInPandas(place, f"k {kind}, no int, start long, size long, container_id long")
     return placed.select(F.col("k").alias(key), F.col("no").alias("piece_no"), F.col("start").alias("piece_start"), F.col("size").alias("piece_size"), "container_id")
 
 

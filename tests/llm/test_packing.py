@@ -63,7 +63,7 @@ def test_fill_is_close_to_the_bound():
     sizes = np.minimum(512, (rng.lognormal(4.3, 0.9, 20_000) + 1).astype(int))
     hist = np.bincount(sizes, minlength=513)
     n = sum(g[0] for g in packing.plan_containers(hist))
-    assert sizes.sum() / (n * 512) > 0.99
+    assert sizes.sum() / (n * 512) > 0.995
 
 
 @pytest.mark.parametrize("capacity", [512, 2048, 8192])
@@ -71,4 +71,4 @@ def test_documents(spark, sf, capacity):
     sizes = tokens.count_tokens(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text")
     row = packing.fill_report(packing.pack(sizes, "doc_id", "n_tokens", capacity), capacity).first()
     assert row["n_tokens"] == sizes.groupBy().sum("n_tokens").first()[0]
-    assert row["fill"] > 0.8
+    assert row["fill"] > {512: 0.98, 2048: 0.97, 8192: 0.9}[capacity]
