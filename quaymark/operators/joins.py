@@ -14,11 +14,15 @@ def spread(df: DataFrame, group: str, spread_by: Sequence[str], block: int = 204
     A group of more than ``block`` rows is dealt out on the left and copied to
     each of its ceil(n / block) salts on the right, so every pair of its rows
     meets exactly once and no task has more than about ``block`` rows of the
-    left side.  Groups of one row can't have a pair and are left out.  ``df``
+    left side.  Where no group is that large, both sides are df itself.  ``df``
     should be a table: it is read three times.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("__n")).where("__n > 1").select(group, F.ceil(F.col("__n") / block).cast("int").alias("__salts"))
-    sized = df.join(sizes, group)
+    sizes = df.groupBy(group).agg(F.count("*").alias("__n"))
+    if (sizes.agg(F.max("__n").alias("n")).first()["n"] or 0) <= block:
+        plain = df.withColumn("__s", F.lit(0))
+        return plain, plain
+    salts = sizes.where("__n > 1").select(group, F.ceil(F.col("__n") / block).cast("int").alias("__salts"))
+    sized = df.join(salts, group)
     left = sized.withColumn("__s", F.pmod(F.xxhash64(*spread_by), F.col("__salts")).cast("int")).drop("__salts")
     right = sized.withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
     return left, right
