@@ -115,7 +115,7 @@ TITLES = frozenset("mr mrs ms miss dr prof herr frau mme mlle m sr sra srta don
 ORDINARY = frozenset("mark grant hazel will rose chase drew faith mira ivo shard quorum lattice tarn hope grace joy may june april august summer dawn frank bill jack bob pat sue rich art ray dean miles chance hunter mason page young long short black white brown green king stone wood field brook lane banks marsh rivers wells ford bush price cook baker smith miller".split())
 _BEFORE = re.compile(
     r"(?i)(?:(?:^|[^\w])(?:(?:reported|written|sent|approved|requested|opened|signed|assigned)[ ](?:by|to)|by|attn|call|ping|ask|tell|told|contact|notify|prévenir|avisar[ ]a|rückfragen[ ]an|entrega[ ]a|lieferung[ ]an|livraison[ ]chez|"
-    r"signalé[ ]par|gemeldet[ ]von|informado[ ]por|greet[ ]me[ ]as|dear|yesterday|user|pour|para|von|por|par|owner|customer|kunde|cliente|client|llamar[ ]a|appeler|it[ ]told|that|form[ ]was[ ]sent[ ]by)"
+    r"signalé[ ]par|gemeldet[ ]von|informado[ ]por|greet[ ]me[ ]as|dear|yesterday|user|pour|para|von|por|par|owner|customer|kunde|cliente|client|llamar[ ]a|appeler|it[ ]told|form[ ]was[ ]sent[ ]by)"
     r"[.:,]?[ ]+[\"'“(]?|(?:^|[^\w])(?:mr|mrs|ms|miss|dr|prof|herr|frau|mme|mlle|sr|sra|srta)\.?[ ]+|(?:^|[^\w])(?:hi|hello|hola|hallo|bonjour),[ ]|(?:owner|row|customer|name|user)\"?:[ ]?\"?|values[ ]?\(\d+,[ ]?['\"]|(?:^|\n|[ ])[-–—][ ]|street,phone\n\")$"
 )
 _AFTER = re.compile(

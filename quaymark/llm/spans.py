@@ -70,9 +70,19 @@ def compact_windows(hashes: np.ndarray, width: int, k: int) -> tuple[np.ndarray,
     centre, the first of them, and ``further`` is how far the last one lies
     behind it (0 for any other centre).
     """
+    stack = [(0, len(hashes))]
+    if len(np.unique(hashes)) == len(hashes):
+        single: list[int] = []
+        while stack:
+            lo, hi = stack.pop()
+            if hi - lo >= width:
+                c = lo + int(hashes[lo:hi].argmin())
+                single.append(c)
+                stack.append((lo, c))
+                stack.append((c + 1, hi))
+        return np.array(single, np.int64), np.zeros(len(single), np.int64)
     out: list[np.ndarray] = []
     more: list[np.ndarray] = []
-    stack = [(0, len(hashes))]
     while stack:
         lo, hi = stack.pop()
         if hi - lo < width:
@@ -210,24 +220,26 @@ class SharedSpans:
         pairs = a.join(b, ["g", "s"]).where("cid_a < cid_b").withColumn("e", F.pandas_udf(_extents, "struct<left:int,right:int>")("part_a", "off_a", "part_b", "off_b"))
         self.links = cut_table(pairs.where(f"e.left + e.right >= {min_chars}").select("cid_a", "cid_b", "e.left", "e.right").distinct())
 
-    def text_pairs(self) -> DataFrame:
+    def text_pairs(self, block: int = 2048) -> DataFrame:
         """rep_a, rep_b, cid_a, cid_b of representatives that share a span; several rows for a pair with several windows."""
         one = self.members.select("cid", "doc_id").distinct()
-        same = pairs_within(cut_table(one), "cid", "doc_id", "rep_a", "rep_b").select("rep_a", "rep_b", F.col("cid").alias("cid_a"), F.col("cid").alias("cid_b"))
-        linked = self._linked("doc_id").select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"), "cid_a", "cid_b").where("x <> y").distinct()
+        same = pairs_within(cut_table(one), "cid", "doc_id", "rep_a", "rep_b", block).select("rep_a", "rep_b", F.col("cid").alias("cid_a"), F.col("cid").alias("cid_b"))
+        linked = self._linked("doc_id", block=block).select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"), "cid_a", "cid_b").where("x <> y").distinct()
         return same.unionByName(linked.select(F.least("x", "y").alias("rep_a"), F.greatest("x", "y").alias("rep_b"), "cid_a", "cid_b"))
 
     def _linked(self, *columns: str, block: int = 2048) -> DataFrame:
         """links with a and b, members of their classes; a large class is dealt out on one side and copied on the other."""
-        m = self.members
-        sizes = m.groupBy("cid").agg(F.ceil(F.count("*") / block).cast("int").alias("salts")).where("salts > 1")
-        salts = lambda df, cid: df.join(sizes.withColumnRenamed("cid", cid), cid, "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+        m = self.members.withColumnRenamed("cid", "cid_a").select("cid_a", F.struct(*columns).alias("a"))
+        n = self.members.withColumnRenamed("cid", "cid_b").select("cid_b", F.struct(*columns).alias("b"))
+        sizes = self.members.groupBy("cid").agg(F.ceil(F.count("*") / block).cast("int").alias("salts"))
+        if (sizes.agg(F.max("salts").alias("s")).first()["s"] or 0) <= 1:
+            return self.links.join(m, "cid_a").join(n, "cid_b")
+        large = sizes.where("salts > 1")
+        salts = lambda df, cid: df.join(large.withColumnRenamed("cid", cid), cid, "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
         copied = lambda df: df.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
         dealt = lambda df, *by: df.withColumn("s", F.pmod(F.xxhash64(*by), F.col("salts")).cast("int")).drop("salts")
-        a = dealt(salts(m.withColumnRenamed("cid", "cid_a"), "cid_a"), "doc_id", "pos").select("cid_a", "s", F.struct(*columns).alias("a"))
-        left = copied(salts(self.links, "cid_a")).join(a, ["cid_a", "s"]).drop("s")
-        b = copied(salts(m.withColumnRenamed("cid", "cid_b"), "cid_b")).select("cid_b", "s", F.struct(*columns).alias("b"))
-        return dealt(salts(left, "cid_b"), "a", "cid_a").join(b, ["cid_b", "s"]).drop("s")
+        left = copied(salts(self.links, "cid_a")).join(dealt(salts(m, "cid_a"), "a"), ["cid_a", "s"]).drop("s")
+        return dealt(salts(left, "cid_b"), "a", "cid_a").join(copied(salts(n, "cid_b")), ["cid_b", "s"]).drop("s")
 
     def document_pairs(self) -> DataFrame:
         """doc_id_a, doc_id_b (the smaller first): every pair of documents with a common span, copies included."""

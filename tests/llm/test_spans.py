@@ -71,6 +71,8 @@ def test_hot_hashes_lose_nothing(spark):
     want, _ = brute(docs)
     s = SharedSpans(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", hot=4, block=8)
     assert {(r["doc_id_a"], r["doc_id_b"]) for r in s.document_pairs().collect()} == want
+    plain = s.text_pairs().distinct().collect()
+    assert sorted(plain) == sorted(s.text_pairs(block=3).distinct().collect())
 
 
 def test_documents_of_the_test_data(spark, sf):
