@@ -8,11 +8,13 @@ names stand, next to a listed name or in a personal phrase, is a name too.
 
 Each entity is replaced by a typed placeholder, or by a surrogate: a keyed
 replacement of the same type, gender, letter case, script and format.  Equal
-entities get equal surrogates in every text (coreference).  Digits are mapped
-by a keyed permutation of the numbers of equal length, listed names by a keyed
-permutation of the list and other words by a keyed permutation of the words of
-equal length and scripts, so different entities stay different; coined names
-are checked against each other and against the list.
+entities get equal surrogates in every text (coreference), and a given name's
+surrogate begins with the surrogate of its initial, so a name that is written
+with an initial elsewhere still fits.  Digits are mapped by a keyed permutation
+of the numbers of equal length, listed family names by a keyed permutation of
+the list and other words by a keyed permutation of the words of equal length
+and scripts, so different entities stay different; coined names are checked
+against each other and against the list.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -154,7 +157,9 @@ class Entity:
 
 
 def _free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
-    return all(b <= x or a >= y for x, y in taken)
+    """Whether [a, b) meets none of the intervals, which are sorted and don't meet each other."""
+    i = bisect_left(taken, (a, a))
+    return (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b)
 
 
 def find_forms(text: str) -> list[Entity]:
@@ -164,7 +169,7 @@ def find_forms(text: str) -> list[Entity]:
 
     def take(a: int, b: int, kind: str) -> None:
         if _free(taken, a, b):
-            taken.append((a, b))
+            insort(taken, (a, b))
             out.append(Entity(a, b, kind))
 
     if "@" in text or _SPELLED.search(text):
@@ -222,7 +227,7 @@ def find_names(text: str, names: Names, taken: list[tuple[int, int]]) -> list[En
         while lo < i and low[lo] in PARTICLES and low[lo] != "van":
             lo += 1
         # forwards: initials, particles, further names
-        while hi + 1 < n and hi - i < 5 and _gap(text, end(hi), words[hi + 1][0]) and _free(taken, words[hi + 1][0], words[hi + 1][1]):
+        while hi + 1 < n and _gap(text, end(hi), words[hi + 1][0]) and _free(taken, words[hi + 1][0], words[hi + 1][1]):
             j = hi + 1
             if low[j] in kinds:
                 hi = j
@@ -250,7 +255,7 @@ def find_names(text: str, names: Names, taken: list[tuple[int, int]]) -> list[En
         strong = [p for p in parts if p not in ORDINARY]
         a, b = words[lo][0], words[hi][1]
         capital = text[a].isupper() or not mixed
-        before, after = text[max(0, a - 40) : a], text[b : b + 40]
+        before, after = text[max(0, a - 40) : a], text[b : b + 40]  # more than any phrase of the two patterns is long
         personal = bool(_BEFORE.search(before) or _AFTER.search(after))
         if len(parts) > 1 or initial(lo):
             good = bool(strong) or personal
@@ -269,7 +274,7 @@ def find_all(text: str | None, names: Names) -> list[Entity]:
     if not text:
         return []
     forms = find_forms(text)
-    return sorted(forms + find_names(text, names, [(e.start, e.end) for e in forms]), key=lambda e: e.start)
+    return sorted(forms + find_names(text, names, sorted((e.start, e.end) for e in forms)), key=lambda e: e.start)
 
 
 # -- completing the list of names -------------------------------------------
@@ -289,7 +294,7 @@ def _slots(text: str, names: Names, counts: dict[str, list[int]]) -> None:
             c[0] += 1
     if kinds.keys().isdisjoint(WORD.findall(text.lower())):
         return
-    forms = [(e.start, e.end) for e in find_forms(text)]
+    forms = sorted((e.start, e.end) for e in find_forms(text))
     words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text) if _free(forms, m.start(), m.end())]
     for i, (a, b, w) in enumerate(words):
         if w not in counts:
@@ -393,9 +398,9 @@ class Surrogates:
         for token in sorted(set(names.kinds) - names.learned):
             groups.setdefault(self._group(token), []).append(token)
         rest = sorted(names.learned)
-        for members in groups.values():
+        for (kind, *_), members in groups.items():
             order = sorted(members, key=lambda t: self._mac("order", t))
-            if len(order) < 2:
+            if kind == "given" or len(order) < 2:
                 rest += order
                 continue
             # a cycle through the keyed order: a permutation without fixed points
@@ -426,6 +431,9 @@ class Surrogates:
                 s = s + ("a" if given and self.gender(token) == "f" and not s.endswith("a") else "")
             else:
                 s = self._permuted(token, f"coin{round_}")
+            if given:
+                s = self._words(token[0]) + s[1:]
+            if not token.isascii():
                 if given and round_ < 500 and self.gender(s) != self.gender(token):
                     continue
             if s not in used:
@@ -548,7 +556,10 @@ class Surrogates:
 def detect(texts: DataFrame, names: Names) -> DataFrame:
     """src_table, src_id, pii_type, start_pos, end_pos of every entity of (src_table, src_id, text)."""
 
+    shared = texts.sparkSession.sparkContext.broadcast(names)  # at most MAX_NAMES of them
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = shared.value
         for pdf in batches:
             rows = [(a, i, e.kind, e.start, e.end) for a, i, t in zip(pdf["src_table"], pdf["src_id"], pdf["text"]) for e in find_all(t, names)]
             yield pd.DataFrame(rows, columns=["src_table", "src_id", "pii_type", "start_pos", "end_pos"]).astype({"src_id": "Int64", "start_pos": "int32", "end_pos": "int32"})
@@ -562,7 +573,10 @@ def replace(texts: DataFrame, names: Names, key: bytes) -> DataFrame:
     Null and empty texts come out as they are, texts without entities unchanged.
     """
 
+    shared = texts.sparkSession.sparkContext.broadcast(names)  # at most MAX_NAMES of them
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = shared.value
         keyed = Surrogates(key, names)
         for pdf in batches:
             found = [find_all(t, names) for t in pdf["text"]]

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -64,6 +65,36 @@ def test_surrogates():
     assert pii.Surrogates(b"other", NAMES).digits("910033931") != s.digits("910033931")
 
 
+def test_an_initial_fits_the_surrogate_of_its_name():
+    s = pii.Surrogates(b"k", pii.Names.of([*LISTED, ("Зоя", "given"), ("Éloi", "given")]))
+    for token in ("noemi", "pavel", "зоя", "éloi"):
+        assert s.word(token)[0] == s.word(token[0]) != token[0]
+    whole, short = s.replace("name", "Pavel Tolvarin"), s.replace("name", "P. Tolvarin")
+    assert short == f"{whole[0]}. {whole.split()[1]}"
+
+
+def test_thousands_of_entities_take_linear_time():
+    one = "call +1 617 555 0137, Noemi Tolvarin; "
+    pii.find_all(one * 50, NAMES)
+    took = []
+    for n in (1000, 4000):
+        start = time.perf_counter()
+        assert len(pii.find_all(one * n, NAMES)) == 2 * n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * took[0]
+
+
+def test_ordinary_words_after_that_are_no_names():
+    names = pii.Names.of([*LISTED, ("Will", "given"), ("Rose", "given")])
+    assert pii.find_all("with E-1, debug that Will this break batch 44? Rose from 12 to 40 retries.", names) == []
+    assert [e.start for e in pii.find_all("it told Will about row 3", names)] == [8]
+
+
+def test_long_names_are_whole():
+    text = "by Noemi Pavel Noemi Pavel Noemi Pavel Noemi Tolvarin."
+    assert [(e.start, e.end) for e in pii.find_all(text, NAMES)] == [(3, len(text) - 1)]
+
+
 def test_different_words_stay_different():
     names = pii.Names.of([*LISTED, ("Зоя", "given")])
     names.add("crathmoor", "family")
