@@ -13,6 +13,23 @@ from pyspark.sql import functions as F
 
 ACTIONS = ("explore", "execute", "edit", "orchestrate", "reason")
 
+# fixed values: tools by the kind of action they are; any other named tool integrates
+TOOL_ACTIONS = {
+    "explore": ("Read", "Grep", "Glob", "LS", "ToolSearch", "NotebookRead", "WebFetch", "WebSearch"),
+    "edit": ("Edit", "Write", "MultiEdit", "NotebookEdit", "ApplyPatch"),
+    "execute": ("Bash", "PowerShell"),
+    "orchestrate": ("Task", "Agent", "Skill", "TaskCreate", "TaskUpdate", "TaskList"),
+}
+# fixed values: endings of files by class
+EXTENSIONS = {
+    "code": ("go", "ts", "tsx", "js", "jsx", "py", "rs", "java", "kt", "c", "cc", "cpp", "h", "hpp", "rb", "php", "cs", "swift", "scala", "sql", "vue", "svelte"),
+    "config": ("json", "yaml", "yml", "toml", "ini", "env", "cfg", "conf", "lock", "xml"),
+    "docs": ("md", "mdx", "txt", "rst", "adoc"),
+    "data": ("csv", "tsv", "parquet", "db", "sqlite"),
+}
+# fixed values: signs of an error at the beginning of a tool's result
+ERROR_MARKERS = ("Traceback (most recent call last)", "FAILED", "Error:", "error:")
+
 
 def ordered(by: str = "session_key", ts: str = "ts", tie: str = "call_id"):
     return W.partitionBy(by).orderBy(ts, tie)
@@ -84,18 +101,27 @@ def token_lags(calls: DataFrame) -> DataFrame:
     return calls.select("call_id", z(F.lag("output_tokens").over(w)).alias("prev"), z(F.lag("output_tokens", 2).over(w)).alias("prev2"), z(F.avg("output_tokens").over(before)).alias("mean"))
 
 
-def repeated_calls(calls: DataFrame, window: int = 10, times: int = 5) -> DataFrame:
-    """Calls at which some signature occurs ``times`` times among the last ``window`` ones."""
-    w = ordered().rowsBetween(-(window - 1), 0)
-    sigs = calls.withColumn("sigs", F.collect_list("sig").over(w))
+def segments(calls: DataFrame, reset: str | None) -> tuple[DataFrame, list[str]]:
+    """calls and the columns that part them: the session, and its stretch since the last row with ``reset``."""
+    if reset is None:
+        return calls, ["session_key"]
+    return calls.withColumn("__part", F.sum(F.col(reset).cast("int")).over(ordered())), ["session_key", "__part"]
+
+
+def repeated_calls(calls: DataFrame, window: int = 10, times: int = 5, reset: str | None = None) -> DataFrame:
+    """Calls at which some signature occurs ``times`` times among the last ``window`` ones; a row with ``reset`` begins anew."""
+    c, by = segments(calls, reset)
+    w = W.partitionBy(*by).orderBy("ts", "call_id").rowsBetween(-(window - 1), 0)
+    sigs = c.withColumn("sigs", F.collect_list("sig").over(w))
     most = F.array_max(F.transform(F.array_distinct("sigs"), lambda s: F.size(F.filter("sigs", lambda x: x == s))))
     return sigs.withColumn("most", most.cast("long")).where(F.col("most") >= times).select("session_key", "call_id", "most")
 
 
-def cyclic_calls(calls: DataFrame, window: int = 30, least: int = 24, ratio: float = 0.4, without: str = "edit") -> DataFrame:
+def cyclic_calls(calls: DataFrame, window: int = 30, least: int = 24, ratio: float = 0.4, without: str = "edit", reset: str | None = None) -> DataFrame:
     """Calls with few different signatures among the last ``window`` and no ``without`` action there."""
-    w = ordered().rowsBetween(-(window - 1), 0)
-    c = calls.withColumn("n", F.count("*").over(w)).withColumn("kinds", F.size(F.array_distinct(F.collect_list("sig").over(w)))).withColumn("edits", F.count_if(F.col("action") == without).over(w))
+    c, by = segments(calls, reset)
+    w = W.partitionBy(*by).orderBy("ts", "call_id").rowsBetween(-(window - 1), 0)
+    c = c.withColumn("n", F.count("*").over(w)).withColumn("kinds", F.size(F.array_distinct(F.collect_list("sig").over(w)))).withColumn("edits", F.count_if(F.col("action") == without).over(w))
     return c.where((F.col("n") >= least) & (F.col("kinds") / F.col("n") < ratio) & (F.col("edits") == 0)).select("session_key", "call_id", "n", F.col("kinds").cast("long").alias("kinds"))
 
 
@@ -107,20 +133,104 @@ def no_progress(calls: DataFrame, ring: int = 8, times: int = 5, seconds: int =
     return c.withColumn("same", same.cast("long")).where(F.col("same") >= times).select("session_key", "call_id", "same")
 
 
+def monologue(calls: DataFrame, tool: str = "has_tool", user: str = "user_turn") -> DataFrame:
+    """calls with ``monologue``: turns without a tool up to and with each, since the last tool or the user's last text."""
+    p = positions(calls)
+    last = F.max(F.when(F.col(tool), F.col("pos")).when(F.col(user), F.col("pos") - 1)).over(ordered().rowsBetween(W.unboundedPreceding, 0))
+    return p.withColumn("monologue", F.col("pos") - F.coalesce(last, F.lit(0)))
+
+
+def errored(flag: Column, text: Column, scan: int = 2048) -> Column:
+    """Whether a tool's result is an error: by its flag, or by a marker in the first ``scan`` characters."""
+    head = F.left(F.coalesce(text, F.lit("")), F.lit(scan))
+    marked = F.lit(False)
+    for m in ERROR_MARKERS:
+        marked = marked | F.contains(head, F.lit(m))
+    return F.coalesce(flag, F.lit(False)) | marked
+
+
+def tool_errors(results: DataFrame, flag: str, text: str) -> DataFrame:
+    """Per session: results, errors among them, and how many of the last ones in a row are errors."""
+    r = results.withColumn("__bad", errored(F.col(flag), F.col(text)))
+    sound = F.max(F.when(~F.col("__bad"), F.struct("ts", "call_id")))
+    at = r.groupBy("session_key").agg(F.count("*").alias("total"), F.count_if("__bad").alias("errored"), sound.alias("__sound"))
+    behind = r.where("__bad").join(at.select("session_key", "__sound"), "session_key").where(F.col("__sound").isNull() | (F.struct("ts", "call_id") > F.col("__sound"))).groupBy("session_key").agg(F.count("*").alias("streak"))
+    return at.drop("__sound").join(behind, "session_key", "left").select("session_key", "total", "errored", F.coalesce("streak", F.lit(0)).alias("trailing_streak"))
+
+
 def spiral_signals(calls: DataFrame, least: int = 12) -> DataFrame:
-    """First call of each session and reason: errors in a row, or many repeats among the last twelve."""
-    p = runs(positions(calls), F.col("is_error"))
-    w = ordered().rowsBetween(-11, 0)
-    p = p.withColumn("share", 1 - F.size(F.array_distinct(F.collect_list("sig").over(w))) / F.count("*").over(w))
-    reasons = F.array_compact(F.array(F.when(F.col("is_error") & (F.col("streak") >= 3), F.lit("error_streak")), F.when((F.col("share") >= 0.34) & (F.col("pos") >= 20), F.lit("repeats"))))
+    """First call of each session and reason, from the ``least``-th call on.
+
+    error_streak: three errors in a row; same_file: five edits of one file;
+    repeats: a third of the last twelve calls are repeats, after twenty calls;
+    monologue: four turns without a tool.
+    """
+    p = runs(monologue(calls), F.col("is_error"))
+    last = ordered().rowsBetween(-11, 0)
+    same_file = W.partitionBy("session_key", "path").orderBy("ts", "call_id").rowsBetween(W.unboundedPreceding, 0)
+    p = p.withColumn("share", 1 - F.size(F.array_distinct(F.collect_list("sig").over(last))) / F.count("*").over(last)).withColumn("edits", F.count_if(F.col("action") == "edit").over(same_file))
+    reasons = F.array_compact(F.array(
+        F.when(F.col("is_error") & (F.col("streak") >= 3), F.lit("error_streak")), F.when((F.col("action") == "edit") & (F.col("edits") >= 5), F.lit("same_file")),
+        F.when((F.col("share") >= 0.34) & (F.col("pos") >= 20), F.lit("repeats")), F.when(F.col("monologue") >= 4, F.lit("monologue")),
+    ))
     hits = p.where(F.col("pos") >= least).select("session_key", "pos", F.explode(reasons).alias("reason"))
     return hits.groupBy("session_key", "reason").agg(F.min("pos").alias("first_pos"))
 
 
-def compactions(df: DataFrame, value: str, least: int) -> DataFrame:
-    """Rows whose count fell although it was ``least`` or more before."""
+def compactions(df: DataFrame, counts: Sequence[str], least: int = 8) -> DataFrame:
+    """Rows at which one of the counts fell although it was ``least`` or more before, with the counts before."""
     w = ordered()
-    return df.withColumn("before", F.lag(value).over(w)).where((F.col(value) < F.col("before")) & (F.col("before") >= least)).select("session_key", "call_id", "before", value)
+    fell = F.lit(False)
+    for c in counts:
+        df = df.withColumn(f"{c}_before", F.lag(c).over(w))
+        fell = fell | F.coalesce((F.col(c) < F.col(f"{c}_before")) & (F.col(f"{c}_before") >= least), F.lit(False))
+    return df.where(fell).select("session_key", "call_id", *[f"{c}_before" for c in counts])
+
+
+def action_of(tool: Column) -> Column:
+    """The kind of action a tool is; no tool is reasoning."""
+    out = F.when(F.coalesce(tool, F.lit("")) == "", "reason")
+    for action, tools in TOOL_ACTIONS.items():
+        out = out.when(tool.isin(*tools), action)
+    return out.otherwise("integrate")
+
+
+def extension_class(path: Column) -> Column:
+    """The class of a file by its ending; none without one."""
+    ext = F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
+    out = F.when(F.coalesce(ext, F.lit("")) == "", "none")
+    for name, endings in EXTENSIONS.items():
+        out = out.when(ext.isin(*endings), name)
+    return out.otherwise("other")
+
+
+def distinct_actions(calls: DataFrame) -> DataFrame:
+    """0 for the first call of a session and the number of kinds, six, for all others; that is what models were trained on."""
+    return positions(calls).select("call_id", F.when(F.col("pos") == 1, 0).otherwise(6).cast("long").alias("distinct_actions"))
+
+
+def turn_window(turns: DataFrame, by: str, pos: str, role: str, most: int = 48) -> DataFrame:
+    """The last ``most`` turns of each conversation, from a user's turn on.
+
+    The window begins with the first user's turn in it; if there is none, with
+    the last one before it; a longer conversation without any has no rows.
+    """
+    w = W.partitionBy(by)
+    begin = F.max(pos).over(w) - most + 1
+    t = turns.withColumn("__begin", begin).withColumn("__n", F.count("*").over(w))
+    user = F.col(role) == "user"
+    inside = F.min(F.when(user & (F.col(pos) >= F.col("__begin")), F.col(pos))).over(w)
+    before = F.max(F.when(user & (F.col(pos) < F.col("__begin")), F.col(pos))).over(w)
+    t = t.withColumn("__from", F.when(F.col("__n") > most, F.coalesce(inside, before)).otherwise(F.min(pos).over(w)))
+    return t.where(F.col(pos) >= F.col("__from")).drop("__begin", "__n", "__from")
+
+
+def ranked_fallback(groups: DataFrame, key: str) -> DataFrame:
+    """The first group, by probability and then by its place, that has an eligible arm: key, grp, probability, place among all."""
+    w = W.partitionBy(key).orderBy(F.desc("probability"), "ord")
+    g = groups.withColumn("place", F.row_number().over(w).cast("long"))
+    first = g.where("eligible").groupBy(key).agg(F.min(F.struct("place", "grp", "probability")).alias("f"))
+    return first.select(key, "f.grp", "f.probability", "f.place")
 
 
 def model_switches(df: DataFrame, by: str, ts: str, tie: str, model: str) -> DataFrame:

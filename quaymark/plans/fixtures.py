@@ -17,6 +17,16 @@ _CALLS = """SELECT user_id AS session_key, event_id AS call_id, ts,
  CASE event_type WHEN 'click' THEN 'explore' WHEN 'view' THEN 'execute' WHEN 'purchase' THEN 'edit' WHEN 'signup' THEN 'orchestrate' ELSE 'reason' END AS action,
  concat(event_type, ':', CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 3 AS VARCHAR(9))) AS sig, event_type = 'error' AS is_error,
  CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS output_tokens FROM events"""
+#: Sessions of sixty calls a few seconds apart, made so that every detector has something to find and something to leave.
+_BUSY = """SELECT event_id - event_id % 60 AS session_key, event_id AS call_id, {at} AS ts,
+ CASE WHEN event_id % 180 < 60 THEN concat('a', CAST(event_id % 8 AS VARCHAR(20))) WHEN event_id % 180 < 120 THEN concat('b', CAST(CASE WHEN event_id % 7 < 5 THEN 0 ELSE event_id % 7 END AS VARCHAR(20)))
+ ELSE concat('c', CAST(event_id % 60 AS VARCHAR(20))) END AS sig,
+ CASE WHEN event_id % 360 >= 180 AND event_id % 6 = 0 THEN 'edit' WHEN event_id % 3 = 0 THEN 'explore' WHEN event_id % 3 = 1 THEN 'execute' ELSE 'reason' END AS action,
+ concat('src/f', CAST(event_id % 12 AS VARCHAR(20)), CASE event_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.YAML' WHEN 2 THEN '.md' WHEN 3 THEN '' ELSE '.csv' END) AS path,
+ event_id % 13 IN (3, 4, 5) AS is_error, event_id % 25 = 0 AS user_turn, event_id % 9 NOT IN (1, 2, 3, 4, 5) AS has_tool,
+ 4 + event_id % 17 AS message_count, event_id % 11 AS tool_count,
+ concat('Now I look at the settings of the second service, part ', CAST(CASE WHEN event_id % 180 < 60 THEN event_id ELSE event_id % 4 END AS VARCHAR(20))) AS text FROM events"""
+_BUSY_AT = {"duck": "TIMESTAMP '2024-01-01 00:00:00' + to_seconds(event_id * CASE WHEN event_id % 360 < 180 THEN 7 ELSE 31 END)", "spark": "timestampadd(SECOND, CAST(event_id * CASE WHEN event_id % 360 < 180 THEN 7 ELSE 31 END AS INT), TIMESTAMP_NTZ '2024-01-01 00:00:00')"}
 _ANSWERS = """SELECT doc_id, concat('reasoning ', CAST(doc_id AS VARCHAR(20)), ' Answer: ', CASE doc_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'b' WHEN 2 THEN '1,234' ELSE '-7.5' END) AS text,
  CASE doc_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN '1234' ELSE '-7.5' END AS gold FROM documents"""
 
@@ -27,6 +37,7 @@ VIEWS = {
     "sparse": "SELECT * FROM outcomes WHERE (record_index + ord) % 23 <> 0",
     "raw_dups": "SELECT l_orderkey AS prompt_id, CAST(l_linenumber AS BIGINT) AS model_id, CAST(l_quantity AS BIGINT) AS score, CAST(round(l_extendedprice * 100) AS BIGINT) AS cost_cents FROM lineitem",
     "calls": _CALLS,
+    "busy": _BUSY.replace("{at}", _BUSY_AT["duck"]),
     "answers": _ANSWERS,
     "vectors": "SELECT vec_id, label, embedding FROM embeddings",
     "centroids": """SELECT label AS cluster_id, list(v ORDER BY dim) AS centroid FROM (SELECT label, pos - 1 AS dim, round(avg(CAST(x AS DOUBLE)), 6) AS v
@@ -51,6 +62,11 @@ def oracle(body: str, *views: str) -> str:
     return "WITH " + ", ".join(f"{v} AS ({VIEWS[v]})" for v in order) + " " + body
 
 
+def busy(events: DataFrame) -> DataFrame:
+    """The busy calls of a table or stream of events."""
+    return events.sparkSession.sql(_BUSY.replace("{at}", _BUSY_AT["spark"]).replace("FROM events", "FROM {t}"), t=events)
+
+
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """The Spark side of a view."""
     if name == "models":
@@ -64,6 +80,8 @@ def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
         return load(spark, sf, "lineitem").selectExpr("l_orderkey AS prompt_id", "CAST(l_linenumber AS BIGINT) AS model_id", "CAST(l_quantity AS BIGINT) AS score", "CAST(round(l_extendedprice * 100) AS BIGINT) AS cost_cents")
     if name == "calls":
         return spark.sql(_CALLS.replace("FROM events", "FROM {t}"), t=load(spark, sf, "events"))
+    if name == "busy":
+        return busy(load(spark, sf, "events", "event_id"))
     if name == "answers":
         return spark.sql(_ANSWERS.replace("FROM documents", "FROM {t}"), t=load(spark, sf, "documents", "doc_id"))
     if name == "vectors":
