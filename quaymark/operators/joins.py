@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df to be broadcast if it has at most ``rows`` rows; a larger one is joined as the planner decides."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def spread(df: DataFrame, group: str, spread_by: Sequence[str], block: int = 2048) -> tuple[DataFrame, DataFrame]:
     """(left, right): df twice, to be joined on ``group`` and ``__s`` instead of on ``group`` alone.
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quaymark.operators.joins import small
+
 PROMPT = ("dataset_id", "split", "record_index")
 
 
@@ -80,7 +82,7 @@ def load_audit(records: DataFrame, prompt: str, model: str, values: Sequence[str
 
 def fill_missing(records: DataFrame, models: DataFrame, prompt: Sequence[str], values: Sequence[str], model: str = "model_name") -> DataFrame:
     """Every prompt with every model of the (small) roster, absent values 0, and whether a row was filled."""
-    grid = records.select(*prompt).distinct().crossJoin(F.broadcast(models.select(model)))
+    grid = records.select(*prompt).distinct().crossJoin(small(models.select(model)))
     full = grid.join(records.select(*prompt, model, *values, F.lit(1).alias("__here")), [*prompt, model], "left")
     return full.select(*prompt, model, *[F.coalesce(v, F.lit(0).cast(records.schema[v].dataType)).alias(v) for v in values], F.col("__here").isNull().alias("filled"))
 
@@ -126,29 +128,87 @@ def reference_points(records: DataFrame) -> DataFrame:
     return named.unionByName(points).unionByName(oracle)
 
 
-def summary_table(records: DataFrame, ood: Sequence[str], value: str = "score") -> DataFrame:
-    """row, column, value: models, their mean, the best expert and the oracle by dataset and by domain.
+def sampled(records: DataFrame, salt: str = "42") -> DataFrame:
+    """One record of each question, drawn by a hash of salt, question and model: what a router that picks blindly gets."""
+    draw = F.sha2(F.concat_ws("|", F.lit(salt), *[F.col(c).cast("string") for c in PROMPT], "model_name"), 256)
+    one = records.groupBy(*PROMPT).agg(F.min_by(F.struct("model_name", "score", "cost"), F.struct(draw, "model_name")).alias("r"))
+    return one.select(*PROMPT, "r.*")
+
+
+def random_router(records: DataFrame, by: Sequence[str] = ("dataset_id", "split"), salt: str = "42") -> DataFrame:
+    """Mean score, total and mean cost of one drawn record per question."""
+    return sampled(records, salt).groupBy(*by).agg(F.avg("score").alias("score"), F.sum("cost").alias("total_cost"), F.avg("cost").alias("avg_cost"), F.count("*").alias("n_prompts"))
+
+
+def _long(df: DataFrame, row: Column, cells: Sequence[tuple[Column, Column]]) -> DataFrame:
+    """row, column, value of a frame whose columns are cells."""
+    parts = F.array(*[F.struct(name.alias("column"), value.cast("double").alias("value")) for name, value in cells])
+    return df.select(row.alias("row"), F.explode(parts).alias("c")).select("row", "c.column", "c.value")
+
+
+def _domain(ood: Sequence[str]) -> Column:
+    return F.when(F.col("dataset_id").isin(*ood), "OOD").otherwise("In-Dist")
+
+
+def summary_table(records: DataFrame, ood: Sequence[str], salt: str = "42") -> DataFrame:
+    """row, column, value of the scores: models, their mean, a blind router, the best expert and the oracle.
 
-    One pass of grouping sets gives dataset, domain (in or out of distribution)
-    and overall sample means; Dataset-Avg is the mean of the dataset values.
-    The mean row averages over the models; Max Expert is the highest model
-    value in each dataset, and its Dataset-Avg the mean of those, while its
-    domain columns are the highest of the models' domain means.
+    Columns are data sets, the means of data sets in each domain and in all,
+    and the means of samples in each domain and in all.  A model without
+    records in a domain has a sample mean of 0 there, which draws the mean of
+    the models down.  Max Expert is the highest model value of each column, but
+    its Dataset-Avg is the mean of the highest values of the data sets.  The
+    oracle's value is the share of questions that any model gets right.
     """
-    domain = F.when(F.col("dataset_id").isin(*ood), "OOD").otherwise("In-Dist")
-    r = records.withColumn("domain", domain)
-    cells = r.groupBy("model_name", "dataset_id", "domain").agg(F.avg(value).alias("v"), F.sum(value).alias("s"), F.count(value).alias("n"))
-    by_dataset = cells.select(F.col("model_name").alias("row"), F.col("dataset_id").alias("column"), F.col("v").alias("value"), "domain")
-    sets = cells.groupingSets([["model_name", "domain"], ["model_name"]], "model_name", "domain").agg(F.avg("v").alias("dataset_avg"), (F.sum("s") / F.sum("n")).alias("sample_avg"))
-    part = F.coalesce("domain", F.lit("Dataset"))
-    by_domain = sets.select(F.col("model_name").alias("row"), F.explode(F.array(F.struct(F.concat(part, F.lit("-Avg")).alias("column"), F.col("dataset_avg").alias("value")), F.struct(F.concat(F.coalesce("domain", F.lit("All")), F.lit("-Sample-Avg")).alias("column"), F.col("sample_avg").alias("value")))).alias("c")).select("row", "c.column", "c.value")
-    models = by_dataset.select("row", "column", "value").unionByName(by_domain)
+    r = records.withColumn("domain", _domain(ood))
+    cells = r.groupBy("model_name", "dataset_id", "domain").agg(F.avg("score").alias("v"), F.sum("score").alias("s"), F.count("score").alias("n"))
+    models = _columns(cells, "model_name")
+    grid = models.select("row").distinct().crossJoin(F.broadcast(models.where("column like '%Sample-Avg'").select("column").distinct()))  # three columns
+    models = models.unionByName(grid.join(models, ["row", "column"], "left_anti").withColumn("value", F.lit(0.0)))
     mean = models.groupBy("column").agg(F.avg("value").alias("value")).select(F.lit("AVG").alias("row"), "column", "value")
     top = models.groupBy("column").agg(F.max("value").alias("value")).where("column <> 'Dataset-Avg'").select(F.lit("Max Expert").alias("row"), "column", "value")
-    top_all = by_dataset.groupBy("column").agg(F.max("value").alias("value")).agg(F.avg("value").alias("value")).select(F.lit("Max Expert").alias("row"), F.lit("Dataset-Avg").alias("column"), "value")
-    hit = r.groupBy(*PROMPT, "domain").agg(F.max(F.when(F.col("score") > 0, 1).otherwise(0)).alias("hit")).groupBy("dataset_id").agg(F.avg("hit").alias("value"))
-    oracle = hit.select(F.lit("Oracle").alias("row"), F.col("dataset_id").alias("column"), "value")
-    return models.unionByName(mean).unionByName(top).unionByName(top_all).unionByName(oracle)
+    top_all = cells.groupBy("dataset_id").agg(F.max("v").alias("v")).agg(F.avg("v").alias("value")).select(F.lit("Max Expert").alias("row"), F.lit("Dataset-Avg").alias("column"), "value")
+    hit = r.groupBy(*PROMPT, "domain").agg(F.max(F.when(F.col("score") > 0, 1).otherwise(0)).alias("hit"))
+    oracle = hit.groupBy("dataset_id", "domain").agg(F.avg("hit").alias("v"), F.sum("hit").alias("s"), F.count("hit").alias("n"))
+    blind = sampled(records, salt).withColumn("domain", _domain(ood)).groupBy("dataset_id", "domain").agg(F.avg("score").alias("v"), F.sum("score").alias("s"), F.count("score").alias("n"))
+    out = models.unionByName(mean).unionByName(top).unionByName(top_all)
+    for name, one in (("Oracle", oracle), ("Random Router", blind)):
+        out = out.unionByName(_columns(one.withColumn("model_name", F.lit(name)), "model_name"))
+    return out
+
+
+def _columns(cells: DataFrame, row: str) -> DataFrame:
+    """Values of rows in the columns of a summary, from cells with mean v, sum s and number n per data set."""
+    sets = cells.groupingSets([[row, "domain"], [row]], row, "domain").agg(F.avg("v").alias("a"), (F.sum("s") / F.sum("n")).alias("m"))
+    data = cells.select(F.col(row).alias("row"), F.col("dataset_id").alias("column"), F.col("v").alias("value"))
+    return data.unionByName(_long(sets, F.col(row), [(F.concat(F.coalesce("domain", F.lit("Dataset")), F.lit("-Avg")), F.col("a")), (F.concat(F.coalesce("domain", F.lit("All")), F.lit("-Sample-Avg")), F.col("m"))]))
+
+
+def cost_table(records: DataFrame, ood: Sequence[str], salt: str = "42") -> DataFrame:
+    """row, column, value of the total costs, with the rows of summary_table.
+
+    Columns are data sets and, per domain and in all, the mean and the sum over
+    data sets.  Max Expert is what the model of the best mean score cost in
+    each data set, but its sums are the highest sum of any model.  The oracle
+    pays the cheapest right answer of each question, or its cheapest one.
+    """
+    r = records.withColumn("domain", _domain(ood))
+    cells = r.groupBy("model_name", "dataset_id", "domain").agg(F.sum("cost").alias("v"), F.avg("score").alias("quality"))
+    models = _cost_columns(cells)
+    mean = models.groupBy("column").agg(F.avg("value").alias("value")).select(F.lit("AVG").alias("row"), "column", "value")
+    best = cells.groupBy("dataset_id", "domain").agg(F.min_by("v", F.struct(-F.round("quality", 9), "model_name")).alias("v")).withColumn("model_name", F.lit("Max Expert"))
+    sums = models.where("column like '%-Sum'").groupBy("column").agg(F.max("value").alias("value")).select(F.lit("Max Expert").alias("row"), "column", "value")
+    paid = r.groupBy(*PROMPT, "domain").agg(F.coalesce(F.min(F.when(F.col("score") > 0, F.col("cost"))), F.min("cost")).alias("c")).groupBy("dataset_id", "domain").agg(F.sum("c").alias("v")).withColumn("model_name", F.lit("Oracle"))
+    blind = sampled(records, salt).withColumn("domain", _domain(ood)).groupBy("dataset_id", "domain").agg(F.sum("cost").alias("v")).withColumn("model_name", F.lit("Random Router"))
+    out = models.unionByName(mean).unionByName(_cost_columns(best).where("column not like '%-Sum'")).unionByName(sums)
+    return out.unionByName(_cost_columns(paid)).unionByName(_cost_columns(blind))
+
+
+def _cost_columns(cells: DataFrame) -> DataFrame:
+    sets = cells.groupingSets([["model_name", "domain"], ["model_name"]], "model_name", "domain").agg(F.avg("v").alias("a"), F.sum("v").alias("t"))
+    part = F.coalesce("domain", F.lit("Dataset"))
+    data = cells.select(F.col("model_name").alias("row"), F.col("dataset_id").alias("column"), F.col("v").cast("double").alias("value"))
+    return data.unionByName(_long(sets, F.col("model_name"), [(F.concat(part, F.lit("-Avg")), F.col("a")), (F.concat(part, F.lit("-Sum")), F.col("t"))]))
 
 
 def pivot_models(records: DataFrame, sources: Sequence[str]) -> DataFrame:
@@ -169,9 +229,17 @@ def baseline_scores(records: DataFrame) -> DataFrame:
 
 
 def cost_efficiency(records: DataFrame, by: str = "dataset_id") -> DataFrame:
-    """accuracy, mean cost, efficiency and the percentile of the mean cost among all costs of the group."""
+    """accuracy, mean cost, efficiency and the percentile of the mean cost among all costs of the group.
+
+    The percentile comes from counts per different cost: both are put in order
+    and counted in one running sum, so no record meets a model.
+    """
     per = records.groupBy(by, "model_name").agg(F.avg("score").alias("accuracy"), F.avg("cost").alias("avg_cost"))
-    below = records.select(by, F.col("cost").alias("c")).join(F.broadcast(per.select(by, "model_name", "avg_cost")), by).groupBy(by, "model_name").agg((100.0 * F.count_if(F.col("c") < F.col("avg_cost")) / F.count("*")).alias("cost_percentile"))
+    costs = records.groupBy(by, F.col("cost").alias("c")).agg(F.count("*").alias("n")).select(by, "c", "n", F.lit(None).cast("string").alias("model_name"))
+    marks = per.select(by, F.col("avg_cost").alias("c"), F.lit(0).cast("long").alias("n"), "model_name")
+    before = W.partitionBy(by).orderBy("c", F.col("model_name").isNull()).rowsBetween(W.unboundedPreceding, -1)  # marks before costs of one value
+    ranked = costs.unionByName(marks).withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("total", F.sum("n").over(W.partitionBy(by)))
+    below = ranked.where("model_name is not null").select(by, "model_name", (100.0 * F.col("below") / F.col("total")).alias("cost_percentile"))
     return per.join(below, [by, "model_name"]).withColumn("efficiency", F.col("accuracy") / (F.col("avg_cost") + 1e-8))
 
 

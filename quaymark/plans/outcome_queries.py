@@ -39,7 +39,7 @@ R.add(
     lambda s, d: rounded(O.fill_missing(view(s, d, "sparse"), view(s, d, "models").withColumnRenamed("model", "model_name"), ["prompt_key"], ["score", "cost"])),
     oracle("select p.prompt_key, m.model as model_name, round(coalesce(o.score, 0), 6) as score, round(coalesce(o.cost, 0), 6) as cost, o.score is null as filled from (select distinct prompt_key from sparse) p cross join models m left join sparse o on o.prompt_key = p.prompt_key and o.model_name = m.model", "sparse", "models"),
 )
-R.add("drop_dup_prompts", lambda s, d: O.first_per_key(load(s, d, "documents", "doc_id", "text").where("text is not null"), ["text"], [F.col("doc_id")]).select("doc_id"), "select min(doc_id) as doc_id from documents where text is not null group by text")
+R.add("drop_dup_prompts", lambda s, d: load(s, d, "documents", "doc_id", "text").where("text is not null").groupBy(F.sha2("text", 256).alias("k")).agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "select min(doc_id) as doc_id from documents where text is not null group by text")
 
 _ANY = ", p as (select dataset_id, split, record_index, max(case when score > 0 then 1 else 0 end) as hit, coalesce(min(case when score > 0 then cost end), min(cost)) as c from sparse group by all)"
 R.add("oracle_accuracy", lambda s, d: rounded(O.oracle_any_correct(view(s, d, "sparse")).drop("oracle_cost")), oracle(_ANY + " select dataset_id, split, round(avg(hit), 6) as oracle_accuracy, count(*) as n_prompts from p group by all", "sparse"))
@@ -56,27 +56,46 @@ union all select 'oracle', round(avg(score), 6), round(avg(cost), 6) from b"""
 R.add("references_singles", lambda s, d: rounded(O.reference_points(view(s, d, "outcomes"))), oracle(_REF, "outcomes"))
 
 
-def _summary(v: str) -> str:
-    return oracle(
-        f""", r as (select *, case when dataset_id in ('ds8', 'ds9') then 'OOD' else 'In-Dist' end as domain from sparse),
-c as (select model_name, dataset_id, domain, avg({v}) as v, sum({v}) as s, count({v}) as n from r group by all),
-m as (select model_name as "row", dataset_id as "column", v as value from c
- union all select model_name, domain || '-Avg', avg(v) from c group by model_name, domain
- union all select model_name, domain || '-Sample-Avg', sum(s) / sum(n) from c group by model_name, domain
- union all select model_name, 'Dataset-Avg', avg(v) from c group by model_name
- union all select model_name, 'All-Sample-Avg', sum(s) / sum(n) from c group by model_name),
-o as (select dataset_id, avg(hit) as value from (select dataset_id, split, record_index, max(case when score > 0 then 1 else 0 end) as hit from r group by all) group by 1)
+_DRAW = ", smp as (select dataset_id, split, record_index, arg_min(struct_pack(score := score, cost := cost), (sha256('42|' || dataset_id || '|' || split || '|' || record_index || '|' || model_name), model_name)) as x from sparse group by 1, 2, 3)"
+_DOM = "case when dataset_id in ('ds8', 'ds9') then 'OOD' else 'In-Dist' end as domain"
+_SUMMARY = oracle(
+    _DRAW + f""", r as (select *, {_DOM} from sparse),
+c as (select model_name as "row", dataset_id, domain, avg(score) as v, sum(score) as s, count(score) as n from r group by all
+ union all select 'Oracle', dataset_id, domain, avg(hit), sum(hit), count(hit) from (select dataset_id, split, record_index, domain, max(case when score > 0 then 1 else 0 end) as hit from r group by all) group by 2, 3
+ union all select 'Random Router', dataset_id, {_DOM}, avg(x.score), sum(x.score), count(x.score) from smp group by 2, 3),
+m as (select "row", dataset_id as "column", v as value from c
+ union all select "row", domain || '-Avg', avg(v) from c group by "row", domain
+ union all select "row", domain || '-Sample-Avg', sum(s) / sum(n) from c group by "row", domain
+ union all select "row", 'Dataset-Avg', avg(v) from c group by "row"
+ union all select "row", 'All-Sample-Avg', sum(s) / sum(n) from c group by "row"),
+o as (select * from m where "row" not in ('Oracle', 'Random Router'))
 select "row", "column", round(value, 6) as value from (
- select * from m union all select 'AVG', "column", avg(value) from m group by 2
- union all select 'Max Expert', "column", max(value) from m where "column" <> 'Dataset-Avg' group by 2
- union all select 'Max Expert', 'Dataset-Avg', avg(x) from (select max(v) as x from c group by dataset_id)
- union all select 'Oracle', dataset_id, value from o)""",
-        "sparse",
-    )
-
-
-R.add("summary_perf", lambda s, d: rounded(O.summary_table(view(s, d, "sparse"), ["ds8", "ds9"], "score")), _summary("score"))
-R.add("summary_cost", lambda s, d: rounded(O.summary_table(view(s, d, "sparse"), ["ds8", "ds9"], "cost")), _summary("cost"))
+ select * from m union all select 'AVG', "column", avg(value) from o group by 2
+ union all select 'Max Expert', "column", max(value) from o where "column" <> 'Dataset-Avg' group by 2
+ union all select 'Max Expert', 'Dataset-Avg', avg(x) from (select max(v) as x from c where "row" not in ('Oracle', 'Random Router') group by dataset_id))""",
+    "sparse",
+)
+_COSTS = oracle(
+    _DRAW + f""", r as (select *, {_DOM} from sparse),
+q as (select model_name, dataset_id, domain, sum(cost) as v, round(avg(score), 9) as quality from r group by all),
+c as (select model_name as "row", dataset_id, domain, v from q
+ union all select 'Oracle', dataset_id, domain, sum(p) from (select dataset_id, split, record_index, domain, coalesce(min(case when score > 0 then cost end), min(cost)) as p from r group by all) group by 2, 3
+ union all select 'Random Router', dataset_id, {_DOM}, sum(x.cost) from smp group by 2, 3
+ union all select 'Max Expert', dataset_id, domain, v from (select *, row_number() over (partition by dataset_id order by quality desc, model_name) as rn from q) where rn = 1),
+m as (select "row", dataset_id as "column", v as value from c
+ union all select "row", domain || '-Avg', avg(v) from c group by "row", domain union all select "row", domain || '-Sum', sum(v) from c group by "row", domain
+ union all select "row", 'Dataset-Avg', avg(v) from c group by "row" union all select "row", 'Dataset-Sum', sum(v) from c group by "row"),
+o as (select * from m where "row" not in ('Oracle', 'Random Router', 'Max Expert'))
+select "row", "column", round(value, 8) as value from (
+ select * from m where not ("row" = 'Max Expert' and "column" like '%-Sum')
+ union all select 'AVG', "column", avg(value) from o group by 2
+ union all select 'Max Expert', "column", max(value) from o where "column" like '%-Sum' group by 2)""",
+    "sparse",
+)
+R.add("summary_perf", lambda s, d: rounded(O.summary_table(view(s, d, "sparse"), ["ds8", "ds9"])), _SUMMARY)
+R.add("summary_cost", lambda s, d: rounded(O.cost_table(view(s, d, "sparse"), ["ds8", "ds9"]), digits=8), _COSTS)
+R.add("random_router", lambda s, d: rounded(O.random_router(view(s, d, "sparse"))), oracle(_DRAW + " select dataset_id, split, round(avg(x.score), 6) as score, round(sum(x.cost), 6) as total_cost, round(avg(x.cost), 6) as avg_cost, count(*) as n_prompts from smp group by 1, 2", "sparse"))
+R.add("sample_avg", lambda s, d: O.summary_table(view(s, d, "sparse"), ["ds8", "ds9"]).where("column like '%Sample-Avg'").select("row", "column", F.round("value", 6).alias("value")), f"select * from ({_SUMMARY}) where \"column\" like '%Sample-Avg'")
 _DS = [f"ds{i}" for i in range(10)]
 R.add("agg_pivot_label", lambda s, d: rounded(O.pivot_models(view(s, d, "sparse"), _DS)), oracle("select model_name, " + ", ".join(f"round(avg(score) filter (dataset_id = '{x}'), 6) as {x}" for x in _DS) + ', round(avg(score), 6) as "ALL", round(avg(cost) * 1000, 6) as cost_per_1k, quantile_cont(completion_tokens, 0.5) as median_tokens, round(avg(completion_tokens), 6) as mean_tokens from sparse group by 1', "sparse"))
 R.add("agg_extra_metrics", lambda s, d: rounded(O.metric_means(view(s, d, "outcomes").withColumn("m", F.create_map(F.lit("score"), "score", F.lit("cost"), F.when(F.col("ord") > 0, F.col("cost")))), "m")), oracle("select 'score' as metric, round(avg(score), 6) as mean, count(score) as n from outcomes union all select 'cost', round(avg(cost), 6), count(cost) from outcomes where ord > 0", "outcomes"))

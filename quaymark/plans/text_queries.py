@@ -11,6 +11,7 @@ from quaymark.operators import splits as S
 from quaymark.plans.fixtures import oracle, view
 from quaymark.plans.outcome_queries import rounded
 from quaymark.plans.registry import Registry
+from quaymark.sources import results as B
 from quaymark.sources.tables import load
 
 R = Registry()
@@ -26,51 +27,64 @@ _N = r"regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '^\s+|\s+$',
 R.add("norm_prompt", lambda s, d: docs(s, d).select("doc_id", F.sha2(X.normal_prompt(F.col("text")), 256).alias("k")), _DOCS.format(f"sha256({_N}) as k"))
 R.add("prompt_key", lambda s, d: docs(s, d).groupBy(X.prompt_key(F.col("text")).alias("prompt_key")).count().withColumnRenamed("count", "n"), f"select sha256({_N}) as prompt_key, count(*) as n from documents where text is not null group by 1")
 R.add("tail_truncate", lambda s, d: docs(s, d).select("doc_id", F.sha2(X.tail(F.col("text")), 256).alias("k"), F.length(X.tail(F.col("text"))).cast("long").alias("n")), _DOCS.format("sha256(case when length(text) > 1024 then substr(text, length(text) - 1023) else text end) as k, least(length(text), 1024) as n"))
-R.add("norm_model_name", lambda s, d: load(s, d, "request_telemetry", "decision_model").distinct().select("decision_model", X.model_name(F.col("decision_model")).alias("name")), "select distinct decision_model, regexp_replace(lower(trim(decision_model, ' ')), '[ _]+', '-', 'g') as name from request_telemetry")
+_ALIASES = {"orrin-4-mini": "orrin-4", "basalt-9b": "basalt"}
+R.add("norm_model_name", lambda s, d: load(s, d, "request_telemetry", "decision_model").distinct().select("decision_model", X.model_name(F.col("decision_model"), _ALIASES).alias("name")), "select decision_model, case n when 'orrin-4-mini' then 'orrin-4' when 'basalt-9b' then 'basalt' else n end as name from (select distinct decision_model, regexp_replace(lower(trim(decision_model, ' ')), '[ _]+', '-', 'g') as n from request_telemetry)")
+R.add("tail_bytes", lambda s, d: docs(s, d).select("doc_id", F.sha2(X.tail_bytes(F.col("text")), 256).alias("k")), r"with b as (select doc_id, text, hex(encode(text)) as h, octet_length(encode(text)) as n from documents where text is not null), c as (select *, substr(h, n * 2 - 2047, 2048) as t from b) select doc_id, case when n <= 1024 then sha256(text) else sha256(decode(unhex(case when substr(t, 1, 1) not in ('8', '9', 'A', 'B') then t when substr(t, 3, 1) not in ('8', '9', 'A', 'B') then substr(t, 3) when substr(t, 5, 1) not in ('8', '9', 'A', 'B') then substr(t, 5) else substr(t, 7) end))) end as k from c")
+R.add("prompt_text", lambda s, d: docs(s, d).select("doc_id", F.sha2(X.prompt_text(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('["turn ","'), "doc_id", F.lit('"]'))).otherwise(F.col("text"))), 256).alias("k")), _DOCS.format("sha256(case when doc_id % 2 = 0 then 'turn ' || chr(10) || doc_id else text end) as k"))
+R.add("coerce_score", lambda s, d: load(s, d, "events", "event_id", "value").select("event_id", X.coerce_score(F.expr("case event_id % 6 when 0 then null when 1 then 'true' when 2 then 'false' when 3 then cast(event_id as string) when 4 then '0.5' else '\"half\"' end")).alias("score")).where("score is not null"), "select event_id, case event_id % 6 when 1 then 1.0e0 when 3 then cast(event_id as double) when 4 then 0.5e0 else 0.0e0 end as score from events where event_id % 6 <> 5")
+R.add("family_map", lambda s, d: load(s, d, "documents", "doc_id").select("doc_id", X.benchmark_family(F.element_at(F.array(*[F.lit(x) for x in ("MMLU-law", "chinese-poems", "mtbench-math", "hellaswag", "grade-school-math", "arc-challenge", "winogrande", "mbpp", "bias")]), (F.col("doc_id") % 9 + 1).cast("int"))).alias("family")), "select doc_id, ['mmlu', 'chinese', 'mtbench', 'hellaswag', 'gsm8k', 'arc', 'winogrande', 'mbpp', 'misc'][cast(doc_id % 9 as int) + 1] as family from documents")
+R.add("canonical_json", lambda s, d: load(s, d, "events", "event_id", "event_type").select("event_id", F.sha2(X.canonical_json(F.expr("case event_id % 3 when 0 then concat('{\"b\": {\"z\":1, \"a\": [2, 1]}, \"a\": \"', event_type, '\"}') when 1 then concat('{\"a\":\"', event_type, '\",\"b\":{\"a\":[2,1],\"z\":1}}') else '{broken' end")), 256).alias("k")), """select event_id, case when event_id % 3 < 2 then sha256('{"a":"' || event_type || '","b":{"a":[2,1],"z":1}}') end as k from events""")
+R.add("cache_key", lambda s, d: load(s, d, "events", "event_id", "event_type").select("event_id", X.cache_key({"model": F.lit("m-1"), "input": F.col("event_type"), "temperature": F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 3), "user": F.col("event_id")}, ["temperature", "model", "input"]).alias("k")), """select event_id, sha256('{"input":"' || event_type || '","model":"m-1"' || case when event_id % 2 = 0 then ',"temperature":' || event_id % 3 else '' end || '}') as k from events""")
+_FLAGS = {"tool": r"(^\s*/|\b(tool|tool call|bash|shell|command|script)\b)", "search": r"\b(search|grep|rg|ripgrep|find|read|open|cat|ls|list|inspect|scan|look through|look at)\b", "explore": r"\b(explore|scour|inventory|survey|map out|read through|background agent|subagent)\b", "edit": r"\b(edit|write|create|implement|fix|patch|change|refactor|update)\b", "test": r"\b(run|execute|test|pytest|npm test|smoke test|validate|verify|check)\b"}
+R.add("intent_flags", lambda s, d: load(s, d, "request_telemetry", "row_id", "embed_input").where("embed_input is not null").select("row_id", *[c.alias(k) for k, c in X.intent_flags(F.col("embed_input")).items()]), "with f as (select row_id, " + ", ".join(f"regexp_matches(embed_input, '(?i){p}') as {k}" for k, p in _FLAGS.items()) + " from request_telemetry where embed_input is not null) select *, not (" + " or ".join(_FLAGS) + ") as none from f")
+R.add("tool_family", lambda s, d: load(s, d, "events", "event_id").select("event_id", *[c.alias(k) for k, c in X.tool_family_flags(F.expr("array('Read', case event_id % 4 when 0 then 'Bash' when 1 then 'mcp__ripgrep' when 2 then 'ApplyPatch' else 'SpawnAgent' end)")).items()]), "select event_id, event_id % 4 = 0 as bash, true as read, event_id % 4 = 1 as search, event_id % 4 = 2 as edit, event_id % 4 = 3 as task from events")
+R.add("corpus_build", lambda s, d: load(s, d, "documents", "doc_id", "source").select("doc_id", F.sha2(X.with_options(F.concat(F.lit("Which one is "), F.col("doc_id"), F.lit("?")), F.array(F.lit("one"), F.lit("two"), F.concat(F.lit("n"), "doc_id")), "Think briefly, then finish with exactly: Answer: <letter>"), 256).alias("k")), "select doc_id, sha256('Which one is ' || doc_id || '?' || chr(10) || chr(10) || 'A. one' || chr(10) || 'B. two' || chr(10) || 'C. n' || doc_id || chr(10) || chr(10) || 'Think briefly, then finish with exactly: Answer: <letter>') as k from documents")
 R.add("strip_date_suffix", lambda s, d: load(s, d, "model_axes", "model").select("model", X.without_date(F.concat("model", F.lit("-20250131"))).alias("bare")), "select model, regexp_replace(model || '-20250131', '[-@](20\\d{6}|20\\d\\d-\\d\\d-\\d\\d)$', '') as bare from model_axes")
 R.add("family_version", lambda s, d: load(s, d, "model_axes", "model").select("model", X.family(F.col("model")).alias("family"), X.version(F.col("model")).alias("version")), "select model, regexp_extract(model, '^([a-z]+(?:-[a-z]+)*)', 1) as family, regexp_extract(model, '([0-9]+(?:\\.[0-9]+)?)', 1) as version from model_axes")
-_CODE, _MATH = X.CODE.replace("'", "''"), X.MATH.replace("'", "''")
-_W = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')"
+_CODE, _MATH = r"(```|\bdef\b|\bclass\b|\breturn\b|\bimport\b|[{};])", r"([=+\-*/^<>]|\\frac|\\sum|\d+\.\d+)"
 _cnt = lambda p: f"len(regexp_extract_all(text, '{p}'))"
-_shr = lambda p: f"round(coalesce({_cnt(p)} / nullif(length(text), 0), 0), 6)"
+_shr = lambda p, k=1: f"round(coalesce({k} * {_cnt(p)} / nullif(length(text), 0), 0), 6)"
 R.add(
     "text_features",
     lambda s, d: rounded(docs(s, d).select("doc_id", *[c.alias(n) for n, c in X.features(F.col("text")).items()])),
     _DOCS.format(
-        f"round(length(text) / 1000, 6) as len_k, round(ln(1 + length(text)), 6) as log_len, {_cnt(chr(10))} + 1 as n_lines, len({_W}) as n_words, round(coalesce(length(regexp_replace(text, '\\s+', '', 'g')) / nullif(len({_W}), 0), 0), 6) as avg_word_len, {_shr(chr(92) + 'p{Nd}')} as frac_digits, {_shr('[^' + chr(92) + 'x00-' + chr(92) + 'x7F]')} as frac_nonascii, {_shr('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}' + chr(92) + 's]')} as frac_punct, {_shr(chr(92) + 'p{Lu}')} as frac_upper, {_cnt(_CODE)} as code_hits, {_cnt(_MATH)} as math_hits, rtrim(text, ' ') like '%?' as is_question"
+        f"round(length(text) / 1000, 6) as len_k, round(ln(1 + length(text)), 6) as log_len, {_cnt(chr(10))} + 1 as n_lines, {_cnt(chr(92) + 'S+')} as n_words, round(coalesce({_cnt(chr(92) + 'S')} / nullif({_cnt(chr(92) + 'S+')}, 0), 0), 6) as avg_word_len, {_shr(chr(92) + 'p{Nd}')} as frac_digits, {_shr('[^' + chr(92) + 'x00-' + chr(92) + 'x7F]')} as frac_nonascii, {_shr('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}' + chr(92) + 's]')} as frac_punct, {_shr(chr(92) + 'p{Lu}')} as frac_upper, {_shr(_CODE, 1000)} as code_hits_k, {_shr(_MATH, 1000)} as math_hits_k, cast(regexp_matches(text, '\\?\\s*$') as int)::double as is_question"
     ),
 )
-KEYS = ["token", "router", "cost", "judge", "memory"]
-R.add("kw_features", lambda s, d: docs(s, d).select("doc_id", X.keyword_hits(F.col("text"), KEYS).alias("hits")), _DOCS.format(" + ".join(f"cast(contains(lower(text), '{k}') as bigint)" for k in KEYS) + " as hits"))
+KEYS = {"work": ["token", "router", "cost"], "talk": ["judge", "memory"]}
+R.add("kw_features", lambda s, d: rounded(docs(s, d).select("doc_id", *[c.alias(n) for n, c in X.keyword_features(F.col("text"), KEYS).items()])), "with h as (select doc_id, greatest(len(regexp_extract_all(text, '\\S+')), 1) as n, " + ", ".join(" + ".join(f"cast(contains(lower(text), '{k}') as bigint)" for k in ks) + f" as {name}_hits" for name, ks in KEYS.items()) + " from documents where text is not null) select doc_id, " + ", ".join(f"{name}_hits, round({name}_hits / n, 6) as {name}_ratio" for name in KEYS) + " from h")
 _ANS = r"replace(upper(list_extract(regexp_extract_all(text, '(?i)answer:?\s*\(?([A-Za-z]\b|-?[0-9][0-9,.]*)', 1), -1)), ',', '')"
 R.add("extract_answer", lambda s, d: view(s, d, "answers").select("doc_id", X.answer(F.col("text")).alias("answer")), oracle(f"select doc_id, {_ANS} as answer from answers", "answers"))
 R.add("grade_mcq", lambda s, d: view(s, d, "answers").select("doc_id", X.grade_choice(X.answer(F.col("text")), F.col("gold")).alias("score")), oracle(f"select doc_id, coalesce(cast(upper({_ANS}) = upper(gold) as double), 0) as score from answers", "answers"))
 R.add("grade_number", lambda s, d: view(s, d, "answers").select("doc_id", X.grade_number(X.answer(F.col("text")), F.col("gold")).alias("score")), oracle(f"select doc_id, coalesce(cast(abs(try_cast({_ANS} as double) - try_cast(gold as double)) < 1e-6 as double), 0) as score from answers", "answers"))
 R.add("extract_code", lambda s, d: docs(s, d).select("doc_id", F.sha2(X.code_block(F.col("text")), 256).alias("k")), _DOCS.format(r"sha256(coalesce(list_extract(regexp_extract_all(text, '(?s)```[a-zA-Z0-9_+-]*\n(.*?)```', 1), -1), text)) as k"))
-R.add("normal_answer", lambda s, d: view(s, d, "answers").select("doc_id", X.short_or_match(F.col("text"), r"\b([A-D])\b").alias("a")), oracle(r"select doc_id, case when length(trim(text)) <= 10 then trim(text) else coalesce(list_extract(regexp_extract_all(text, '\b([A-D])\b', 1), -1), nullif(trim(regexp_extract(text, '(?i)final answer:?\s*([^\n]+)', 1)), '')) end as a from answers", "answers"))
-R.add("em_normalised", lambda s, d: view(s, d, "answers").select("doc_id", (X.normal_answer(F.concat(F.lit("The  "), "gold")) == X.normal_answer(F.col("gold"))).alias("em")), oracle("select doc_id, true as em from answers", "answers"))
-R.add("token_f1", lambda s, d: rounded(view(s, d, "answers").select("doc_id", X.token_f1(F.lit("reasoning answer A b"), F.col("text")).alias("f1"))), oracle(r"""select doc_id, round(2.0 * list_sum(list_transform(list_distinct(x), lambda w: least(len(list_filter(x, lambda v: v = w)), len(list_filter(y, lambda v: v = w))))) / (len(x) + len(y)), 6) as f1
-from (select doc_id, ['reasoning', 'answer', 'b'] as x, list_filter(string_split_regex(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', ' ', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')), '\s+'), lambda w: w <> '') as y from answers)""", "answers"))
+_NORM = lambda c: rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+_PAIRS = "CASE doc_id % 6 WHEN 0 THEN 'The answer: A, b!' WHEN 1 THEN 'yes' WHEN 2 THEN 'No.' WHEN 3 THEN '' WHEN 4 THEN concat('reasoning ', CAST(doc_id % 10 AS VARCHAR(20)), ' reasoning') ELSE 'B b b answer' END AS got, CASE doc_id % 5 WHEN 0 THEN 'answer  B' WHEN 1 THEN 'no' WHEN 2 THEN 'yes it is' WHEN 3 THEN 'reasoning 3 reasoning' ELSE 'b answer b' END AS gold"
+R.add("em_normalised", lambda s, d: load(s, d, "documents", "doc_id").selectExpr("doc_id", *_PAIRS.split(", CASE")[:1], "CASE" + _PAIRS.split(", CASE")[1]).select("doc_id", (X.normal_answer(F.col("got")) == X.normal_answer(F.col("gold"))).alias("em")), f"select doc_id, {_NORM('got')} = {_NORM('gold')} as em from (select doc_id, {_PAIRS} from documents)")
+R.add("token_f1", lambda s, d: rounded(load(s, d, "documents", "doc_id").selectExpr("doc_id", *_PAIRS.split(", CASE")[:1], "CASE" + _PAIRS.split(", CASE")[1]).select("doc_id", X.token_overlap(F.col("got"), F.col("gold")).alias("o")).select("doc_id", "o.*")), rf"""with p as (select doc_id, {_NORM('got')} as a, {_NORM('gold')} as b from (select doc_id, {_PAIRS} from documents)),
+w as (select *, list_filter(string_split(a, ' '), lambda v: v <> '') as x, list_filter(string_split(b, ' '), lambda v: v <> '') as y from p),
+n as (select *, case when (a in ('yes', 'no', 'noanswer') or b in ('yes', 'no', 'noanswer')) and a <> b then 0 else coalesce(list_sum(list_transform(list_distinct(x), lambda w: least(len(list_filter(x, lambda v: v = w)), len(list_filter(y, lambda v: v = w))))), 0) end as same from w)
+select doc_id, round(coalesce(2.0 * same / nullif(len(x) + len(y), 0), 0), 6) as f1, round(coalesce(same / nullif(len(x), 0), 0), 6) as precision, round(coalesce(same / nullif(len(y), 0), 0), 6) as recall from n""")
 R.add("json_path", lambda s, d: load(s, d, "events", "event_id", "props").select("event_id", X.json_path(F.col("props"), "k").alias("k"), X.json_path(F.col("props"), "a.b[0].c").alias("none")), "select event_id, json_extract_string(props, '$.k') as k, json_extract_string(props, '$.a.b[0].c') as none from events")
 R.add("parse_score_json", lambda s, d: load(s, d, "events", "event_id", "props").select("event_id", X.score_json(F.concat(F.lit("Sure: "), "props"), "k").alias("score")), "select event_id, greatest(0, least(10, coalesce(try_cast(json_extract_string(props, '$.k') as double), 0))) as score from events")
-R.add("usage_extract", lambda s, d: load(s, d, "events", "event_id", "props").select("event_id", F.coalesce(X.json_path(F.col("props"), "usage.input_tokens"), X.json_path(F.col("props"), "k")).try_cast("long").alias("tokens")), "select event_id, try_cast(coalesce(json_extract_string(props, '$.usage.input_tokens'), json_extract_string(props, '$.k')) as bigint) as tokens from events")
+_USAGE = "concat('event: x', chr(10), 'data: ', case event_id % 6 when 0 then concat('{\"usage\": {\"input_tokens\": ', event_id, '}}') when 1 then concat('{\"message\": {\"usage\": {\"input_tokens\": ', event_id, '}}}') when 2 then concat('{\"response\": {\"usage\": {\"input_tokens\": ', event_id, '}}}') when 3 then concat('{\"usage\": {\"prompt_tokens\": ', event_id, '}}') when 4 then concat('{\"usageMetadata\": {\"promptTokenCount\": ', event_id, '}}') else '[DONE]' end, chr(13), chr(10))"
+R.add("usage_extract", lambda s, d: load(s, d, "events", "event_id").select("event_id", B.usage_tokens(B.event_data(F.expr(_USAGE))).alias("tokens")), "select event_id, case when event_id % 6 < 5 then event_id end as tokens from events")
 R.add("table_to_text", lambda s, d: load(s, d, "nation").select("n_nationkey", X.table_text(F.array(F.array("n_name", F.col("n_regionkey").cast("string")), F.array(F.lit("x"), F.lit("y")))).alias("t")), "select n_nationkey, '| ' || n_name || ' | ' || n_regionkey || ' |' || chr(10) || '| x | y |' as t from nation")
-R.add("perturb", lambda s, d: docs(s, d).select("doc_id", F.posexplode(X.variants(F.substring("text", 1, 40).cast("string"))).alias("i", "t")).where("i in (0, 3, 4)").select("doc_id", F.col("i").cast("long").alias("i"), F.sha2("t", 256).alias("k")), _DOCS.format("unnest([0, 3, 4])::bigint as i, sha256(unnest(['  ' || substr(text, 1, 40) || chr(10), substr(text, 1, 40) || '?', 'Please: ' || substr(text, 1, 40)])) as k"))
 # all variants of the whole text; without an oracle, since engines differ in the case of some letters
-R.add("perturb_whole", lambda s, d: docs(s, d).select("doc_id", F.posexplode(X.variants(F.col("text"))).alias("i", "t")).select("doc_id", F.col("i").cast("long").alias("i"), F.sha2("t", 256).alias("k")))
+R.add("perturb", lambda s, d: docs(s, d).select("doc_id", F.posexplode(X.variants(F.col("text"))).alias("i", "t")).select("doc_id", F.col("i").cast("long").alias("i"), F.sha2("t", 256).alias("k")))
 RULES = [("probe", "(?i)^(hi|ping|test)\\b"), ("title", "(?i)title"), ("compaction", "(?i)compact|summari"), ("tool", "(?i)traceback|tool result")]
 R.add("turn_type", lambda s, d: load(s, d, "request_telemetry", "row_id", "embed_input").where("embed_input is not null").select("row_id", X.turn_type(F.col("embed_input"), RULES).alias("kind")), "select row_id, case " + " ".join(f"when regexp_matches(embed_input, '{p}') then '{n}'" for n, p in RULES) + " else 'main_loop' end as kind from request_telemetry where embed_input is not null")
 R.add("session_key", lambda s, d: load(s, d, "request_telemetry", "row_id", "api_key_id", "session_id").where("api_key_id is not null and session_id is not null").select("row_id", X.session_key(F.col("api_key_id"), F.col("session_id")).alias("k")), "select row_id, substr(sha256(api_key_id || chr(0) || session_id), 1, 32) as k from request_telemetry where api_key_id is not null and session_id is not null")
 R.add("holdout_hash", lambda s, d: docs(s, d).select("doc_id", (X.hash_bucket(F.col("doc_id").cast("string"), 100) < 10).alias("held")), "select doc_id, ('0x' || substr(sha256(cast(doc_id as varchar)), 1, 8))::bigint % 100 < 10 as held from documents where text is not null")
 R.add("usd_to_micros", lambda s, d: view(s, d, "outcomes").select("prompt_key", "model_name", X.usd_to_micros(F.when(F.col("ord") == 0, -F.col("cost")).when(F.col("ord") == 1, F.lit(float("nan"))).otherwise(F.col("cost"))).alias("micros")), oracle("select prompt_key, model_name, case when ord < 2 then 0 else cast(round(cost * 1e6) as bigint) end as micros from outcomes", "outcomes"))
-R.add("kendall_sim", lambda s, d: rounded(load(s, d, "request_telemetry", "row_id", "candidate_models").where("size(candidate_models) > 1").select("row_id", X.kendall(F.col("candidate_models"), F.sort_array("candidate_models")).alias("sim"))), "select row_id, 1.0e0 as sim from request_telemetry where len(candidate_models) > 1")
+R.add("kendall_sim", lambda s, d: rounded(load(s, d, "request_telemetry", "row_id", "candidate_models").where("candidate_models is not null").select("row_id", X.kendall(F.col("candidate_models"), F.concat(F.slice("candidate_models", 3, 99), F.slice("candidate_models", 1, 2))).alias("sim"))), "with e as (select row_id, unnest(candidate_models) as m, generate_subscripts(candidate_models, 1) as i, len(candidate_models) as n from request_telemetry where candidate_models is not null), p as (select row_id, m, min(i) as a, min(case when i > 2 then i - 2 else n - 2 + i end) filter (n > 2 or true) as b from e group by 1, 2), c as (select x.row_id, avg(case when x.b < y.b then 1.0e0 else 0.0e0 end) as sim from p x join p y on x.row_id = y.row_id and x.a < y.a group by 1) select t.row_id, round(coalesce(sim, 1.0e0), 6) as sim from request_telemetry t left join c using (row_id) where candidate_models is not null")
 R.add("edge_jaccard", lambda s, d: rounded(load(s, d, "request_telemetry", "row_id", "candidate_models").where("candidate_models is not null").select("row_id", X.jaccard(F.col("candidate_models"), F.array(F.lit("orrin-4-mini"), F.lit("basalt-9b"), F.lit("quillon-2"))).alias("j"))), "select row_id, round(len(list_intersect(candidate_models, ['orrin-4-mini', 'basalt-9b', 'quillon-2'])) / len(list_distinct(candidate_models || ['orrin-4-mini', 'basalt-9b', 'quillon-2'])), 6) as j from request_telemetry where candidate_models is not null")
 
 # splits
 _B = "('0x' || substr(sha256({}), 1, 8))::bigint"
 R.add("split_hash", lambda s, d: docs(s, d).select("doc_id", S.hash_split(X.prompt_key(F.col("text"))).alias("part")), f"with k as (select doc_id, {_B.format(chr(39) + 'split' + chr(39) + f' || sha256({_N})')} % 10000 as b from documents where text is not null) select doc_id, case when b < 7000 then 'train' when b < 8500 then 'validation' else 'test' end as part from k")
 R.add("split_group_ratio", lambda s, d: S.ratio_split(view(s, d, "outcomes"), "dataset_id", "prompt_key", 0.7, ["ds9"]), oracle(f", p as (select distinct dataset_id, prompt_key from outcomes), r as (select *, row_number() over (partition by dataset_id order by {_B.format('prompt_key')} % 64, sha256(prompt_key)) as rn, count(*) over (partition by dataset_id) as n from p) select dataset_id, prompt_key, case when rn <= floor(n * 0.7e0) and dataset_id <> 'ds9' then 'train' else 'test' end as part from r", "outcomes"))
-R.add("split_no_leak", lambda s, d: S.leaks(docs(s, d).select("text", S.hash_split(X.prompt_key(F.col("text"))).alias("part")), "text", "part").agg(F.count("*").alias("leaks")), "select cast(0 as bigint) as leaks")
+R.add("split_no_leak", lambda s, d: S.leaks(docs(s, d).select("text", S.hash_split(X.prompt_key(F.col("text"))).alias("part")), "text", "part").agg(F.count("*").alias("leaks")).withColumn("by", F.lit("prompt")).unionByName(S.leaks(docs(s, d).select("text", S.hash_split(F.col("doc_id").cast("string")).alias("part")), "text", "part").agg(F.count("*").alias("leaks")).withColumn("by", F.lit("record"))), f"with k as (select text, {_B.format(chr(39) + 'split' + chr(39) + ' || doc_id')} % 10000 as b from documents where text is not null), l as (select text from k group by 1 having count(distinct case when b < 7000 then 0 when b < 8500 then 1 else 2 end) > 1) select 'prompt' as by, cast(0 as bigint) as leaks union all select 'record', count(*) from l")
 R.add("sample_hash_topn", lambda s, d: S.first_by_hash(docs(s, d).select(F.col("doc_id").cast("string").alias("k")), "k", 50), "select cast(doc_id as varchar) as k from documents where text is not null order by sha256(cast(doc_id as varchar)) limit 50")
 R.add("sample_per_category", lambda s, d: S.per_group(load(s, d, "documents", "doc_id", "source").where("source is not null").withColumn("k", F.col("doc_id").cast("string")), "source", "k", 3).select("source", "k"), "select source, k from (select source, cast(doc_id as varchar) as k, row_number() over (partition by source order by sha256(cast(doc_id as varchar))) as rn from documents where source is not null) where rn <= 3")
 R.add("cap_per_dataset", lambda s, d: S.cap_per_group(view(s, d, "outcomes"), "dataset_id", "prompt_key", "record_index", 5), oracle(", f as (select dataset_id, prompt_key, min(record_index) as o from outcomes group by 1, 2) select dataset_id, prompt_key from (select *, row_number() over (partition by dataset_id order by o) as rn from f) where rn <= 5", "outcomes"))

@@ -160,10 +160,10 @@ def test_a_rename_of_one_line_joins_its_columns(spark):
     assert [rows["a", i][by["alpha"]] for i in range(3)] == [1.5, 1.5, 2.5]
 
 
-def test_perturb_whole_keeps_all_variants_and_the_whole_text(spark, sf):
+def test_perturb_keeps_all_variants_and_the_whole_text(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in load(spark, sf, "documents", "doc_id", "text").where("text is not null").collect()}
     got = {}
-    for r in catalog.QUERIES["perturb_whole"](spark, sf).collect():
+    for r in catalog.QUERIES["perturb"](spark, sf).collect():
         got.setdefault(r["doc_id"], {})[r["i"]] = r["k"]
     assert got.keys() == texts.keys() and max(map(len, texts.values())) > 40
     for k, t in texts.items():
