@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quaymark.operators.joins import small
 from quaymark.operators.matrix import argmax_first, minmax
 
 ALPHAS = tuple(i / 20 for i in range(21))
@@ -22,14 +23,14 @@ def grid(spark, name: str, values: Sequence[float]) -> DataFrame:
 
 def alpha_sweep(estimates: DataFrame, cost_norm: DataFrame, key: str, alphas: Sequence[float] = ALPHAS) -> DataFrame:
     """Pick of argmax alpha * minmax(estimate) + (1 - alpha) * (1 - cost) per key and alpha.  The grid is a fixed list."""
-    e = estimates.withColumn("q", minmax("value", [key])).join(F.broadcast(cost_norm), "model_name")
+    e = estimates.withColumn("q", minmax("value", [key])).join(small(cost_norm), "model_name")
     g = e.crossJoin(F.broadcast(grid(e.sparkSession, "param", alphas)))
     return argmax_first(g.withColumn("value", F.col("param") * F.col("q") + (1 - F.col("param")) * (1 - F.col("c_norm"))), [key, "param"]).select(key, "param", "model_name")
 
 
 def dollar_sweep(estimates: DataFrame, cost: DataFrame, key: str, lambdas: Sequence[float]) -> DataFrame:
     """Pick of argmax value - lambda * cost per key and lambda."""
-    g = estimates.join(F.broadcast(cost), "model_name").crossJoin(F.broadcast(grid(estimates.sparkSession, "param", lambdas)))
+    g = estimates.join(small(cost), "model_name").crossJoin(F.broadcast(grid(estimates.sparkSession, "param", lambdas)))
     return argmax_first(g.withColumn("value", F.col("value") - F.col("param") * F.col("cost_hat")), [key, "param"]).select(key, "param", "model_name")
 
 
@@ -38,10 +39,12 @@ def earned(picks: DataFrame, records: DataFrame, key: str = "prompt_key") -> Dat
     return picks.join(records.select(key, "model_name", "score", "cost"), [key, "model_name"])
 
 
-def frontier(realised: DataFrame, cheap: float, oracle: float) -> DataFrame:
-    """param, score, cost, gap recovered (score - cheap) / (oracle - cheap)."""
+def frontier(realised: DataFrame, references: DataFrame) -> DataFrame:
+    """param, score, cost, gap recovered: (score - cheapest) / (oracle - cheapest), from the reference points (name, score)."""
     f = realised.groupBy("param").agg(F.avg("score").alias("score"), F.avg("cost").alias("cost"), F.countDistinct("model_name").alias("n_models"))
-    return f.withColumn("gap_recovered", F.try_divide(F.col("score") - cheap, F.lit(float(oracle - cheap))))
+    ends = references.agg(F.max(F.when(F.col("name") == "cheapest", F.col("score"))).alias("__cheap"), F.max(F.when(F.col("name") == "oracle", F.col("score"))).alias("__oracle"))  # one row
+    gap = F.try_divide(F.col("score") - F.col("__cheap"), F.nullif(F.col("__oracle") - F.col("__cheap"), F.lit(0.0)))
+    return f.crossJoin(F.broadcast(ends)).withColumn("gap_recovered", gap).drop("__cheap", "__oracle")
 
 
 def quality_at_cost(points: DataFrame, budgets: Sequence[float]) -> DataFrame:
@@ -50,10 +53,11 @@ def quality_at_cost(points: DataFrame, budgets: Sequence[float]) -> DataFrame:
     return points.select("score", "cost", b).groupBy("budget").agg(F.max(F.when(F.col("cost") <= F.col("budget"), F.col("score"))).alias("score"))
 
 
-def parity_cost(points: DataFrame, score: float, cost: float) -> DataFrame:
-    """Lowest cost of a score not below ``score``, and the saving against ``cost``."""
-    one = points.agg(F.min(F.when(F.col("score") >= score, F.col("cost"))).alias("parity_cost"))
-    return one.withColumn("saving", 1 - F.col("parity_cost") / F.lit(float(cost)))
+def parity_cost(points: DataFrame, single: DataFrame, slack: float = 0.0) -> DataFrame:
+    """Lowest cost of a score that is not more than ``slack`` below the single's, and the saving against its cost; ``single``: one row (score, cost)."""
+    one = single.select((F.col("score") - slack).alias("__least"), F.col("cost").alias("__cost"))
+    p = points.crossJoin(F.broadcast(one)).agg(F.min(F.when(F.col("score") >= F.col("__least"), F.col("cost"))).alias("parity_cost"), F.max("__cost").alias("__cost"))
+    return p.select("parity_cost", (1 - F.try_divide(F.col("parity_cost"), F.col("__cost"))).alias("saving"))
 
 
 def pareto(points: DataFrame, score: str = "score", cost: str = "cost") -> DataFrame:
@@ -131,6 +135,33 @@ def threshold_cascade(candidates: DataFrame, key: str, order: str, distance: str
     return candidates.groupBy(key).agg(F.coalesce(accepted, last).alias("p")).select(key, "p.model_name")
 
 
+def cascade_result(picks: DataFrame, records: DataFrame, budget: float, key: str = "prompt_key") -> DataFrame:
+    """accuracy, cost, over_budget of a cascade's picks; a total above budget times the prompts costs infinitely much."""
+    r = earned(picks, records, key).agg(F.avg("score").alias("accuracy"), F.sum("cost").alias("total"), F.count("*").alias("n"))
+    over = F.col("total") > budget * F.col("n")
+    return r.select("accuracy", F.when(over, float("inf")).otherwise(F.col("total")).alias("cost"), over.alias("over_budget"))
+
+
+def cascade_search(candidates: DataFrame, key: str, steps: Sequence[float], budget: float, order: str = "ord", distance: str = "distance") -> DataFrame:
+    """Every setting of a cascade of three places: t1, t2, accuracy, cost, the best within the budget first.
+
+    A step q is the quantile 1 - q of the distances that reach a place; what
+    the first place accepts does not reach the second.  The last place takes
+    the rest.  All settings share one pass: per prompt there is one row.
+    """
+    at = lambda k, c: F.max(F.when(F.col(order) == k, F.col(c)))
+    wide = candidates.where(F.col(order) < 3).groupBy(key).agg(*[at(k, c).alias(f"{c[0]}{k}") for k in range(3) for c in (distance, "score", "cost")])
+    qs = F.array(*[F.lit(float(1 - q)) for q in steps])
+    first = wide.agg(F.percentile("d0", qs).alias("p")).select(F.posexplode("p").alias("i", "t1"))  # one row per step
+    behind = wide.crossJoin(F.broadcast(first)).where(F.col("d0") >= F.col("t1"))
+    second = behind.groupBy("i", "t1").agg(F.percentile("d1", qs).alias("p")).select("i", "t1", F.posexplode("p").alias("j", "t2"))  # steps squared
+    place = F.when(F.col("d0") < F.col("t1"), 0).when(F.col("d1") < F.col("t2"), 1).otherwise(2)
+    taken = lambda c: F.when(place == 0, F.col(f"{c}0")).when(place == 1, F.col(f"{c}1")).otherwise(F.col(f"{c}2"))
+    out = wide.crossJoin(F.broadcast(second)).groupBy("i", "j", "t1", "t2").agg(F.avg(taken("s")).alias("accuracy"), F.sum(taken("c")).alias("cost"), F.count("*").alias("n"))
+    fits = F.col("cost") <= budget * F.col("n")
+    return out.withColumn("place", F.row_number().over(W.orderBy(F.desc(fits), F.desc(F.round("accuracy", 9)), F.round("cost", 9), "i", "j")).cast("long")).drop("n")
+
+
 def explore_band(scored: DataFrame, key: str, width: float, value: str = "value") -> DataFrame:
     """Models within ``width`` of the best value, each with its chance of being drawn."""
     w = W.partitionBy(key)
@@ -177,6 +208,87 @@ def first_rank(scores: DataFrame, realised: DataFrame, key: str) -> DataFrame:
     return p.agg(F.count("*").alias("n"), F.avg("rank").alias("mean_rank"), (F.count_if(F.col("rank") == 0) / F.count("*")).alias("share_best"), F.avg("score").alias("selected"), F.avg("best").alias("oracle"))
 
 
+def blend_models(near: DataFrame, quality: DataFrame, axes: DataFrame, key: str, alpha: Column, eligible: Column, speed_weight: float = 0.0, output_cost_ratio: float = 1.0, expected_tokens: int = 500, verbosity: bool = False, bonus: Column | None = None) -> DataFrame:
+    """key, model_name, value: per near cluster quality, cheapness and speed of each eligible model, added up.
+
+    Quality is scaled within its cluster, cost and time over all models, also
+    those that are not eligible.  Cost is input plus ratio times output price,
+    the latter times the model's verbosity over the median one.  A model
+    without times counts as the slowest; if no two models differ in time, the
+    weight of speed goes to quality and cost in proportion.  ``alpha`` is the
+    weight of quality by cluster_id; ``bonus`` is added once per cluster.
+    """
+    everything = W.partitionBy(F.lit(1))  # the roster: a few rows
+    median = axes.agg(F.percentile("verbosity_tokens", 0.5).alias("__median"))
+    v = F.coalesce(F.try_divide(F.col("verbosity_tokens"), F.nullif(F.col("__median"), F.lit(0.0))), F.lit(1.0)) if verbosity else F.lit(1.0)
+    a = axes.crossJoin(F.broadcast(median)).withColumn("__c", F.coalesce("input_per_1k_usd", F.lit(0.0)) + output_cost_ratio * F.coalesce("output_per_1k_usd", F.lit(0.0)) * v)
+    a = a.withColumn("__t", F.when(F.col("tps") > 0, F.col("ttft_s") + F.lit(float(expected_tokens)) / F.col("tps")))
+    span = lambda c: F.max(c).over(everything) - F.min(c).over(everything)
+    a = a.withColumn("__cn", F.coalesce(F.try_divide(F.col("__c") - F.min("__c").over(everything), F.nullif(span("__c"), F.lit(0.0))), F.lit(0.0)))
+    a = a.withColumn("__timed", F.coalesce(span("__t") > 0, F.lit(False)) & F.lit(speed_weight > 0)).withColumn("__tn", F.coalesce(F.try_divide(F.col("__t") - F.min("__t").over(everything), F.nullif(span("__t"), F.lit(0.0))), F.lit(1.0)))
+    a = a.select("model_name", "__cn", "__tn", "__timed", eligible.alias("__ok"), (F.lit(0.0) if bonus is None else F.coalesce(bonus, F.lit(0.0))).alias("__bonus"))
+    q = quality.withColumn("__q", minmax("mean", ["cluster_id"])).join(small(a.where("__ok")), "model_name")
+    wq, ws = alpha, F.lit(float(speed_weight))
+    wc = 1.0 - wq - ws
+    rest = wq + wc
+    without = F.when(rest > 0, wq / rest * F.col("__q") + wc / rest * (1.0 - F.col("__cn"))).otherwise(F.col("__q"))
+    blend = F.when(F.col("__timed"), wq * F.col("__q") + wc * (1.0 - F.col("__cn")) + ws * (1.0 - F.col("__tn"))).otherwise(without) + F.col("__bonus")
+    scored = q.withColumn("__v", blend).select("cluster_id", "model_name", "__v")
+    return near.select(key, "cluster_id").join(scored, "cluster_id").groupBy(key, "model_name").agg(F.sum("__v").alias("value"))
+
+
+def preference_bonus(rank: Column, base: float = 0.15, decay: float = 0.55) -> Column:
+    """base * decay ** rank; nothing for a negative or absent rank."""
+    return F.when(rank >= 0, base * F.pow(F.lit(decay), rank)).otherwise(0.0)
+
+
+def price_of(text: Column, input_per_1k: Column, output_per_1k: Column, expected_tokens: int = 512, chars_per_token: float = 3.5) -> Column:
+    """What a prompt is expected to cost by the length of its text."""
+    return (F.length(text) / chars_per_token * input_per_1k + expected_tokens * output_per_1k) / 1000.0
+
+
+def cost_of_usage(cost: Column, prompt_tokens: Column, completion_tokens: Column, input_per_million: Column, output_per_million: Column) -> Column:
+    """The reported cost, else tokens by price, else 0."""
+    return F.coalesce(cost, (prompt_tokens * input_per_million + completion_tokens * output_per_million) / 1e6, F.lit(0.0))
+
+
+def floored(alpha: Column, floor: Column) -> Column:
+    return F.greatest(alpha, F.coalesce(floor, F.lit(0.0)))
+
+
+def adaptive_k(n: Column, target: int, low: int, high: int) -> Column:
+    """n / target clusters, within bounds."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.floor(n / target)))
+
+
+def cheapest_model(candidates: DataFrame, by: Sequence[str], allowed: Column | None = None, denied: Column | None = None) -> DataFrame:
+    """Per group the allowed model of the lowest price, the first of the roster in a tie; models without a price don't count."""
+    c = candidates.where(F.col("price").isNotNull())
+    if allowed is not None:
+        c = c.where(allowed)
+    if denied is not None:
+        c = c.where(~F.coalesce(denied, F.lit(False)))
+    return c.groupBy(*by).agg(F.min_by("model", F.struct("price", "ord")).alias("model"))
+
+
+def fastest_model(candidates: DataFrame, by: Sequence[str], allowed: Column | None = None, denied: Column | None = None) -> DataFrame:
+    """Per group the allowed model of the most tokens a second; where none has a speed, the cheapest one."""
+    c = candidates if allowed is None else candidates.where(allowed)
+    c = c if denied is None else c.where(~F.coalesce(denied, F.lit(False)))
+    return c.groupBy(*by).agg(
+        F.coalesce(F.min_by(F.when(F.col("tps") > 0, F.col("model")), F.when(F.col("tps") > 0, F.struct(-F.col("tps"), F.col("ord")))), F.min_by(F.when(F.col("price").isNotNull(), F.col("model")), F.when(F.col("price").isNotNull(), F.struct("price", "ord")))).alias("model")
+    ).where("model is not null")
+
+
+def routed_success(scored: DataFrame, records: DataFrame, key: str, category: str) -> DataFrame:
+    """Per category and in all: prompts, the share whose best scored model was right, and the mean over categories next to that over prompts."""
+    best = argmax_first(scored, [key]).select(key, "model_name")
+    hit = best.join(records.select(key, "model_name", category, (F.col("score") > 0.5).cast("int").alias("hit")), [key, "model_name"])
+    per = hit.groupBy(category).agg(F.count("*").alias("n"), F.avg("hit").alias("success"))
+    both = per.agg(F.sum("n").alias("n"), F.avg("success").alias("category_mean"), (F.sum(F.col("success") * F.col("n")) / F.sum("n")).alias("success"))
+    return per.select(F.col(category).alias("category"), "n", "success", F.lit(None).cast("double").alias("category_mean")).unionByName(both.select(F.lit("all").alias("category"), "n", "success", "category_mean"))
+
+
 def hash_share(key: Column, salt: str = "") -> Column:
     """A number below 100,000 that depends on the key only; for seeded choices that every engine repeats."""
     return F.conv(F.substring(F.sha2(F.concat(F.lit(salt), key.cast("string")), 256), 1, 8), 16, 10).cast("long") % 100_000

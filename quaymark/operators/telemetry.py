@@ -62,10 +62,27 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Seq
     return df.groupBy(*keys).agg(F.min(F.struct(*order, *[c for c in keep if c not in order])).alias("m")).select(*keys, *[F.col(f"m.{c}").alias(c) for c in keep])
 
 
+def _chunked(df: DataFrame, ts: str) -> DataFrame:
+    """df with the day of a row as its chunk, so that a large account is many partitions."""
+    return df.withColumn("__chunk", F.to_date(F.col(ts)))
+
+
 def running_balance(df: DataFrame, by: Sequence[str], order: Sequence[str], delta: str, opening: int = 0) -> DataFrame:
-    """delta added up in order within each account."""
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("balance_after", (F.sum(delta).over(w) + opening).cast("long"))
+    """delta added up in order within each account; ``order`` begins with the time.
+
+    Windows run within days; what the days before add up to comes from one row
+    per account and day, so an account of any size is spread.
+    """
+    c = _chunked(df, order[0])
+    days = c.groupBy(*by, "__chunk").agg(F.sum(delta).alias("__total"))
+    before = F.sum("__total").over(W.partitionBy(*by).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1))
+    days = days.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)], F.col("__chunk").alias("__day"), F.coalesce(before, F.lit(0)).alias("__before"))
+    same = F.col("__chunk").eqNullSafe(F.col("__day"))
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    inner = F.sum(delta).over(W.partitionBy(*by, "__chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    out = c.withColumn("__inner", inner).join(days, same)
+    return out.withColumn("balance_after", (F.coalesce("__inner", F.lit(0)) + F.col("__before") + opening).cast("long")).select(*df.columns, "balance_after")
 
 
 def crossings(df: DataFrame, threshold: int) -> DataFrame:
@@ -79,15 +96,21 @@ def active(df: DataFrame) -> DataFrame:
     return df.where("deleted_at is null")
 
 
-def upsert_status(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """new, updated, duplicate or kept for every key of two tables, by a full join."""
+def upsert_status(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], values: Sequence[str], failed: Column | None = None) -> DataFrame:
+    """new, updated, duplicate, failed or kept for every key of two tables, by a full join; ``failed``: of an incoming row."""
     a = stored.select(*keys, F.struct(*values).alias("old"), F.lit(1).alias("has_old"))
-    b = incoming.select(*keys, F.struct(*values).alias("new"), F.lit(1).alias("has_new"))
+    b = incoming.select(*keys, F.struct(*values).alias("new"), F.lit(1).alias("has_new"), (F.lit(False) if failed is None else F.coalesce(failed, F.lit(False))).alias("failed"))
     j = a.join(b, list(keys), "full_outer")
-    status = F.when(F.col("has_old").isNull(), "new").when(F.col("has_new").isNull(), "kept").when(F.col("old").eqNullSafe(F.col("new")), "duplicate").otherwise("updated")
+    status = F.when(F.col("has_new").isNull(), "kept").when(F.col("failed"), "failed").when(F.col("has_old").isNull(), "new").when(F.col("old").eqNullSafe(F.col("new")), "duplicate").otherwise("updated")
     return j.select(*keys, status.alias("status"))
 
 
+def soft_delete(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """df with deleted_at set to the earliest time that ``gone`` (key, deleted_at) names, where it was not deleted before."""
+    when = gone.groupBy(key).agg(F.min("deleted_at").alias("__at"))
+    return df.join(when, key, "left").withColumn("deleted_at", F.coalesce("deleted_at", "__at")).drop("__at")
+
+
 def needs_run(plan: DataFrame, done: DataFrame, keys: Sequence[str], fingerprint: str = "fingerprint") -> DataFrame:
     """Planned cells without a stored result of the same fingerprint; a stored result without one counts as done."""
     stored = done.groupBy(*keys).agg(F.max(F.col(fingerprint).isNull().cast("int")).alias("legacy"), F.collect_set(fingerprint).alias("prints"))
@@ -95,10 +118,30 @@ def needs_run(plan: DataFrame, done: DataFrame, keys: Sequence[str], fingerprint
     return j.where(F.col("legacy").isNull() | ((F.col("legacy") == 0) & ~F.array_contains("prints", F.col(fingerprint)))).drop("legacy", "prints")
 
 
-def observed_last(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """The last value that is not null of each column up to each row."""
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.select("*", *[F.last(v, ignorenulls=True).over(w).alias(f"{v}_seen") for v in values])
+def observed_last(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Sequence[str], fresh_seconds: int | None = None) -> DataFrame:
+    """The last value that is not null of each column up to each row, no older than ``fresh_seconds``; ``order`` begins with the time.
+
+    By days as in running_balance: a day's last values are carried to the next ones.
+    """
+    ts = order[0]
+    c = _chunked(df, ts)
+    seen = lambda v: F.when(F.col(v).isNotNull(), F.struct(F.col(v).alias("v"), F.col(ts).alias("at")))
+    last_of_day = [F.max_by(seen(v), F.when(F.col(v).isNotNull(), F.struct(*order))).alias(f"__l{i}") for i, v in enumerate(values)]
+    days = c.groupBy(*by, "__chunk").agg(*last_of_day)
+    earlier = W.partitionBy(*by).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    days = days.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)], F.col("__chunk").alias("__day"), *[F.last(f"__l{i}", ignorenulls=True).over(earlier).alias(f"__c{i}") for i in range(len(values))])
+    same = F.col("__chunk").eqNullSafe(F.col("__day"))
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    inner = W.partitionBy(*by, "__chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    for i, v in enumerate(values):
+        c = c.withColumn(f"__s{i}", F.last(seen(v), ignorenulls=True).over(inner))
+    out = c.join(days, same)
+    for i, v in enumerate(values):
+        known = F.coalesce(f"__s{i}", f"__c{i}")
+        fresh = F.lit(True) if fresh_seconds is None else F.expr(f"timestampdiff(MICROSECOND, coalesce(__s{i}, __c{i}).at, {ts})") <= fresh_seconds * 1_000_000
+        out = out.withColumn(f"{v}_seen", F.when(fresh, known["v"]))
+    return out.select(*df.columns, *[f"{v}_seen" for v in values])
 
 
 def agreement(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from quaymark.operators import matrix as M
 from quaymark.operators import outcomes as O
 from quaymark.operators import rules as U
+from quaymark.operators.joins import small
 from quaymark.plans.fixtures import oracle, view
 from quaymark.plans.outcome_queries import rounded
 from quaymark.plans.registry import Registry
+from quaymark.sources.tables import load
 
 R = Registry()
 P, TEMP = 3, 0.1
@@ -44,8 +46,7 @@ def alpha_picks(s: SparkSession, d: str) -> DataFrame:
 
 def alpha_frontier(s: SparkSession, d: str) -> DataFrame:
     r = out(s, d)
-    ref = {x["name"]: x["score"] for x in O.reference_points(r).where("name in ('cheapest', 'oracle')").collect()}
-    return U.frontier(U.earned(alpha_picks(s, d), r), ref["cheapest"], ref["oracle"])
+    return U.frontier(U.earned(alpha_picks(s, d), r), O.reference_points(r))
 
 
 # DuckDB chains
@@ -104,8 +105,7 @@ R.add("quality_at_cost", lambda s, d: rounded(U.quality_at_cost(alpha_frontier(s
 
 
 def _parity(s: SparkSession, d: str) -> DataFrame:
-    best = O.reference_points(out(s, d)).where("name = 'best_single'").first()
-    return rounded(U.parity_cost(alpha_frontier(s, d), best["score"] - 0.2, best["cost"]))
+    return rounded(U.parity_cost(alpha_frontier(s, d), O.reference_points(out(s, d)).where("name = 'best_single'"), 0.2))
 
 
 R.add("parity_cost", _parity, oracle(FRONT + ", b as (select score, cost from sg order by round(score, 9) desc, model_name desc limit 1), p as (select min(case when fr.score >= b.score - 0.2e0 then fr.cost end) as c, any_value(b.cost) as bc from fr cross join b) select round(c, 6) as parity_cost, round(1 - c / bc, 6) as saving from p", *V))
@@ -132,3 +132,50 @@ KNN = ", ab as (select a.vec_id as query, b.vec_id as neighbour, round(list_dot_
 R.add("join_vec_vec_knn", lambda s, d: M.nearest(view(s, d, "vectors"), view(s, d, "vectors"), "vec_id", "embedding", 10).select("query", "neighbour", "sim"), oracle(KNN + " select query, neighbour, sim from kn", "vectors"))
 R.add("est_knn", lambda s, d: rounded(M.nearest(view(s, d, "vectors"), view(s, d, "vectors"), "vec_id", "embedding", 10).join(out(s, d), F.col("neighbour") == F.col("record_index")).groupBy("query", "model_name").agg(F.avg("score").alias("estimate"))), oracle(KNN + " select query, model_name, round(avg(score), 6) as estimate from kn join outcomes o on o.record_index = kn.neighbour group by all", "vectors", "outcomes"))
 R.add("est_knn_classifier", lambda s, d: M.nearest(view(s, d, "vectors"), view(s, d, "vectors"), "vec_id", "embedding", 10).join(view(s, d, "vectors").select(F.col("vec_id").alias("neighbour"), "label"), "neighbour").groupBy("query", "label").count().groupBy("query").agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("label")), oracle(KNN + ", c as (select query, label, count(*) as n from kn join vectors v on v.vec_id = kn.neighbour group by all) select query, label from (select *, row_number() over (partition by query order by n desc, label) as rn from c) where rn = 1", "vectors"))
+R.add("cascade_result", lambda s, d: rounded(U.cascade_result(U.threshold_cascade(out(s, d).withColumn("distance", 1 - F.col("score")), "prompt_key", "ord", "distance", {0: 0.15, 1: 0.35, 2: 0.55}), out(s, d), 0.02)), oracle(", c as (select prompt_key, coalesce(arg_min(model_name, ord) filter (1 - score < case ord when 0 then 0.15e0 when 1 then 0.35e0 when 2 then 0.55e0 else 'inf'::double end), arg_max(model_name, ord)) as model_name from outcomes group by 1), r as (select avg(score) as accuracy, sum(cost) as total, count(*) as n from c join outcomes using (prompt_key, model_name)) select round(accuracy, 6) as accuracy, case when total > 0.02e0 * n then 'inf'::double else round(total, 6) end as cost, total > 0.02e0 * n as over_budget from r", "outcomes"))
+_STEPS = [0.1, 0.3, 0.5, 0.7, 0.9]
+R.add(
+    "cascade_search",
+    lambda s, d: rounded(U.cascade_search(out(s, d).withColumn("distance", F.round(1 - F.col("score"), 6)), "prompt_key", _STEPS, 0.006)),
+    oracle(f""", w as (select prompt_key, max(round(1 - score, 6)) filter (ord = 0) as d0, max(round(1 - score, 6)) filter (ord = 1) as d1, max(score) filter (ord = 0) as s0, max(score) filter (ord = 1) as s1, max(score) filter (ord = 2) as s2, max(cost) filter (ord = 0) as c0, max(cost) filter (ord = 1) as c1, max(cost) filter (ord = 2) as c2 from outcomes where ord < 3 group by 1),
+q as (select i, [{', '.join(f'{1 - x}e0' for x in _STEPS)}][i + 1] as p from range({len(_STEPS)}) t(i)),
+f as (select i, (select quantile_cont(d0, [{', '.join(f'{1 - x}e0' for x in _STEPS)}]) from w)[i + 1] as t1 from q),
+g as (select f.i, f.t1, quantile_cont(d1, [{', '.join(f'{1 - x}e0' for x in _STEPS)}]) as ts from f join w on w.d0 >= f.t1 group by 1, 2),
+h as (select g.i, g.t1, q.i as j, ts[q.i + 1] as t2 from g cross join q),
+r as (select h.i, h.j, t1, t2, avg(case when d0 < t1 then s0 when d1 < t2 then s1 else s2 end) as accuracy, sum(case when d0 < t1 then c0 when d1 < t2 then c1 else c2 end) as cost, count(*) as n from h cross join w group by 1, 2, 3, 4)
+select i, j, round(t1, 6) as t1, round(t2, 6) as t2, round(accuracy, 6) as accuracy, round(cost, 6) as cost, row_number() over (order by cost <= 0.006e0 * n desc, round(accuracy, 9) desc, round(cost, 9), i, j) as place from r""", "outcomes"),
+)
+
+
+def axes(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "models").select(F.col("model").alias("model_name"), "ord", F.col("input_per_1k").alias("input_per_1k_usd"), F.col("output_per_1k").alias("output_per_1k_usd"), (20.0 + 10 * F.col("ord")).alias("tps"), F.when(F.col("ord") != 3, 0.5 + F.col("ord") / 10).alias("ttft_s"), F.when(F.col("ord") != 2, 100.0 + 50 * F.col("ord")).alias("verbosity_tokens"))
+
+
+_AXES = """, ax0 as (select model as model_name, ord, coalesce(case when ord <> 2 then 100.0e0 + 50 * ord end, null) as vb, input_per_1k, output_per_1k, case when ord <> 3 then 0.5e0 + ord / 10 end + 400.0e0 / (20.0e0 + 10 * ord) as t from models),
+ax1 as (select *, input_per_1k + 2.0e0 * output_per_1k * coalesce(vb / (select quantile_cont(vb, 0.5) from ax0), 1) as c from ax0),
+ax as (select model_name, ord, (c - min(c) over ()) / (max(c) over () - min(c) over ()) as cn, coalesce((t - min(t) over ()) / (max(t) over () - min(t) over ()), 1) as tn from ax1),
+qn as (select cluster_id, model_name, coalesce((mean - min(mean) over w) / nullif(max(mean) over w - min(mean) over w, 0), 0) as q from (select cluster_id, model_name, round(mean, 9) as mean from means) window w as (partition by cluster_id))"""
+for _n, _speed, _blend in (("blend_v2", 0.2, "al * q + (1 - al - 0.2e0) * (1 - cn) + 0.2e0 * (1 - tn)"), ("blend_v2_no_speed", 0.0, "al * q + (1 - al) * (1 - cn)")):
+    R.add(
+        _n,
+        lambda s, d, w=_speed: rounded(U.blend_models(near(s, d), means(s, d).withColumn("mean", F.round("mean", 9)), axes(s, d), "vec_id", 0.3 + 0.05 * F.col("cluster_id"), F.col("ord") != 1, w, 2.0, 400, True, U.preference_bonus(F.col("ord") - 3)), digits=5),
+        oracle(NEAR + _AXES + f" select vec_id, model_name, round(sum({_blend} + case ord when 3 then 0.15e0 when 4 then 0.15e0 * 0.55e0 else 0 end), 5) as value from (select n.vec_id, qn.*, cn, tn, ord, 0.3e0 + 0.05e0 * n.cluster_id as al from near n join qn using (cluster_id) join ax using (model_name) where ord <> 1) group by 1, 2", *V, "models"),
+    )
+R.add("cost_price", lambda s, d: rounded(load(s, d, "documents", "doc_id", "text").where("text is not null").crossJoin(F.broadcast(view(s, d, "models"))).select("doc_id", "model", U.price_of(F.col("text"), F.col("input_per_1k"), F.col("output_per_1k")).alias("usd"))), oracle(" select doc_id, model, round((length(text) / 3.5e0 * input_per_1k + 512 * output_per_1k) / 1000, 6) as usd from documents cross join models where text is not null", "models"))
+R.add("cost_usage", lambda s, d: rounded(out(s, d).join(F.broadcast(view(s, d, "models").where("ord <> 4").withColumnRenamed("model", "model_name").drop("ord")), "model_name", "left").select("prompt_key", "model_name", U.cost_of_usage(F.when(F.col("record_index") % 3 == 0, F.col("cost")), F.col("prompt_tokens"), F.col("completion_tokens"), F.col("input_per_1k") * 1000, F.col("output_per_1k") * 1000).alias("usd")), digits=7), oracle(" select prompt_key, model_name, round(case when record_index % 3 = 0 then cost when o.ord = 4 then 0 else (prompt_tokens * (input_per_1k * 1000) + completion_tokens * (output_per_1k * 1000)) / 1e6 end, 7) as usd from outcomes o join models m on m.model = o.model_name", "outcomes", "models"))
+R.add("est_cost_usd", lambda s, d: rounded(load(s, d, "request_telemetry", "row_id", "estimated_input_tokens", "output_tokens", F.explode("candidate_models").alias("model")).join(small(load(s, d, "model_axes", "model", "input_per_1k_usd", "output_per_1k_usd")), "model").select("row_id", "model", ((F.coalesce("estimated_input_tokens", F.lit(0)) * F.col("input_per_1k_usd") * 1000 + F.coalesce("output_tokens", F.lit(0)) * F.col("output_per_1k_usd") * 1000) / 1e6).alias("usd")), digits=7), "with e as (select row_id, estimated_input_tokens as i, output_tokens as o, unnest(candidate_models) as model from request_telemetry) select row_id, model, round((coalesce(i, 0) * input_per_1k_usd * 1000 + coalesce(o, 0) * output_per_1k_usd * 1000) / 1e6, 7) as usd from e join model_axes using (model)")
+R.add("dial_floor", lambda s, d: rounded(view(s, d, "vectors").select("vec_id", U.floored(F.col("vec_id") % 101 / 100.0, F.when(F.col("label") > 4, F.col("label") / 10.0)).alias("alpha"))), oracle(" select vec_id, round(greatest(vec_id % 101 / 100.0e0, case when label > 4 then label / 10.0e0 else 0 end), 6) as alpha from vectors", "vectors"))
+R.add("adaptive_k", lambda s, d: view(s, d, "sparse").groupBy("model_name").agg(F.count("*").alias("n")).select("model_name", U.adaptive_k(F.col("n"), 50, 4, 9).cast("long").alias("k")), oracle(" select model_name, cast(greatest(4, least(9, floor(count(*) / 50))) as bigint) as k from sparse group by 1", "sparse"))
+
+
+def _candidates(s: SparkSession, d: str) -> DataFrame:
+    a = load(s, d, "model_axes", "model", "provider", "input_per_1k_usd", "tps").withColumn("price", F.col("input_per_1k_usd")).withColumn("ord", F.col("model"))
+    served = load(s, d, "request_telemetry", F.col("decision_model").alias("model")).distinct()
+    return a.join(served, "model", "left_semi")
+
+
+_CAND = "with served as (select distinct decision_model as model from request_telemetry), c as (select * from model_axes where model in (select model from served) and model not in ('basalt-9b', 'orrin-4'))"
+R.add("cheapest_model", lambda s, d: U.cheapest_model(_candidates(s, d), ["provider"], denied=F.col("model").isin("basalt-9b", "orrin-4")), _CAND + " select provider, arg_min(model, (input_per_1k_usd, model)) as model from c where input_per_1k_usd is not null group by 1")
+R.add("fastest_model", lambda s, d: U.fastest_model(_candidates(s, d), ["provider"], denied=F.col("model").isin("basalt-9b", "orrin-4")), _CAND + ", f as (select provider, coalesce(arg_min(model, (-tps, model)) filter (tps > 0), arg_min(model, (input_per_1k_usd, model)) filter (input_per_1k_usd is not null)) as model from c group by 1) select * from f where model is not null")
+R.add("router_success", lambda s, d: rounded(U.routed_success(estimates(s, d), out(s, d), "prompt_key", "dataset_id")), oracle(EST + ", b as (select prompt_key, model_name from (select *, row_number() over (partition by prompt_key order by round(value, 9) desc, model_name) as rn from est) where rn = 1), h as (select dataset_id, case when score > 0.5 then 1 else 0 end as hit from b join outcomes using (prompt_key, model_name)), p as (select dataset_id, count(*) as n, avg(hit) as success from h group by 1) select dataset_id as category, n, round(success, 6) as success, null::double as category_mean from p union all select 'all', cast(sum(n) as bigint), round(sum(success * n) / sum(n), 6), round(avg(success), 6) from p", *V))
+R.add("dataset_report", lambda s, d: rounded(O.macro_micro(U.earned(alpha_picks(s, d).where("param = 0.5"), out(s, d).drop("dataset_id")).join(out(s, d).select("prompt_key", "dataset_id").distinct(), "prompt_key"), [])), oracle(PICKS + ", r as (select o.dataset_id, avg(score) as m, sum(score) as s, count(score) as n from picks p join outcomes o using (prompt_key, model_name) where p.param = 0.5 group by 1) select round(avg(m), 6) as macro, round(sum(s) / sum(n), 6) as micro from r", *V))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quaymark.functions import text as X
 from quaymark.operators import adapt as A
 from quaymark.operators import splits as S
+from quaymark.operators.joins import small
 from quaymark.plans.fixtures import oracle, view
 from quaymark.plans.outcome_queries import rounded
 from quaymark.plans.registry import Registry
@@ -103,6 +104,4 @@ R.add("anti_missing_test", lambda s, d: view(s, d, "outcomes").select("prompt_ke
 R.add("intersect_keys", lambda s, d: load(s, d, "request_telemetry", "decision_model").intersect(load(s, d, "model_axes", F.col("model").alias("decision_model"))), "select decision_model from request_telemetry intersect select model from model_axes")
 R.add("scan_pickle_wide", lambda s, d: rounded(load(s, d, "model_axes").unpivot(["model"], ["tps", "ttft_s", "verbosity_tokens"], "axis", "value").where("value is not null")), "select model, axis, round(value, 6) as value from (select model, unnest(['tps', 'ttft_s', 'verbosity_tokens']) as axis, unnest([tps, ttft_s, verbosity_tokens]) as value from model_axes) where value is not null")
 R.add("agg_median_verbosity", lambda s, d: rounded(load(s, d, "model_axes", "provider", "verbosity_tokens").groupBy("provider").agg(F.percentile("verbosity_tokens", 0.5).alias("median"))), "select provider, round(quantile_cont(verbosity_tokens, 0.5), 6) as median from model_axes group by 1")
-R.add("scan_prices", lambda s, d: rounded(load(s, d, "request_telemetry", "row_id", "decision_model", "input_tokens", "output_tokens").join(F.broadcast(load(s, d, "model_axes", F.col("model").alias("decision_model"), "input_per_1k_usd", "output_per_1k_usd")), "decision_model", "left").select("row_id", ((F.coalesce("input_tokens", F.lit(0)) * F.coalesce("input_per_1k_usd", F.lit(0.001)) + F.coalesce("output_tokens", F.lit(0)) * F.coalesce("output_per_1k_usd", F.lit(0.002))) / 1000).alias("usd")), digits=8), "select row_id, round((coalesce(input_tokens, 0) * coalesce(input_per_1k_usd, 0.001e0) + coalesce(output_tokens, 0) * coalesce(output_per_1k_usd, 0.002e0)) / 1000, 8) as usd from request_telemetry t left join model_axes m on m.model = t.decision_model")
-R.add("cheapest_model", lambda s, d: load(s, d, "model_axes", "provider", "model", "input_per_1k_usd").where("input_per_1k_usd is not null").groupBy("provider").agg(F.min_by("model", F.struct("input_per_1k_usd", "model")).alias("model")), "select provider, arg_min(model, (input_per_1k_usd, model)) as model from model_axes where input_per_1k_usd is not null group by 1")
-R.add("fastest_model", lambda s, d: load(s, d, "model_axes", "provider", "model", "tps").groupBy("provider").agg(F.max_by("model", F.struct(F.coalesce("tps", F.lit(-1.0)), "model")).alias("model")), "select provider, arg_max(model, (coalesce(tps, -1), model)) as model from model_axes group by 1")
+R.add("scan_prices", lambda s, d: rounded(load(s, d, "request_telemetry", "row_id", "decision_model", "input_tokens", "output_tokens").join(small(load(s, d, "model_axes", F.col("model").alias("decision_model"), "input_per_1k_usd", "output_per_1k_usd")), "decision_model", "left").select("row_id", ((F.coalesce("input_tokens", F.lit(0)) * F.coalesce("input_per_1k_usd", F.lit(0.001)) + F.coalesce("output_tokens", F.lit(0)) * F.coalesce("output_per_1k_usd", F.lit(0.002))) / 1000).alias("usd")), digits=8), "select row_id, round((coalesce(input_tokens, 0) * coalesce(input_per_1k_usd, 0.001e0) + coalesce(output_tokens, 0) * coalesce(output_per_1k_usd, 0.002e0)) / 1000, 8) as usd from request_telemetry t left join model_axes m on m.model = t.decision_model")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,13 @@ def load(spark: SparkSession, sf_dir: str, table: str, *columns: str | Column) -
     return df.select(*columns) if columns else df
 
 
+def present_tables(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> DataFrame:
+    """name, present: which tables a data directory has."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return spark.createDataFrame([(n, fs.exists(spark._jvm.org.apache.hadoop.fs.Path(root, f"{n}.parquet"))) for n in names], "name string, present boolean")
+
+
 def canonical_id(col: Column | str) -> Column:
     """An id without surrounding blanks and braces, in lower case; blank becomes null."""
     col = F.col(col) if isinstance(col, str) else col
