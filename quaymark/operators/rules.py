@@ -53,6 +53,17 @@ def quality_at_cost(points: DataFrame, budgets: Sequence[float]) -> DataFrame:
     return points.select("score", "cost", b).groupBy("budget").agg(F.max(F.when(F.col("cost") <= F.col("budget"), F.col("score"))).alias("score"))
 
 
+def compare_rules(frontiers: dict[str, DataFrame], budgets: Sequence[float], least: float = 0.008) -> DataFrame:
+    """budget, rule, delta, wins: what each further rule gains on the first one within each budget; a gain counts above ``least``."""
+    names = list(frontiers)
+    base = quality_at_cost(frontiers[names[0]], budgets).withColumnRenamed("score", "base")
+    out = None
+    for name in names[1:]:
+        one = quality_at_cost(frontiers[name], budgets).join(base, "budget").select("budget", F.lit(name).alias("rule"), (F.col("score") - F.col("base")).alias("delta"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("wins", F.coalesce(F.col("delta") > least, F.lit(False)))
+
+
 def parity_cost(points: DataFrame, single: DataFrame, slack: float = 0.0) -> DataFrame:
     """Lowest cost of a score that is not more than ``slack`` below the single's, and the saving against its cost; ``single``: one row (score, cost)."""
     one = single.select((F.col("score") - slack).alias("__least"), F.col("cost").alias("__cost"))
