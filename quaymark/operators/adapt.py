@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quaymark.operators.joins import small
+from quaymark.operators.outcomes import fill_missing
+from quaymark.session import cut_table
+
 
 def prompt_items(records: DataFrame) -> DataFrame:
     """One row per data set and prompt: scores and usages by model as maps, in order of the models' names."""
@@ -14,16 +18,28 @@ def prompt_items(records: DataFrame) -> DataFrame:
     return items.select("dataset_id", "prompt_key", "index", F.map_from_entries(F.transform("e", lambda x: F.struct(x["model_name"], x["score"]))).alias("records"), F.map_from_entries(F.transform("e", lambda x: F.struct(x["model_name"], x["usage"]))).alias("usages"))
 
 
+def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
+    """df with numbers from 0 in ``order``: sorted in ranges, numbered within each, and moved by the sizes of the ranges before."""
+    t = cut_table(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__m", F.monotonically_increasing_id()))
+    part = F.shiftright("__m", 33)
+    sizes = sorted((r["p"], r["n"]) for r in t.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # one row for each range
+    starts, at = [], 0
+    for p, n in sizes:
+        starts.append((p, at))
+        at += n
+    offsets = df.sparkSession.createDataFrame(starts, "__p long, __at long")
+    return t.withColumn("__p", part).join(F.broadcast(offsets), "__p").withColumn(out, F.col("__at") + F.col("__m") - F.shiftleft("__p", 33)).drop("__p", "__m", "__at")
+
+
 def dense_ids(df: DataFrame, column: str, out: str) -> DataFrame:
     """Numbers from 0 in order of the distinct values; the values are ranked, not the rows."""
-    values = df.select(column).distinct()
-    return values.withColumn(out, F.row_number().over(W.orderBy(column)).cast("long") - 1)
+    return numbered(df.select(column).distinct(), column, out)
 
 
 def label_matrix(records: DataFrame) -> DataFrame:
     """prompt_id, model_id, label for every prompt and model, absent outcomes 0."""
     prompts, models = dense_ids(records, "prompt_key", "prompt_id"), dense_ids(records, "model_name", "model_id")
-    cells = prompts.crossJoin(F.broadcast(models)).join(records.select("prompt_key", "model_name", "score"), ["prompt_key", "model_name"], "left")
+    cells = prompts.crossJoin(small(models)).join(records.select("prompt_key", "model_name", "score"), ["prompt_key", "model_name"], "left")
     return cells.select("prompt_id", "model_id", F.when(F.col("score") > 0, 1).otherwise(0).cast("long").alias("label"))
 
 
@@ -63,5 +79,46 @@ def pair_counts(prompts: DataFrame, by: str, ahead: int) -> DataFrame:
 
 def used_index(used: DataFrame, catalog: DataFrame, key: str, order: str) -> DataFrame:
     """Catalogue rows that are used, numbered again from 0."""
-    kept = catalog.join(used.select(key).distinct(), key, "left_semi")
-    return kept.withColumn("new_index", F.row_number().over(W.orderBy(order)).cast("long") - 1)
+    return numbered(catalog.join(used.select(key).distinct(), key, "left_semi"), order, "new_index")
+
+
+def filled_items(records: DataFrame, models: DataFrame) -> DataFrame:
+    """prompt_items with every model of the roster; absent scores are 0."""
+    return prompt_items(fill_missing(records, models, ["dataset_id", "prompt_key", "record_index"], ["score", "cost", "prompt_tokens", "completion_tokens"]))
+
+
+def with_cluster(items: DataFrame, labels: DataFrame, key: str = "prompt_key") -> DataFrame:
+    """items with the cluster_id of their prompt, -1 without one."""
+    return items.join(labels.select(key, "cluster_id"), key, "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))
+
+
+def triplets(prompts: DataFrame, by: str, key: str, ahead: int, negatives: int) -> DataFrame:
+    """by, anchor, positive, negatives: each anchor with a prompt of equal accuracy and its sampled ones of another."""
+    from quaymark.operators.splits import sample_negatives
+
+    pos = neighbour_pairs(prompts, by, key, key, ahead)
+    neg = sample_negatives(prompts, by, key, negatives).groupBy(by, "anchor").agg(F.sort_array(F.collect_list("negative")).alias("negatives"))
+    return pos.join(neg, [by, "anchor"], "left").select(by, "anchor", "positive", F.coalesce("negatives", F.array().cast("array<string>")).alias("negatives"))
+
+
+# fixed values: what stands in the documents of a conversation where there is nothing
+NOTHING_VISIBLE = "Not visible in this turn."
+NO_TOOL_CALLS = "No tool calls recorded."
+
+
+def section(title: str, items: Column) -> Column:
+    """A title and a list of lines behind dashes."""
+    lines = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
+    some = F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit(NOTHING_VISIBLE)))
+    return F.concat(F.lit(f"{title}:\n- "), F.array_join(some, "\n- "))
+
+
+def turn_document(role: Column, index: Column, text: Column, actions: Column) -> Column:
+    """The document of a turn: a user's request with its sections, or an agent's actions and what came out."""
+    clean = F.coalesce(F.nullif(F.trim(text), F.lit("")), F.lit("[missing prompt text]"))
+    empty = F.array().cast("array<string>")
+    user = F.concat_ws("\n\n", F.concat(F.lit("User message (turn "), index.cast("string"), F.lit("):")), F.concat(F.lit("Request:\n"), clean), F.concat(F.lit("Intent:\n"), clean), section("Constraints and guidelines", empty), section("Context supplied", empty), section("Clarifications and corrections", empty))
+    done = F.when(F.size(actions) > 0, section("Actions", actions)).otherwise(F.lit(f"Actions:\n- {NO_TOOL_CALLS}"))
+    outcome = F.when(F.trim(text) != "", F.concat(F.lit("Observed outcome:\n"), F.trim(text)))
+    agent = F.concat_ws("\n\n", F.concat(F.lit("Agent reply (turn "), index.cast("string"), F.lit("):")), done, outcome)
+    return F.when(role == "user", user).otherwise(agent)

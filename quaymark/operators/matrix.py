@@ -54,15 +54,39 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.nullif(norm(a) * norm(b), F.lit(0.0))), F.lit(0.0))
 
 
+def _packed(df: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
+    """ids, vs: the rows in lists of about ``rows``, which is what one cell of a blocked product holds."""
+    n = max(1, -(-df.count() // rows))
+    part = F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("__b")
+    return df.groupBy(part).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))).alias("rows"))
+
+
 def centroid_similarities(vectors: DataFrame, centroids: DataFrame, key: str, vector: str, max_centroids: int = 4096) -> DataFrame:
     """key, cluster_id, sim of every vector and centroid.
 
     Centroids are few by nature; their number is checked before they are sent
-    to all tasks, and beyond the limit both sides are joined in blocks.
+    to all tasks.  Beyond the limit both sides are packed into blocks, and a
+    block of vectors meets a block of centroids in one matrix product.
     """
     unit = centroids.select("cluster_id", l2_normalize(F.col("centroid")).alias("c"))
-    pairs = vectors.crossJoin(F.broadcast(unit)) if centroids.limit(max_centroids + 1).count() <= max_centroids else vectors.crossJoin(unit)
-    return pairs.withColumn("sim", F.round(dot(F.col(vector), F.col("c")), 6)).drop("c", vector)
+    if centroids.limit(max_centroids + 1).count() <= max_centroids:
+        return vectors.crossJoin(F.broadcast(unit)).withColumn("sim", F.round(dot(F.col(vector), F.col("c")), 6)).drop("c", vector)
+    import numpy as np
+    import pandas as pd
+
+    rest = [c for c in vectors.columns if c not in (key, vector)]
+    pairs = _packed(vectors, key, vector, 1024).select(F.col("rows").alias("a")).crossJoin(_packed(unit, "cluster_id", "c", 1024).select(F.col("rows").alias("b")))
+
+    def product(batches):
+        for pdf in batches:
+            for a, b in zip(pdf["a"], pdf["b"]):
+                ids, cs = [r["id"] for r in a], [r["id"] for r in b]
+                s = np.array([r["v"] for r in a], np.float64) @ np.array([r["v"] for r in b], np.float64).T
+                yield pd.DataFrame({key: np.repeat(ids, len(cs)), "cluster_id": np.tile(cs, len(ids)), "sim": np.round(s, 6).ravel()})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    out = pairs.mapInPandas(product, f"{key} {kind(vectors, key)}, cluster_id {kind(centroids, 'cluster_id')}, sim double")
+    return out.join(vectors.select(key, *rest), key).select(key, *rest, "cluster_id", "sim") if rest else out
 
 
 def top_p(sims: DataFrame, key: str, p: int) -> DataFrame:
@@ -118,30 +142,32 @@ def runner_up(scored: DataFrame, by: Sequence[str], value: str = "value", order:
 
 
 def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, rows_per_block: int = 4096) -> DataFrame:
-    """query, neighbour, sim: the k most similar base rows of each query, by blocks of a matrix product.
+    """query, neighbour, sim, rank: the k most similar base rows of each query, by blocks of a matrix product.
 
-    The queries are cut into blocks; every block meets every partition of the
-    base once and keeps k candidates there, so what is shuffled grows with the
-    queries, not with the base.  Ties go to the smaller neighbour.
+    Both sides are packed into blocks of at most about ``rows_per_block`` rows,
+    whatever their layout.  A block of queries meets a block of the base once
+    and keeps k candidates there, so what is shuffled grows with the queries
+    and the number of base blocks, not with the base.  Ties go to the smaller
+    neighbour.  The result is exact.
     """
     import numpy as np
     import pandas as pd
 
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"))
-    n = q.count()
-    blocks = max(1, -(-n // rows_per_block))
-    packed = q.withColumn("b", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).groupBy("b").agg(F.collect_list(F.struct("query", "qv")).alias("qs"))
-    chunks = base.select(F.col(key).alias("id"), F.col(vector).alias("v")).withColumn("c", F.pmod(F.xxhash64("id"), F.lit(max(1, base.rdd.getNumPartitions()))).cast("int"))
-    pairs = chunks.groupBy("c").agg(F.collect_list(F.struct("id", "v")).alias("vs")).crossJoin(packed)
+    pairs = _packed(queries, key, vector, rows_per_block).select(F.col("rows").alias("qs")).crossJoin(_packed(base, key, vector, rows_per_block).select(F.col("rows").alias("vs")))
 
     def best(batches):
         for pdf in batches:
             for vs, qs in zip(pdf["vs"], pdf["qs"]):
                 ids, x = np.array([r["id"] for r in vs]), np.array([r["v"] for r in vs], np.float64)
-                qi, y = np.array([r["query"] for r in qs]), np.array([r["qv"] for r in qs], np.float64)
-                s = np.round((y / np.maximum(np.linalg.norm(y, axis=1), 1e-12)[:, None]) @ (x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]).T, 6)
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, : k + 1]
-                yield pd.DataFrame({"query": np.repeat(qi, order.shape[1]), "neighbour": ids[order].ravel(), "sim": np.take_along_axis(s, order, 1).ravel()})
+                qi, y = np.array([r["id"] for r in qs]), np.array([r["v"] for r in qs], np.float64)
+                x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+                y = y / np.maximum(np.linalg.norm(y, axis=1), 1e-12)[:, None]
+                for at in range(0, len(qi), 512):  # similarities of a stretch of queries at a time
+                    s = np.round(y[at : at + 512] @ x.T, 6)
+                    few = np.argpartition(-s, min(k + 1, s.shape[1] - 1), axis=1)[:, : k + 1]
+                    least = np.take_along_axis(s, few, 1).min(1)
+                    rows, cols = np.nonzero(s >= least[:, None])  # with all that tie with the last one
+                    yield pd.DataFrame({"query": qi[at + rows], "neighbour": ids[cols], "sim": s[rows, cols]})
 
     found = pairs.mapInPandas(best, "query long, neighbour long, sim double").where("query <> neighbour")
     w = W.partitionBy("query").orderBy(F.desc("sim"), "neighbour")

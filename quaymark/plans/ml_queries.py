@@ -11,7 +11,7 @@ from quaymark.operators import rules as U
 from quaymark.plans.fixtures import oracle, view
 from quaymark.plans.outcome_queries import rounded
 from quaymark.plans.registry import Registry
-from quaymark.plans.rule_queries import FRONT, V, alpha_frontier, estimates, out
+from quaymark.plans.rule_queries import FRONT, KNN, V, alpha_frontier, estimates, out
 from quaymark.sources.tables import load
 
 R = Registry()
@@ -71,7 +71,7 @@ R.add("est_hybrid", lambda s, d: (lambda v: E.cluster_estimates(v, outs(s, d), E
 R.add("est_kmeans", lambda s, d: E.cluster_estimates(vectors(s, d), outs(s, d), E.centroids_of(vectors(s, d), 10), 20.0, 3, train()))
 R.add("held_out_error", lambda s, d: E.held_out_error(E.ridge(vectors(s, d), outs(s, d), train()), outs(s, d)))
 R.add("calibrate_isotonic", lambda s, d: E.calibrate(E.centroid_scores(vectors(s, d), outs(s, d), centroids(s, d), 5.0, 3, 0.05, train()).join(outs(s, d), ["key", "model_name"]), train()))
-R.add("sensitivity", lambda s, d: E.sensitivity(vectors(s, d), outs(s, d), 15, 2.0))
+R.add("sensitivity", lambda s, d: rounded(E.sensitivity(vectors(s, d), outs(s, d), 15, 2.0), digits=5), oracle(KNN.replace("rank <= 10", "rank <= 15") + ", w as (select query as key, neighbour, pow(greatest(sim, 0), 2) as w from kn), g as (select key, model_name, sum(w * score) / nullif(sum(w), 0) as m, coalesce(pow(sum(w), 2) / nullif(sum(w * w), 0), 0) as n from w join outcomes o on o.record_index = w.neighbour group by 1, 2), pr as (select model_name, avg(score) as prior from outcomes group by 1) select key, model_name, round(case when n = 0 then prior else (n * m + 5 * prior) / (n + 5) end, 5) as value from g join pr using (model_name)", "vectors", "outcomes"))
 R.add("lobo", lambda s, d: rounded(E.leave_family_out(vectors(s, d), outs(s, d), load(s, d, "embeddings", F.col("vec_id").alias("key"), (F.col("vec_id") % 4).alias("family")), centroids(s, d), 5.0, 3, 0.05), digits=5), oracle(_NR.format(p=3) + _SOFT.format(t="0.05e0") + """, f as (select unnest([0, 1, 2, 3]) as family), tr as (select family, oc.* from oc cross join f where key % 4 <> family),
 pr as (select family, model_name, avg(score) as prior from tr group by 1, 2), mn as (select family, cluster_id, model_name, avg(score) as mean, count(score) as n from lb join tr using (key) group by 1, 2, 3),
 tb as (select p.family, g.cluster_id, p.model_name, case when coalesce(n, 0) = 0 then prior else (n * mean + 5.0e0 * prior) / (n + 5.0e0) end as q from (select distinct cluster_id from lb) g cross join pr p left join mn on mn.family = p.family and mn.cluster_id = g.cluster_id and mn.model_name = p.model_name),

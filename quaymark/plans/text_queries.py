@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from quaymark.operators.joins import small
 from quaymark.plans.fixtures import oracle, view
 from quaymark.plans.outcome_queries import rounded
 from quaymark.plans.registry import Registry
+from quaymark.session import ensure_checkpoint_dir
+from quaymark.sources import files as Z
 from quaymark.sources import results as B
 from quaymark.sources.tables import load
 
@@ -102,6 +106,38 @@ R.add("agg_pair_stats", lambda s, d: A.pair_counts(A.difficulty(view(s, d, "spar
 R.add("semi_used_prompts", lambda s, d: A.used_index(view(s, d, "sparse").where("score > 0.9").select(F.col("record_index").alias("vec_id")), load(s, d, "embeddings", "vec_id", "label"), "vec_id", "vec_id"), oracle("select vec_id, label, row_number() over (order by vec_id) - 1 as new_index from embeddings where vec_id in (select record_index from sparse where score > 0.9)", "sparse"))
 R.add("anti_missing_test", lambda s, d: view(s, d, "outcomes").select("prompt_key", "model_name").exceptAll(view(s, d, "sparse").select("prompt_key", "model_name")), oracle("select prompt_key, model_name from outcomes except all select prompt_key, model_name from sparse", "sparse"))
 R.add("intersect_keys", lambda s, d: load(s, d, "request_telemetry", "decision_model").intersect(load(s, d, "model_axes", F.col("model").alias("decision_model"))), "select decision_model from request_telemetry intersect select model from model_axes")
-R.add("scan_pickle_wide", lambda s, d: rounded(load(s, d, "model_axes").unpivot(["model"], ["tps", "ttft_s", "verbosity_tokens"], "axis", "value").where("value is not null")), "select model, axis, round(value, 6) as value from (select model, unnest(['tps', 'ttft_s', 'verbosity_tokens']) as axis, unnest([tps, ttft_s, verbosity_tokens]) as value from model_axes) where value is not null")
 R.add("agg_median_verbosity", lambda s, d: rounded(load(s, d, "model_axes", "provider", "verbosity_tokens").groupBy("provider").agg(F.percentile("verbosity_tokens", 0.5).alias("median"))), "select provider, round(quantile_cont(verbosity_tokens, 0.5), 6) as median from model_axes group by 1")
 R.add("scan_prices", lambda s, d: rounded(load(s, d, "request_telemetry", "row_id", "decision_model", "input_tokens", "output_tokens").join(small(load(s, d, "model_axes", F.col("model").alias("decision_model"), "input_per_1k_usd", "output_per_1k_usd")), "decision_model", "left").select("row_id", ((F.coalesce("input_tokens", F.lit(0)) * F.coalesce("input_per_1k_usd", F.lit(0.001)) + F.coalesce("output_tokens", F.lit(0)) * F.coalesce("output_per_1k_usd", F.lit(0.002))) / 1000).alias("usd")), digits=8), "select row_id, round((coalesce(input_tokens, 0) * coalesce(input_per_1k_usd, 0.001e0) + coalesce(output_tokens, 0) * coalesce(output_per_1k_usd, 0.002e0)) / 1000, 8) as usd from request_telemetry t left join model_axes m on m.model = t.decision_model")
+_ITEMS = "string_agg(model_name || ':' || cast(round(score, 2) as varchar), ',' order by model_name) as records"
+_flat = lambda i: i.select("dataset_id", "prompt_key", "index", F.array_join(F.transform(F.map_entries("records"), lambda e: F.concat_ws(":", e["key"], F.round(e["value"], 2).cast("string"))), ",").alias("records"))
+R.add("adapt_frugal", lambda s, d: _flat(A.prompt_items(view(s, d, "outcomes"))), oracle(f"select dataset_id, prompt_key, min(record_index) as \"index\", {_ITEMS} from outcomes group by 1, 2", "outcomes"))
+_roster = lambda s, d: view(s, d, "models").withColumnRenamed("model", "model_name")
+R.add("adapt_modelsat", lambda s, d: _flat(A.filled_items(view(s, d, "sparse"), _roster(s, d))), oracle(f", f as (select p.*, m.model as model_name, coalesce(o.score, 0) as score from (select distinct dataset_id, prompt_key, record_index from sparse) p cross join models m left join sparse o on o.prompt_key = p.prompt_key and o.model_name = m.model) select dataset_id, prompt_key, min(record_index) as \"index\", {_ITEMS} from f group by 1, 2", "sparse", "models"))
+R.add("adapt_routerdc", lambda s, d: (lambda i: _flat(i).join(i.select("prompt_key", "cluster_id"), "prompt_key"))(A.with_cluster(A.filled_items(view(s, d, "sparse"), _roster(s, d)), view(s, d, "vectors").where("vec_id % 10 > 0").select(F.concat(F.lit("p"), "vec_id").alias("prompt_key"), F.col("label").alias("cluster_id")))), oracle(f", f as (select p.*, m.model as model_name, coalesce(o.score, 0) as score from (select distinct dataset_id, prompt_key, record_index from sparse) p cross join models m left join sparse o on o.prompt_key = p.prompt_key and o.model_name = m.model) select dataset_id, prompt_key, min(record_index) as \"index\", {_ITEMS}, any_value(case when record_index % 10 > 0 then cast(substr(dataset_id, 3) as int) else -1 end) as cluster_id from f group by 1, 2", "sparse", "models"))
+_levels = lambda s, d: A.difficulty(view(s, d, "sparse")).withColumn("accuracy", F.round("accuracy", 6))
+R.add("neg_sampling", lambda s, d: S.sample_negatives(_levels(s, d), "dataset_id", "prompt_key", 10))
+R.add("adapt_triplets", lambda s, d: A.triplets(_levels(s, d), "dataset_id", "prompt_key", 2, 6))
+_HR = "row_number() over (partition by {g} order by " + _B.format("{k}") + " % 64, sha256({k}), {k}) - 1"
+R.add("split_stratified", lambda s, d: S.stratified_split(view(s, d, "outcomes"), "dataset_id", "prompt_key", 0.3), oracle(f", p as (select distinct dataset_id, prompt_key from outcomes), r as (select *, {_HR.format(g='dataset_id', k='prompt_key')} as rank, count(*) over (partition by dataset_id) as n from p) select dataset_id, prompt_key, case when rank < round_even(n * 0.3e0, 0) then 'test' else 'train' end as part from r", "outcomes"))
+R.add("split_record_ratio", lambda s, d: S.record_split(view(s, d, "sparse"), "dataset_id", ["prompt_key", "model_name"], 0.7), oracle(f", p as (select dataset_id, prompt_key, model_name, prompt_key || '|' || model_name as k from sparse), r as (select *, {_HR.format(g='dataset_id', k='k')} as rank, count(*) over (partition by dataset_id) as n from p) select dataset_id, prompt_key, model_name, case when rank < floor(n * 0.7e0) then 'train' else 'test' end as part from r", "sparse"))
+R.add("split_pinned", lambda s, d: docs(s, d).select("doc_id", S.pinned_split(X.prompt_key(F.col("text")), 42, b"split-v1").alias("part")), f"with k as (select doc_id, ('0x' || substr(sha256(encode('split-v1') || unhex('00000000000000002a') || unhex(sha256({_N}))), 1, 16))::ubigint % 10000 as b from documents where text is not null) select doc_id, case when b < 7000 then 'train' when b < 8500 then 'validation' else 'test' end as part from k")
+R.add("random_policy", lambda s, d: load(s, d, "embeddings", "vec_id").select("vec_id", S.random_policy(F.col("vec_id"), 7, 5).alias("model")), "select vec_id, ('0x' || substr(sha256('7|' || vec_id), 1, 15))::bigint % 5 as model from embeddings")
+R.add("seq_documents", lambda s, d: view(s, d, "busy").select("call_id", F.sha2(A.turn_document(F.when(F.col("user_turn"), "user").otherwise("assistant"), F.col("call_id") % 60, F.when(F.col("call_id") % 7 > 0, F.col("text")), F.when(F.col("has_tool"), F.array(F.col("sig"), F.lit(" "))).otherwise(F.array().cast("array<string>"))), 256).alias("k")), oracle("""select call_id, sha256(case when user_turn then 'User message (turn ' || call_id % 60 || '):' || n || 'Request:' || chr(10) || t || n || 'Intent:' || chr(10) || t || n || 'Constraints and guidelines:' || e || n || 'Context supplied:' || e || n || 'Clarifications and corrections:' || e
+ else 'Agent reply (turn ' || call_id % 60 || '):' || n || 'Actions:' || chr(10) || '- ' || case when has_tool then sig else 'No tool calls recorded.' end || case when call_id % 7 > 0 then n || 'Observed outcome:' || chr(10) || text else '' end end) as k
+ from (select *, chr(10) || chr(10) as n, case when call_id % 7 > 0 then text else '[missing prompt text]' end as t, chr(10) || '- Not visible in this turn.' as e from busy)""", "busy"))
+_WIDE = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+R.add("scan_pickle_wide", lambda s, d: rounded(Z.wide_outcomes(Z.to_wide(view(s, d, "sparse"), ["dataset_id", "prompt_key"], _WIDE), ["dataset_id", "prompt_key"], _WIDE)), oracle("select dataset_id, prompt_key, model_name, round(score, 6) as score, round(cost, 6) as cost from sparse", "sparse"))
+R.add("fingerprint", lambda s, d: B.content_hash(view(s, d, "sparse").select("dataset_id", "prompt_key", "model_name", "record_index"), ["dataset_id"], ["prompt_key", "model_name", "record_index"]), oracle("""select dataset_id, sha256(string_agg(h, '' order by h)) as fingerprint from (select dataset_id, sha256('{"model_name":"' || model_name || '","prompt_key":"' || prompt_key || '","record_index":' || record_index || '}') as h from sparse) group by 1""", "sparse"))
+
+
+def _results(s: SparkSession, d: str) -> DataFrame:
+    """The outcomes, written as result files into the shared folder and read again."""
+    folder = f"{ensure_checkpoint_dir(s)}/results-{uuid.uuid4().hex}"
+    o = view(s, d, "sparse").withColumns({"prompt": F.col("prompt_key"), "prediction": F.lit("x"), "ground_truth": F.lit("y")})
+    Z.write_results(o, folder)
+    return B.read_results(s, folder)
+
+
+R.add("scan_bench_json", lambda s, d: rounded(B.records(B.latest_files(B.select_files(_results(s, d)))).select("dataset_id", "split", "model_name", "record_index", "prompt", "score", "cost", "prompt_tokens", "completion_tokens")), oracle("select dataset_id, split, model_name, record_index, prompt_key as prompt, round(score, 6) as score, round(cost, 6) as cost, prompt_tokens, completion_tokens from sparse", "sparse"))
+R.add("list_results", lambda s, d: rounded(B.list_results(_results(s, d))), oracle("select dataset_id as dataset_name, split, model_name, 20250101000000 as stamp, round(avg(score), 6) as performance, count(*) as n_records from sparse group by 1, 2, 3", "sparse"))
+R.add("scan_filter_files", lambda s, d: B.records(B.select_files(_results(s, d), only={"model_name": ["ASIA", "EUROPE"]}, without={"dataset_name": ["ds3"], "model_name": ["ASIA"]})).groupBy("dataset_id", "model_name").agg(F.count("*").alias("n")), oracle("select dataset_id, model_name, count(*) as n from sparse where model_name in ('ASIA', 'EUROPE') and dataset_id <> 'ds3' group by 1, 2", "sparse"))

@@ -110,7 +110,25 @@ def posteriors(spark: SparkSession, text: str) -> DataFrame:
 
 
 def report(df: DataFrame, columns: Sequence[str], limit: int = 1000) -> str:
-    """The first rows as a table of a text document."""
+    """The first rows as a table of a text document; if there are more, the last line says how many."""
+    n = df.count()
     rows = df.select(*columns).limit(limit).collect()
     line = lambda cells: "| " + " | ".join(map(str, cells)) + " |"
-    return "\n".join([line(columns), line(["-"] * len(columns)), *(line(r) for r in rows)])
+    more = [f"\n{n - limit} more rows"] if n > limit else []
+    return "\n".join([line(columns), line(["-"] * len(columns)), *(line(r) for r in rows), *more])
+
+
+def list_results(results: DataFrame) -> DataFrame:
+    """dataset_name, split, model_name, stamp, performance, n_records of the newest file that is no demo of each cell."""
+    latest = latest_files(select_files(results))
+    return latest.select("dataset_name", "split", "model_name", "stamp", "performance", F.size("records").cast("long").alias("n_records"))
+
+
+def content_hash(rows: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """by, fingerprint: the hash over the rows' canonical JSON, in order of their own hashes, so that neither order nor layout matters.
+
+    A row is first hashed to 64 characters, so what a group brings together is
+    one hash a row.
+    """
+    one = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)])), 256)
+    return rows.select(*by, one.alias("h")).groupBy(*by).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("fingerprint"))

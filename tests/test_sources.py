@@ -56,7 +56,8 @@ def test_sinks(spark, tmp_path):
         S.write_new(df, str(tmp_path / "t"))
     a = S.fingerprint(df, ["id", "v"])
     assert a == S.fingerprint(spark.read.parquet(str(tmp_path / "t")).orderBy(F.desc("id")), ["id", "v"]) != S.fingerprint(df.where("id > 0"), ["id", "v"])
-    assert S.report(df.orderBy("id"), ["id"], 1) == "| id |\n| - |\n| 0 |"
+    assert S.report(df.orderBy("id"), ["id"], 1) == "| id |\n| - |\n| 0 |\n\n9 more rows"
+    assert S.report(df.where("id = 0"), ["id"], 1) == "| id |\n| - |\n| 0 |"
 
 
 def test_posteriors(spark):
@@ -64,3 +65,78 @@ def test_posteriors(spark):
     assert {(r["cluster_id"], r["model_name"], r["mean"]) for r in S.posteriors(spark, text).collect()} == {("0", "a", 0.5), ("1", "b", 0.2)}
     with pytest.raises(ValueError):
         S.posteriors(spark, text.replace("0.1", "-0.1"))
+
+
+def test_binary_vectors_and_bundles(spark, tmp_path):
+    import numpy as np
+
+    from quaymark.sources import files as Z
+
+    x = np.arange(12, dtype="<f4").reshape(4, 3)
+    head = json.dumps({"n": 4, "embed_dim": 3, "corpus_sha256": "abc"}).encode()
+    (tmp_path / "v.bin").write_bytes(b"PEM1" + len(head).to_bytes(4, "little") + head + x.tobytes())
+    assert [list(r["vec"]) for r in Z.read_vectors(spark, str(tmp_path / "v.bin"), "abc").orderBy("place").collect()] == x.tolist()
+    for bad in (lambda: Z.read_vectors(spark, str(tmp_path / "v.bin"), "other"),):
+        with pytest.raises(Exception, match="another text"):
+            bad().collect()
+    b = tmp_path / "bundles" / "v1"
+    b.mkdir(parents=True)
+    (b / "centroids.bin").write_bytes(b"CRTS" + np.array([1, 2, 3], "<u4").tobytes() + x[:2].tobytes())
+    (b / "quality_means.json").write_text(json.dumps({"0": {"m": 0.5}, "1": {"m": 0.25}}))
+    (b / "model_axes.json").write_text(json.dumps({"axes": {"m": {"tps": 3.0}}}))
+    (tmp_path / "bundles" / "latest").write_text("v1")
+    bundle = Z.read_bundle(spark, str(tmp_path / "bundles"), dim=3)
+    assert {(r["cluster_id"], r["mean"]) for r in bundle.quality.collect()} == {(0, 0.5), (1, 0.25)} and bundle.axes.first()["tps"] == 3.0
+    with pytest.raises(ValueError, match="dimensions"):
+        Z.read_bundle(spark, str(tmp_path / "bundles"), dim=4)
+    (b / "quality_means.json").write_text(json.dumps({"0": {"m": 0.5}}))
+    with pytest.raises(ValueError, match="quality"):
+        Z.read_bundle(spark, str(tmp_path / "bundles"))
+
+
+def test_archives_are_checked(tmp_path):
+    import hashlib
+    import io
+    import tarfile
+
+    from quaymark.sources import files as Z
+
+    def pack(name, entry):
+        with tarfile.open(tmp_path / name, "w") as tar:
+            info = tarfile.TarInfo(entry)
+            info.size = 2
+            tar.addfile(info, io.BytesIO(b"hi"))
+        return str(tmp_path / name)
+
+    good = pack("a.tar", "x/y.txt")
+    assert Z.extract_archive(good, str(tmp_path / "out"), hashlib.sha256(open(good, "rb").read()).hexdigest()) == ["x/y.txt"]
+    with pytest.raises(ValueError, match="hash"):
+        Z.extract_archive(good, str(tmp_path / "out"), "00")
+    with pytest.raises(ValueError, match="extracted"):
+        Z.extract_archive(pack("b.tar", "../evil.txt"), str(tmp_path / "out2"))
+    assert not (tmp_path / "evil.txt").exists()
+
+
+def test_tables_of_other_programs(spark, tmp_path):
+    from quaymark.sources import files as Z
+
+    (tmp_path / "l.csv").write_text("prompt_id,model_id,label,extra\n1,0,1,x\n1,1,0,y\n2,1,1,z\n")
+    labels = Z.read_labels(spark, str(tmp_path / "l.csv"))
+    assert {tuple(r) for r in Z.label_rows(labels, [0, 1]).collect()} == {(1, 1, 0), (2, 0, 1)}
+    (tmp_path / "p.jsonl").write_text('{"id": "a", "text": "t", "register": "low"}\n')
+    assert Z.read_probes(spark, str(tmp_path / "p.jsonl")).first()["note"] is None
+    df = spark.range(3).withColumn("a", F.array(F.col("id")))
+    Z.write_version(df, str(tmp_path / "t"), "v1")
+    Z.write_version(df.where("id > 0"), str(tmp_path / "t"), "v2")
+    assert Z.read_latest(spark, str(tmp_path / "t")).count() == 2
+    with pytest.raises(Exception, match="(?i)exist"):
+        Z.write_version(df, str(tmp_path / "t"), "v2")
+    Z.save_matrix(df, str(tmp_path / "m"))
+    assert Z.load_matrix(spark, str(tmp_path / "m")).count() == 3
+    with pytest.raises(ValueError):
+        Z.load_matrix(spark, str(tmp_path / "t" / "v1"))
+    for form in ("json", "csv", "parquet"):
+        Z.export(df, str(tmp_path / f"e-{form}"), form)
+    assert spark.read.option("header", True).csv(str(tmp_path / "e-csv")).count() == 3
+    Z.write_tables({"one": df.drop("a")}, str(tmp_path / "x"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "x/one")).count() == 3
