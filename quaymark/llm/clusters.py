@@ -7,9 +7,9 @@ and code.  Records without any anchor are one block together, whatever their
 number.  Within a block a Gaussian mixture is fitted by expectation
 maximisation on standardised, reduced features, with a covariance that is
 pulled towards a prior, and fields that a text does not have are left out of
-its likelihood.  Words alone are thin evidence, so in the block without anchors
-the covariance is tied between all components: that of the wording inside known
-jobs, or what the directions that are not kept have.  Components are split in two as
+its likelihood.  The covariance of the words is tied between all components:
+that of the wording inside known jobs, which the reduction makes a unit, or
+what the directions that are not kept have.  Components are split in two as
 long as the Bayesian information criterion says so; the members of the highest
 density represent a cluster.  All blocks of a task are fitted in one batch of
 array operations; a block that no task can hold is split by passes over all.
@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quaymark.operators.joins import small
 from quaymark.session import cut_table
 
 WORD_DIMS = 96  # hashed word features before the reduction
@@ -67,7 +68,7 @@ def split_anchors(text: str) -> list[tuple[str, tuple[str, ...]]]:
         parts = _pieces(item)
         if len(parts) == 2 and len(parts[0]) >= 4 and len(parts[1]) >= 4 and "." not in item:
             out.append(("pair", parts))
-        elif len(parts) == 3 and "-" not in item:
+        elif len(parts) == 3 and "-" not in item and ("_" in item or item.count(".") < 2):
             out.append(("place", parts))
     return out
 
@@ -167,7 +168,7 @@ def parse(text: str, lists: Lists) -> tuple[str | None, str | None, str | None,
         parts = _pieces(item)
         if comp is None and len(parts) == 2 and len(parts[0]) >= 4 and (kind := _near(parts[1], lists.kinds)):
             comp = f"{parts[0]}-{kind}"
-        elif place is None and len(parts) == 3 and "-" not in item:
+        elif place is None and len(parts) == 3 and "-" not in item and ("_" in item or item.count(".") < 2):
             place = "_".join(lists.place(parts))
         elif not (m := _CODE.fullmatch(item)):
             words += [w for w in (parts or (item.lower(),)) if w.isalpha()]
@@ -230,6 +231,7 @@ class WordFeatures:
 
 DIMS = KEPT_DIMS + 2 * ANCHOR_DIMS
 PRIOR_VARIANCE = np.r_[np.full(KEPT_DIMS, 1.5), np.full(2 * ANCHOR_DIMS, 0.05)].astype(np.float32)
+WORD_SPREAD = 1.5  # how much wider than the wording of known jobs the covariance of the words is taken, since a job is worded in a few ways
 PRIOR_WEIGHT = 10.0  # observations that the prior variance counts as
 EM_ROUNDS = 12
 _LOG_2PI = float(np.log(2 * np.pi))
@@ -242,6 +244,7 @@ class Reduction:
     mean: np.ndarray
     project: np.ndarray
     noise: float = 1.0  # variance of the wording of one job in a direction
+    spread: float = 1.0  # the same where anchors tell jobs apart
     kept: int = KEPT_DIMS  # directions that count; the rest are not observed
 
     @classmethod
@@ -263,13 +266,24 @@ class Reduction:
         top = np.argsort(-values, kind="stable")[:KEPT_DIMS]
         project = whiten @ vectors[:, top]
         project = project * np.sign(project[np.abs(project).argmax(0), np.arange(len(top))])
-        return cls(mean.astype(np.float32), project.astype(np.float32), *((1.0, KEPT_DIMS) if known else cls._noise(values)))
+        return cls(mean.astype(np.float32), project.astype(np.float32), *((1.0, 1.0, KEPT_DIMS) if known else cls._noise(values)))
+
+    def of_block(self, block: str) -> float:
+        """The variance of the wording in a block.
+
+        Where no job is known, records without anchors can only be told apart by
+        the directions of more than average variance, the rest being noise; records
+        with anchors are told apart by those, so all that words vary is wording.
+        """
+        return self.noise if block.startswith(UNANCHORED) else self.spread
 
     @staticmethod
-    def _noise(values: np.ndarray) -> tuple[float, int]:
+    def _noise(values: np.ndarray) -> tuple[float, float, int]:
         values = np.sort(values[values > 1e-6])[::-1]
         kept = min(KEPT_DIMS, max(1, int((values > values.mean()).sum()))) if len(values) else KEPT_DIMS
-        return float(values[kept:].mean() if len(values) > kept else max(0.5 * values.mean(), 1e-3) if len(values) else 1.0), kept
+        if not len(values):
+            return 1.0, 1.0, kept
+        return float(values[kept:].mean() if len(values) > kept else max(0.5 * values.mean(), 1e-3)), float(values[:kept].mean()), kept
 
 
 def features(place: list[str | None], code: list[str | None], words: np.ndarray, reduction: Reduction) -> tuple[np.ndarray, np.ndarray]:
@@ -291,26 +305,28 @@ def features(place: list[str | None], code: list[str | None], words: np.ndarray,
     return x, seen
 
 
-def _maximise(x: np.ndarray, m: np.ndarray, r: np.ndarray, tied: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _maximise(x: np.ndarray, m: np.ndarray, r: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Means, regularised variances and shares of components from responsibilities r (B, n, K)."""
-    return _from_sums(np.einsum("bnk,bnd->bkd", r, m), np.einsum("bnk,bnd->bkd", r, m * x), np.einsum("bnk,bnd->bkd", r, m * x * x), r.sum(1), tied, noise)
+    return _from_sums(np.einsum("bnk,bnd->bkd", r, m), np.einsum("bnk,bnd->bkd", r, m * x), np.einsum("bnk,bnd->bkd", r, m * x * x), r.sum(1), noise)
 
 
-def _from_sums(rm: np.ndarray, total: np.ndarray, square: np.ndarray, size: np.ndarray, tied: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """_maximise from its sufficient statistics: weights, sums and squares (B, K, d) and sizes (B, K); ``tied``: (B,)."""
+def _from_sums(rm: np.ndarray, total: np.ndarray, square: np.ndarray, size: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_maximise from its sufficient statistics: weights, sums and squares (B, K, d) and sizes (B, K).
+
+    The covariance of the words is tied between all components, since words alone are thin evidence; ``noise``: (B,).
+    """
     mean = total / np.maximum(rm, 1e-6)
     spread = np.maximum(square - rm * mean * mean, 0)
     var = (spread + PRIOR_WEIGHT * PRIOR_VARIANCE) / (rm + PRIOR_WEIGHT)
-    if tied.any():
-        var = np.where(tied[:, None, None], max(noise, 1e-6), var).astype(var.dtype)
+    var[:, :, :KEPT_DIMS] = WORD_SPREAD * np.maximum(noise, 1e-6)[:, None, None]
     share = size / np.maximum(size.sum(1), 1e-6)[:, None]
     # a component without any observation of a field says nothing about it
     return np.where(rm > 1e-3, mean, np.nan), var, share
 
 
-def _penalty(parameters: np.ndarray | int, n: np.ndarray | float, tied: np.ndarray | bool) -> np.ndarray:
-    """Of the information criterion; with a tied covariance, which is known in the smallest nodes too, n counts from 2 on."""
-    return parameters * np.log(np.maximum(n, 2) + 2.0 * tied)
+def _penalty(parameters: np.ndarray | int, n: np.ndarray | float) -> np.ndarray:
+    """Of the information criterion; n counts from 2 on, since one of two points is no evidence of its own."""
+    return parameters * np.log(n + 2.0)
 
 
 def _log_density(x: np.ndarray, m: np.ndarray, mean: np.ndarray, var: np.ndarray, fallback: np.ndarray, fallback_var: np.ndarray) -> np.ndarray:
@@ -324,10 +340,10 @@ def _log_density(x: np.ndarray, m: np.ndarray, mean: np.ndarray, var: np.ndarray
     return -0.5 * (quad + logs)
 
 
-def _try_split(x: np.ndarray, m: np.ndarray, w: np.ndarray, tied: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray]:
+def _try_split(x: np.ndarray, m: np.ndarray, w: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each node of the batch (B, n, ...): whether two components beat one, and the side of each point."""
     one = w[:, :, None]
-    mu, var, _ = _maximise(x, m, one, tied, noise)
+    mu, var, _ = _maximise(x, m, one, noise)
     mu1, var1 = np.nan_to_num(mu), var
     l1 = (_log_density(x, m, mu, var, mu1, var1)[:, :, 0] * w).sum(1)
     live = w > 0
@@ -344,7 +360,7 @@ def _try_split(x: np.ndarray, m: np.ndarray, w: np.ndarray, tied: np.ndarray, no
     near[b, i], near[b, j] = 1, 0
     r = np.stack([near, 1 - near], 2) * one
     for _ in range(EM_ROUNDS):
-        mu, var, share = _maximise(x, m, r, tied, noise)
+        mu, var, share = _maximise(x, m, r, noise)
         ll = _log_density(x, m, mu, var, mu1, var1) + np.log(np.maximum(share, 1e-9))[:, None, :]
         top = ll.max(2)
         p = np.exp(ll - top[:, :, None])
@@ -355,14 +371,14 @@ def _try_split(x: np.ndarray, m: np.ndarray, w: np.ndarray, tied: np.ndarray, no
     extra = (np.einsum("bn,bnd->bd", w, m) > 0).sum(1) + 1
     side = r[:, :, 1] > r[:, :, 0]
     both = (side & live).any(1) & (~side & live).any(1)
-    return (2 * (l2 - l1) > _penalty(extra, w.sum(1), tied)) & both, side
+    return (2 * (l2 - l1) > _penalty(extra, w.sum(1))) & both, side
 
 
-def fit_blocks(block: np.ndarray, x: np.ndarray, seen: np.ndarray, weight: np.ndarray, tied: np.ndarray | None = None, noise: float = 1.0, budget: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """(component, density) of each point, components numbered within all blocks; ``block``: integers, sorted; ``tied``: of each point."""
+def fit_blocks(block: np.ndarray, x: np.ndarray, seen: np.ndarray, weight: np.ndarray, noise: np.ndarray | None = None, budget: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(component, density) of each point, components numbered within all blocks; ``block``: integers, sorted; ``noise``: of each point's block."""
+    noise = np.ones(len(block)) if noise is None else noise
     m = seen.astype(np.float32)
     w = _weights(weight)
-    tied = np.zeros(len(block), bool) if tied is None else tied
     edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.array([], int)
     queue = [np.arange(a, b) for a, b in zip(edges, np.r_[edges[1:], len(block)])]
     done: list[np.ndarray] = []
@@ -382,7 +398,7 @@ def fit_blocks(block: np.ndarray, x: np.ndarray, seen: np.ndarray, weight: np.nd
                 for k, q in enumerate(part):
                     idx[k, : len(q)], live[k, : len(q)] = q, 1
                 mm = m[idx] * live[:, :, None]
-                split, side = _try_split(x[idx], mm, w[idx] * live, tied[idx[:, 0]], noise)
+                split, side = _try_split(x[idx], mm, w[idx] * live, noise[idx[:, 0]])
                 for k, q in enumerate(part):
                     if split[k]:
                         right = side[k, : len(q)]
@@ -453,11 +469,6 @@ class _Node:
         return top + np.log(p.sum(1)), p / p.sum(1, keepdims=True)
 
 
-def _tied(block: str) -> bool:
-    """Whether a block, or a node that was split from it, is that of the records without anchors."""
-    return block.startswith(UNANCHORED)
-
-
 def _only(points: DataFrame, names: Collection[str]) -> DataFrame:
     """Points of some blocks; with very many of them the tasks choose on their own, since a plan can't hold the list."""
     return points.where(F.col("block").isin(list(names))) if len(names) <= 1000 else points
@@ -507,9 +518,9 @@ def _sweep(points: DataFrame, nodes: dict[str, _Node], what: str, red: Reduction
     return out
 
 
-def _parameters(sums: np.ndarray, parts: int, tied: bool, noise: float) -> tuple[np.ndarray, ...]:
+def _parameters(sums: np.ndarray, parts: int, noise: float) -> tuple[np.ndarray, ...]:
     rm, total, square = sums[:-parts].reshape(3, 1, parts, DIMS)
-    return tuple(a.astype(np.float32) for a in _from_sums(rm, total, square, sums[-parts:][None], np.array([tied]), noise))
+    return tuple(a.astype(np.float32) for a in _from_sums(rm, total, square, sums[-parts:][None], np.array([noise])))
 
 
 def split_nodes(points: DataFrame, largest: int, red: Reduction) -> tuple[DataFrame, dict[str, _Node]]:
@@ -525,17 +536,17 @@ def split_nodes(points: DataFrame, largest: int, red: Reduction) -> tuple[DataFr
             return points, whole
         nodes = {b: _Node() for b in big}
         for b, (sums, _) in _sweep(points, nodes, "one", red).items():
-            nodes[b].one, nodes[b].observed, nodes[b].n = _parameters(sums, 1, _tied(b), red.noise), int((sums[:DIMS] > 0).sum()), float(sums[-1])
+            nodes[b].one, nodes[b].observed, nodes[b].n = _parameters(sums, 1, red.of_block(b)), int((sums[:DIMS] > 0).sum()), float(sums[-1])
         for what in ("far", "other"):
             for b, (sums, (_, i, x, m)) in _sweep(points, nodes, what, red).items():
                 nodes[b].l1 += float(sums[0])
                 nodes[b].far += ((i, np.frombuffer(x, np.float32), np.frombuffer(m, np.float32)),)
         for _ in range(EM_ROUNDS):
             for b, (sums, _) in _sweep(points, nodes, "two", red).items():
-                nodes[b].two = _parameters(sums, 2, _tied(b), red.noise)
+                nodes[b].two = _parameters(sums, 2, red.of_block(b))
         split = {}
         for b, (sums, _) in _sweep(points, nodes, "gain", red).items():
-            if 2 * (sums[0] - nodes[b].l1) > _penalty(nodes[b].observed + 1, nodes[b].n, _tied(b)) and sums[1] and sums[2]:
+            if 2 * (sums[0] - nodes[b].l1) > _penalty(nodes[b].observed + 1, nodes[b].n) and sums[1] and sums[2]:
                 split[b] = nodes[b]
             else:
                 whole[b] = nodes[b]
@@ -566,7 +577,7 @@ def _fit_points(points: DataFrame, largest: int, red: Reduction) -> DataFrame:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
         x, m, _ = _arrays(pdf, red.kept)
-        label, density = fit_blocks(np.zeros(len(pdf), int), x, m > 0, pdf["weight"].to_numpy(), np.full(len(pdf), _tied(pdf["block"].iloc[0])), red.noise)
+        label, density = fit_blocks(np.zeros(len(pdf), int), x, m > 0, pdf["weight"].to_numpy(), np.full(len(pdf), red.of_block(pdf["block"].iloc[0])))
         return pd.DataFrame({"point": pdf["point"], "cluster_id": pdf["id"].groupby(label).transform("min"), "density": np.round(density, 6)})
 
     if not whole:
@@ -633,8 +644,9 @@ def _vectors(words: pd.Series) -> np.ndarray:
 def learn_reduction(parsed: DataFrame, hot: list[str], least_freedom: int = 20) -> Reduction:
     """Standardisation and projection of the word features, from all records.
 
-    Records of a component that names no two different codes are about one job:
-    how they differ is wording.  Their covariance is the scale, so that the
+    Records of a component's block that names no two different codes are about
+    one job, whether they name the component or follow its place and code: how
+    they differ is wording.  Their covariance is the scale, so that the
     directions kept are those in which jobs differ.  With fewer than
     ``least_freedom`` degrees of freedom for that, the directions of most
     variance are taken.  Equal records of a component count once in the
@@ -695,8 +707,7 @@ def learn_reduction(parsed: DataFrame, hot: list[str], least_freedom: int = 20)
 
     kind = "i int, j int, s double"
     everything = _sums(parsed.select("words").mapInPandas(moments, kind))
-    name = F.concat(F.lit("c:"), "component")
-    named = parsed.where("component is not null").select(name.alias("block"), "code", "words")
+    named = parsed.where("block like 'c:%'").select("block", "code", "words")
     usual = named.where(~F.col("block").isin(hot)) if hot else named
     inside = _sums(usual.repartition("block").sortWithinPartitions("block").mapInPandas(scatter, kind))
     if hot:
@@ -722,9 +733,33 @@ def _own_block() -> Column:
     return F.coalesce(F.concat(F.lit("c:"), "component"), F.when(F.col("place").isNotNull() | F.col("code").isNotNull(), anchors), bare)
 
 
-def hot_blocks(parsed: DataFrame, largest: int) -> list[str]:
+def mend_components(parsed: DataFrame, least_letters: int = 6, times: int = 3) -> DataFrame:
+    """parsed, with a component whose name is one slip away from that of ``times`` as many records under that name.
+
+    A slip is a letter more, less or other, or two letters changed over.  Names
+    that are one slip apart share a form with at most one letter left out, so
+    they meet in a join on such forms, not in pairs; how many names share a
+    form is bounded by the alphabet.  Of several names the most usual one
+    counts, then the smaller.
+    """
+    names = parsed.where("component is not null").groupBy("component").agg(F.count("*").alias("n"))
+    names = names.select("component", "n", F.substring_index("component", "-", -1).alias("kind"), F.expr("left(component, length(component) - length(substring_index(component, '-', -1)) - 1)").alias("stem")).where(F.length("stem") >= least_letters)
+    names = cut_table(names)
+    short = F.transform(F.sequence(F.lit(1), F.length("stem")), lambda i: F.concat(F.left("stem", i - 1), F.substring("stem", i + 1, F.length("stem"))))
+    form = F.explode(F.array_distinct(F.concat(F.array("stem"), short)))
+    forms = lambda df, side: df.select(F.col("component").alias(f"c{side}"), F.col("stem").alias(f"s{side}"), F.col("n").alias(f"n{side}"), form.alias("form"), "kind")
+    a, b = forms(names, "a"), forms(names.where(F.col("n") >= times), "b")
+    letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    near = F.levenshtein("sa", "sb")
+    one_slip = (near <= 1) | ((near == 2) & (letters(F.col("sa")) == letters(F.col("sb"))))
+    pairs = a.join(b, ["kind", "form"]).where((F.col("ca") != F.col("cb")) & (F.col("nb") >= times * F.col("na")) & one_slip)
+    meant = cut_table(pairs.groupBy(F.col("ca").alias("component")).agg(F.min_by("cb", F.struct(-F.col("nb"), "cb")).alias("meant")))
+    return parsed.join(small(meant), "component", "left").withColumn("component", F.coalesce("meant", "component")).select(*parsed.columns)
+
+
+def hot_blocks(blocked: DataFrame, largest: int) -> list[str]:
     """Blocks of more than ``largest`` records: at most one for each ``largest`` rows."""
-    return sorted(r["b"] for r in parsed.groupBy(_own_block().alias("b")).count().where(F.col("count") > largest).collect())
+    return sorted(r["block"] for r in blocked.groupBy("block").count().where(F.col("count") > largest).collect())
 
 
 def assign_blocks(parsed: DataFrame) -> DataFrame:
@@ -750,7 +785,7 @@ def _fit(pdf: pd.DataFrame, reduction: Reduction) -> tuple[np.ndarray, np.ndarra
     """(component, density) of records sorted by block; equal records are fitted once, with their number as weight."""
     words = _vectors(pdf["words"]).astype(np.float32)
     x, seen = features(list(pdf["place"]), list(pdf["code"]), words, reduction)
-    return fit_blocks(pd.factorize(pdf["block"])[0], x, seen, pdf["weight"].to_numpy(), (pdf["block"].str.startswith(UNANCHORED)).to_numpy(bool), reduction.noise)
+    return fit_blocks(pd.factorize(pdf["block"])[0], x, seen, pdf["weight"].to_numpy(), pdf["block"].map(reduction.of_block).to_numpy(float))
 
 
 def cluster_records(records: DataFrame, rows_per_task: int = 40_000, lists: Lists | None = None, largest: int = 200_000) -> DataFrame:
@@ -769,11 +804,11 @@ def cluster_records(records: DataFrame, rows_per_task: int = 40_000, lists: List
     records = cut_table(records.select("key", "text"))  # read for the lists and for the features
     if lists is None:
         lists = Lists(*learn_lists(records))
-    parsed = cut_table(parse_records(records, lists))
-    hot = hot_blocks(parsed, largest)
-    reduction = learn_reduction(parsed, hot)
-    tasks = max(8, -(-parsed.count() // rows_per_task))
-    blocked = assign_blocks(parsed)
+    parsed = mend_components(cut_table(parse_records(records, lists)))
+    blocked = cut_table(assign_blocks(parsed).select("key", "n_chars", "block", "place", "code", "words"))
+    hot = hot_blocks(blocked, largest)
+    reduction = learn_reduction(blocked, hot)
+    tasks = max(8, -(-blocked.count() // rows_per_task))
     schema = "key string, n_chars int, cluster_id long, density double"
 
     def ids(pdf: pd.DataFrame) -> np.ndarray:

@@ -115,6 +115,18 @@ def test_the_size_of_a_block_does_not_change_its_clusters(spark, largest):
     assert {got[k][0] for k in alone} <= {got[k][0] for k in set(truth) - set(alone)}
 
 
+def test_a_slip_in_a_component_is_mended(spark):
+    rows = [(f"a{i}", "Look at gisazagebo-cache: the lock stays held on timeout, please repair it now") for i in range(6)]
+    rows += [(f"s{i}", f"In {w}-cache the lock stays held on timeout, please repair it") for i, w in enumerate(["gisazagbo", "gisazaagebo", "gisazagbeo", "gisazageto", "gizasagebo"])]
+    rows += [("o", "In gisatogebo-cache the lock stays held on timeout, please repair it"), ("k", "In gisazagebo-broker the lock stays held on timeout, please repair it")]
+    parsed = C.parse_records(spark.createDataFrame(rows, "key string, text string"), C.Lists(frozenset({"cache", "broker"}), frozenset()))
+    got = {r["key"]: r["component"] for r in C.mend_components(parsed).collect()}
+    assert len(got) == len(rows) and {got[f"a{i}"] for i in range(6)} == {"gisazagebo-cache"}
+    # a letter less, more, two changed over next to each other or apart, another letter; then two other letters, another kind
+    assert [got[f"s{i}"] for i in range(4)] == ["gisazagebo-cache"] * 4
+    assert got["o"] == "gisatogebo-cache" and got["k"] == "gisazagebo-broker"
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "key string, text string")
     assert C.cluster_records(df).collect() == [] and C.describe_clusters(C.cluster_records(df)).collect() == []
