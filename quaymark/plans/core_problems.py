@@ -119,12 +119,36 @@ def ranking_tags(spark: SparkSession, sf: str) -> DataFrame:
     return schema_drift.tagged_files(load(spark, sf, "ranking_files", "bundle_line", "file_seq", "file_id", "raw_json"), "bundle_line", "file_seq", "file_id", "raw_json")
 
 
-@R.query("p6_found")
+# the fields of the readable files in SQL: paths to values under meta that are no objects, with one form for equal values
+_P6_SQL = r"""
+with raw as (select bundle_line as line, file_seq as seq, file_id, regexp_replace(ltrim(raw_json, chr(65279)), '^\s+|\s+$', '', 'g') as t from ranking_files where bundle_line is not null and file_seq is not null and file_id is not null and raw_json is not null),
+files as (select line, seq, min(file_id) as file_id, arg_min(t, file_id) as t from raw where json_valid(t) group by 1, 2),
+spine as (select *, row_number() over (partition by line order by seq) as ord from files),
+nodes as (select line, ord, seq, file_id, replace(regexp_replace(n.fullkey, '^\$\.', ''), '"', '') as path, n.type, n.value, n.fullkey from spine, lateral (select fullkey, type, value from json_tree(spine.t, '$.meta')) n),
+fields as (select line, ord, seq, file_id, path,
+  case type when 'NULL' then null when 'BOOLEAN' then 'boolean' when 'VARCHAR' then 'string' when 'ARRAY' then 'array' else 'number' end as type,
+  case type when 'NULL' then null when 'VARCHAR' then json_extract_string(value, '$') when 'ARRAY' then cast(value as varchar) when 'BOOLEAN' then cast(value as varchar) else cast(cast(value as double) as varchar) end as v
+  from nodes where type <> 'OBJECT' and fullkey not like '%[%' and path <> 'meta.cost_per_1k_input_usd' and path not like 'meta.cost_per_1k_input_usd.%')
+"""
+
+
+@R.query(
+    "p6_found",
+    _P6_SQL
+    + """, new as (select a.* from fields a where ord > 1 and not exists (select 1 from fields b where b.line = a.line and b.ord = a.ord - 1 and b.path = a.path)),
+gone as (select s.file_id, b.line, s.ord, b.path, b.type, b.v from fields b join spine s on s.line = b.line and s.ord = b.ord + 1 where not exists (select 1 from fields a where a.line = b.line and a.ord = b.ord + 1 and a.path = b.path)),
+same as (select n.line, n.ord, n.path as new_path, g.path as old_path from new n join gone g on g.line = n.line and g.ord = n.ord and g.type = n.type and g.v = n.v),
+runs as (select *, sum(case when before = ord - 1 then 0 else 1 end) over (partition by line, path order by ord) as run from (select *, lag(ord) over (partition by line, path order by ord) as before from fields)),
+typed as (select file_id, path, type, last_value(type ignore nulls) over (partition by line, path, run order by ord rows between unbounded preceding and 1 preceding) as old from runs)
+select file_id, path as field_path, case when exists (select 1 from same where same.line = new.line and same.ord = new.ord and same.new_path = new.path) then 'renamed' else 'added' end as change_kind from new
+union all select file_id, path, 'removed' from gone where not exists (select 1 from same where same.line = gone.line and same.ord = gone.ord and same.old_path = gone.path)
+union all select file_id, path, 'retyped' from typed where type is not null and old is not null and type <> old""",
+)
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return schema_drift.schema_changes(ranking_tags(spark, sf)).select("file_id", "field_path", "change_kind")
 
 
-@R.query("p6_types")
+@R.query("p6_types", _P6_SQL + "select path, type, count(*) as n_files, min(seq) as first_seq, max(seq) as last_seq from fields group by 1, 2")
 def p6_types(spark: SparkSession, sf: str) -> DataFrame:
     return schema_drift.union_types(schema_drift.fused_unions(ranking_tags(spark, sf))[0])
 

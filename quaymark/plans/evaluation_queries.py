@@ -25,9 +25,9 @@ PICKED = PICKS + ", pk as (select o.* from picks p join outcomes o using (prompt
 _AGG = "count(*) as n, round(avg(score), 6) as accuracy, round(sum(cost), 6) as total_cost, round(avg(cost), 6) as cost_per_query, round(sum(cost) / nullif(count(*) filter (score > 0), 0), 6) as cost_per_correct, round(coalesce(sum(cost) filter (score > 0), 0), 6) as correct_cost"
 R.add("agg_routing_eval", lambda s, d: rounded(E.selection_report(picked(s, d), ["ds8", "ds9"])), oracle(PICKED + f", dm as (select *, case when dataset_id in ('ds8', 'ds9') then 'OOD' else 'In-Dist' end as domain from pk) select domain, dataset_id, {_AGG} from dm group by grouping sets ((domain, dataset_id), (domain), ())", *V))
 R.add("agg_pick_shares", lambda s, d: rounded(E.selection_counts(picked(s, d))), oracle(PICKED + ", n as (select dataset_id, model_name, count(*) as n from pk group by grouping sets ((dataset_id, model_name), (model_name))) select dataset_id, model_name, n, round(n / sum(n) over (partition by dataset_id), 6) as share from n", *V))
-R.add("agg_routing_cost", lambda s, d: rounded(E.routing_cost(picked(s, d).withColumn("cost", F.when(F.col("record_index") % 17 == 0, -F.col("cost")).otherwise(F.col("cost"))), ["ds8", "ds9"]), digits=5), oracle(PICKED + """, c as (select *, case when record_index % 17 = 0 then 0 else cost end as c, case when dataset_id in ('ds8', 'ds9') then 'OOD' else 'In-Dist' end as domain from pk),
+R.add("agg_routing_cost", lambda s, d: rounded(rounded(E.routing_cost(picked(s, d).withColumn("cost", F.when(F.col("record_index") % 17 == 0, -F.col("cost")).otherwise(F.col("cost"))), ["ds8", "ds9"]), "efficiency", digits=4), digits=7), oracle(PICKED + """, c as (select *, case when record_index % 17 = 0 then 0 else cost end as c, case when dataset_id in ('ds8', 'ds9') then 'OOD' else 'In-Dist' end as domain from pk),
 e as (select unnest([{'g': 'all', 'v': ''}, {'g': 'domain', 'v': domain}, {'g': 'dataset', 'v': dataset_id}, {'g': 'model', 'v': model_name}]) as k, score, c from c)
-select k.g as grain, k.v as name, count(*) as n, round(sum(c), 5) as total, round(avg(c), 5) as per_query, round(sum(c) / nullif(count(*) filter (score > 0), 0), 5) as per_correct, round(coalesce(sum(c) filter (score > 0), 0), 5) as correct_cost, round(coalesce(sum(c) filter (not score > 0), 0), 5) as incorrect_cost, round(count(*) filter (score > 0) / count(*) / nullif(avg(c), 0), 5) as efficiency from e group by 1, 2""", *V))
+select k.g as grain, k.v as name, count(*) as n, round(sum(c), 7) as total, round(avg(c), 7) as per_query, round(sum(c) / nullif(count(*) filter (score > 0), 0), 7) as per_correct, round(coalesce(sum(c) filter (score > 0), 0), 7) as correct_cost, round(coalesce(sum(c) filter (not score > 0), 0), 7) as incorrect_cost, round(count(*) filter (score > 0) / count(*) / nullif(avg(c), 0), 4) as efficiency from e group by 1, 2""", *V))
 R.add("agg_baseline_compare", lambda s, d: rounded(E.against_baselines(picked(s, d), out(s, d).where("not (dataset_id = 'ds3' and ord = 4)")), digits=4), oracle(PICKED + ", sgl as (select dataset_id, model_name, avg(score) as a from outcomes where not (dataset_id = 'ds3' and ord = 4) group by all), cv as (select model_name, count(*) / (select count(distinct dataset_id) from sgl) as coverage from sgl group by 1), b as (select dataset_id, arg_max(model_name, (round(a, 9), model_name)) as best_model, max(a) as best from sgl group by 1), m as (select dataset_id, avg(score) as accuracy from pk group by 1) select dataset_id, round(100 * accuracy, 4) as accuracy, best_model, round(100 * best, 4) as best, round(100 * accuracy - 100 * best, 4) + 0 as difference, round(coverage, 4) as coverage from m join b using (dataset_id) join cv on cv.model_name = best_model", *V))
 R.add("agg_model_coverage", lambda s, d: rounded(E.mean_over_covered(out(s, d).where("not (dataset_id = 'ds3' and ord = 4)"))), oracle(", g as (select dataset_id, model_name, avg(score) as a from outcomes where not (dataset_id = 'ds3' and ord = 4) group by all) select model_name, round(avg(a), 6) as mean, round(count(*) / (select count(distinct dataset_id) from g), 6) as covered from g group by 1", "outcomes"))
 R.add("category_accuracy", lambda s, d: rounded(E.category_accuracy(out(s, d))), oracle("select dataset_id, model_name, round(count(*) filter (score = 1.0) / count(*), 6) as accuracy from outcomes group by all", "outcomes"))
