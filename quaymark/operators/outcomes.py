@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaymark.operators.joins import small
+from quaymark.operators.percentiles import percentiles
 
 PROMPT = ("dataset_id", "split", "record_index")
 
@@ -214,8 +215,9 @@ def _cost_columns(cells: DataFrame) -> DataFrame:
 def pivot_models(records: DataFrame, sources: Sequence[str]) -> DataFrame:
     """Model x dataset pivot of the mean score, with ALL, cost per thousand, median and mean tokens."""
     wide = records.groupBy("model_name").pivot("dataset_id", list(sources)).agg(F.avg("score"))
-    total = records.groupBy("model_name").agg(F.avg("score").alias("ALL"), (F.avg("cost") * 1000).alias("cost_per_1k"), F.percentile("completion_tokens", 0.5).alias("median_tokens"), F.avg("completion_tokens").alias("mean_tokens"))
-    return wide.join(total, "model_name")
+    total = records.groupBy("model_name").agg(F.avg("score").alias("ALL"), (F.avg("cost") * 1000).alias("cost_per_1k"), F.avg("completion_tokens").alias("mean_tokens"))
+    median = percentiles(records, ["model_name"], "completion_tokens", {"median_tokens": 0.5}).drop("n")
+    return wide.join(total, "model_name").join(median, "model_name", "left")
 
 
 def metric_means(records: DataFrame, maps: str) -> DataFrame:
@@ -245,6 +247,11 @@ def cost_efficiency(records: DataFrame, by: str = "dataset_id") -> DataFrame:
 
 def latency_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """n, mean, p50, p95, p99 of positive values and the share of rows without one."""
-    ok = F.when(F.col(value) > 0, F.col(value).cast("double"))
-    p = F.percentile(ok, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return df.groupBy(*by).agg(F.count(ok).alias("n"), F.avg(ok).alias("mean"), p.alias("p"), (F.count_if(ok.isNull()) / F.count("*")).alias("missing_share")).select(*by, "n", "mean", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "missing_share")
+    ok = df.select(*by, F.when(F.col(value) > 0, F.col(value).cast("double")).alias("__ok"))
+    whole = ok.groupBy(*by).agg(F.count("__ok").alias("n"), F.avg("__ok").alias("mean"), (F.count_if(F.col("__ok").isNull()) / F.count("*")).alias("missing_share"))
+    p = percentiles(ok, by, "__ok", {"p50": 0.5, "p95": 0.95, "p99": 0.99}).drop("n")
+    same = F.lit(True)
+    for i, k in enumerate(by):
+        p = p.withColumnRenamed(k, f"__g{i}")
+        same = same & F.col(k).eqNullSafe(F.col(f"__g{i}"))
+    return whole.join(p, same, "left").select(*by, "n", "mean", "p50", "p95", "p99", "missing_share")

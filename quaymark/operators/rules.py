@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quaymark.operators.joins import small
 from quaymark.operators.matrix import argmax_first, minmax
+from quaymark.operators.percentiles import percentiles
 
 ALPHAS = tuple(i / 20 for i in range(21))
 
@@ -113,7 +114,9 @@ def regret(picks: DataFrame, records: DataFrame, alpha: float, key: str = "promp
 
 def cost_fit(records: DataFrame, x: str, y: str = "cost", by: str = "model_name", floor: float = 1e-7) -> DataFrame:
     """Least squares of cost on a size per model, with the tenth percentile of the cost as its floor."""
-    return records.groupBy(by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.greatest(F.percentile(y, 0.1), F.lit(floor)).alias("floor"))
+    fit = records.groupBy(by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+    low = percentiles(records, [by], y, {"p10": 0.1})
+    return fit.join(low, by, "left").select(by, "slope", "intercept", F.greatest("p10", F.lit(floor)).alias("floor"))
 
 
 def breakpoints(picks: DataFrame, key: str) -> DataFrame:
@@ -183,7 +186,7 @@ def explore_band(scored: DataFrame, key: str, width: float, value: str = "value"
 def confidence_gate(near: DataFrame, key: str, quantile: float = 0.25) -> DataFrame:
     """0.6 * highest similarity + 0.4 / (1 + mean distance) per key; low: below the quantile of all keys."""
     c = near.groupBy(key).agg((0.6 * F.max("sim") + 0.4 / (1 + F.avg(1 - F.col("sim")))).alias("confidence"))
-    cut = c.agg(F.percentile("confidence", quantile).alias("cut"))  # one row
+    cut = percentiles(c, [], "confidence", {"cut": quantile}).select("cut")  # one row
     return c.crossJoin(F.broadcast(cut)).select(key, "confidence", (F.round("confidence", 9) < F.round("cut", 9)).alias("low"))
 
 

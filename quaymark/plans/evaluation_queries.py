@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quaymark.operators import evaluation as E
 from quaymark.operators import matrix as M
 from quaymark.operators import rules as U
+from quaymark.operators.percentiles import percentiles
 from quaymark.plans.fixtures import oracle, view
 from quaymark.plans.outcome_queries import rounded
 from quaymark.plans.registry import Registry
@@ -68,7 +69,7 @@ R.add(
 )
 R.add("major_minor", lambda s, d: rounded(out(s, d).groupBy("prompt_key").agg(F.collect_list(F.struct("model_name", "score")).alias("c")).select("prompt_key", F.filter("c", lambda x: x["model_name"] == "EUROPE")[0]["score"].alias("major"), F.filter("c", lambda x: x["model_name"] == "ASIA")[0]["score"].alias("minor"))), oracle("select prompt_key, round(max(score) filter (model_name = 'EUROPE'), 6) as major, round(max(score) filter (model_name = 'ASIA'), 6) as minor from outcomes group by 1", "outcomes"))
 R.add("score_window", lambda s, d: load(s, d, "request_telemetry", "row_id", "cluster_ids").where("size(cluster_ids) > 0").select("row_id", F.array_join(F.slice(F.concat("cluster_ids", F.array_repeat(F.element_at("cluster_ids", -1), 10)), 1, 10).cast("array<string>"), ",").alias("w")), "select row_id, array_to_string(list_transform(range(1, 11), lambda i: cast(cluster_ids[least(i, len(cluster_ids))] as varchar)), ',') as w from request_telemetry where len(cluster_ids) > 0")
-R.add("agg_percentiles", lambda s, d: rounded(load(s, d, "events", "event_type", "value").groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"), F.percentile("value", 0.99).alias("p99"), F.avg("value").alias("mean"))), "select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99, round(avg(value), 6) as mean from events group by 1")
+R.add("agg_percentiles", lambda s, d: rounded(percentiles(load(s, d, "events", "event_type", "value"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}).drop("n").join(load(s, d, "events", "event_type", "value").groupBy("event_type").agg(F.avg("value").alias("mean")), "event_type")), "select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99, round(avg(value), 6) as mean from events group by 1")
 R.add("agg_prompt_max", lambda s, d: rounded(out(s, d).groupBy("prompt_key").agg(F.max("score").alias("score"), F.max(F.struct("score", "model_name"))["model_name"].alias("model"))), oracle("select prompt_key, round(max(score), 6) as score, arg_max(model_name, (score, model_name)) as model from outcomes group by 1", "outcomes"))
 R.add("agg_model_avg_cost", lambda s, d: rounded(view(s, d, "sparse").groupBy("model_name").agg(F.avg("cost").alias("cost"))), oracle("select model_name, round(avg(cost), 6) as cost from sparse group by 1", "sparse"))
 R.add("weight_grid", lambda s, d: _weights(s, d), oracle(PICKS + ", r as (select p.param, avg(o.score) as score, avg(o.cost) as cost from picks p join outcomes o using (prompt_key, model_name) group by 1), gg as (select *, score - lag(score) over (order by param) as ds, cost - lag(cost) over (order by param) as dc from r) select round(corr(param, score), 5) as corr_score, round(corr(param, cost), 5) as corr_cost, round(avg(ds), 6) as grad_mean, round(stddev_pop(ds), 6) as grad_std, round(max(ds), 6) as grad_max, round(min(ds), 6) as grad_min, case when regr_slope(score, param) > 1e-6 then 'rising' when regr_slope(score, param) < -1e-6 then 'falling' else 'flat' end as trend from gg", *V))
