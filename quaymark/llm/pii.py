@@ -553,18 +553,21 @@ class Surrogates:
 # -- operators --------------------------------------------------------------
 
 
-def detect(texts: DataFrame, names: Names) -> DataFrame:
-    """src_table, src_id, pii_type, start_pos, end_pos of every entity of (src_table, src_id, text)."""
+def detect(texts: DataFrame, names: Names, key: bytes) -> DataFrame:
+    """src_table, src_id, pii_type, start_pos, end_pos, surrogate of every entity of (src_table, src_id, text).
 
+    The surrogate is what ``replace`` puts in the entity's place.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(names)  # at most MAX_NAMES of them
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = shared.value
+        keyed = Surrogates(key, names)
         for pdf in batches:
-            rows = [(a, i, e.kind, e.start, e.end) for a, i, t in zip(pdf["src_table"], pdf["src_id"], pdf["text"]) for e in find_all(t, names)]
-            yield pd.DataFrame(rows, columns=["src_table", "src_id", "pii_type", "start_pos", "end_pos"]).astype({"src_id": "Int64", "start_pos": "int32", "end_pos": "int32"})
+            rows = [(a, i, e.kind, e.start, e.end, keyed.replace(e.kind, t[e.start : e.end])) for a, i, t in zip(pdf["src_table"], pdf["src_id"], pdf["text"]) for e in find_all(t, names)]
+            yield pd.DataFrame(rows, columns=["src_table", "src_id", "pii_type", "start_pos", "end_pos", "surrogate"]).astype({"src_id": "Int64", "start_pos": "int32", "end_pos": "int32"})
 
-    return texts.select("src_table", "src_id", "text").mapInPandas(run, "src_table string, src_id long, pii_type string, start_pos int, end_pos int")
+    return texts.select("src_table", "src_id", "text").mapInPandas(run, "src_table string, src_id long, pii_type string, start_pos int, end_pos int, surrogate string")
 
 
 def replace(texts: DataFrame, names: Names, key: bytes) -> DataFrame:

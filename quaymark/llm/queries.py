@@ -72,7 +72,7 @@ def person_names(spark: SparkSession, sf: str) -> pii.Names:
 
 @R.query("p3_found")
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return pii.detect(free_texts(spark, sf), person_names(spark, sf)).drop("end_pos")
+    return pii.detect(free_texts(spark, sf), person_names(spark, sf), surrogate_key(spark)).drop("end_pos", "surrogate")
 
 
 @R.query("p3_replaced")
@@ -142,7 +142,13 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
 # -- problem 9 --------------------------------------------------------------
 
 
-@R.query("p9_found")
+# every place of every text with the hash of the 200 characters from it on, in SQL
+_P9 = f"""with d as (select doc_id, text, length(text) as n from documents where length(text) >= {spans.MIN_CHARS}),
+w as (select doc_id, i, hash(substr(text, i, {spans.MIN_CHARS})) as h from d, lateral (select unnest(range(1, n - {spans.MIN_CHARS - 2})) as i)),
+m as (select h from w group by 1 having min(doc_id) <> max(doc_id))"""
+
+
+@R.query("p9_found", _P9 + ", x as (select distinct doc_id, h from w semi join m using (h)) select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from x a join x b on a.h = b.h and a.doc_id < b.doc_id")
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return spans.SharedSpans(load(spark, sf, "documents", "doc_id", "text"), "doc_id", "text").document_pairs()
 
@@ -157,9 +163,9 @@ def p9_passages(spark: SparkSession, sf: str) -> DataFrame:
     return spans.SharedSpans(load(spark, sf, "documents", "doc_id", "text"), "doc_id", "text").passages()
 
 
-@R.query("p9_coverage")
+@R.query("p9_coverage", _P9 + f", s as (select doc_id, i from w semi join m using (h)), c as (select doc_id, sum(least({spans.MIN_CHARS}, coalesce(nxt - i, {spans.MIN_CHARS}))) as k from (select *, lead(i) over (partition by doc_id order by i) as nxt from s) group by 1) select doc_id, n as n_chars, cast(coalesce(k, 0) as bigint) as shared_chars, round(coalesce(k, 0) / n, 6) as shared_share from d left join c using (doc_id)")
 def p9_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return spans.SharedSpans(load(spark, sf, "documents", "doc_id", "text"), "doc_id", "text").coverage()
+    return spans.SharedSpans(load(spark, sf, "documents", "doc_id", "text"), "doc_id", "text").coverage().withColumn("shared_share", F.round("shared_share", 6))
 
 
 QUERIES = R.queries

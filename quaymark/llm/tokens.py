@@ -25,7 +25,7 @@ TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # fixed value: the public pattern that cuts a text into the pieces that are merged on their own
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LEAF_CHARS = 1024
+LEAF_CHARS = 512
 WINDOW_CHARS = 64
 
 # A piece never holds a character of the first class followed by one of the second: runs of letters,

@@ -121,9 +121,11 @@ def test_names_are_completed_from_the_corpus(spark):
     df = spark.createDataFrame([("t", i, t, 1) for i, t in enumerate(texts)], "src_table string, src_id long, text string, pii_type int")
     names = pii.learn_names(df, LISTED)
     assert names.learned == {"crathmoor"}
-    rows = pii.detect(spark.createDataFrame([("t", 1, "ask CRATHMOOR", 1), (None, None, "Crathmoor, Noemi", 2)], df.schema), names).collect()
+    rows = pii.detect(spark.createDataFrame([("t", 1, "ask CRATHMOOR", 1), (None, None, "Crathmoor, Noemi", 2)], df.schema), names, b"k").collect()
     assert sorted((r["src_id"] or 0, r["pii_type"], r["start_pos"]) for r in rows) == [(0, "name", 0), (1, "name", 4)]
-    assert pii.detect(df.limit(0), names).collect() == []
+    assert pii.detect(df.limit(0), names, b"k").collect() == []
+    whole = {(r["src_id"], r["start_pos"]): r["surrogate"] for r in pii.detect(df, names, b"k").collect()}
+    assert whole[(0, 12)] in pii.replace(df, names, b"k").where("src_id = 0").first()["surrogate"]
     out = {r["src_id"]: r for r in pii.replace(df, names, b"k").collect()}
     assert len(out) == len(texts) and out[4]["redacted"] == texts[4] and out[9]["redacted"] is None and out[0]["redacted"] == "Reported by [NAME_1] about row 0"
 
