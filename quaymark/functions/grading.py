@@ -5,8 +5,11 @@ A null text is graded like an empty one; a grade is 1.0 or 0.0 unless said other
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,3 +147,14 @@ def grade_statements(text: Column, gold: Column) -> Column:
     said = F.regexp_extract(text, r"(?is)conclusion:?(.*)$", 1)
     got = statements(F.when(said != "", said).otherwise(text))
     return F.coalesce(((F.size(got) > 0) & (got == statements(gold))).cast("double"), F.lit(0.0))
+
+
+def knobs_hash(alphas: Column, speed_weight: Column, output_cost_ratio: Column, expected_tokens: Column, verbosity: Column) -> Column:
+    """The first 64 bits of the sha256 of the knobs in little-endian form, as 16 hexadecimal digits; bytes need Python, by Arrow batches."""
+
+    @F.pandas_udf("string")
+    def packed(a: pd.Series, s: pd.Series, r: pd.Series, n: pd.Series, v: pd.Series) -> pd.Series:
+        rows = (struct.pack(f"<I{len(x)}ddd", len(x), *x, y, z) + struct.pack("<I?", int(k), bool(b)) for x, y, z, k, b in zip(a, s, r, n, v))
+        return pd.Series([hashlib.sha256(x).digest()[:8][::-1].hex() for x in rows])
+
+    return packed(alphas, speed_weight, output_cost_ratio, expected_tokens, verbosity)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quaymark.operators.joins import small
+
 
 def zscore(col: str, by: Sequence[str]) -> Column:
     """(x - mean) / population deviation within a group; 0 where the deviation is 0."""
@@ -123,7 +125,7 @@ def score_blend(near: DataFrame, means: DataFrame, key: str) -> DataFrame:
 
 def blend_alpha(near: DataFrame, quality: DataFrame, cost_norm: DataFrame, key: str, alpha: float) -> DataFrame:
     """Sum over the nearest clusters of alpha * quality + (1 - alpha) * (1 - cost)."""
-    q = near.select(key, "cluster_id").join(quality.select("cluster_id", "model_name", "q_norm"), "cluster_id").join(F.broadcast(cost_norm), "model_name")
+    q = near.select(key, "cluster_id").join(quality.select("cluster_id", "model_name", "q_norm"), "cluster_id").join(small(cost_norm), "model_name")
     return q.groupBy(key, "model_name").agg(F.sum(alpha * F.col("q_norm") + (1 - alpha) * (1 - F.col("c_norm"))).alias("value"))
 
 

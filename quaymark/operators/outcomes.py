@@ -220,9 +220,30 @@ def pivot_models(records: DataFrame, sources: Sequence[str]) -> DataFrame:
     return wide.join(total, "model_name").join(median, "model_name", "left")
 
 
-def metric_means(records: DataFrame, maps: str) -> DataFrame:
-    """metric, mean, n over the entries of a map column; null values are no entries."""
-    return records.select(F.explode(maps).alias("metric", "v")).where("v is not null").groupBy("metric").agg(F.avg("v").alias("mean"), F.count("*").alias("n"))
+def metric_means(records: DataFrame, maps: str, positive: Sequence[str] = ()) -> DataFrame:
+    """metric, mean, n over the entries of a map column; null values are no entries.
+
+    Of the metrics in ``positive``, such as times, only values above 0 count; -1 without any.
+    """
+    e = records.select(F.explode(maps).alias("metric", "v")).where("v is not null")
+    some = F.col("metric").isin(*positive) if positive else F.lit(False)
+    g = e.groupBy("metric").agg(F.avg("v").alias("all"), F.avg(F.when(F.col("v") > 0, F.col("v"))).alias("pos"), F.count("*").alias("n"))
+    return g.select("metric", F.when(some, F.coalesce("pos", F.lit(-1.0))).otherwise(F.col("all")).alias("mean"), "n")
+
+
+def parse_strict(rows: DataFrame, fields: dict[str, str], required: Sequence[str] = ()) -> DataFrame:
+    """rows with their fields in the given types, and ``problem``: the first field that is missing or can't be read, null for a good row."""
+    problem = None
+    typed = {c: F.col(c).try_cast(t) for c, t in fields.items()}
+    for c in fields:
+        bad = (F.col(c).isNotNull() & typed[c].isNull()) | (F.col(c).isNull() if c in required else F.lit(False))
+        problem = F.when(bad, c) if problem is None else problem.when(bad, c)
+    return rows.withColumn("problem", problem).withColumns(typed)
+
+
+def parse_audit(parsed: DataFrame) -> DataFrame:
+    """problem, n: how many rows were good (null) and how many failed by which field."""
+    return parsed.groupBy("problem").agg(F.count("*").alias("n"))
 
 
 def baseline_scores(records: DataFrame) -> DataFrame:

@@ -207,11 +207,21 @@ def paired_outcomes(records: DataFrame, a: str, b: str, key: str = "prompt_key")
     return p.withColumn("winner", F.when(F.col("score_a") > F.col("score_b"), "model_a").when(F.col("score_a") < F.col("score_b"), "model_b").otherwise("tie"))
 
 
-def pair_evaluation(pairs: DataFrame, by: Sequence[str] = ("dataset_id",)) -> DataFrame:
-    """Ties, decisive pairs, wins of the first and the population deviation of the win rates of the groups."""
-    g = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("winner") == "tie").alias("ties"), F.count_if(F.col("winner") == "model_a").alias("wins"))
+def pair_evaluation(pairs: DataFrame, ood: Sequence[str], by: str = "dataset_id") -> DataFrame:
+    """Ties, decisive pairs, wins of the first, mean and population deviation of the groups' win rates, in and out of domain, and both costs."""
+    g = pairs.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col("winner") == "tie").alias("ties"), F.count_if(F.col("winner") == "model_a").alias("wins"), F.sum("cost_a").alias("ca"), F.sum("cost_b").alias("cb"))
     g = g.withColumn("win_rate", F.try_divide(F.col("wins").cast("double"), F.col("n") - F.col("ties")))
-    return g.agg(F.sum("n").alias("n"), F.sum("ties").alias("ties"), F.sum("wins").alias("wins"), F.avg("win_rate").alias("win_rate_mean"), F.stddev_pop("win_rate").alias("win_rate_std"))
+    outside = F.col(by).isin(*ood)
+    return g.agg(
+        F.sum("n").alias("n"), F.sum("ties").alias("ties"), F.sum(F.col("n") - F.col("ties")).alias("decisive"), F.sum("wins").alias("wins"), F.avg("win_rate").alias("win_rate_mean"), F.stddev_pop("win_rate").alias("win_rate_std"),
+        F.avg(F.when(~outside, F.col("win_rate"))).alias("in_domain"), F.avg(F.when(outside, F.col("win_rate"))).alias("out_of_domain"), F.sum("ca").alias("cost_a"), F.sum("cb").alias("cost_b"),
+    )
+
+
+def with_projected_cost(shares: DataFrame, cost: DataFrame, by: Sequence[str] = ("param",)) -> DataFrame:
+    """shares with what a request is expected to cost at each grid value: the models' mean costs by their shares."""
+    j = shares.join(small(cost), "model_name")
+    return j.withColumn("projected_cost", F.sum(F.col("share") * F.col("cost_hat")).over(W.partitionBy(*by))).drop("cost_hat")
 
 
 def first_rank(scores: DataFrame, realised: DataFrame, key: str) -> DataFrame:

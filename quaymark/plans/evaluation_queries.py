@@ -72,14 +72,14 @@ R.add("score_window", lambda s, d: load(s, d, "request_telemetry", "row_id", "cl
 R.add("agg_percentiles", lambda s, d: rounded(percentiles(load(s, d, "events", "event_type", "value"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}).drop("n").join(load(s, d, "events", "event_type", "value").groupBy("event_type").agg(F.avg("value").alias("mean")), "event_type")), "select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99, round(avg(value), 6) as mean from events group by 1")
 R.add("agg_prompt_max", lambda s, d: rounded(out(s, d).groupBy("prompt_key").agg(F.max("score").alias("score"), F.max(F.struct("score", "model_name"))["model_name"].alias("model"))), oracle("select prompt_key, round(max(score), 6) as score, arg_max(model_name, (score, model_name)) as model from outcomes group by 1", "outcomes"))
 R.add("agg_model_avg_cost", lambda s, d: rounded(view(s, d, "sparse").groupBy("model_name").agg(F.avg("cost").alias("cost"))), oracle("select model_name, round(avg(cost), 6) as cost from sparse group by 1", "sparse"))
-R.add("weight_grid", lambda s, d: _weights(s, d), oracle(PICKS + ", r as (select p.param, avg(o.score) as score, avg(o.cost) as cost from picks p join outcomes o using (prompt_key, model_name) group by 1), gg as (select *, score - lag(score) over (order by param) as ds, cost - lag(cost) over (order by param) as dc from r) select round(corr(param, score), 5) as corr_score, round(corr(param, cost), 5) as corr_cost, round(avg(ds), 6) as grad_mean, round(stddev_pop(ds), 6) as grad_std, round(max(ds), 6) as grad_max, round(min(ds), 6) as grad_min, case when regr_slope(score, param) > 1e-6 then 'rising' when regr_slope(score, param) < -1e-6 then 'falling' else 'flat' end as trend from gg", *V))
+R.add("weight_grid", lambda s, d: _weights(s, d), oracle(PICKS + ", r as (select p.param, avg(o.score) as score, avg(o.cost) as cost from picks p join outcomes o using (prompt_key, model_name) group by 1), gg as (select *, score - lag(score) over (order by param) as ds, cost - lag(cost) over (order by param) as dc from r) select round(corr(param, score), 5) as corr_score, round(corr(param, cost), 5) as corr_cost, round(avg(ds), 6) as grad_mean, round(stddev_pop(ds), 6) as grad_std, round(max(ds), 6) as grad_max, round(min(ds), 6) as grad_min, count(*) filter (abs(round(ds, 9)) < 0.002e0) as n_stable, case when regr_slope(score, param) > 1e-6 then 'rising' when regr_slope(score, param) < -1e-6 then 'falling' else 'flat' end as trend from gg", *V))
 
 
 def _weights(s: SparkSession, d: str) -> DataFrame:
     r = U.earned(alpha_picks(s, d), out(s, d)).groupBy("param").agg(F.avg("score").alias("score"), F.avg("cost").alias("cost"))
     g = r.withColumn("ds", F.expr("score - lag(score) over (order by param)"))  # one row per grid value
     slope = F.regr_slope("score", "param")
-    out_ = g.agg(F.round(F.corr("param", "score"), 5).alias("corr_score"), F.round(F.corr("param", "cost"), 5).alias("corr_cost"), F.avg("ds").alias("grad_mean"), F.stddev_pop("ds").alias("grad_std"), F.max("ds").alias("grad_max"), F.min("ds").alias("grad_min"), F.when(slope > 1e-6, "rising").when(slope < -1e-6, "falling").otherwise("flat").alias("trend"))
+    out_ = g.agg(F.round(F.corr("param", "score"), 5).alias("corr_score"), F.round(F.corr("param", "cost"), 5).alias("corr_cost"), F.avg("ds").alias("grad_mean"), F.stddev_pop("ds").alias("grad_std"), F.max("ds").alias("grad_max"), F.min("ds").alias("grad_min"), F.count_if(F.abs(F.round("ds", 9)) < 0.002).alias("n_stable"), F.when(slope > 1e-6, "rising").when(slope < -1e-6, "falling").otherwise("flat").alias("trend"))
     return rounded(out_)
 
 

@@ -49,3 +49,4 @@ R.add("grade_kk", lambda s, d: load(s, d, "documents", "doc_id").select("doc_id"
 R.add("node_text", lambda s, d: rounded(load(s, d, "request_telemetry", "row_id", "candidate_models").select("row_id", G.node_text_similarity(F.col("candidate_models"), F.array(F.lit("orrin-4-mini"), F.lit("Basalt-9b quillon-2"))).alias("x"))), "with w as (select row_id, list_distinct(list_filter(string_split(lower(array_to_string(candidate_models, ' ')), ' '), lambda v: v <> '')) as a, ['orrin-4-mini', 'basalt-9b', 'quillon-2'] as b, candidate_models from request_telemetry) select row_id, round(case when length(trim(coalesce(array_to_string(candidate_models, ' '), ''))) >= 3 then len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) else 0 end, 6) as x from w")
 _DOMAINS = ("code", "math", "writing", "facts", "chat", "other")
 R.add("score_onehot", lambda s, d: rounded(said(s, d).select("doc_id", F.posexplode(G.score_onehot(F.col("doc_id") % 11, F.col("doc_id") % 2 == 0, F.element_at(F.array(*[F.lit(x) for x in _DOMAINS]), (F.col("doc_id") % 6 + 1).cast("int")), _DOMAINS)).alias("i", "x")).select("doc_id", F.col("i").cast("long").alias("i"), "x")), "select doc_id, i, case i when 0 then round(doc_id % 11 / 10.0e0, 6) when 1 then cast(doc_id % 2 = 0 as int)::double else cast(doc_id % 6 = i - 2 as int)::double end as x from documents, range(8) t(i)")
+R.add("knobs_hash", lambda s, d: load(s, d, "installations", "installation_id", "routing_quality_weight").select("installation_id", G.knobs_hash(F.array(F.coalesce("routing_quality_weight", F.lit(0.5)), F.lit(0.25)), F.lit(0.1), F.lit(2.0), F.lit(500), F.lit(True)).alias("k")))

@@ -98,7 +98,9 @@ R.add("random_router", lambda s, d: rounded(O.random_router(view(s, d, "sparse")
 R.add("sample_avg", lambda s, d: O.summary_table(view(s, d, "sparse"), ["ds8", "ds9"]).where("column like '%Sample-Avg'").select("row", "column", F.round("value", 6).alias("value")), f"select * from ({_SUMMARY}) where \"column\" like '%Sample-Avg'")
 _DS = [f"ds{i}" for i in range(10)]
 R.add("agg_pivot_label", lambda s, d: rounded(O.pivot_models(view(s, d, "sparse"), _DS)), oracle("select model_name, " + ", ".join(f"round(avg(score) filter (dataset_id = '{x}'), 6) as {x}" for x in _DS) + ', round(avg(score), 6) as "ALL", round(avg(cost) * 1000, 6) as cost_per_1k, quantile_cont(completion_tokens, 0.5) as median_tokens, round(avg(completion_tokens), 6) as mean_tokens from sparse group by 1', "sparse"))
-R.add("agg_extra_metrics", lambda s, d: rounded(O.metric_means(view(s, d, "outcomes").withColumn("m", F.create_map(F.lit("score"), "score", F.lit("cost"), F.when(F.col("ord") > 0, F.col("cost")))), "m")), oracle("select 'score' as metric, round(avg(score), 6) as mean, count(score) as n from outcomes union all select 'cost', round(avg(cost), 6), count(cost) from outcomes where ord > 0", "outcomes"))
+R.add("agg_extra_metrics", lambda s, d: rounded(O.metric_means(view(s, d, "outcomes").withColumn("m", F.create_map(F.lit("score"), "score", F.lit("cost"), F.when(F.col("ord") > 0, F.col("cost")), F.lit("seconds"), F.col("score") - 0.5, F.lit("none"), F.col("score") - 2)), "m", ["seconds", "none"])), oracle("select 'score' as metric, round(avg(score), 6) as mean, count(score) as n from outcomes union all select 'cost', round(avg(cost), 6), count(cost) from outcomes where ord > 0 union all select 'seconds', round(avg(score - 0.5e0) filter (score > 0.5), 6), count(*) from outcomes union all select 'none', -1, count(*) from outcomes", "outcomes"))
+_LINES = "case event_id % 9 when 0 then null when 1 then 'x' else cast(event_id as varchar(20)) end as prompt_tokens, case event_id % 8 when 1 then 'much' when 2 then null else '0.5' end as cost"
+R.add("parse_strict", lambda s, d: O.parse_audit(O.parse_strict(load(s, d, "events", "event_id").selectExpr("event_id", *[x + " as " + y for x, y in (("case event_id % 9 when 0 then null when 1 then 'x' else cast(event_id as string) end", "prompt_tokens"), ("case event_id % 8 when 1 then 'much' when 2 then null else '0.5' end", "cost"))]), {"prompt_tokens": "long", "cost": "double"}, ["prompt_tokens"])), f"with l as (select {_LINES} from events) select case when prompt_tokens is null or try_cast(prompt_tokens as bigint) is null then 'prompt_tokens' when cost is not null and try_cast(cost as double) is null then 'cost' end as problem, count(*) as n from l group by 1")
 R.add("agg_baseline_scores", lambda s, d: O.baseline_scores(view(s, d, "sparse")), oracle("select model_name, dataset_id, round(100 * avg(score), 2) as score from sparse group by all", "sparse"))
 R.add("agg_cost_efficiency", lambda s, d: rounded(O.cost_efficiency(view(s, d, "sparse")), digits=4), oracle(", p as (select dataset_id, model_name, avg(score) as accuracy, avg(cost) as avg_cost from sparse group by all), b as (select p.dataset_id, p.model_name, 100.0e0 * count(*) filter (s.cost < p.avg_cost) / count(*) as x from p join sparse s using (dataset_id) group by all) select dataset_id, model_name, round(accuracy, 4) as accuracy, round(avg_cost, 4) as avg_cost, round(x, 4) as cost_percentile, round(accuracy / (avg_cost + 1e-8), 4) as efficiency from p join b using (dataset_id, model_name)", "sparse"))
 R.add("agg_latency_stats", lambda s, d: rounded(O.latency_stats(load(s, d, "request_telemetry", "span_type", "upstream_latency_ms"), "upstream_latency_ms", ["span_type"])), "select span_type, count(*) filter (upstream_latency_ms > 0) as n, round(avg(upstream_latency_ms) filter (upstream_latency_ms > 0), 6) as mean, round(quantile_cont(upstream_latency_ms, 0.5) filter (upstream_latency_ms > 0), 6) as p50, round(quantile_cont(upstream_latency_ms, 0.95) filter (upstream_latency_ms > 0), 6) as p95, round(quantile_cont(upstream_latency_ms, 0.99) filter (upstream_latency_ms > 0), 6) as p99, round(count(*) filter (upstream_latency_ms is null or upstream_latency_ms <= 0) / count(*), 6) as missing_share from request_telemetry group by 1")

@@ -74,7 +74,7 @@ R.add("minmax_task_cost", lambda s, d: rounded(out(s, d).withColumn("c", M.minma
 R.add("minmax_models", lambda s, d: rounded(cost_norm(s, d)), oracle(", c as (select model_name, avg(cost) as c from outcomes group by 1) select model_name, round((c - min(c) over ()) / (max(c) over () - min(c) over ()), 6) as c_norm from c", "outcomes"))
 R.add(
     "shrink_eb",
-    lambda s, d: rounded(means(s, d).join(F.broadcast(out(s, d).groupBy("model_name").agg(F.avg("score").alias("g"))), "model_name").select("cluster_id", "model_name", M.shrink(F.col("mean"), F.col("n"), F.col("g"), 20.0).alias("shrunk"))),
+    lambda s, d: rounded(means(s, d).join(small(out(s, d).groupBy("model_name").agg(F.avg("score").alias("g"))), "model_name").select("cluster_id", "model_name", M.shrink(F.col("mean"), F.col("n"), F.col("g"), 20.0).alias("shrunk"))),
     oracle(NEAR + ", g as (select model_name, avg(score) as g from outcomes group by 1) select cluster_id, model_name, round((n * mean + 20 * g) / (n + 20), 6) as shrunk from means join g using (model_name)", *V),
 )
 R.add("neff_kish", lambda s, d: rounded(near(s, d).groupBy("vec_id").agg(M.kish("weight").alias("n_eff"))), oracle(NEAR + " select vec_id, round(pow(sum(weight), 2) / sum(weight * weight), 6) as n_eff from near group by 1", *V))
@@ -118,7 +118,22 @@ R.add("agg_entropy", lambda s, d: rounded(U.entropy(alpha_picks(s, d), ["param"]
 R.add("cost_ols", lambda s, d: rounded(U.cost_fit(out(s, d), "prompt_tokens"), digits=8), oracle("select model_name, round(regr_slope(cost, prompt_tokens), 8) as slope, round(regr_intercept(cost, prompt_tokens), 8) as intercept, round(greatest(quantile_cont(cost, 0.1), 1e-7), 8) as floor from outcomes group by 1", "outcomes"))
 MIX = ", n as (select param, model_name, count(*) as n from picks group by all), m as (select param, string_agg(model_name || ':' || n, ',' order by model_name || ':' || n) as mix from n group by 1)"
 R.add("dial_breakpoints", lambda s, d: rounded(U.breakpoints(alpha_picks(s, d), "prompt_key")), oracle(PICKS + MIX + ", l as (select *, lag(mix) over (order by param) as prev, max(param) over () as last from m) select round(param, 6) as param, mix from l where prev is null or prev <> mix or param = last", *V))
-R.add("routing_distribution", lambda s, d: rounded(U.distribution(alpha_picks(s, d))), oracle(PICKS + ", n as (select param, model_name, count(*) as n from picks group by all) select round(param, 6) as param, model_name, n, round(n / sum(n) over (partition by param), 6) as share from n", *V))
+R.add("routing_distribution", lambda s, d: rounded(U.with_projected_cost(U.distribution(alpha_picks(s, d)), out(s, d).groupBy("model_name").agg(F.avg("cost").alias("cost_hat")))), oracle(PICKS + ", n as (select param, model_name, count(*) as n from picks group by all), sh as (select *, n / sum(n) over (partition by param) as share from n) select round(param, 6) as param, model_name, n, round(share, 6) as share, round(sum(share * c) over (partition by param), 6) as projected_cost from sh join cn using (model_name)", *V))
+
+
+def _centroid_picks(s: SparkSession, d: str) -> DataFrame:
+    c = view(s, d, "centroids").select(F.col("cluster_id").alias("vec_id"), F.col("centroid").alias("embedding"))
+    near_c = M.softmax_weights(M.top_p(M.centroid_similarities(c, view(s, d, "centroids"), "vec_id", "embedding"), "vec_id", P), "sim", ["vec_id"], TEMP)
+    return U.alpha_sweep(M.score_blend(near_c.select("vec_id", "cluster_id", "sim", "rank", "weight"), means(s, d), "vec_id"), cost_norm(s, d), "vec_id")
+
+
+R.add("routing_by_centroid", lambda s, d: rounded(U.distribution(_centroid_picks(s, d))), oracle(NEAR + f""", cs as (select a.cluster_id as vec_id, b.cluster_id, round(list_dot_product(a.centroid, b.centroid) / sqrt(list_dot_product(b.centroid, b.centroid)), 6) as sim from centroids a cross join centroids b),
+c0 as (select * from (select *, row_number() over (partition by vec_id order by sim desc, cluster_id) as rank from cs) where rank <= {P}), c1 as (select *, exp((sim - max(sim) over (partition by vec_id)) / {TEMP}e0) as e from c0), c2 as (select *, e / sum(e) over (partition by vec_id) as weight from c1),
+est as (select vec_id as prompt_key, m.model_name, sum(weight * m.mean) as value from c2 join means m using (cluster_id) group by all),
+cn0 as (select model_name, avg(cost) as c from outcomes group by 1), cn as (select model_name, (c - min(c) over ()) / (max(c) over () - min(c) over ()) as c_norm, c from cn0), g as (select i / 20.0e0 as param from range(21) t(i)), q as (select *, {MINMAX} as q from est),
+sc as (select prompt_key, param, q.model_name, param * q + (1 - param) * (1 - c_norm) as value from q join cn using (model_name) cross join g),
+picks as (select prompt_key, param, model_name from (select *, row_number() over (partition by prompt_key, param order by round(value, 9) desc, model_name) as rn from sc) where rn = 1),
+n as (select param, model_name, count(*) as n from picks group by all) select round(param, 6) as param, model_name, n, round(n / sum(n) over (partition by param), 6) as share from n""", *V))
 R.add("winner_segments", lambda s, d: rounded(U.winner_segments(alpha_picks(s, d), "prompt_key")), oracle(PICKS + ", l as (select *, coalesce(cast(lag(model_name) over w <> model_name as int), 0) as new from picks window w as (partition by prompt_key order by param)), sg as (select *, cast(sum(new) over (partition by prompt_key order by param) as bigint) as segment from l) select prompt_key, segment, model_name, round(min(param), 6) as lo, round(max(param), 6) as hi from sg group by all", *V))
 R.add("threshold_cascade", lambda s, d: U.threshold_cascade(out(s, d).withColumn("distance", 1 - F.col("score")), "prompt_key", "ord", "distance", {0: 0.15, 1: 0.35, 2: 0.55}), oracle(", c as (select prompt_key, arg_min(model_name, ord) filter (1 - score < case ord when 0 then 0.15e0 when 1 then 0.35e0 when 2 then 0.55e0 else 'inf'::double end) as a, arg_max(model_name, ord) as l from outcomes group by 1) select prompt_key, coalesce(a, l) as model_name from c", "outcomes"))
 R.add("explore_band", lambda s, d: rounded(U.explore_band(estimates(s, d), "prompt_key", 0.05).select("prompt_key", "model_name", "propensity")), oracle(EST + ", b as (select *, round(max(value) over (partition by prompt_key), 9) as best from est) select prompt_key, model_name, round(1 / count(*) over (partition by prompt_key), 6) as propensity from b where round(value, 9) >= best - 0.05e0", *V))
@@ -127,7 +142,8 @@ R.add("balance_score", lambda s, d: rounded(U.balance_score(O.cost_efficiency(ou
 R.add("eval_selection", lambda s, d: rounded(U.first_rank(alpha_picks(s, d).where("param = 0.5"), out(s, d), "prompt_key")), oracle(PICKS + ", r as (select *, row_number() over (partition by prompt_key order by score desc, model_name) - 1 as rank, max(score) over (partition by prompt_key) as best from outcomes) select count(*) as n, round(avg(rank), 6) as mean_rank, round(count(*) filter (rank = 0) / count(*), 6) as share_best, round(avg(score), 6) as selected, round(avg(best), 6) as oracle from picks join r using (prompt_key, model_name) where param = 0.5", *V))
 PAIR = ", pr as (select a.prompt_key, a.dataset_id, a.score as score_a, a.cost as cost_a, b.score as score_b, b.cost as cost_b, case when a.score > b.score then 'model_a' when a.score < b.score then 'model_b' else 'tie' end as winner from sparse a join sparse b using (prompt_key) where a.model_name = 'EUROPE' and b.model_name = 'AFRICA')"
 R.add("adapt_routellm", lambda s, d: rounded(U.paired_outcomes(view(s, d, "sparse"), "EUROPE", "AFRICA")), oracle(PAIR + " select prompt_key, dataset_id, round(score_a, 6) as score_a, round(cost_a, 6) as cost_a, round(score_b, 6) as score_b, round(cost_b, 6) as cost_b, winner from pr", "sparse"))
-R.add("agg_pair_eval", lambda s, d: rounded(U.pair_evaluation(U.paired_outcomes(view(s, d, "sparse"), "EUROPE", "AFRICA"))), oracle(PAIR + ", g as (select dataset_id, count(*) as n, count(*) filter (winner = 'tie') as ties, count(*) filter (winner = 'model_a') as wins from pr group by 1), w as (select *, wins / nullif(n - ties, 0) as r from g) select cast(sum(n) as bigint) as n, cast(sum(ties) as bigint) as ties, cast(sum(wins) as bigint) as wins, round(avg(r), 6) as win_rate_mean, round(stddev_pop(r), 6) as win_rate_std from w", "sparse"))
+R.add("agg_pair_eval", lambda s, d: rounded(U.pair_evaluation(U.paired_outcomes(view(s, d, "sparse"), "EUROPE", "AFRICA"), ["ds8", "ds9"])), oracle(PAIR + """, g as (select dataset_id, count(*) as n, count(*) filter (winner = 'tie') as ties, count(*) filter (winner = 'model_a') as wins, sum(cost_a) as ca, sum(cost_b) as cb from pr group by 1), w as (select *, wins / nullif(n - ties, 0) as r, dataset_id in ('ds8', 'ds9') as ood from g)
+select cast(sum(n) as bigint) as n, cast(sum(ties) as bigint) as ties, cast(sum(n - ties) as bigint) as decisive, cast(sum(wins) as bigint) as wins, round(avg(r), 6) as win_rate_mean, round(stddev_pop(r), 6) as win_rate_std, round(avg(r) filter (not ood), 6) as in_domain, round(avg(r) filter (ood), 6) as out_of_domain, round(sum(ca), 6) as cost_a, round(sum(cb), 6) as cost_b from w""", "sparse"))
 KNN = ", ab as (select a.vec_id as query, b.vec_id as neighbour, round(list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])) / sqrt(list_dot_product(cast(a.embedding as double[]), cast(a.embedding as double[])) * list_dot_product(cast(b.embedding as double[]), cast(b.embedding as double[]))), 6) as sim from vectors a join vectors b on a.vec_id <> b.vec_id), kn as (select * from (select *, row_number() over (partition by query order by sim desc, neighbour) as rank from ab) where rank <= 10)"
 R.add("join_vec_vec_knn", lambda s, d: M.nearest(view(s, d, "vectors"), view(s, d, "vectors"), "vec_id", "embedding", 10).select("query", "neighbour", "sim"), oracle(KNN + " select query, neighbour, sim from kn", "vectors"))
 R.add("est_knn", lambda s, d: rounded(M.nearest(view(s, d, "vectors"), view(s, d, "vectors"), "vec_id", "embedding", 10).join(out(s, d), F.col("neighbour") == F.col("record_index")).groupBy("query", "model_name").agg(F.avg("score").alias("estimate"))), oracle(KNN + " select query, model_name, round(avg(score), 6) as estimate from kn join outcomes o on o.record_index = kn.neighbour group by all", "vectors", "outcomes"))
@@ -161,8 +177,8 @@ for _n, _speed, _blend in (("blend_v2", 0.2, "al * q + (1 - al - 0.2e0) * (1 - c
         lambda s, d, w=_speed: rounded(U.blend_models(near(s, d), means(s, d).withColumn("mean", F.round("mean", 9)), axes(s, d), "vec_id", 0.3 + 0.05 * F.col("cluster_id"), F.col("ord") != 1, w, 2.0, 400, True, U.preference_bonus(F.col("ord") - 3)), digits=5),
         oracle(NEAR + _AXES + f" select vec_id, model_name, round(sum({_blend} + case ord when 3 then 0.15e0 when 4 then 0.15e0 * 0.55e0 else 0 end), 5) as value from (select n.vec_id, qn.*, cn, tn, ord, 0.3e0 + 0.05e0 * n.cluster_id as al from near n join qn using (cluster_id) join ax using (model_name) where ord <> 1) group by 1, 2", *V, "models"),
     )
-R.add("cost_price", lambda s, d: rounded(load(s, d, "documents", "doc_id", "text").where("text is not null").crossJoin(F.broadcast(view(s, d, "models"))).select("doc_id", "model", U.price_of(F.col("text"), F.col("input_per_1k"), F.col("output_per_1k")).alias("usd"))), oracle(" select doc_id, model, round((length(text) / 3.5e0 * input_per_1k + 512 * output_per_1k) / 1000, 6) as usd from documents cross join models where text is not null", "models"))
-R.add("cost_usage", lambda s, d: rounded(out(s, d).join(F.broadcast(view(s, d, "models").where("ord <> 4").withColumnRenamed("model", "model_name").drop("ord")), "model_name", "left").select("prompt_key", "model_name", U.cost_of_usage(F.when(F.col("record_index") % 3 == 0, F.col("cost")), F.col("prompt_tokens"), F.col("completion_tokens"), F.col("input_per_1k") * 1000, F.col("output_per_1k") * 1000).alias("usd")), digits=7), oracle(" select prompt_key, model_name, round(case when record_index % 3 = 0 then cost when o.ord = 4 then 0 else (prompt_tokens * (input_per_1k * 1000) + completion_tokens * (output_per_1k * 1000)) / 1e6 end, 7) as usd from outcomes o join models m on m.model = o.model_name", "outcomes", "models"))
+R.add("cost_price", lambda s, d: rounded(load(s, d, "documents", "doc_id", "text").where("text is not null").crossJoin(small(view(s, d, "models"))).select("doc_id", "model", U.price_of(F.col("text"), F.col("input_per_1k"), F.col("output_per_1k")).alias("usd"))), oracle(" select doc_id, model, round((length(text) / 3.5e0 * input_per_1k + 512 * output_per_1k) / 1000, 6) as usd from documents cross join models where text is not null", "models"))
+R.add("cost_usage", lambda s, d: rounded(out(s, d).join(small(view(s, d, "models").where("ord <> 4").withColumnRenamed("model", "model_name").drop("ord")), "model_name", "left").select("prompt_key", "model_name", U.cost_of_usage(F.when(F.col("record_index") % 3 == 0, F.col("cost")), F.col("prompt_tokens"), F.col("completion_tokens"), F.col("input_per_1k") * 1000, F.col("output_per_1k") * 1000).alias("usd")), digits=7), oracle(" select prompt_key, model_name, round(case when record_index % 3 = 0 then cost when o.ord = 4 then 0 else (prompt_tokens * (input_per_1k * 1000) + completion_tokens * (output_per_1k * 1000)) / 1e6 end, 7) as usd from outcomes o join models m on m.model = o.model_name", "outcomes", "models"))
 R.add("est_cost_usd", lambda s, d: rounded(load(s, d, "request_telemetry", "row_id", "estimated_input_tokens", "output_tokens", F.explode("candidate_models").alias("model")).join(small(load(s, d, "model_axes", "model", "input_per_1k_usd", "output_per_1k_usd")), "model").select("row_id", "model", ((F.coalesce("estimated_input_tokens", F.lit(0)) * F.col("input_per_1k_usd") * 1000 + F.coalesce("output_tokens", F.lit(0)) * F.col("output_per_1k_usd") * 1000) / 1e6).alias("usd")), digits=7), "with e as (select row_id, estimated_input_tokens as i, output_tokens as o, unnest(candidate_models) as model from request_telemetry) select row_id, model, round((coalesce(i, 0) * input_per_1k_usd * 1000 + coalesce(o, 0) * output_per_1k_usd * 1000) / 1e6, 7) as usd from e join model_axes using (model)")
 R.add("dial_floor", lambda s, d: rounded(view(s, d, "vectors").select("vec_id", U.floored(F.col("vec_id") % 101 / 100.0, F.when(F.col("label") > 4, F.col("label") / 10.0)).alias("alpha"))), oracle(" select vec_id, round(greatest(vec_id % 101 / 100.0e0, case when label > 4 then label / 10.0e0 else 0 end), 6) as alpha from vectors", "vectors"))
 R.add("adaptive_k", lambda s, d: view(s, d, "sparse").groupBy("model_name").agg(F.count("*").alias("n")).select("model_name", U.adaptive_k(F.col("n"), 50, 4, 9).cast("long").alias("k")), oracle(" select model_name, cast(greatest(4, least(9, floor(count(*) / 50))) as bigint) as k from sparse group by 1", "sparse"))

@@ -77,9 +77,9 @@ R.add("usage_extract", lambda s, d: load(s, d, "events", "event_id").select("eve
 R.add("table_to_text", lambda s, d: load(s, d, "nation").select("n_nationkey", X.table_text(F.array(F.array("n_name", F.col("n_regionkey").cast("string")), F.array(F.lit("x"), F.lit("y")))).alias("t")), "select n_nationkey, '| ' || n_name || ' | ' || n_regionkey || ' |' || chr(10) || '| x | y |' as t from nation")
 # all variants of the whole text; without an oracle, since engines differ in the case of some letters
 R.add("perturb", lambda s, d: docs(s, d).select("doc_id", F.posexplode(X.variants(F.col("text"))).alias("i", "t")).select("doc_id", F.col("i").cast("long").alias("i"), F.sha2("t", 256).alias("k")))
-RULES = [("probe", "(?i)^(hi|ping|test)\\b"), ("title", "(?i)title"), ("compaction", "(?i)compact|summari"), ("tool", "(?i)traceback|tool result")]
-R.add("turn_type", lambda s, d: load(s, d, "request_telemetry", "row_id", "embed_input").where("embed_input is not null").select("row_id", X.turn_type(F.col("embed_input"), RULES).alias("kind")), "select row_id, case " + " ".join(f"when regexp_matches(embed_input, '{p}') then '{n}'" for n, p in RULES) + " else 'main_loop' end as kind from request_telemetry where embed_input is not null")
-R.add("session_key", lambda s, d: load(s, d, "request_telemetry", "row_id", "api_key_id", "session_id").where("api_key_id is not null and session_id is not null").select("row_id", X.session_key(F.col("api_key_id"), F.col("session_id")).alias("k")), "select row_id, substr(sha256(api_key_id || chr(0) || session_id), 1, 32) as k from request_telemetry where api_key_id is not null and session_id is not null")
+_TURN = {"max_tokens": "case call_id % 11 when 0 then 3 when 1 then 100 when 2 then 256 end", "title": "call_id % 7 = 0", "system": "case when call_id % 5 = 0 then 'Now Your task is to create a DETAILED summary of it' else 'help' end", "sub": "call_id % 6 = 1", "last": "case when call_id % 4 = 2 then 'tool_result' else 'text' end"}
+R.add("turn_type", lambda s, d: view(s, d, "busy").select("call_id", X.turn_type(F.expr(_TURN["max_tokens"]), F.col("has_tool"), F.expr(_TURN["title"]), F.expr(_TURN["system"]), F.expr(_TURN["sub"]), F.col("message_count") - 2, F.expr(_TURN["last"])).alias("kind")), oracle("select call_id, case when call_id % 11 = 0 then 'probe' when not has_tool and call_id % 7 = 0 then 'title' when call_id % 5 = 0 then 'compaction' when call_id % 6 = 1 then 'subagent' when not has_tool and call_id % 11 in (1, 2) and message_count - 2 between 1 and 3 then 'classifier' when call_id % 4 = 2 then 'tool_result' else 'main_loop' end as kind from busy", "busy"))
+R.add("session_key", lambda s, d: load(s, d, "request_telemetry", "row_id", "api_key_id", "client_app", "embed_input").select("row_id", X.session_key(F.col("api_key_id"), F.when(F.col("row_id") % 3 > 0, F.col("client_app")), F.col("embed_input")).alias("k")), "select row_id, substr(sha256(encode(coalesce(api_key_id, '')) || unhex('00') || encode(case when row_id % 3 > 0 then coalesce(client_app, '') else '' end || coalesce(embed_input, ''))), 1, 32) as k from request_telemetry")
 R.add("holdout_hash", lambda s, d: docs(s, d).select("doc_id", (X.hash_bucket(F.col("doc_id").cast("string"), 100) < 10).alias("held")), "select doc_id, ('0x' || substr(sha256(cast(doc_id as varchar)), 1, 8))::bigint % 100 < 10 as held from documents where text is not null")
 R.add("usd_to_micros", lambda s, d: view(s, d, "outcomes").select("prompt_key", "model_name", X.usd_to_micros(F.when(F.col("ord") == 0, -F.col("cost")).when(F.col("ord") == 1, F.lit(float("nan"))).otherwise(F.col("cost"))).alias("micros")), oracle("select prompt_key, model_name, case when ord < 2 then 0 else cast(round(cost * 1e6) as bigint) end as micros from outcomes", "outcomes"))
 R.add("kendall_sim", lambda s, d: rounded(load(s, d, "request_telemetry", "row_id", "candidate_models").where("candidate_models is not null").select("row_id", X.kendall(F.col("candidate_models"), F.concat(F.slice("candidate_models", 3, 99), F.slice("candidate_models", 1, 2))).alias("sim"))), "with e as (select row_id, unnest(candidate_models) as m, generate_subscripts(candidate_models, 1) as i, len(candidate_models) as n from request_telemetry where candidate_models is not null), p as (select row_id, m, min(i) as a, min(case when i > 2 then i - 2 else n - 2 + i end) filter (n > 2 or true) as b from e group by 1, 2), c as (select x.row_id, avg(case when x.b < y.b then 1.0e0 else 0.0e0 end) as sim from p x join p y on x.row_id = y.row_id and x.a < y.a group by 1) select t.row_id, round(coalesce(sim, 1.0e0), 6) as sim from request_telemetry t left join c using (row_id) where candidate_models is not null")

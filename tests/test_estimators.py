@@ -95,3 +95,14 @@ def test_negatives_come_from_their_strata(spark, k):
             near, mid = gaps[math.ceil(n * 0.5) - 1], gaps[math.ceil(n * 0.8) - 1]
             taken = sorted(r["gap"] for r in mine)
             assert taken[1] <= near and taken[2] <= mid
+
+
+def test_knobs_hash(spark):
+    import hashlib
+    import struct
+
+    from quaymark.functions.grading import knobs_hash
+
+    row = spark.createDataFrame([([0.5, 0.25], 0.1, 2.0, 500, True)], "a array<double>, s double, r double, n int, v boolean").select(knobs_hash(*[F.col(c) for c in "asrnv"]).alias("k")).first()
+    want = hashlib.sha256(struct.pack("<I", 2) + struct.pack("<dddd", 0.5, 0.25, 0.1, 2.0) + struct.pack("<I", 500) + b"\x01").digest()
+    assert int(row["k"], 16) == int.from_bytes(want[:8], "little")
