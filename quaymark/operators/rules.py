@@ -18,21 +18,30 @@ from quaymark.operators.percentiles import percentiles
 ALPHAS = tuple(i / 20 for i in range(21))
 
 
-def grid(spark, name: str, values: Sequence[float]) -> DataFrame:
-    return spark.createDataFrame([(float(v),) for v in values], f"{name} double")
+def _sweep(estimates: DataFrame, by_model: DataFrame, key: str, column: str, params: Sequence[float], value) -> DataFrame:
+    """The best model per key and grid value: a key's models are a short list, so each grid value is one pass over it, not a sort."""
+    e = estimates.select(key, "model_name", "value").join(small(by_model.select("model_name", F.col(column).alias("__c"))), "model_name")
+    lists = e.groupBy(key).agg(F.collect_list(F.struct("model_name", "value", "__c")).alias("__m"))
+    grid_ = F.explode(F.array(*[F.lit(float(p)) for p in params])).alias("param")
+    score = lambda m: F.struct((F.lit(0.0) - F.round(value(m, F.col("__m"), F.col("param")), 9)).alias("v"), m["model_name"].alias("model_name"))
+    return lists.select(key, "__m", grid_).select(key, "param", F.array_min(F.transform("__m", score))["model_name"].alias("model_name"))
 
 
 def alpha_sweep(estimates: DataFrame, cost_norm: DataFrame, key: str, alphas: Sequence[float] = ALPHAS) -> DataFrame:
     """Pick of argmax alpha * minmax(estimate) + (1 - alpha) * (1 - cost) per key and alpha.  The grid is a fixed list."""
-    e = estimates.withColumn("q", minmax("value", [key])).join(small(cost_norm), "model_name")
-    g = e.crossJoin(F.broadcast(grid(e.sparkSession, "param", alphas)))
-    return argmax_first(g.withColumn("value", F.col("param") * F.col("q") + (1 - F.col("param")) * (1 - F.col("c_norm"))), [key, "param"]).select(key, "param", "model_name")
+
+    def value(m: Column, all_: Column, alpha: Column) -> Column:
+        values = F.transform(all_, lambda x: x["value"])
+        low, high = F.array_min(values), F.array_max(values)
+        q = F.coalesce(F.try_divide(m["value"] - low, F.nullif(high - low, F.lit(0.0))), F.lit(0.0))
+        return alpha * q + (1 - alpha) * (1 - m["__c"])
+
+    return _sweep(estimates, cost_norm, key, "c_norm", alphas, value)
 
 
 def dollar_sweep(estimates: DataFrame, cost: DataFrame, key: str, lambdas: Sequence[float]) -> DataFrame:
     """Pick of argmax value - lambda * cost per key and lambda."""
-    g = estimates.join(small(cost), "model_name").crossJoin(F.broadcast(grid(estimates.sparkSession, "param", lambdas)))
-    return argmax_first(g.withColumn("value", F.col("value") - F.col("param") * F.col("cost_hat")), [key, "param"]).select(key, "param", "model_name")
+    return _sweep(estimates, cost, key, "cost_hat", lambdas, lambda m, _, rate: m["value"] - rate * m["__c"])
 
 
 def earned(picks: DataFrame, records: DataFrame, key: str = "prompt_key") -> DataFrame:
