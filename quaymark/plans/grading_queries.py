@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quaymark.functions import graders as N
 from quaymark.functions import grading as G
 from quaymark.functions import text as X
 from quaymark.plans.outcome_queries import rounded
@@ -50,3 +51,14 @@ R.add("node_text", lambda s, d: rounded(load(s, d, "request_telemetry", "row_id"
 _DOMAINS = ("code", "math", "writing", "facts", "chat", "other")
 R.add("score_onehot", lambda s, d: rounded(said(s, d).select("doc_id", F.posexplode(G.score_onehot(F.col("doc_id") % 11, F.col("doc_id") % 2 == 0, F.element_at(F.array(*[F.lit(x) for x in _DOMAINS]), (F.col("doc_id") % 6 + 1).cast("int")), _DOMAINS)).alias("i", "x")).select("doc_id", F.col("i").cast("long").alias("i"), "x")), "select doc_id, i, case i when 0 then round(doc_id % 11 / 10.0e0, 6) when 1 then cast(doc_id % 2 = 0 as int)::double else cast(doc_id % 6 = i - 2 as int)::double end as x from documents, range(8) t(i)")
 R.add("knobs_hash", lambda s, d: load(s, d, "installations", "installation_id", "routing_quality_weight").select("installation_id", G.knobs_hash(F.array(F.coalesce("routing_quality_weight", F.lit(0.5)), F.lit(0.25)), F.lit(0.1), F.lit(2.0), F.lit(500), F.lit(True)).alias("k")))
+_BENCH = ("mmlupro", "winogrande", "math500", "nothing")
+R.add("grade_by_name", lambda s, d: said(s, d).select("doc_id", N.grade_by_name(F.element_at(F.array(*[F.lit(b) for b in _BENCH]), (F.col("doc_id") % 4 + 1).cast("int")), F.col("text"), F.when(F.col("doc_id") % 4 == 2, F.col("number")).otherwise(F.col("letter"))).alias("x")), "select doc_id, case doc_id % 4 when 3 then null when 2 then case when doc_id % 8 = 2 then 1.0e0 else 0.0e0 end when 1 then case when (doc_id % 8 = 1 and doc_id % 10 in (0, 1)) or (doc_id % 8 = 5 and doc_id % 10 = 2) then 1.0e0 else 0.0e0 end else case when doc_id % 8 = 0 then 1.0e0 else 0.0e0 end end as x from documents")
+
+
+def _server_events(s, d):
+    N.register(s)
+    body = "concat('event: a\\ndata: ', event_id, '\\n\\n', case when event_id % 2 = 0 then 'data: x\\ndata: y\\r\\n\\r\\n' else ': ping\\n\\n' end)"
+    return s.sql(f"select e.event_id, t.place, t.event, t.data from {{e}} e, lateral server_events({body}) t", e=load(s, d, "events", "event_id"))
+
+
+R.add("server_events", _server_events, "select event_id, 0 as place, 'a' as event, cast(event_id as varchar) as data from events union all select event_id, 1, 'message', 'x' || chr(10) || 'y' from events where event_id % 2 = 0")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quaymark.operators import matrix as M
 from quaymark.operators import outcomes as O
+from quaymark.operators import policies as Y
 from quaymark.operators import rules as U
 from quaymark.operators.joins import small
 from quaymark.plans.fixtures import oracle, view
@@ -195,3 +196,27 @@ R.add("cheapest_model", lambda s, d: U.cheapest_model(_candidates(s, d), ["provi
 R.add("fastest_model", lambda s, d: U.fastest_model(_candidates(s, d), ["provider"], denied=F.col("model").isin("basalt-9b", "orrin-4")), _CAND + ", f as (select provider, coalesce(arg_min(model, (-tps, model)) filter (tps > 0), arg_min(model, (input_per_1k_usd, model)) filter (input_per_1k_usd is not null)) as model from c group by 1) select * from f where model is not null")
 R.add("router_success", lambda s, d: rounded(U.routed_success(estimates(s, d), out(s, d), "prompt_key", "dataset_id")), oracle(EST + ", b as (select prompt_key, model_name from (select *, row_number() over (partition by prompt_key order by round(value, 9) desc, model_name) as rn from est) where rn = 1), h as (select dataset_id, case when score > 0.5 then 1 else 0 end as hit from b join outcomes using (prompt_key, model_name)), p as (select dataset_id, count(*) as n, avg(hit) as success from h group by 1) select dataset_id as category, n, round(success, 6) as success, null::double as category_mean from p union all select 'all', cast(sum(n) as bigint), round(sum(success * n) / sum(n), 6), round(avg(success), 6) from p", *V))
 R.add("dataset_report", lambda s, d: rounded(O.macro_micro(U.earned(alpha_picks(s, d).where("param = 0.5"), out(s, d).drop("dataset_id")).join(out(s, d).select("prompt_key", "dataset_id").distinct(), "prompt_key"), [])), oracle(PICKS + ", r as (select o.dataset_id, avg(score) as m, sum(score) as s, count(score) as n from picks p join outcomes o using (prompt_key, model_name) where p.param = 0.5 group by 1) select round(avg(m), 6) as macro, round(sum(s) / sum(n), 6) as micro from r", *V))
+
+
+def _decisions(s: SparkSession, d: str) -> DataFrame:
+    """Every named policy over all prompts, and what its picks earned."""
+    o = out(s, d)
+    e = estimates(s, d).withColumnRenamed("prompt_key", "key")
+    art = {"models": view(s, d, "models").select("ord", F.col("model").alias("model_name")), "outcomes": o, "estimates": e, "cost_norm": cost_norm(s, d), "cost_hat": o.groupBy("model_name").agg(F.avg("cost").alias("cost_hat"))}
+    requests = o.select(F.col("prompt_key").alias("key")).distinct()
+    all_ = None
+    for name in Y.names():
+        one = Y.decide(name, requests, art).withColumn("policy", F.lit(name))
+        all_ = one if all_ is None else all_.unionByName(one)
+    earned = all_.join(o.select(F.col("prompt_key").alias("key"), "model_name", "score", "cost"), ["key", "model_name"])
+    return rounded(earned.groupBy("policy").agg(F.count("*").alias("n"), F.avg("score").alias("score"), F.avg("cost").alias("cost")))
+
+
+R.add("policy_compare", _decisions, oracle(PICKS + """, sgl as (select model_name, avg(score) as s, avg(cost) as c from outcomes group by 1),
+dl as (select prompt_key, model_name from (select *, row_number() over (partition by prompt_key order by round(value - 20.0e0 * c, 9) desc, model_name) as rn from est join cn using (model_name)) where rn = 1),
+al as (select 'alpha' as policy, prompt_key, model_name from picks where param = 0.5 union all select 'dollar', prompt_key, model_name from dl
+ union all select 'best_estimate', prompt_key, model_name from (select *, row_number() over (partition by prompt_key order by round(value, 9) desc, model_name) as rn from est) where rn = 1
+ union all select 'best_single', prompt_key, (select model_name from sgl order by round(s, 9) desc, model_name limit 1) from (select distinct prompt_key from outcomes)
+ union all select 'cheapest', prompt_key, (select model_name from sgl order by round(c, 9), model_name limit 1) from (select distinct prompt_key from outcomes)
+ union all select 'random', prompt_key, model_name from outcomes where ord = ('0x' || substr(sha256('7|' || prompt_key), 1, 15))::bigint % 5)
+select policy, count(*) as n, round(avg(score), 6) as score, round(avg(cost), 6) as cost from al join outcomes using (prompt_key, model_name) group by 1""", *V))
