@@ -26,12 +26,15 @@ import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from dataclasses import replace as replace_fields
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaymark.session import cut_table
+
 TYPES = ("email", "phone", "id_number", "address", "name")
 MAX_NAMES = 2_000_000  # what a worker may hold; names of persons grow far slower than texts
 
@@ -114,8 +117,8 @@ _RUN = re.compile(r"\d[\d \u00a0\u202f().\-/\u2010-\u2015]{4,}\d")
 WORD = re.compile(r"[^\W\d_]+(?:(?:-|['’](?![sS](?![^\W\d_])))[^\W\d_]+)*")
 PARTICLES = frozenset("van von der den de la del di da du dos le ten ter zu".split())
 TITLES = frozenset("mr mrs ms miss dr prof herr frau mme mlle m sr sra srta don doña sir madame monsieur señor señora".split())
-#: Listed names that are ordinary words or verbs as well; alone they are names only in a personal phrase.
-ORDINARY = frozenset("mark grant hazel will rose chase drew faith mira ivo shard quorum lattice tarn hope grace joy may june april august summer dawn frank bill jack bob pat sue rich art ray dean miles chance hunter mason page young long short black white brown green king stone wood field brook lane banks marsh rivers wells ford bush price cook baker smith miller".split())
+#: Listed names that are ordinary words or verbs as well; alone they are names only in a personal phrase.  The corpus adds its own.
+ORDINARY = frozenset("mark grant hazel will rose chase drew faith mira shard quorum lattice tarn hope grace joy may june april august summer dawn frank bill jack bob pat sue rich art ray dean miles chance hunter mason page young long short black white brown green king stone wood field brook lane banks marsh rivers wells ford bush price cook baker smith miller".split())
 _BEFORE = re.compile(
     r"(?i)(?:(?:^|[^\w])(?:(?:reported|written|sent|approved|requested|opened|signed|assigned)[ ](?:by|to)|by|attn|call|ping|ask|tell|told|contact|notify|prévenir|avisar[ ]a|rückfragen[ ]an|entrega[ ]a|lieferung[ ]an|livraison[ ]chez|"
     r"signalé[ ]par|gemeldet[ ]von|informado[ ]por|greet[ ]me[ ]as|dear|yesterday|user|pour|para|von|por|par|owner|customer|kunde|cliente|client|llamar[ ]a|appeler|it[ ]told|form[ ]was[ ]sent[ ]by)"
@@ -127,12 +130,43 @@ _AFTER = re.compile(
 )
 
 
+_TO_THE_LEFT, _TO_THE_RIGHT, _SPACE = re.compile(r"(\w*)(\W*)$"), re.compile(r"(\W*)(\w*)"), re.compile(r"\s+")
+
+
+def left_context(text: str, a: int) -> str:
+    """The word and signs before a place; only the signs at the begin of a line, one mark at that of a sentence."""
+    word, signs = _TO_THE_LEFT.search(text[max(0, a - 24) : a]).groups()
+    if "\n" in signs:
+        return "\n" + signs.rsplit("\n", 1)[1]
+    word = word.lower()
+    if word not in TITLES and any(c in signs for c in ".!?"):
+        return ". "
+    return word + _SPACE.sub(" ", signs)
+
+
+def right_context(text: str, b: int) -> str:
+    """The signs and the word behind a place; a number counts as any number."""
+    signs, word = _TO_THE_RIGHT.match(text[b : b + 24]).groups()
+    if "\n" in signs:
+        return "\n"
+    return _SPACE.sub(" ", signs) + ("0" if word[:1].isdigit() else word.lower())
+
+
 @dataclass
 class Names:
     """Listed and learned names by their lower case: 'given', 'family' or both."""
 
     kinds: dict[str, set[str]] = field(default_factory=dict)
     learned: set[str] = field(default_factory=set)
+    left: frozenset[str] = frozenset()  # what stands before names in the corpus
+    right: frozenset[str] = frozenset()  # and behind them
+    ordinary: frozenset[str] = ORDINARY
+
+    def personal(self, text: str, a: int, b: int) -> bool:
+        """Whether text[a:b] stands where names stand: in a phrase of the lists, or in what the corpus puts around names."""
+        if self.left and (left_context(text, a) in self.left or right_context(text, b) in self.right):
+            return True
+        return bool(_BEFORE.search(text[max(0, a - 40) : a]) or _AFTER.search(text[b : b + 40]))  # more than any phrase is long
 
     @classmethod
     def of(cls, listed: Iterable[tuple[str, str]]) -> Names:
@@ -252,11 +286,10 @@ def find_names(text: str, names: Names, taken: list[tuple[int, int]]) -> list[En
             if not follows:
                 hi = k
         parts = [low[x] for x in range(lo, hi + 1) if low[x] in kinds]
-        strong = [p for p in parts if p not in ORDINARY]
+        strong = [p for p in parts if p not in names.ordinary]
         a, b = words[lo][0], words[hi][1]
         capital = text[a].isupper() or not mixed
-        before, after = text[max(0, a - 40) : a], text[b : b + 40]  # more than any phrase of the two patterns is long
-        personal = bool(_BEFORE.search(before) or _AFTER.search(after))
+        personal = names.personal(text, a, b)
         if len(parts) > 1 or initial(lo):
             good = bool(strong) or personal
         elif strong:
@@ -284,43 +317,116 @@ def find_all(text: str | None, names: Names) -> list[Entity]:
 _CAPITAL = re.compile(r"(?<![\w./@$#\\-])[A-ZÀ-ÖØ-Þ](?:['’][A-ZÀ-ÖØ-Þ])?[a-zß-öø-ÿ]{2,}(?:-[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)?(?![\w@/\\])")
 
 
+def _capitals(text: str, names: Names) -> Iterator[tuple[int, int, str, bool, bool]]:
+    """start, end, lower case, a name before, a name behind, of capitalised words outside other entities."""
+    forms = sorted((e.start, e.end) for e in find_forms(text))
+    words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
+    for i, (a, b, w) in enumerate(words):
+        if len(w) > 1 and w[0].isupper() and _free(forms, a, b):
+            before = i > 0 and _gap(text, words[i - 1][1], a) and (words[i - 1][2].lower() in names.kinds or words[i - 1][2].lower() in PARTICLES)
+            behind = i + 1 < len(words) and _gap(text, b, words[i + 1][0]) and words[i + 1][2].lower() in names.kinds
+            yield a, b, w.lower(), before, behind
+
+
+def learn_contexts(texts: DataFrame, names: Names, share: float = 0.8, least: int = 10, different: int = 5, most: int = 20_000) -> Names:
+    """names with what stands before and behind names in the corpus.
+
+    A context is what left_context and right_context give.  It counts if a
+    ``share`` of the capitalised words in it are listed names that are no
+    ordinary words, ``different`` ones and ``least`` in number, and if it has
+    more than one in ``most`` of all names, which bounds how many there are.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple[str, str, str], int] = {}
+        for pdf in batches:
+            for t in pdf["text"]:
+                if not t:
+                    continue
+                for a, b, low, before, behind in _capitals(t, names):
+                    if low in TITLES or (low in names.ordinary and not (before or behind)):
+                        continue
+                    name = low if low in names.kinds else ""
+                    for side, context in (("" if before else "left", left_context(t, a)), ("" if behind else "right", right_context(t, b))):
+                        if side:
+                            seen[(side, context, name)] = seen.get((side, context, name), 0) + 1
+            if len(seen) > 200_000:
+                yield frame(seen)
+                seen = {}
+        yield frame(seen)
+
+    def frame(seen: dict[tuple[str, str, str], int]) -> pd.DataFrame:
+        return pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["side", "context", "name", "n"])
+
+    found = texts.select("text").mapInPandas(run, "side string, context string, name string, n long")
+    named = F.when(F.col("name") != "", F.col("n")).otherwise(0)
+    per = found.groupBy("side", "context").agg(F.sum("n").alias("all"), F.sum(named).alias("names"), F.approx_count_distinct(F.nullif("name", F.lit(""))).alias("different"))
+    per = cut_table(per)
+    total = per.where("side = 'left'").agg(F.sum("names").alias("n")).first()["n"] or 0
+    good = per.where((F.col("names") >= least) & (F.col("names") >= share * F.col("all")) & (F.col("different") >= different) & (F.col("names") * most >= total)).select("side", "context").collect()  # at most ``most`` a side
+    return replace_fields(names, left=frozenset(r["context"] for r in good if r["side"] == "left"), right=frozenset(r["context"] for r in good if r["side"] == "right"))
+
+
+def _of_a_name(word: str, kinds: dict[str, set[str]]) -> bool:
+    """Whether a word next to a name may belong to it: listed, a particle, an initial."""
+    return word.lower() in kinds or word.lower() in PARTICLES or (len(word) == 1 and word.isupper())
+
+
 def _slots(text: str, names: Names, counts: dict[str, list[int]]) -> None:
-    """Counts for capitalised words that are not listed: all, as a given name's place, as a family name's place."""
+    """Counts for capitalised words: all, as a given name's place, as a family name's place, in a context of names; for listed ones the last two columns are all and those in small letters or in a name without a context of names."""
     kinds = names.kinds
     for w in _CAPITAL.findall(text):
         if (c := counts.get(w)) is None:
-            counts[w] = [1, 0, 0]
+            counts[w] = [1, 0, 0, 0, 0, 0]
         else:
             c[0] += 1
-    if kinds.keys().isdisjoint(WORD.findall(text.lower())):
+    lower = text.lower()
+    hit = not kinds.keys().isdisjoint(WORD.findall(lower))
+    if not hit and not names.left:
         return
     forms = sorted((e.start, e.end) for e in find_forms(text))
+    mixed = any(map(str.isupper, text)) and any(map(str.islower, text))
     words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text) if _free(forms, m.start(), m.end())]
     for i, (a, b, w) in enumerate(words):
-        if w not in counts:
-            continue
         key = w.lower()
-        if key in kinds or key in TITLES or (a and (text[a - 1] in "_-./@#$\\" or text[a - 1].isdigit())) or (b < len(text) and text[b] in "_@/\\"):
-            continue
         nxt = words[i + 1] if i + 1 < len(words) else None
         prev = words[i - 1] if i else None
-        given = nxt is not None and _gap(text, b, nxt[0]) and nxt[2][0].isupper() and "family" in kinds.get(nxt[2].lower(), ()) and nxt[2].lower() not in ORDINARY
+        if key in kinds:
+            if mixed:
+                c = counts.setdefault(f"={key}", [0] * 6)
+                lo = hi = i
+                while lo > 0 and _gap(text, words[lo - 1][1] + (text[words[lo - 1][1]] == "."), words[lo][0]) and _of_a_name(words[lo - 1][2], kinds):
+                    lo -= 1
+                while hi + 1 < len(words) and _gap(text, words[hi][1] + (text[words[hi][1]] == "."), words[hi + 1][0]) and _of_a_name(words[hi + 1][2], kinds):
+                    hi += 1
+                c[4] += 1
+                c[5] += w[0].islower() or not names.personal(text, words[lo][0], words[hi][1])
+            continue
+        if w not in counts or key in TITLES or (a and (text[a - 1] in "_-./@#$\\" or text[a - 1].isdigit())) or (b < len(text) and text[b] in "_@/\\"):
+            continue
+        given = nxt is not None and _gap(text, b, nxt[0]) and nxt[2][0].isupper() and "family" in kinds.get(nxt[2].lower(), ()) and nxt[2].lower() not in names.ordinary
         if nxt is not None and len(nxt[2]) == 1 and nxt[2].isupper() and text[nxt[1] : nxt[1] + 1] == "." and i + 2 < len(words):
             given = given or "family" in kinds.get(words[i + 2][2].lower(), ())
-        family = prev is not None and _gap(text, prev[1], a) and prev[2][0].isupper() and "given" in kinds.get(prev[2].lower(), ()) and prev[2].lower() not in ORDINARY
+        family = prev is not None and _gap(text, prev[1], a) and prev[2][0].isupper() and "given" in kinds.get(prev[2].lower(), ()) and prev[2].lower() not in names.ordinary
         family = family or (prev is not None and len(prev[2]) == 1 and prev[2].isupper() and text[prev[1] : a] == ". " and i > 1 and words[i - 2][2].lower() in kinds)
-        family = family or (nxt is not None and text[b : nxt[0]] == ", " and nxt[2][0].isupper() and "given" in kinds.get(nxt[2].lower(), ()) and nxt[2].lower() not in ORDINARY)
+        family = family or (nxt is not None and text[b : nxt[0]] == ", " and nxt[2][0].isupper() and "given" in kinds.get(nxt[2].lower(), ()) and nxt[2].lower() not in names.ordinary)
         counts[w][1] += given
         counts[w][2] += family
+        if not (given or family) and names.left:
+            counts[w][3] += left_context(text, a) in names.left and right_context(text, b) in names.right
 
 
-def learn_names(texts: DataFrame, listed: list[tuple[str, str]], least: int = 3, share: float = 0.4) -> Names:
+def learn_names(texts: DataFrame, listed: list[tuple[str, str]], least: int = 3, share: float = 0.4, ordinary: float = 0.5, places: int = 20) -> Names:
     """The list, completed: words of at least ``least`` places of names, a ``share`` of all their places.
 
-    Every text is counted.  Only words that pass come to the driver; more than
+    A place is one next to a listed name, or one with a context of names on
+    both sides.  Listed words that are in small letters, or in a name that has
+    no such context on either side, in more than ``ordinary`` of at least ``places``
+    places are ordinary words of the corpus.  Every
+    text is counted.  Only words that pass come to the driver; more than
     MAX_NAMES of them stop with an error, since nothing may be dropped.
     """
-    base = Names.of(listed)
+    base = learn_contexts(texts, Names.of(listed))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, list[int]] = {}
@@ -333,19 +439,25 @@ def learn_names(texts: DataFrame, listed: list[tuple[str, str]], least: int = 3,
                 counts = {}
         yield _frame(counts)
 
+    columns = ("n", "g", "f", "c", "m", "o")
+
     def _frame(counts: dict[str, list[int]]) -> pd.DataFrame:
-        return pd.DataFrame([(k.lower(), *v) for k, v in counts.items()], columns=["word", "n", "g", "f"])
+        return pd.DataFrame([(k.lower(), *v) for k, v in counts.items()], columns=["word", *columns])
 
-    found = texts.select("text").mapInPandas(run, "word string, n long, g long, f long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("f").alias("f"))
-    rows = found.where((F.col("g") + F.col("f") >= least) & (F.greatest("g", "f") + F.least("g", "f") / 2 >= share * F.col("n"))).limit(MAX_NAMES + 1).collect()
+    found = texts.select("text").mapInPandas(run, "word string, " + ", ".join(f"{c} long" for c in columns)).groupBy("word").agg(*[F.sum(c).alias(c) for c in columns])
+    good = (F.col("g") + F.col("f") + F.col("c") >= least) & (F.greatest("g", "f") + F.least("g", "f") / 2 + F.col("c") >= share * F.col("n"))
+    usual = F.startswith("word", F.lit("=")) & (F.col("m") >= places) & (F.col("o") > ordinary * F.col("m"))
+    rows = found.where(good | usual).limit(MAX_NAMES + 1).collect()
     if len(rows) > MAX_NAMES:
         raise ValueError("more names than a worker may hold")
+    usual_words = {r["word"][1:] for r in rows if r["word"].startswith("=")}
     for r in rows:
-        if r["g"] * 3 >= r["f"]:
-            base.add(r["word"], "given")
-        if r["f"] * 3 >= r["g"]:
-            base.add(r["word"], "family")
-    return base
+        if not r["word"].startswith("="):
+            if r["g"] * 3 >= r["f"]:
+                base.add(r["word"], "given")
+            if r["f"] * 3 >= r["g"]:
+                base.add(r["word"], "family")
+    return replace_fields(base, ordinary=base.ordinary | usual_words)
 
 
 # -- replacement ------------------------------------------------------------

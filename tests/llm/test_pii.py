@@ -130,6 +130,18 @@ def test_names_are_completed_from_the_corpus(spark):
     assert len(out) == len(texts) and out[4]["redacted"] == texts[4] and out[9]["redacted"] is None and out[0]["redacted"] == "Reported by [NAME_1] about row 0"
 
 
+def test_what_stands_around_names_is_learned(spark):
+    known = ["Noemi", "Pavel", "Björn", "Tolvarin", "Pemberlow"]
+    listed = [*LISTED, ("Pemberlow", "family"), ("Reed", "family")]
+    texts = [f"We escorted {known[i % 5]} downstairs at noon" for i in range(20)] + [f"We escorted Okafor downstairs, row {i}" for i in range(3)] + ["We escorted Monday downstairs"] + [f"The Reed bends, {i}" for i in range(30)] + ["The lock stays. The rest is fine."] * 40 + [None, ""]
+    df = spark.createDataFrame([("t", i, t) for i, t in enumerate(texts)], "src_table string, src_id long, text string")
+    names = pii.learn_names(df, listed)
+    assert "escorted " in names.left and " downstairs" in names.right and "okafor" in names.learned and "monday" not in names.learned
+    assert "reed" in names.ordinary and "noemi" not in names.ordinary
+    found = pii.find_all("Then we escorted Okafor downstairs. The Reed bends. They escorted Reed downstairs.", names)
+    assert [e.start for e in found] == [17, 66]
+
+
 def test_very_long_text():
     text = "word 12 " * 100_000 + "Noemi Tolvarin"
     assert [(e.kind, e.start) for e in pii.find_all(text, NAMES)] == [("name", 800_000)]
