@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def stretch(v: Column) -> Column:
+    """A number for the stretch of the number line that a value lies in, in order: signed powers of an eighth of two, 0 for 0."""
+    size = F.floor(F.log2(F.abs(v)) * 8)
+    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * (size + 10_000)).cast("int")
+
+
 def percentiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """by, n and one column per percentile, interpolated between the two nearest ranks; nulls and NaN don't count.
 
@@ -19,9 +25,7 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, f
     """
     keys = list(by)
     v = F.col(value).cast("double")
-    size = F.floor(F.log2(F.abs(F.col("__v"))) * 8)
-    stretch = F.when(F.col("__v") == 0, F.lit(0)).otherwise(F.signum("__v") * (size + 10_000)).cast("int")
-    counts = df.where(F.col(value).isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("__v")).agg(F.count("*").alias("__n")).withColumn("__s", stretch)
+    counts = df.where(F.col(value).isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("__v")).agg(F.count("*").alias("__n")).withColumn("__s", stretch(F.col("__v")))
     parts = counts.groupBy(*keys, "__s").agg(F.sum("__n").alias("__k"))
     order = W.partitionBy(*keys).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.withColumn("__before", F.coalesce(F.sum("__k").over(order), F.lit(0))).withColumn("__total", F.sum("__k").over(W.partitionBy(*keys)))

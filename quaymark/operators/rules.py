@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quaymark.operators.joins import small
 from quaymark.operators.matrix import argmax_first, minmax
-from quaymark.operators.percentiles import percentiles
+from quaymark.operators.percentiles import percentiles, stretch
 
 ALPHAS = tuple(i / 20 for i in range(21))
 
@@ -85,11 +85,18 @@ def pareto(points: DataFrame, score: str = "score", cost: str = "cost") -> DataF
     """Points that no other beats in one and equals in the other; equal points stay.
 
     By sorting instead of comparing pairs: per cost only the best score can
-    stay, and only if it is above every score of a lower cost.
+    stay, and only if it is above every score of a lower cost.  Costs are put
+    in order within stretches of the number line; the best score of the
+    stretches before comes from one row each.
     """
-    best = points.groupBy(cost).agg(F.max(score).alias("__top"))
-    before = F.max("__top").over(W.orderBy(cost).rowsBetween(W.unboundedPreceding, -1))
-    edge = best.withColumn("__before", before).where(F.col("__before").isNull() | (F.col("__top") > F.col("__before"))).select(F.col(cost).alias("__c"), "__top")
+    best = points.groupBy(cost).agg(F.max(score).alias("__top")).withColumn("__s", stretch(F.col(cost).cast("double")))
+    parts = best.groupBy("__s").agg(F.max("__top").alias("__part"))  # at most some thousand
+    lower = F.max("__part").over(W.orderBy("__s").rowsBetween(W.unboundedPreceding, -1))
+    parts = parts.select(F.col("__s").alias("__t"), lower.alias("__lower"))
+    inner = F.max("__top").over(W.partitionBy("__s").orderBy(cost).rowsBetween(W.unboundedPreceding, -1))
+    placed = best.withColumn("__inner", inner).join(parts, F.col("__s").eqNullSafe(F.col("__t")))
+    before = F.greatest("__inner", "__lower")
+    edge = placed.where(before.isNull() | (F.col("__top") > before)).select(F.col(cost).alias("__c"), "__top")
     return points.join(edge, (points[cost] == edge["__c"]) & (points[score] == edge["__top"]), "left_semi")
 
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from quaymark.operators import rules
 from quaymark.operators.percentiles import percentiles
 
 
@@ -17,3 +18,10 @@ def test_against_numpy(spark):
             assert got[g][name] == pytest.approx(np.quantile(x, p))
     one = percentiles(spark.createDataFrame(rows, "g string, v double"), [], "v", {"p50": 0.5}).collect()
     assert len(one) == 1 and one[0]["p50"] == pytest.approx(np.quantile(np.concatenate(list(groups.values())), 0.5))
+
+
+def test_undominated_points(spark):
+    rng = np.random.default_rng(4)
+    pts = [(i, float(s), float(c)) for i, (s, c) in enumerate(zip(rng.integers(0, 12, 300) / 10, np.r_[rng.integers(0, 40, 250) / 100, rng.lognormal(0, 3, 50)]))]
+    got = {r["i"] for r in rules.pareto(spark.createDataFrame(pts, "i int, score double, cost double")).collect()}
+    assert got == {i for i, s, c in pts if not any(t >= s and d <= c and (t > s or d < c) for _, t, d in pts)}
