@@ -130,26 +130,44 @@ _AFTER = re.compile(
 )
 
 
-_TO_THE_LEFT, _TO_THE_RIGHT, _SPACE = re.compile(r"(\w*)(\W*)$"), re.compile(r"(\W*)(\w*)"), re.compile(r"\s+")
+_SPACE = re.compile(r"\s+")
+
+
+def _signs(signs: str) -> str:
+    return signs if signs == " " else _SPACE.sub(" ", signs)
 
 
 def left_context(text: str, a: int) -> str:
     """The word and signs before a place; only the signs at the begin of a line, one mark at that of a sentence."""
-    word, signs = _TO_THE_LEFT.search(text[max(0, a - 24) : a]).groups()
+    low = max(0, a - 24)
+    i = a
+    while i > low and not text[i - 1].isalnum():
+        i -= 1
+    signs = text[i:a]
     if "\n" in signs:
         return "\n" + signs.rsplit("\n", 1)[1]
-    word = word.lower()
-    if word not in TITLES and any(c in signs for c in ".!?"):
+    j = i
+    while j > low and text[j - 1].isalnum():
+        j -= 1
+    word = text[j:i].lower()
+    if signs != " " and word not in TITLES and ("." in signs or "!" in signs or "?" in signs):
         return ". "
-    return word + _SPACE.sub(" ", signs)
+    return word + _signs(signs)
 
 
 def right_context(text: str, b: int) -> str:
     """The signs and the word behind a place; a number counts as any number."""
-    signs, word = _TO_THE_RIGHT.match(text[b : b + 24]).groups()
+    high = min(len(text), b + 24)
+    i = b
+    while i < high and not text[i].isalnum():
+        i += 1
+    signs = text[b:i]
     if "\n" in signs:
         return "\n"
-    return _SPACE.sub(" ", signs) + ("0" if word[:1].isdigit() else word.lower())
+    j = i
+    while j < high and text[j].isalnum():
+        j += 1
+    return _signs(signs) + ("0" if text[i:j][:1].isdigit() else text[i:j].lower())
 
 
 @dataclass
@@ -163,8 +181,8 @@ class Names:
     ordinary: frozenset[str] = ORDINARY
 
     def personal(self, text: str, a: int, b: int) -> bool:
-        """Whether text[a:b] stands where names stand: in a phrase of the lists, or in what the corpus puts around names."""
-        if self.left and (left_context(text, a) in self.left or right_context(text, b) in self.right):
+        """Whether text[a:b] stands where names stand: in a phrase of the lists, or between what the corpus puts before and behind names."""
+        if self.left and left_context(text, a) in self.left and right_context(text, b) in self.right:
             return True
         return bool(_BEFORE.search(text[max(0, a - 40) : a]) or _AFTER.search(text[b : b + 40]))  # more than any phrase is long
 
@@ -317,17 +335,6 @@ def find_all(text: str | None, names: Names) -> list[Entity]:
 _CAPITAL = re.compile(r"(?<![\w./@$#\\-])[A-ZÀ-ÖØ-Þ](?:['’][A-ZÀ-ÖØ-Þ])?[a-zß-öø-ÿ]{2,}(?:-[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)?(?![\w@/\\])")
 
 
-def _capitals(text: str, names: Names) -> Iterator[tuple[int, int, str, bool, bool]]:
-    """start, end, lower case, a name before, a name behind, of capitalised words outside other entities."""
-    forms = sorted((e.start, e.end) for e in find_forms(text))
-    words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
-    for i, (a, b, w) in enumerate(words):
-        if len(w) > 1 and w[0].isupper() and _free(forms, a, b):
-            before = i > 0 and _gap(text, words[i - 1][1], a) and (words[i - 1][2].lower() in names.kinds or words[i - 1][2].lower() in PARTICLES)
-            behind = i + 1 < len(words) and _gap(text, b, words[i + 1][0]) and words[i + 1][2].lower() in names.kinds
-            yield a, b, w.lower(), before, behind
-
-
 def learn_contexts(texts: DataFrame, names: Names, share: float = 0.8, least: int = 10, different: int = 5, most: int = 20_000) -> Names:
     """names with what stands before and behind names in the corpus.
 
@@ -337,19 +344,28 @@ def learn_contexts(texts: DataFrame, names: Names, share: float = 0.8, least: in
     more than one in ``most`` of all names, which bounds how many there are.
     """
 
+    kinds = names.kinds
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[tuple[str, str, str], int] = {}
         for pdf in batches:
             for t in pdf["text"]:
                 if not t:
                     continue
-                for a, b, low, before, behind in _capitals(t, names):
-                    if low in TITLES or (low in names.ordinary and not (before or behind)):
+                for m in _CAPITAL.finditer(t):
+                    low = m.group().lower()
+                    if low in TITLES:
                         continue
-                    name = low if low in names.kinds else ""
-                    for side, context in (("" if before else "left", left_context(t, a)), ("" if behind else "right", right_context(t, b))):
-                        if side:
-                            seen[(side, context, name)] = seen.get((side, context, name), 0) + 1
+                    left, right = left_context(t, m.start()), right_context(t, m.end())
+                    before, behind = left[:-1] if left[-1:] == " " else "", right[1:] if right[:1] == " " else ""
+                    before, behind = before in kinds or before in PARTICLES, behind in kinds
+                    if low in names.ordinary and not (before or behind):
+                        continue
+                    name = low if low in kinds else ""
+                    if not before:
+                        seen[("left", left, name)] = seen.get(("left", left, name), 0) + 1
+                    if not behind:
+                        seen[("right", right, name)] = seen.get(("right", right, name), 0) + 1
             if len(seen) > 200_000:
                 yield frame(seen)
                 seen = {}
@@ -375,14 +391,15 @@ def _of_a_name(word: str, kinds: dict[str, set[str]]) -> bool:
 def _slots(text: str, names: Names, counts: dict[str, list[int]]) -> None:
     """Counts for capitalised words: all, as a given name's place, as a family name's place, in a context of names; for listed ones the last two columns are all and those in small letters or in a name without a context of names."""
     kinds = names.kinds
-    for w in _CAPITAL.findall(text):
+    hit = not kinds.keys().isdisjoint(WORD.findall(text.lower()))
+    for m in _CAPITAL.finditer(text):
+        w = m.group()
         if (c := counts.get(w)) is None:
-            counts[w] = [1, 0, 0, 0, 0, 0]
-        else:
-            c[0] += 1
-    lower = text.lower()
-    hit = not kinds.keys().isdisjoint(WORD.findall(lower))
-    if not hit and not names.left:
+            c = counts[w] = [0] * 6
+        c[0] += 1
+        if not hit and names.left and left_context(text, m.start()) in names.left and right_context(text, m.end()) in names.right:
+            c[3] += w.lower() not in TITLES
+    if not hit:
         return
     forms = sorted((e.start, e.end) for e in find_forms(text))
     mixed = any(map(str.isupper, text)) and any(map(str.islower, text))
