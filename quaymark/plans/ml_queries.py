@@ -41,7 +41,7 @@ _Z = "coalesce((score - avg(score) over (partition by key)) / nullif(stddev_pop(
 _TABLE = ", pr as (select model_name, avg({v}) as prior, avg(cost) as c from {src} group by 1), mn as (select cluster_id, model_name, avg({v}) as mean, count({v}) as n from lb join {src} using (key) group by 1, 2), tb as (select g.cluster_id, p.model_name, case when coalesce(n, 0) = 0 then prior else (n * mean + {k0} * prior) / (n + {k0}) end as q from (select distinct cluster_id from lb) g cross join pr p left join mn on mn.cluster_id = g.cluster_id and mn.model_name = p.model_name)"
 
 R.add("est_cluster", lambda s, d: rounded(E.cluster_estimates(vectors(s, d), outs(s, d), centroids(s, d), 20.0, 3, train()), digits=5), oracle(_NR.format(p=3) + f", z as (select *, {_Z} as z from oc), tz as (select * from z where {_TR.format('key')})" + _TABLE.format(v="z", src="tz", k0="20.0e0") + " select vec_id as key, model_name, round(avg(q), 5) + 0 as value from nr join tb using (cluster_id) group by 1, 2", *V))
-R.add("est_weave", lambda s, d: rounded(E.equal_top_scores(vectors(s, d), outs(s, d), centroids(s, d), 0.6, 10.0, 3, train()), digits=5), oracle(_NR.format(p=3) + f", tr as (select * from oc where {_TR.format('key')}), tz as (select *, (greatest(-3, least(3, {_Z})) + 3) / 6 as z from tr)" + _TABLE.format(v="z", src="tz", k0="10.0e0") + ", rt as (select cluster_id, model_name, round(q, 9) as q from tb), qn as (select cluster_id, model_name, coalesce((q - min(q) over w) / nullif(max(q) over w - min(q) over w, 0), 0) as qn from rt window w as (partition by cluster_id)), cn as (select model_name, (c - min(c) over ()) / (max(c) over () - min(c) over ()) as cn from pr) select vec_id as key, model_name, round(0.6e0 * sum(qn) + 0.4e0 * 3 * (1 - max(cn)), 5) + 0 as value from nr join qn using (cluster_id) join cn using (model_name) group by 1, 2", *V))
+R.add("est_equal_top", lambda s, d: rounded(E.equal_top_scores(vectors(s, d), outs(s, d), centroids(s, d), 0.6, 10.0, 3, train()), digits=5), oracle(_NR.format(p=3) + f", tr as (select * from oc where {_TR.format('key')}), tz as (select *, (greatest(-3, least(3, {_Z})) + 3) / 6 as z from tr)" + _TABLE.format(v="z", src="tz", k0="10.0e0") + ", rt as (select cluster_id, model_name, round(q, 9) as q from tb), qn as (select cluster_id, model_name, coalesce((q - min(q) over w) / nullif(max(q) over w - min(q) over w, 0), 0) as qn from rt window w as (partition by cluster_id)), cn as (select model_name, (c - min(c) over ()) / (max(c) over () - min(c) over ()) as cn from pr) select vec_id as key, model_name, round(0.6e0 * sum(qn) + 0.4e0 * 3 * (1 - max(cn)), 5) + 0 as value from nr join qn using (cluster_id) join cn using (model_name) group by 1, 2", *V))
 _SOFT = ", ws as (select *, exp((sim - max(sim) over (partition by vec_id)) / {t}) as e from nr), wt as (select *, e / sum(e) over (partition by vec_id) as w from ws)"
 R.add("est_centroid", lambda s, d: rounded(E.centroid_scores(vectors(s, d), outs(s, d), centroids(s, d), 5.0, 3, 0.05, train()), digits=5), oracle(_NR.format(p=3) + _SOFT.format(t="0.05e0") + f", tr as (select * from oc where {_TR.format('key')})" + _TABLE.format(v="score", src="tr", k0="5.0e0") + " select vec_id as key, model_name, round(sum(w * q), 5) as value from wt join tb using (cluster_id) group by 1, 2", *V))
 _PS, _KS, _TS, _BS = (1, 3), (0.0, 20.0), (0.05, 0.5), (0.5, 0.75, 1.0)
